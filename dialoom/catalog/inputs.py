@@ -10,6 +10,7 @@ from dialoom.functions.tokens import RegexTokenizer
 from dialoom.operators import features as feat
 from dialoom.operators import turn_table as tt
 from dialoom.schema import DRAFT_STEPS
+from dialoom.session import fresh_path
 
 TOKENIZER = RegexTokenizer(vocab_size=4096)
 
@@ -32,40 +33,50 @@ def raw_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered human and reply turns: ``id, conv_id, pos, from, value, ord``."""
-    return tt.number_turns(tt.keep_dialogue_roles(raw_turns(spark, sf_dir)))
+    """Human and reply turns: ``id, conv_id, pos, from, value``."""
+    return tt.keep_dialogue_roles(raw_turns(spark, sf_dir))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested records ``id, conversations``, all roles kept."""
-    return tt.collect_turns(raw_turns(spark, sf_dir)).drop("part")
+    """Nested records ``id, part, conversations``, all roles kept."""
+    return tt.collect_turns(raw_turns(spark, sf_dir))
 
 
 def dialogue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tt.collect_turns(dialogue(spark, sf_dir), "ord").drop("part")
+    """Whole dialogues in one row each, for prompts that need everything said before."""
+    return tt.collect_turns(dialogue(spark, sf_dir), max_turns=None).drop("part")
 
 
-def emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue turns where the last reply of every tenth conversation has no text.
+def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue where the last reply of every tenth conversation has no text.
 
-    A trailing human turn is removed first, so that the reply is the last turn.
+    The last reply is the last turn once a trailing human turn is left out; that turn itself
+    stays in the table.
     """
-    turns = tt.drop_trailing_human(dialogue(spark, sf_dir))
-    last = tt.conversation_tails(turns).filter(
-        F.get("tail", F.lit(0))["code"] == 2
-    ).select("id", F.get("tail", F.lit(0))["ord"].alias("ord"), F.lit(True).alias("_last"))
+    turns = dialogue(spark, sf_dir)
+    answered = tt.drop_trailing_human(tt.outline(turns))
+    last = (
+        tt.conversation_tails(answered)
+        .filter(F.get("tail", F.lit(0))["code"] == 2)
+        .select("id", F.get("tail", F.lit(0))["pos"].alias("pos"), F.lit(True).alias("_last"))
+    )
     blank = F.col("_last").isNotNull() & (F.col("conv_id") % 10 == 0)
     return (
-        turns.join(last, ["id", "ord"], "left")
+        turns.join(last, ["id", "pos"], "left")
         .withColumn("value", F.when(blank, "").otherwise(F.col("value")))
         .drop("_last")
     )
 
 
+def emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blanked`` without trailing human turns."""
+    turns = blanked(spark, sf_dir)
+    return tt.pick(turns, tt.drop_trailing_human(tt.outline(turns)))
+
+
 def trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned records, ready for featurizing, with their integer order ``conv_id``."""
-    cleaned = tt.clean_conversations(dialogue(spark, sf_dir))
-    nested = feat.trainable_records(cleaned)
+    nested = feat.trainable_records(raw_turns(spark, sf_dir))
     return nested.withColumn("conv_id", F.substring_index("id", "_", -1).cast("bigint"))
 
 
@@ -73,6 +84,13 @@ def llama_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.featurize(trainable(spark, sf_dir), LLAMA, TOKENIZER, keep=("id", "conv_id"))
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows written once, for queries that use them several times."""
+    path = fresh_path(spark, "features")
+    llama_features(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def truth(features: DataFrame) -> DataFrame:
     """Next-token targets ``seq, pos, target_id, mask``."""
     zipped = F.arrays_zip(

@@ -11,19 +11,18 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dialoom.catalog import inputs, sql
 from dialoom.catalog.inputs import TOKENIZER, table
 from dialoom.functions.hashing import hex_threshold
 from dialoom.functions.text import GEMMA, LLAMA, rounds, usable_rounds
-from dialoom.functions.turns import chat_role
 from dialoom.operators import features as feat
 from dialoom.operators import metrics, records, regenerate, sampling, vocabulary
 from dialoom.operators import turn_table as tt
 from dialoom.operators.ranking import rank_by_order
 from dialoom.plans import jobs
-from dialoom.schema import CONVERSATION, LOOSE_CONVERSATION, MAX_LEN
+from dialoom.schema import CONVERSATION, LOOSE_CONVERSATION
 from dialoom.session import fresh_path
 from dialoom.sources import conversations as src
 from dialoom.sources import sinks
@@ -60,6 +59,11 @@ def _turns(df: DataFrame, pos: str = "pos") -> DataFrame:
     )
 
 
+def _rounded(column: str) -> Column:
+    """Six digits, nudged so that a mean ending in 5 goes the same way on every engine."""
+    return F.round(F.col(column) + F.lit(1e-9), 6)
+
+
 def _text(values: str, sep: str = " ") -> Column:
     return F.array_join(F.col(values).cast("array<string>"), sep)
 
@@ -73,18 +77,21 @@ def _jsonl(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+RECORD = T.StructType([*CONVERSATION.fields, T.StructField("part", T.LongType())])
+
+
 def _json_arrays(spark: SparkSession, sf_dir: str, indented: bool) -> str:
     """Files that are each one JSON array of up to 2000 records."""
     path = fresh_path(spark, "conversations") + ".json"
     conv = inputs.records(spark, sf_dir).withColumn(
         "bucket", F.floor(F.substring_index("id", "_", -1).cast("bigint") / 2000)
     )
-    one = F.to_json(F.struct("id", "conversations"))
+    one = F.to_json(F.struct("id", "part", "conversations"))
     if indented:
         body = F.to_json("conversations")
         one = F.concat(
-            F.lit('  {\n    "id": "'), F.col("id"), F.lit('",\n    "conversations": '), body,
-            F.lit("\n  }"),
+            F.lit('  {\n    "id": "'), F.col("id"), F.lit('",\n    "part": '),
+            F.col("part").cast("string"), F.lit(',\n    "conversations": '), body, F.lit("\n  }"),
         )
     sep, ends = (",\n", ("[\n", "\n]")) if indented else (", ", ("[", "]"))
     arrays = conv.groupBy("bucket").agg(
@@ -99,18 +106,18 @@ RAW_TURNS_SQL = f"WITH {sql.TURNS} SELECT id, pos, speaker, value FROM turns"
 
 @query("scan_conversations_jsonl", RAW_TURNS_SQL)
 def scan_conversations_jsonl(spark, sf_dir):
-    return _flat(src.scan_conversations_jsonl(spark, _jsonl(spark, sf_dir)))
+    return _flat(src.scan_conversations_jsonl(spark, _jsonl(spark, sf_dir), RECORD))
 
 
 @query("scan_conversations_json", RAW_TURNS_SQL)
 def scan_conversations_json(spark, sf_dir):
-    return _flat(src.scan_conversations_json(spark, _json_arrays(spark, sf_dir, False)))
+    return _flat(src.scan_conversations_json(spark, _json_arrays(spark, sf_dir, False), RECORD))
 
 
 @query("scan_conversations_json_indented", RAW_TURNS_SQL)
 def scan_conversations_json_indented(spark, sf_dir):
     path = _json_arrays(spark, sf_dir, True)
-    return _flat(src.scan_conversations_json(spark, path, layout="indented"))
+    return _flat(src.scan_conversations_json(spark, path, RECORD, layout="indented"))
 
 
 def _parquet(spark: SparkSession, sf_dir: str) -> str:
@@ -251,7 +258,7 @@ def load_or_build_vocab(spark, sf_dir):
 )
 def record_counts(spark, sf_dir):
     loaded = inputs.records(spark, sf_dir)
-    cleaned = records.skip_empty(records.clean_conversations(records.keep_dialogue_roles(loaded)))
+    cleaned = records.skip_empty(feat.cleaned_records(inputs.raw_turns(spark, sf_dir)))
     split = sampling.exact_split(cleaned.select("id"))
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     return sinks.record_counts(
@@ -265,7 +272,8 @@ def record_counts(spark, sf_dir):
 
 @query("drop_trailing_human", f"WITH {sql.NO_TAIL} SELECT id, pos, speaker, value FROM no_tail")
 def drop_trailing_human(spark, sf_dir):
-    return _turns(tt.drop_trailing_human(inputs.dialogue(spark, sf_dir)))
+    turns = inputs.dialogue(spark, sf_dir)
+    return _turns(tt.pick(turns, tt.drop_trailing_human(tt.outline(turns))))
 
 
 @query(
@@ -274,20 +282,8 @@ def drop_trailing_human(spark, sf_dir):
     + " SELECT id, pos, speaker, value FROM kept",
 )
 def drop_trailing_empty_reply(spark, sf_dir):
-    return _turns(tt.drop_trailing_empty_reply(inputs.emptied(spark, sf_dir)))
-
-
-def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue with emptied replies and trailing human turns both in place."""
-    blank = (
-        inputs.emptied(spark, sf_dir).filter("value = ''").select("id", "ord", F.lit("").alias("_v"))
-    )
-    return (
-        inputs.dialogue(spark, sf_dir)
-        .join(blank, ["id", "ord"], "left")
-        .withColumn("value", F.coalesce("_v", "value"))
-        .drop("_v")
-    )
+    turns = inputs.emptied(spark, sf_dir)
+    return _turns(tt.pick(turns, tt.drop_trailing_empty_reply(tt.outline(turns))))
 
 
 CLEAN_SQL = "WITH " + sql.BLANKED + """,
@@ -300,7 +296,8 @@ headed AS (
 
 @query("clean_conversations", CLEAN_SQL + " SELECT id, pos, speaker, value FROM kept")
 def clean_conversations(spark, sf_dir):
-    return _turns(tt.clean_conversations(_blanked(spark, sf_dir)))
+    turns = inputs.blanked(spark, sf_dir)
+    return _turns(tt.pick(turns, tt.clean_conversations(tt.outline(turns))))
 
 
 @query(
@@ -308,8 +305,7 @@ def clean_conversations(spark, sf_dir):
     CLEAN_SQL + " SELECT id, ord AS pos, speaker, value FROM kept",
 )
 def clean_records(spark, sf_dir):
-    nested = tt.collect_turns(_blanked(spark, sf_dir), "ord")
-    return _flat(records.clean_conversations(nested))
+    return _flat(feat.cleaned_records(inputs.blanked(spark, sf_dir)))
 
 
 @query(
@@ -317,10 +313,8 @@ def clean_records(spark, sf_dir):
     f"WITH {sql.CLEANED} SELECT id, count(*) AS turns FROM cleaned GROUP BY id",
 )
 def skip_empty(spark, sf_dir):
-    cleaned = records.clean_conversations(inputs.dialogue_records(spark, sf_dir))
-    return records.skip_empty(cleaned).select(
-        "id", F.size("conversations").cast("bigint").alias("turns")
-    )
+    filled = records.skip_empty(feat.cleaned_records(inputs.raw_turns(spark, sf_dir)))
+    return filled.groupBy("id").agg(F.sum(F.size("conversations")).alias("turns"))
 
 
 NUMBERED_SQL = f"""WITH {sql.TURNS},
@@ -335,8 +329,8 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS o
     FROM numbered WHERE NOT (ord = 0 AND speaker <> 'human')""",
 )
 def drop_leading_non_human(spark, sf_dir):
-    numbered = tt.number_turns(inputs.raw_turns(spark, sf_dir))
-    return tt.drop_leading_non_human(numbered).select(
+    turns = inputs.raw_turns(spark, sf_dir)
+    return tt.pick(turns, tt.drop_leading_non_human(tt.outline(turns))).select(
         "id", "ord", F.col("from").alias("speaker"), "value"
     )
 
@@ -464,7 +458,8 @@ def normalize_content(spark, sf_dir):
     UNION ALL SELECT DISTINCT id, 0, 'system', 'Be brief.' FROM dialogue""",
 )
 def inject_system(spark, sf_dir):
-    return tt.inject_system(inputs.dialogue(spark, sf_dir), "Be brief.").select(
+    numbered = tt.number_turns(inputs.dialogue(spark, sf_dir))
+    return tt.inject_system(numbered, "Be brief.").select(
         "id", "ord", F.col("from").alias("speaker"), "value"
     )
 
@@ -666,14 +661,15 @@ def _frequency(spark: SparkSession, sf_dir: str, seq: str | None = None) -> Data
     return vocabulary.token_frequency(inputs.llama_features(spark, sf_dir), seq)
 
 
-def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = vocabulary.top_n_tokens(_frequency(spark, sf_dir), DRAFT_SIZE, "token_id")
-    maps = vocabulary.draft_to_target(top)
-    return maps.select(
-        F.col("draft_id").cast("bigint").alias("draft_id"),
-        F.col("token_id").cast("bigint").alias("token_id"),
-        F.col("offset").cast("bigint").alias("offset"),
-    )
+def _maps(maps: DataFrame, *more: str) -> DataFrame:
+    longs = [F.col(c).cast("bigint").alias(c) for c in ("draft_id", "token_id", "offset")]
+    return maps.select(*longs, *more)
+
+
+def _vocab(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:
+    features = inputs.llama_features(spark, sf_dir) if features is None else features
+    top = vocabulary.top_n_tokens(vocabulary.token_frequency(features), DRAFT_SIZE, "token_id")
+    return _maps(vocabulary.draft_to_target(top))
 
 
 @query("token_frequency", "WITH " + sql.FREQUENCY + " SELECT token_id, freq FROM frequency")
@@ -722,11 +718,11 @@ def top_n_tokens_by_id(spark, sf_dir):
     "WITH " + sql.top(DRAFT_SIZE) + """
     SELECT (SELECT sum(freq) FROM top)::BIGINT AS top_freq,
            (SELECT sum(freq) FROM frequency)::BIGINT AS total_freq,
-           round((SELECT sum(freq) FROM top) / (SELECT sum(freq) FROM frequency)::DOUBLE, 6) AS coverage""",
+           round((SELECT sum(freq) FROM top) / (SELECT sum(freq) FROM frequency)::DOUBLE + 1e-9::DOUBLE, 6) AS coverage""",
 )
 def coverage_ratio(spark, sf_dir):
     ratio = vocabulary.coverage_ratio(_frequency(spark, sf_dir), DRAFT_SIZE)
-    return ratio.withColumn("coverage", F.round("coverage", 6))
+    return ratio.withColumn("coverage", _rounded("coverage"))
 
 
 @query(
@@ -757,13 +753,7 @@ def target_in_draft(spark, sf_dir):
 )
 def build_draft_vocab(spark, sf_dir):
     built = jobs.build_draft_vocab(inputs.trainable(spark, sf_dir), LLAMA, TOKENIZER, DRAFT_SIZE)
-    maps = built.maps.join(built.frequency, "token_id")
-    return maps.select(
-        F.col("draft_id").cast("bigint").alias("draft_id"),
-        F.col("token_id").cast("bigint").alias("token_id"),
-        F.col("offset").cast("bigint").alias("offset"),
-        "freq",
-    )
+    return _maps(built.maps, "freq")
 
 
 TRUTH_SQL = "WITH " + sql.top(DRAFT_SIZE) + sql.TRUTH
@@ -777,8 +767,9 @@ TRUTH_SQL = "WITH " + sql.top(DRAFT_SIZE) + sql.TRUTH
     FROM truth""",
 )
 def mask_by_draft_vocab(spark, sf_dir):
-    truth = inputs.truth(inputs.llama_features(spark, sf_dir))
-    masked = vocabulary.mask_by_draft_vocab(truth, _vocab(spark, sf_dir), DRAFT_SIZE)
+    features = inputs.stored_features(spark, sf_dir)
+    vocab = _vocab(spark, sf_dir, features)
+    masked = vocabulary.mask_by_draft_vocab(inputs.truth(features), vocab, DRAFT_SIZE)
     return masked.select(
         "seq", F.col("pos").cast("bigint").alias("pos"), "target_id", "mask", "position_mask"
     )
@@ -790,8 +781,8 @@ def mask_by_draft_vocab(spark, sf_dir):
     SELECT seq, pos, draft_id, token_id FROM truth JOIN vocab ON token_id = target_id""",
 )
 def decode_draft_ids(spark, sf_dir):
-    vocab = _vocab(spark, sf_dir)
-    truth = inputs.truth(inputs.llama_features(spark, sf_dir))
+    features = inputs.stored_features(spark, sf_dir)
+    vocab, truth = _vocab(spark, sf_dir, features), inputs.truth(features)
     encoded = vocabulary.encode_token_ids(
         truth.withColumnRenamed("target_id", "token_id"), vocab, DRAFT_SIZE
     ).drop("token_id")
@@ -807,12 +798,12 @@ def decode_draft_ids(spark, sf_dir):
     f"""WITH {sql.STEPS},
     per_worker AS (SELECT split, epoch, position, metric, worker, avg(value) AS value FROM steps
                    GROUP BY ALL)
-    SELECT split, epoch, position, metric, round(avg(value), 6) AS value FROM per_worker
+    SELECT split, epoch, position, metric, round(avg(value) + 1e-9::DOUBLE, 6) AS value FROM per_worker
     GROUP BY ALL""",
 )
 def epoch_metrics(spark, sf_dir):
     means = metrics.epoch_metrics(inputs.steps(spark, sf_dir))
-    return means.withColumn("value", F.round("value", 6))
+    return means.withColumn("value", _rounded("value"))
 
 
 @query("parse_train_log", f"WITH {sql.STEPS} SELECT split, epoch, metric, value FROM steps")
@@ -821,13 +812,13 @@ def parse_train_log(spark, sf_dir):
 
 
 LOG_MEANS_SQL = f"""WITH {sql.STEPS},
-means AS (SELECT split, epoch, metric, round(avg(value), 6) AS value FROM steps GROUP BY ALL)"""
+means AS (SELECT split, epoch, metric, round(avg(value) + 1e-9::DOUBLE, 6) AS value FROM steps GROUP BY ALL)"""
 
 
 @query("log_epoch_means", LOG_MEANS_SQL + " SELECT * FROM means")
 def log_epoch_means(spark, sf_dir):
     rows = metrics.parse_train_log(inputs.log_lines(spark, sf_dir), require_rows=False)
-    return metrics.log_epoch_means(rows).withColumn("value", F.round("value", 6))
+    return metrics.log_epoch_means(rows).withColumn("value", _rounded("value"))
 
 
 @query(
@@ -852,19 +843,19 @@ def training_report(spark, sf_dir):
     path = fresh_path(spark, "log")
     inputs.log_lines(spark, sf_dir).write.text(path)
     report = jobs.training_report(spark, path)
-    return report.withColumns({m: F.round(m, 6) for m in metrics.METRICS})
+    return report.withColumns({m: _rounded(m) for m in metrics.METRICS})
 
 
 @query(
     "weighted_position_loss",
-    """SELECT event_id // 7 AS step, round(sum(0.8::DOUBLE ** (event_id % 7) * value), 6) AS ploss
+    """SELECT event_id // 7 AS step, round(sum(0.8::DOUBLE ** (event_id % 7) * value) + 1e-9::DOUBLE, 6) AS ploss
     FROM events GROUP BY 1""",
 )
 def weighted_position_loss(spark, sf_dir):
     losses = inputs.steps(spark, sf_dir).select(
         F.floor(F.col("event_id") / 7).alias("step"), "position", F.col("value").alias("loss")
     )
-    return metrics.weighted_position_loss(losses, "step").withColumn("ploss", F.round("ploss", 6))
+    return metrics.weighted_position_loss(losses, "step").withColumn("ploss", _rounded("ploss"))
 
 
 @query(
@@ -881,32 +872,31 @@ def weighted_position_loss(spark, sf_dir):
                                THEN t.mask ELSE 0 END AS hit
       FROM guesses g JOIN truth t ON t.seq = g.seq AND t.pos = g.pos + g.k)
     SELECT k, sum(hit)::BIGINT AS hits, sum(mask)::BIGINT AS positions,
-           round(sum(hit) / (sum(mask) + 1e-6::DOUBLE), 6) AS accuracy
+           round(sum(hit) / (sum(mask) + 1e-6::DOUBLE) + 1e-9::DOUBLE, 6) AS accuracy
     FROM met GROUP BY k""",
 )
 def acceptance_accuracy(spark, sf_dir):
-    truth = inputs.truth(inputs.llama_features(spark, sf_dir))
-    result = metrics.acceptance_accuracy(
-        truth, inputs.preds(truth), _vocab(spark, sf_dir), DRAFT_SIZE
-    )
+    features = inputs.stored_features(spark, sf_dir)
+    truth, vocab = inputs.truth(features), _vocab(spark, sf_dir, features)
+    result = metrics.acceptance_accuracy(truth, inputs.preds(truth), vocab, DRAFT_SIZE)
     return result.select(
         F.col("k").cast("bigint").alias("k"), "hits", "positions",
-        F.round("accuracy", 6).alias("accuracy"),
+        _rounded("accuracy").alias("accuracy"),
     )
 
 
 @query(
     "trimmed_mean_latency",
-    f"WITH {sql.trimmed('engine')} SELECT engine, round(latency, 6) AS latency FROM trimmed",
+    f"WITH {sql.trimmed('engine')} SELECT engine, round(latency + 1e-9::DOUBLE, 6) AS latency FROM trimmed",
 )
 def trimmed_mean_latency(spark, sf_dir):
     means = metrics.trimmed_mean_latency(inputs.latency(spark, sf_dir), "engine")
-    return means.withColumn("latency", F.round("latency", 6))
+    return means.withColumn("latency", _rounded("latency"))
 
 
 @query(
     "throughput",
-    r"""SELECT conv_id, words, round((words + 256) / seconds, 6) AS tokens_per_second FROM (
+    r"""SELECT conv_id, words, round((words + 256) / seconds + 1e-9::DOUBLE, 6) AS tokens_per_second FROM (
       SELECT conv_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
              value AS seconds
       FROM conversations JOIN events ON event_id = conv_id WHERE turn = 0)""",
@@ -919,14 +909,14 @@ def throughput(spark, sf_dir):
     rates = metrics.throughput(first.join(seconds, "conv_id"), prompt="text")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint")
     return rates.select(
-        "conv_id", words.alias("words"), F.round("tokens_per_second", 6).alias("tokens_per_second")
+        "conv_id", words.alias("words"), _rounded("tokens_per_second").alias("tokens_per_second")
     )
 
 
 @query(
     "speedup_report",
     f"""WITH {sql.trimmed('engine', 'run')}
-    SELECT c.engine, c.run, round(b.latency / c.latency, 6) AS speedup
+    SELECT c.engine, c.run, round(b.latency / c.latency + 1e-9::DOUBLE, 6) AS speedup
     FROM trimmed c JOIN trimmed b ON b.run = c.run AND b.engine = 'view'
     WHERE c.engine <> 'view'""",
 )
@@ -934,7 +924,7 @@ def speedup_report(spark, sf_dir):
     means = metrics.trimmed_mean_latency(inputs.latency(spark, sf_dir), "engine", "run")
     base = means.filter("engine = 'view'").drop("engine")
     report = metrics.speedup_report(base, means.filter("engine <> 'view'"), "run")
-    return report.select("engine", "run", F.round("speedup", 6).alias("speedup"))
+    return report.select("engine", "run", _rounded("speedup").alias("speedup"))
 
 
 # --- order, sampling, sharding ----------------------------------------------------------
@@ -1150,7 +1140,7 @@ def stream_clean(spark, sf_dir):
     arriving = fresh_path(spark, "arriving")
     cleaned = fresh_path(spark, "cleaned")
     progress = fresh_path(spark, "progress")
-    blanked = tt.collect_turns(_blanked(spark, sf_dir), "ord").drop("part")
+    blanked = tt.collect_turns(inputs.blanked(spark, sf_dir)).drop("part")
     for half in (0, 1):  # files that arrive between two runs
         part = blanked.filter(F.substring_index("id", "_", -1).cast("bigint") % 2 == half)
         sinks.write_jsonl(part, arriving, mode="append")

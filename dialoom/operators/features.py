@@ -84,9 +84,11 @@ def loss_mask(
     begin = tokenizer.begin_tokens
     return (
         df.withColumn("_rounds", usable)
-        .withColumn("_round_n", tokenizer.counts(F.transform("_rounds", lambda r: r["round"])))
-        .withColumn(
-            "_instr_n", tokenizer.counts(F.transform("_rounds", lambda r: r["instruction"]))
+        .withColumns(
+            {
+                "_round_n": tokenizer.counts(F.transform("_rounds", lambda r: r["round"])),
+                "_instr_n": tokenizer.counts(F.transform("_rounds", lambda r: r["instruction"])),
+            }
         )
         .withColumn(
             "_starts",
@@ -141,24 +143,49 @@ def leading_turns(max_len: int) -> int:
     return max_len + MIN_MESSAGE_TOKENS
 
 
-def trainable_records(
-    numbered: DataFrame, max_len: int | None = MAX_LEN, on_error: str = "fail"
-) -> DataFrame:
-    """Cleaned, numbered turns to nested records for ``featurize``.
+def long_trainable_records(turns: DataFrame, max_len: int) -> DataFrame:
+    """Training records of conversations of any length, for ``featurize`` with ``max_len``.
 
-    Order of speakers is checked on all turns. Then only turns that can reach the first
-    ``max_len`` tokens are nested, which bounds every group whatever a conversation's length.
+    Cleaning and the order of speakers are decided on outlines of all turns. Then only the
+    turns that can reach the first ``max_len`` tokens are nested, which bounds every group.
     """
-    checked = turn_table.check_alternation(
-        turn_table.drop_leading_non_human(numbered), on_error
-    )
-    if max_len is None:
-        return turn_table.collect_turns(checked, "ord").drop("part")
+    outline = turn_table.outline(turn_table.keep_dialogue_roles(turns))
+    outline = turn_table.drop_leading_non_human(turn_table.clean_conversations(outline))
+    checked = turn_table.check_alternation(outline)
     bound = leading_turns(max_len)
-    reach = checked.filter(F.col("ord") < bound)
+    reach = turn_table.pick(turns, checked.filter(F.col("ord") < bound))
     return turn_table.collect_turns(reach, "ord", max_turns=bound).drop("part")
 
 
+def trainable_records(turns: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """Turn table to cleaned records ``id, conversations``, ready for ``featurize``.
+
+    Ordinary conversations are nested once and cleaned in place. Those too long for that
+    take the outline way.
+    """
+    short, long = turn_table.split_long(turns)
+    nested = turn_table.collect_turns(short).drop("part")
+    cleaned = records.clean_conversations(records.keep_dialogue_roles(nested))
+    if long is None:
+        return cleaned
+    return cleaned.unionByName(long_trainable_records(long, max_len))
+
+
+def cleaned_records(turns: DataFrame) -> DataFrame:
+    """Turn table to cleaned records ``id, part, conversations``, empty ones included.
+
+    Long conversations are cleaned as turns before they are cut into parts.
+    """
+    short, long = turn_table.split_long(turns)
+    nested = records.keep_dialogue_roles(turn_table.collect_turns(short))
+    cleaned = records.clean_conversations(nested)
+    if long is None:
+        return cleaned
+    outline = turn_table.outline(turn_table.keep_dialogue_roles(long))
+    kept = turn_table.pick(long, turn_table.clean_conversations(outline))
+    return cleaned.unionByName(turn_table.collect_turns(kept, "ord"))
+
+
 def shift_tokens(df: DataFrame, column: str, left: bool) -> DataFrame:
     """``left=False`` drops the first element and appends 0; ``left=True`` the mirror image."""
     shift = masks.shift_right if left else masks.shift_left

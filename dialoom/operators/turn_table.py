@@ -1,8 +1,9 @@
-"""Cleaning of turn tables: one row per turn, columns ``id, pos, from, value``.
+"""Turn tables: one row per turn, columns ``id, pos, from, value``.
 
-A conversation may hold any number of turns here. No step gathers a conversation in one
-task: turns are numbered in chunks, conversation-level facts are map-side aggregates of a
-few numbers, and decisions travel back to the turns by chunk.
+A conversation may hold any number of turns here, so no step gathers one in a single task.
+What to keep is decided on an *outline*: positions, speakers and an emptiness flag, without
+the text. Outlines are numbered in chunks, conversation-level facts are map-side aggregates
+of a few numbers, and the text moves once, when ``pick`` joins it to the outline by turn.
 """
 
 from __future__ import annotations
@@ -11,16 +12,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.turns import canonical_speaker, chat_role
 from dialoom.schema import HUMAN, REPLY
+from dialoom.session import BROADCAST_ROWS
 
 CHUNK = 4096
+MAX_TURNS = 4096
 
 
-def explode_turns(conv: DataFrame) -> DataFrame:
-    """Nested conversations to one row per turn, with its position."""
-    other = [c for c in conv.columns if c != "conversations"]
-    return conv.select(
-        *other, F.posexplode_outer("conversations").alias("pos", "turn")
-    ).select(*other, "pos", F.col("turn.from").alias("from"), F.col("turn.value").alias("value"))
+def explode_turns(conv: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
+    """Nested conversations to one row per turn, with its position.
+
+    Rows with a ``part`` continue a conversation at ``part * max_turns``.
+    """
+    other = [c for c in conv.columns if c not in ("conversations", "part")]
+    pos = F.col("_pos").cast("bigint")
+    if "part" in conv.columns:
+        pos = pos + F.col("part") * max_turns
+    return conv.select("*", F.posexplode_outer("conversations").alias("_pos", "_turn")).select(
+        *other,
+        pos.alias("pos"),
+        F.col("_turn.from").alias("from"),
+        F.col("_turn.value").alias("value"),
+    )
 
 
 def _chunk(pos: Column) -> Column:
@@ -31,8 +43,7 @@ def number_turns(turns: DataFrame, alias: str = "ord") -> DataFrame:
     """Add the 0-based rank of each turn in its conversation.
 
     Ranks are counted inside chunks of positions; later chunks of long conversations get
-    the number of turns before them. Chunks after the first are rare, so the offsets are a
-    small table and the turns move once, by ``(id, chunk)``.
+    the number of turns before them. Rows move once, by ``(id, chunk)``.
     """
     chunked = turns.withColumn("_chunk", _chunk(F.col("pos")))
     sizes = chunked.groupBy("id", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
@@ -45,13 +56,22 @@ def number_turns(turns: DataFrame, alias: str = "ord") -> DataFrame:
         .drop("_size")
     )
     in_chunk = Window.partitionBy("id", "_chunk").orderBy("pos")
-    return (
-        chunked.join(offsets, ["id", "_chunk"], "left")
-        .withColumn(
-            alias,
-            F.coalesce("_offset", F.lit(0)) + F.row_number().over(in_chunk) - 1,
-        )
-        .drop("_offset", "_chunk")
+    kept = [c for c in turns.columns if c != alias]
+    rank = F.coalesce("_offset", F.lit(0)) + F.row_number().over(in_chunk) - 1
+    return chunked.join(offsets, ["id", "_chunk"], "left").select(*kept, rank.alias(alias))
+
+
+def outline(turns: DataFrame) -> DataFrame:
+    """``id, pos, from, empty, ord`` of every turn, without the text."""
+    empty = (F.coalesce("value", F.lit("")) == "").alias("empty")
+    return number_turns(turns.select("id", "pos", "from", empty))
+
+
+def pick(turns: DataFrame, kept: DataFrame) -> DataFrame:
+    """The turns of an outline with their text; spread by (id, pos), so evenly."""
+    other = [c for c in turns.columns if c not in ("id", "pos", "from", "ord")]
+    return turns.select("id", "pos", *other).join(
+        kept.select("id", "pos", "ord", "from"), ["id", "pos"]
     )
 
 
@@ -63,13 +83,13 @@ def keep_dialogue_roles(turns: DataFrame) -> DataFrame:
 
 
 def conversation_tails(numbered: DataFrame) -> DataFrame:
-    """Last three turns of every conversation as ``id, tail``.
+    """Last three turns of every conversation in an outline, as ``id, tail``.
 
     Consecutive ranks differ modulo 3, so three plain maxima find them. The speaker and the
     emptiness of the value ride in the low bits of the rank.
     """
     code = F.when(F.col("from") == HUMAN, 1).when(F.col("from") == REPLY, 2).otherwise(0)
-    empty = F.when(F.coalesce("value", F.lit("")) == "", 1).otherwise(0)
+    empty = F.col("empty").cast("int")
     packed = F.col("ord") * 8 + code * 2 + empty
 
     def last_with(r: int, what: Column) -> Column:
@@ -227,16 +247,22 @@ def inject_system(numbered: DataFrame, text: str) -> DataFrame:
     )
 
 
-def collect_turns(turns: DataFrame, order: str = "pos", max_turns: int = 65_536) -> DataFrame:
+def collect_turns(
+    turns: DataFrame, order: str = "pos", max_turns: int | None = MAX_TURNS
+) -> DataFrame:
     """One row per conversation with its turns in order: ``id, part, conversations``.
 
-    A group never holds more than ``max_turns`` positions: a longer conversation goes on
-    in further rows with ``part`` 1, 2, ... and stays whole across them.
+    A group never holds more than ``max_turns`` positions: a longer conversation goes on in
+    further rows with ``part`` 1, 2, ... and stays whole across them. ``max_turns=None``
+    makes one row of each, for work that needs all earlier turns in one place.
     """
-    part = F.floor(F.col(order) / max_turns).alias("part")
+    if max_turns is None:
+        part = F.lit(0).cast("bigint")
+    else:
+        part = F.floor(F.col(order) / max_turns)
     turn = F.struct(F.col(order).alias("_o"), F.col("from"), F.col("value"))
     return (
-        turns.groupBy("id", part)
+        turns.groupBy("id", part.alias("part"))
         .agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
         .select(
             "id",
@@ -247,3 +273,19 @@ def collect_turns(turns: DataFrame, order: str = "pos", max_turns: int = 65_536)
             ).alias("conversations"),
         )
     )
+
+
+def split_long(
+    turns: DataFrame, max_turns: int = MAX_TURNS
+) -> tuple[DataFrame, DataFrame | None]:
+    """Turns of ordinary conversations, and of those reaching position ``max_turns``.
+
+    The second is None when there are no such conversations, which a look at the positions
+    alone tells (Parquet statistics skip most of it). Their ids are broadcast only if few.
+    """
+    long_ids = turns.filter(F.col("pos") >= max_turns).select("id").distinct()
+    found = long_ids.limit(BROADCAST_ROWS + 1).count()
+    if found == 0:
+        return turns, None
+    side = F.broadcast(long_ids) if found <= BROADCAST_ROWS else long_ids
+    return turns.join(side, "id", "left_anti"), turns.join(side, "id", "left_semi")

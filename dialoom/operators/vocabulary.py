@@ -95,11 +95,14 @@ def coverage_ratio(freq: DataFrame, n: int) -> DataFrame:
 
 
 def draft_to_target(top: DataFrame) -> DataFrame:
-    """Kept tokens by id: ``draft_id`` from 0, ``token_id`` and their difference ``offset``."""
+    """Kept tokens by id: ``draft_id`` from 0, ``token_id``, their difference ``offset``.
+
+    Other columns of ``top`` stay.
+    """
     by_token = Window.orderBy("token_id")  # the kept tokens only
-    return top.select(
-        (F.row_number().over(by_token) - 1).alias("draft_id"), F.col("token_id")
-    ).withColumn("offset", F.col("token_id") - F.col("draft_id"))
+    return top.withColumn("draft_id", F.row_number().over(by_token) - 1).withColumn(
+        "offset", F.col("token_id") - F.col("draft_id")
+    )
 
 
 def target_in_draft(

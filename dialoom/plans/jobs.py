@@ -15,6 +15,7 @@ from dialoom.operators.features import featurize
 from dialoom.operators.ranking import rank_by_order
 from dialoom.operators.regenerate import RetryPolicy, regenerate_replies
 from dialoom.schema import MAX_LEN, SAMPLE_RATE, SEED, TRAIN_RATIO
+from dialoom.session import freeze
 from dialoom.sources import sinks
 from dialoom.sources.conversations import (
     coalesce_turn_fields,
@@ -149,12 +150,16 @@ def build_draft_vocab(
     """Featurize, count supervised tokens and keep the ``draft_size`` most frequent.
 
     ``ties="first_seen"`` needs ``seq``, an integer column with the order of the records.
+    The frequency table, at most one row per token id, is stored in the session's shared
+    folder, so that the corpus is read once for maps, coverage and membership.
     """
     if ties == "first_seen" and seq is None:
         raise ValueError("ties='first_seen' needs seq")
     keep = (seq,) if seq is not None else ()
     features = featurize(conv, template, tokenizer, max_len, policy, on_error, keep=keep)
-    frequency = vocabulary.token_frequency(features, seq if ties == "first_seen" else None)
+    frequency = freeze(
+        vocabulary.token_frequency(features, seq if ties == "first_seen" else None)
+    )
     top = vocabulary.top_n_tokens(frequency, draft_size, ties)
     return DraftVocabulary(
         frequency=frequency,
