@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from dialoom.functions.turns import let
 from dialoom.schema import HUMAN, SYSTEM_PROMPT
 
 # Fixed value: the characters a chat template strips around a message.
@@ -96,30 +97,36 @@ def reply_prompt(earlier_turns: Column) -> Column:
 
 def rounds(text: Column, template: ChatTemplate) -> Column:
     """Rendered chat cut at user headers, the opening piece joined to the first round."""
-    pieces = F.split(text, quoted(template.user_sep), -1)
-    first = F.concat(F.get(pieces, 0), F.lit(template.user_sep), F.get(pieces, 1))
-    return F.when(
-        F.size(pieces) >= 2,
-        F.concat(F.array(first), F.slice(pieces, F.lit(3), F.size(pieces))),
-    ).otherwise(pieces)
+
+    def join_first(pieces: Column) -> Column:
+        first = F.concat(F.get(pieces, 0), F.lit(template.user_sep), F.get(pieces, 1))
+        rest = F.slice(pieces, F.lit(3), F.size(pieces))
+        return F.when(F.size(pieces) >= 2, F.concat(F.array(first), rest)).otherwise(pieces)
+
+    return let(F.split(text, quoted(template.user_sep), -1), join_first)
 
 
 def usable_rounds(all_rounds: Column, template: ChatTemplate) -> Column:
     """Leading rounds that hold exactly one reply, as ``struct<round, instruction, reply>``."""
     sep = quoted(template.reply_sep)
-    fits = F.transform(all_rounds, lambda r: (r != "") & (F.size(F.split(r, sep, -1)) == 2))
-    bad = F.array_position(fits, F.lit(False))
-    count = F.when(bad > 0, bad - 1).otherwise(F.size(all_rounds)).cast("int")
 
     def cut(r: Column) -> Column:
-        parts = F.split(r, sep, -1)
+        return F.struct(r.alias("round"), F.split(r, sep, -1).alias("parts"))
+
+    def named(r: Column) -> Column:
         return F.struct(
-            r.alias("round"),
-            F.concat(F.get(parts, 0), F.lit(template.reply_sep)).alias("instruction"),
-            F.get(parts, 1).alias("reply"),
+            r["round"].alias("round"),
+            F.concat(F.get(r["parts"], 0), F.lit(template.reply_sep)).alias("instruction"),
+            F.get(r["parts"], 1).alias("reply"),
         )
 
-    return F.transform(F.slice(all_rounds, F.lit(1), count), cut)
+    def leading(cuts: Column) -> Column:
+        fits = F.transform(cuts, lambda r: (r["round"] != "") & (F.size(r["parts"]) == 2))
+        first_bad = F.array_position(fits, F.lit(False))
+        count = F.coalesce(F.nullif(first_bad, F.lit(0)) - 1, F.size(cuts)).cast("int")
+        return F.transform(F.slice(cuts, F.lit(1), count), named)
+
+    return let(F.transform(all_rounds, cut), leading)
 
 
 def word_count(text: Column) -> Column:

@@ -5,6 +5,8 @@ All of them are narrow: a record is cleaned where it was read, without a shuffle
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from dialoom.schema import HUMAN, HUMAN_SPELLINGS, REPLY, REPLY_SPELLINGS
@@ -12,6 +14,15 @@ from dialoom.schema import HUMAN, HUMAN_SPELLINGS, REPLY, REPLY_SPELLINGS
 NO_TURNS = "CAST(array() AS array<struct<`from`:string,value:string>>)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it.
+
+    Filters on a derived column are moved below the projection that made it and repeat its
+    expression; bound this way the repetition stays linear along a chain of steps.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def turns_or_none(conv: Column) -> Column:
     """Null conversations count as conversations without turns."""
     return F.coalesce(conv, F.expr(NO_TURNS))
@@ -26,24 +37,30 @@ def _without_last(conv: Column, n: int) -> Column:
 
 
 def drop_trailing_human(conv: Column) -> Column:
-    conv = turns_or_none(conv)
-    return F.when(_speaker_from_end(conv, 1) == HUMAN, _without_last(conv, 1)).otherwise(conv)
+    return let(
+        turns_or_none(conv),
+        lambda c: F.when(_speaker_from_end(c, 1) == HUMAN, _without_last(c, 1)).otherwise(c),
+    )
 
 
 def drop_trailing_empty_reply(conv: Column) -> Column:
-    conv = turns_or_none(conv)
-    reply = F.try_element_at(conv, F.lit(-1))
-    empty = F.coalesce(reply["value"], F.lit("")) == ""
-    hit = (reply["from"] == REPLY) & empty & (_speaker_from_end(conv, 2) == HUMAN)
-    return F.when(hit, _without_last(conv, 2)).otherwise(conv)
+    def cut(c: Column) -> Column:
+        reply = F.try_element_at(c, F.lit(-1))
+        empty = F.coalesce(reply["value"], F.lit("")) == ""
+        hit = (reply["from"] == REPLY) & empty & (_speaker_from_end(c, 2) == HUMAN)
+        return F.when(hit, _without_last(c, 2)).otherwise(c)
+
+    return let(turns_or_none(conv), cut)
 
 
 def drop_leading_non_human(conv: Column) -> Column:
-    conv = turns_or_none(conv)
-    lead = F.try_element_at(conv, F.lit(1))["from"]
-    return F.when(
-        (F.size(conv) > 0) & ~lead.eqNullSafe(HUMAN), F.slice(conv, F.lit(2), F.size(conv))
-    ).otherwise(conv)
+    def cut(c: Column) -> Column:
+        lead = F.try_element_at(c, F.lit(1))["from"]
+        return F.when(
+            (F.size(c) > 0) & ~lead.eqNullSafe(HUMAN), F.slice(c, F.lit(2), F.size(c))
+        ).otherwise(c)
+
+    return let(turns_or_none(conv), cut)
 
 
 def canonical_speaker(role: Column) -> Column:

@@ -22,10 +22,7 @@ MIN_MESSAGE_TOKENS = 4
 
 def chat_texts(conv: DataFrame, template: ChatTemplate, on_error: str = "fail") -> DataFrame:
     """Records ready to train on, as ``messages`` and the rendered ``text``."""
-    ready = records.check_alternation(
-        records.drop_leading_non_human(records.skip_empty(conv)), on_error
-    )
-    ready = records.skip_empty(ready)
+    ready = records.trainable_turns(conv, on_error)
     return records.to_messages(ready, template.reply_role, template.system).withColumn(
         "text", render_chat(F.col("messages"), template)
     )

@@ -63,6 +63,23 @@ def to_messages(df: DataFrame, reply_role: str, system: str | None = None) -> Da
     return df.withColumn("messages", messages).drop("conversations")
 
 
+def trainable_turns(df: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Records that can be trained on, from a human turn on and in strict alternation.
+
+    Same as skip_empty, drop_leading_non_human and check_alternation, with a single filter.
+    Records without any turn left are skipped.
+    """
+    led = df.withColumn("conversations", t.drop_leading_non_human(F.col("conversations")))
+    kept = skip_empty(led)
+    if on_error == "fail":
+        broken = F.raise_error(F.concat(F.lit("turns out of order in "), F.col("id")))
+        ordered = F.when(t.alternates(F.col("conversations")), F.col("conversations"))
+        return kept.withColumn(
+            "conversations", F.coalesce(ordered, broken.cast(df.schema["conversations"].dataType))
+        )
+    return check_alternation(kept, on_error)
+
+
 def build_prompts(df: DataFrame) -> DataFrame:
     """One row per stored reply with the prompt that leads up to it: ``id, pos, prompt``."""
     exploded = df.select(
