@@ -48,22 +48,13 @@ def dialogue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue where the last reply of every tenth conversation has no text.
-
-    The last reply is the last turn once a trailing human turn is left out; that turn itself
-    stays in the table.
-    """
+    """Dialogue where the last reply of every tenth conversation has no text."""
     turns = dialogue(spark, sf_dir)
-    answered = tt.drop_trailing_human(tt.outline(turns))
-    last = (
-        tt.conversation_tails(answered)
-        .filter(F.get("tail", F.lit(0))["code"] == 2)
-        .select("id", F.get("tail", F.lit(0))["pos"].alias("pos"), F.lit(True).alias("_last"))
-    )
-    blank = F.col("_last").isNotNull() & (F.col("conv_id") % 10 == 0)
+    tenth = turns.filter((F.col("from") == "gpt") & (F.col("conv_id") % 10 == 0))
+    last = tenth.groupBy("id").agg(F.max("pos").alias("pos")).withColumn("_last", F.lit(True))
     return (
         turns.join(last, ["id", "pos"], "left")
-        .withColumn("value", F.when(blank, "").otherwise(F.col("value")))
+        .withColumn("value", F.when(F.col("_last"), "").otherwise(F.col("value")))
         .drop("_last")
     )
 

@@ -1,43 +1,88 @@
 """Exact global ranks without a global sort and without a single-task window.
 
 Rows are cut into buckets that are ordered among themselves, bucket sizes are turned into
-starting ranks in a small table, and ``row_number`` runs inside each bucket.
+starting ranks in a small table, and ``row_number`` runs inside each bucket. A bucket with
+too many rows is cut further.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.hashing import hex_prefix_number, seeded_hash
 from dialoom.session import broadcast_if_bounded, freeze
 
-HASH_DIGITS = 3
+HASH_DIGITS = 4
 SPREAD = 64
-HOT_BUCKET_ROWS = 4_000_000
+HOT_BUCKET_ROWS = 8_000_000
 ORDER_BLOCK = 100_000
 
 
+def _no_cut() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 def _rank_in_buckets(
-    df: DataFrame, bucket: list[str], inside: list[Column], rows_bound: int | None
+    df: DataFrame,
+    cuts: dict[str, Column],
+    inside: list[Column],
+    hot_rows: int,
+    buckets_bound: int | None,
 ) -> DataFrame:
-    """Add ``rank`` (from 0) and ``n_rows``, ordered by ``bucket`` and then ``inside``."""
-    sizes = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per bucket: the only place where an unpartitioned window is used.
-    ordered = Window.orderBy(*bucket)
-    starts = sizes.select(
-        *bucket,
-        (F.sum("_size").over(ordered) - F.col("_size")).alias("_start"),
+    """Add ``rank`` (from 0) and ``n_rows``, ordered by ``_bucket`` and then ``inside``.
+
+    Buckets above ``hot_rows`` rows are cut by the columns of ``cuts`` and ordered by these
+    before ``inside``. Sizes are counted on the bucket column alone; rows of hot buckets are
+    counted once more, which adaptive execution leaves out when there are none.
+    """
+    key = ["_bucket", *cuts]
+    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    hot = sizes.filter(F.col("_size") > hot_rows).select("_bucket", F.lit(True).alias("_hot"))
+    hot = broadcast_if_bounded(hot, buckets_bound)
+    cold_sizes = sizes.filter(F.col("_size") <= hot_rows).select(
+        "_bucket", *[_no_cut().alias(c) for c in cuts], "_size"
+    )
+    hot_sizes = (
+        df.withColumns(cuts)
+        .join(hot.drop("_hot"), "_bucket", "left_semi")
+        .groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("_size"))
+    )
+    # One row per bucket or cut: the only place with an unpartitioned window.
+    so_far = F.sum("_size").over(Window.orderBy(*key))
+    starts = cold_sizes.unionByName(hot_sizes).select(
+        *key,
+        (so_far - F.col("_size")).alias("_start"),
         F.sum("_size").over(Window.partitionBy()).alias("n_rows"),
     )
-    within = Window.partitionBy(*bucket).orderBy(*inside)
+    within = Window.partitionBy(*key).orderBy(*inside)
+    own = [c for c in df.columns if c != "_bucket"]
+    placed = df.join(hot, "_bucket", "left").select(
+        *own,
+        "_bucket",
+        *[F.when(F.col("_hot"), cut).otherwise(_no_cut()).alias(c) for c, cut in cuts.items()],
+    )
+    # The window has spread the rows by the join key already.
     return (
-        df.withColumn("_row", F.row_number().over(within))
-        .join(broadcast_if_bounded(starts, rows_bound), bucket)
-        .withColumn("rank", F.col("_start") + F.col("_row") - 1)
-        .drop("_row", "_start", *bucket)
+        placed.withColumn("_row", F.row_number().over(within))
+        .join(starts, key)
+        .select(*own, (F.col("_start") + F.col("_row") - 1).alias("rank"), "n_rows")
     )
 
 
+def _spread(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SPREAD)) if columns else _no_cut()
+
+
+def _with_copies(df: DataFrame, key: str, tie: list[str] | None, frozen: bool):
+    tie = list(tie) if tie is not None else [c for c in df.columns if c != key]
+    if not frozen:
+        return df, tie
+    return freeze(df.withColumn("_copy", F.monotonically_increasing_id())), [*tie, "_copy"]
+
+
 def rank_by_hash(
     df: DataFrame,
     key: str,
@@ -51,42 +96,77 @@ def rank_by_hash(
 
     The order is that of ``md5(seed:key)`` and does not depend on partitioning. Rows that
     share a key are ordered by the ``tie`` columns (all others by default). A bucket of more
-    than ``hot_rows`` rows, such as many rows with one key, is cut further by a hash over
-    the tie columns. When rows can be equal in every column, ``frozen=True`` first stores
-    them with a number of their own so that copies can be told apart and spread too.
+    than ``hot_rows`` rows, such as many rows with one key, is first cut by a hash over the
+    tie columns. When rows can be equal in every column, ``frozen=True`` first stores them
+    with a number of their own so that copies can be told apart and spread too.
     """
-    if frozen:
-        df = freeze(df.withColumn("_copy", F.monotonically_increasing_id()))
-    tie = list(tie) if tie is not None else [c for c in df.columns if c not in (key, "_copy")]
-    ties = tie + (["_copy"] if frozen else [])
+    columns = df.columns
+    df, ties = _with_copies(df, key, tie, frozen)
     hashed = df.withColumn("_h", seeded_hash(seed, F.col(key)))
     hashed = hashed.withColumn("_bucket", hex_prefix_number(F.col("_h"), digits))
-    spread = F.pmod(F.xxhash64(*ties), F.lit(SPREAD)) if ties else F.lit(0).cast("bigint")
-    # Hot buckets by their full size; at most 16**digits rows.
-    hot = (
-        hashed.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select("_bucket", F.lit(True).alias("_hot"))
-    )
-    cut = (
-        hashed.join(broadcast_if_bounded(hot, 16**digits), "_bucket", "left")
-        .withColumn("_part", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("bigint")))
-        .drop("_hot")
-    )
     inside = [F.col("_h"), *[F.col(c) for c in ties]]
-    ranked = _rank_in_buckets(cut, ["_bucket", "_part"], inside, 16**digits * SPREAD)
-    return ranked.drop("_h", "_copy")
+    ranked = _rank_in_buckets(hashed, {"_part": _spread(ties)}, inside, hot_rows, 16**digits)
+    return ranked.select(*columns, "rank", "n_rows")
 
 
 def rank_by_order(
-    df: DataFrame, order: str, tie: list[str] | None = None, block: int = ORDER_BLOCK
+    df: DataFrame,
+    order: str,
+    tie: list[str] | None = None,
+    block: int = ORDER_BLOCK,
+    hot_rows: int = HOT_BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``rank`` from 0 and ``n_rows`` following an integer column.
 
-    Blocks of ``block`` consecutive values form the buckets. ``tie`` columns decide between
-    equal values.
+    Blocks of ``block`` consecutive values form the buckets. ``tie`` columns (all others by
+    default) decide between equal values; a block with many of them is cut by value and by a
+    hash over the tie columns.
     """
+    columns = df.columns
+    ties = list(tie) if tie is not None else [c for c in columns if c != order]
     blocked = df.withColumn("_bucket", F.floor(F.col(order) / block))
-    inside = [F.col(order), *[F.col(c) for c in tie or []]]
-    return _rank_in_buckets(blocked, ["_bucket"], inside, None)
+    cuts = {"_value": F.col(order).cast("bigint"), "_part": _spread(ties)}
+    inside = [F.col(order), *[F.col(c) for c in ties]]
+    ranked = _rank_in_buckets(blocked, cuts, inside, hot_rows, None)
+    return ranked.select(*columns, "rank", "n_rows")
+
+
+@dataclass(frozen=True)
+class HashCut:
+    """The first rows of the seeded order: all with ``md5(seed:key)`` below ``digest``, and
+    ``at_digest`` of those equal to it (more than none only if keys repeat)."""
+
+    digest: str
+    at_digest: int
+
+
+def cut_by_hash(
+    df: DataFrame, key: str, seed: int, ratio: float, digits: int = HASH_DIGITS
+) -> HashCut:
+    """Where ``int(n * ratio)`` rows of the seeded order end.
+
+    Two small jobs over the key column: bucket sizes say which bucket the cut is in, then
+    digests are counted in that bucket. One row comes back from each.
+    """
+    hashed = df.select(seeded_hash(seed, F.col(key)).alias("_h"))
+    bucket = hex_prefix_number(F.col("_h"), digits)
+    sizes = hashed.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_size"))
+    placed = sizes.select(
+        "_bucket",
+        F.sum("_size").over(Window.orderBy("_bucket")).alias("_end"),
+        F.floor(F.sum("_size").over(Window.partitionBy()) * F.lit(float(ratio))).alias("_first"),
+        "_size",
+    )
+    found = placed.filter(F.col("_end") > F.col("_first")).orderBy("_bucket").limit(1).collect()
+    if not found:  # no rows, or all of them are in front of the cut
+        return HashCut("g", 0)
+    row = found[0]
+    want = row["_first"] - (row["_end"] - row["_size"])
+    counts = (
+        hashed.filter(bucket == row["_bucket"])
+        .groupBy("_h")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_h", "_size", F.sum("_size").over(Window.orderBy("_h")).alias("_end"))
+    )
+    at = counts.filter(F.col("_end") > want).orderBy("_h").limit(1).collect()[0]
+    return HashCut(at["_h"], want - (at["_end"] - at["_size"]))

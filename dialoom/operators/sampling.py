@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from dialoom.functions.hashing import hex_threshold, seeded_hash
-from dialoom.operators.ranking import rank_by_hash, rank_by_order
+from dialoom.operators.ranking import cut_by_hash, rank_by_hash, rank_by_order
 from dialoom.schema import SAMPLE_RATE, SEED, TRAIN_RATIO
 
 
@@ -39,19 +39,25 @@ def exact_split(
 ) -> DataFrame:
     """Add ``split``: the first ``int(n * ratio)`` rows of the permutation are ``train``.
 
-    ``mode="approx"`` decides row by row from the hash, with no shuffle and sizes that are
-    right on average.
+    Small jobs over the key column find the digest at which the cut lies; labelling the rows
+    then needs no shuffle. Only rows that share the very key at the cut are ranked.
+    ``mode="approx"`` compares digests with the ratio itself: no job at all, and sizes that
+    are right on average.
     """
+    digest = seeded_hash(seed, F.col(key))
     if mode == "approx":
-        low = F.substring(seeded_hash(seed, F.col(key)), 1, 8) < hex_threshold(ratio)
+        low = F.substring(digest, 1, 8) < hex_threshold(ratio)
         return df.withColumn("split", F.when(low, "train").otherwise("test"))
     if mode != "exact":
         raise ValueError(f"unknown mode: {mode}")
-    ranked = rank_by_hash(df, key, seed, **ranking)
-    first = F.col("rank") < F.floor(F.col("n_rows") * F.lit(float(ratio)))
-    return ranked.withColumn("split", F.when(first, "train").otherwise("test")).drop(
-        "rank", "n_rows"
-    )
+    cut = cut_by_hash(df, key, seed, ratio)
+    labelled = df.withColumn("split", F.when(digest < cut.digest, "train").otherwise("test"))
+    if cut.at_digest == 0:
+        return labelled
+    at_cut = rank_by_hash(df.filter(digest == cut.digest), key, seed, **ranking)
+    low = F.col("rank") < cut.at_digest
+    at_cut = at_cut.withColumn("split", F.when(low, "train").otherwise("test"))
+    return labelled.filter(digest != cut.digest).unionByName(at_cut.drop("rank", "n_rows"))
 
 
 def bernoulli_sample(
