@@ -11,9 +11,6 @@ from pyspark.sql import Column, functions as F
 
 from dialoom.schema import HUMAN, HUMAN_SPELLINGS, REPLY, REPLY_SPELLINGS
 
-NO_TURNS = "CAST(array() AS array<struct<`from`:string,value:string>>)"
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once however often the body uses it.
 
@@ -25,7 +22,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def turns_or_none(conv: Column) -> Column:
     """Null conversations count as conversations without turns."""
-    return F.coalesce(conv, F.expr(NO_TURNS))
+    return F.coalesce(conv, F.array())
 
 
 def _speaker_from_end(conv: Column, back: int) -> Column:

@@ -61,9 +61,16 @@ def exact_split(
 
 
 def bernoulli_sample(
-    df: DataFrame, key: str = "id", p: float = SAMPLE_RATE, seed: int = SEED
+    df: DataFrame, key: str | None = "id", p: float = SAMPLE_RATE, seed: int = SEED
 ) -> DataFrame:
-    """Each row independently with probability ``p``; the same rows on any partitioning."""
+    """Each row independently with probability ``p``.
+
+    By a key the choice is the same on any partitioning, and rows with the same key share
+    it. ``key=None`` draws for every row on its own, copies included; then the choice is
+    repeatable for the same files read the same way.
+    """
+    if key is None:
+        return df.sample(withReplacement=False, fraction=p, seed=seed)
     return df.filter(F.substring(seeded_hash(seed, F.col(key)), 1, 8) < hex_threshold(p))
 
 

@@ -12,12 +12,20 @@ from dialoom.functions.text import ChatTemplate
 from dialoom.functions.tokens import Tokenizer
 from dialoom.operators import metrics, records, sampling, vocabulary
 from dialoom.operators.features import featurize
-from dialoom.operators.ranking import rank_by_order
+from dialoom.operators.ranking import rank_by_hash, rank_by_order
 from dialoom.operators.regenerate import RetryPolicy, regenerate_replies
-from dialoom.schema import MAX_LEN, SAMPLE_RATE, SEED, TRAIN_RATIO
+from dialoom.schema import (
+    CONVERSATION,
+    LOOSE_CONVERSATION,
+    MAX_LEN,
+    SAMPLE_RATE,
+    SEED,
+    TRAIN_RATIO,
+)
 from dialoom.session import freeze
 from dialoom.sources import sinks
 from dialoom.sources.conversations import (
+    Schema,
     coalesce_turn_fields,
     load_conversations,
     scan_conversations_jsonl,
@@ -27,13 +35,14 @@ from dialoom.sources.conversations import (
 
 def clean_and_split(
     spark: SparkSession, source: str, target: str, full: bool = False,
-    ratio: float = TRAIN_RATIO, seed: int = SEED,
+    ratio: float = TRAIN_RATIO, seed: int = SEED, schema: Schema = CONVERSATION,
 ) -> DataFrame:
     """Clean a JSONL corpus; write it whole, or as ``split=train`` and ``split=test``.
 
-    Returns the record counts of what was written.
+    ``schema=None`` carries along every other key the records have. Returns the record
+    counts of what was written.
     """
-    cleaned = records.clean_conversations(scan_conversations_jsonl(spark, source))
+    cleaned = records.clean_conversations(scan_conversations_jsonl(spark, source, schema))
     if full:
         sinks.write_jsonl(cleaned, target)
         return sinks.record_counts(cleaned=scan_conversations_jsonl(spark, target))
@@ -46,19 +55,22 @@ def clean_and_split(
 def sample_corpus(
     spark: SparkSession, source: str, target: str, p: float = SAMPLE_RATE, seed: int = SEED
 ) -> None:
-    """A reproducible share of a JSONL corpus, line by line as it is."""
-    lines = scan_conversations_jsonl(spark, source)
-    sinks.write_jsonl(sampling.bernoulli_sample(lines, p=p, seed=seed), target)
+    """A share of a JSONL corpus; each line is kept or left out as it is, on its own."""
+    lines = spark.read.text(source).filter(F.trim("value") != "")
+    sampling.bernoulli_sample(lines, None, p, seed).write.text(target)
 
 
 def indexed_corpus(df: DataFrame, order: str | None = None) -> DataFrame:
     """Records with a 0-based ``idx``, canonical roles and an id.
 
-    ``order`` names an integer column that gives the corpus its order; without one a
-    column ``idx`` must be there already.
+    ``order`` names an integer column that gives the corpus its order. Without one, and
+    without an ``idx`` in the data, records are numbered in the order of their ids' digests,
+    which is the same on every run.
     """
     if order is not None:
         df = rank_by_order(df, order).withColumnRenamed("rank", "idx").drop("n_rows")
+    elif "idx" not in df.columns:
+        df = rank_by_hash(df, "id", SEED).withColumnRenamed("rank", "idx").drop("n_rows")
     conv = records.keep_dialogue_roles(coalesce_turn_fields(df))
     made_up = F.concat(F.lit("regenerated_"), F.col("idx").cast("string"))
     return conv.withColumn("id", F.coalesce("id", made_up)).select("id", "idx", "conversations")
@@ -108,10 +120,11 @@ def merge_corpus(spark: SparkSession, batches: str, target: str, dedupe: str | N
 
 def regenerate_dataset(
     spark: SparkSession, source: str, target: str, generate: Callable[[str], str],
-    order: str, batch_save: int = 10, fmt: str | None = None, **options,
+    order: str | None = None, batch_save: int = 10, fmt: str | None = None,
+    schema: Schema = LOOSE_CONVERSATION, **options,
 ) -> None:
-    """From a dataset on disk to saved batches of regenerated conversations."""
-    conv = indexed_corpus(load_conversations(spark, source, fmt), order)
+    """From a dataset on disk, in any accepted spelling, to saved regenerated batches."""
+    conv = indexed_corpus(load_conversations(spark, source, fmt, schema), order)
     end = options.pop("end_index", None)
     if end is None:
         end = conv.count()

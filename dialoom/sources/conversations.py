@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from dialoom.functions.turns import falls_through
 from dialoom.schema import CONVERSATION
@@ -14,11 +14,23 @@ from dialoom.schema import CONVERSATION
 INDENTED_BOUNDARY = "\n  },\n"
 
 
+Schema = T.StructType | str | None
+
+
+def _json_reader(spark: SparkSession, schema: Schema) -> DataFrameReader:
+    reader = spark.read.option("mode", "FAILFAST")
+    return reader if schema is None else reader.schema(schema)
+
+
 def scan_conversations_jsonl(
-    spark: SparkSession, path: str, schema: T.StructType = CONVERSATION
+    spark: SparkSession, path: str, schema: Schema = CONVERSATION
 ) -> DataFrame:
-    """One JSON object per line; blank lines are skipped, a malformed line fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One JSON object per line; blank lines are skipped, a malformed line fails the job.
+
+    Keys outside ``schema`` are not read. ``schema=None`` keeps every key, at the price of a
+    pass over the data to find them.
+    """
+    return _json_reader(spark, schema).json(path)
 
 
 def scan_records_variant(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +42,7 @@ def scan_records_variant(spark: SparkSession, path: str) -> DataFrame:
 def scan_conversations_json(
     spark: SparkSession,
     path: str,
-    schema: T.StructType = CONVERSATION,
+    schema: Schema = CONVERSATION,
     layout: str = "any",
 ) -> DataFrame:
     """Files that are each one JSON array of records.
@@ -40,9 +52,9 @@ def scan_conversations_json(
     file is read by many tasks.
     """
     if layout == "any":
-        return spark.read.schema(schema).option("mode", "FAILFAST").option(
-            "multiLine", True
-        ).json(path)
+        return _json_reader(spark, schema).option("multiLine", True).json(path)
+    if schema is None:
+        raise ValueError("layout='indented' needs a schema")
     if layout != "indented":
         raise ValueError(f"unknown layout: {layout}")
     pieces = spark.read.option("lineSep", INDENTED_BOUNDARY).text(path)
@@ -72,8 +84,13 @@ def scan_parquet_dir(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def load_conversations(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Pick the reader by ``fmt`` or, without it, by the path."""
+def load_conversations(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: Schema = CONVERSATION
+) -> DataFrame:
+    """Pick the reader by ``fmt`` or, without it, by the path.
+
+    ``schema`` is for JSON; Parquet files bring their own.
+    """
     if fmt is None:
         if "ultra" in path:
             fmt = "parquet"
@@ -81,14 +98,13 @@ def load_conversations(spark: SparkSession, path: str, fmt: str | None = None) -
             fmt = "jsonl"
         elif path.endswith(".json"):
             fmt = "json"
-    readers = {
-        "parquet": scan_parquet_dir,
-        "jsonl": scan_conversations_jsonl,
-        "json": scan_conversations_json,
-    }
-    if fmt not in readers:
-        raise ValueError(f"unsupported conversation format: {fmt or path}")
-    return readers[fmt](spark, path)
+    if fmt == "parquet":
+        return scan_parquet_dir(spark, path)
+    if fmt == "jsonl":
+        return scan_conversations_jsonl(spark, path, schema)
+    if fmt == "json":
+        return scan_conversations_json(spark, path, schema)
+    raise ValueError(f"unsupported conversation format: {fmt or path}")
 
 
 def scan_text_log(spark: SparkSession, path: str) -> DataFrame:

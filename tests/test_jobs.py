@@ -104,3 +104,32 @@ def test_broadcast_needs_a_bound(spark):
     assert "broadcast" in strategy(3)
     assert "broadcast" not in strategy(None)
     assert "broadcast" not in strategy(session.BROADCAST_ROWS + 1)
+
+
+def test_other_keys_survive_cleaning(spark, tmp_path):
+    source, target = tmp_path / "x.jsonl", tmp_path / "out"
+    source.write_text(json.dumps({
+        "id": "a", "lang": "en", "conversations": [{"from": H, "value": "q", "weight": 1}] * 2,
+    }))
+    jobs.clean_and_split(spark, str(source), str(target), full=True, schema=None)
+    line = spark.read.text(str(target)).collect()[0][0]
+    assert json.loads(line) == {
+        "id": "a", "lang": "en", "conversations": [{"from": H, "value": "q", "weight": 1}],
+    }
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from dialoom.__main__ import parser, run
+
+    source = tmp_path / "x.jsonl"
+    _corpus(source)
+    for argv in (
+        ["clean", str(source), str(tmp_path / "clean"), "--ratio", "0.5"],
+        ["sample", str(source), str(tmp_path / "sample"), "-p", "0.9"],
+    ):
+        run(spark, parser().parse_args(argv))
+    assert "train" in capsys.readouterr().out
+    assert src.scan_conversations_jsonl(spark, str(tmp_path / "clean")).count() == 40
+    lines = set(source.read_text().split("\n"))
+    sampled = {r[0] for r in spark.read.text(str(tmp_path / "sample")).collect()}
+    assert sampled < lines and len(sampled) > 20

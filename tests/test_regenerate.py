@@ -110,3 +110,47 @@ def test_map_batched(spark):
 
     rows = gen.map_batched(spark.range(10), keep_even, "double bigint").collect()
     assert sorted(r["double"] for r in rows) == [0, 4, 8, 12, 16]
+
+
+def test_dataset_to_merged_corpus(spark, tmp_path):
+    """From loosely spelled JSONL without any order column."""
+    import json
+
+    source = tmp_path / "x.jsonl"
+    rows = [
+        {"id": f"c_{i}", "messages": [{"role": "user", "content": f"q{i}"},
+                                      {"role": "assistant", "content": "old"}]}
+        for i in range(9)
+    ]
+    source.write_text("\n".join(map(json.dumps, rows)))
+    saved, merged = str(tmp_path / "saved"), str(tmp_path / "merged")
+    jobs.regenerate_dataset(spark, str(source), saved, reply, batch_save=4, policy=QUICK)
+    jobs.merge_corpus(spark, saved, merged)
+    assert as_dict(src.scan_conversations_jsonl(spark, merged)) == {
+        f"c_{i}": [(H, f"q{i}"), (G, reply(f"Human: q{i}\n\nAssistant:"))] for i in range(9)
+    }
+
+
+def test_chat_service(monkeypatch):
+    import io
+    import json
+    import urllib.error
+
+    from dialoom.sources import service
+
+    seen = []
+
+    def answer(request, timeout):
+        seen.append((request.full_url, json.loads(request.data), request.headers, timeout))
+        if len(seen) == 1:
+            raise urllib.error.HTTPError(request.full_url, 503, "busy", None, None)
+        return io.BytesIO(b'{"choices": [{"message": {"content": "hello"}}]}')
+
+    monkeypatch.setattr(service.urllib.request, "urlopen", answer)
+    chat = service.ChatService("http://host/v1/", "m", api_key="k")
+    assert gen.call_with_retry(chat, "p", QUICK) == ("hello", None, 2)
+    url, body, headers, timeout = seen[1]
+    assert url == "http://host/v1/chat/completions" and timeout == 60
+    assert body["messages"] == [{"role": "user", "content": "p"}]
+    assert (body["temperature"], body["max_tokens"]) == (0.7, 2048)
+    assert headers["Authorization"] == "Bearer k"

@@ -44,6 +44,8 @@ def test_approximate_split_and_sample_do_not_depend_on_partitions(spark):
     )
     assert one == two and 300 < len(one) < 500
     assert sampling.bernoulli_sample(df, p=0.0).count() == 0
+    copies = df.withColumn("id", F.lit("same"))
+    assert 300 < sampling.bernoulli_sample(copies, None, p=0.1).count() < 500
     with pytest.raises(ValueError):
         sampling.exact_split(df, mode="other")
     with pytest.raises(ValueError):
