@@ -84,12 +84,10 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(features: DataFrame) -> DataFrame:
     """Next-token targets ``seq, pos, target_id, mask``."""
-    zipped = F.arrays_zip(
-        shift_left(F.col("input_ids")).alias("target_id"), F.col("loss_mask").alias("mask")
+    targets = F.posexplode(shift_left(F.col("input_ids"))).alias("pos", "target_id")
+    return features.select(F.col("conv_id").alias("seq"), "loss_mask", targets).select(
+        "seq", "pos", "target_id", F.get("loss_mask", F.col("pos")).alias("mask")
     )
-    return features.select(
-        F.col("conv_id").alias("seq"), F.posexplode(zipped).alias("pos", "t")
-    ).select("seq", "pos", "t.target_id", "t.mask")
 
 
 def preds(truth_rows: DataFrame) -> DataFrame:

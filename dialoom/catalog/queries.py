@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from dialoom.catalog import inputs, sql
 from dialoom.catalog.inputs import TOKENIZER, table
 from dialoom.functions.hashing import hex_threshold
-from dialoom.functions.text import GEMMA, LLAMA, rounds, usable_rounds
+from dialoom.functions.text import GEMMA, LLAMA
 from dialoom.operators import features as feat
 from dialoom.operators import metrics, records, regenerate, sampling, vocabulary
 from dialoom.operators import turn_table as tt
@@ -81,10 +81,11 @@ RECORD = T.StructType([*CONVERSATION.fields, T.StructField("part", T.LongType())
 
 
 def _json_arrays(spark: SparkSession, sf_dir: str, indented: bool) -> str:
-    """Files that are each one JSON array of up to 2000 records."""
+    """Files that are each one JSON array of up to 2000 records (of up to 4096 turns)."""
     path = fresh_path(spark, "conversations") + ".json"
-    conv = inputs.records(spark, sf_dir).withColumn(
-        "bucket", F.floor(F.substring_index("id", "_", -1).cast("bigint") / 2000)
+    number = F.substring_index("id", "_", -1).cast("bigint")
+    conv = inputs.records(spark, sf_dir).withColumns(
+        {"bucket": F.floor(number / 2000), "piece": F.col("part")}
     )
     one = F.to_json(F.struct("id", "part", "conversations"))
     if indented:
@@ -94,10 +95,10 @@ def _json_arrays(spark: SparkSession, sf_dir: str, indented: bool) -> str:
             F.col("part").cast("string"), F.lit(',\n    "conversations": '), body, F.lit("\n  }"),
         )
     sep, ends = (",\n", ("[\n", "\n]")) if indented else (", ", ("[", "]"))
-    arrays = conv.groupBy("bucket").agg(
+    arrays = conv.groupBy("bucket", "piece").agg(
         F.concat(F.lit(ends[0]), F.array_join(F.collect_list(one), sep), F.lit(ends[1])).alias("value")
     )
-    arrays.write.partitionBy("bucket").text(path)
+    arrays.write.partitionBy("bucket", "piece").text(path)
     return path
 
 
@@ -521,9 +522,8 @@ for _name, _template in (("render_chat", LLAMA), ("render_chat_gemma", GEMMA)):
     FROM judged WHERE usable""",
 )
 def split_rounds(spark, sf_dir):
-    texts = feat.chat_texts(inputs.trainable(spark, sf_dir), LLAMA)
-    cut = usable_rounds(rounds(F.col("text"), LLAMA), LLAMA)
-    return texts.select("id", F.posexplode(cut).alias("i", "r")).select(
+    texts = feat.split_rounds(feat.chat_texts(inputs.trainable(spark, sf_dir), LLAMA), LLAMA)
+    return texts.select("id", F.posexplode("rounds").alias("i", "r")).select(
         "id", F.col("i").cast("bigint").alias("i"), "r.instruction", "r.reply"
     )
 

@@ -12,7 +12,7 @@ from dialoom.functions.text import (
     stripped,
     usable_rounds,
 )
-from dialoom.functions.tokens import Tokenizer
+from dialoom.functions.tokens import RegexTokenizer, Tokenizer
 from dialoom.operators import records, turn_table
 from dialoom.schema import MAX_LEN
 
@@ -35,6 +35,15 @@ def tokenize(
     return df.withColumn("input_ids", tokenizer.capped_ids(F.col(text), max_len))
 
 
+def split_rounds(df: DataFrame, template: ChatTemplate, column: str = "rounds") -> DataFrame:
+    """Add the usable rounds of a rendered ``text``: ``array<struct<round, instruction, reply>>``.
+
+    A round runs from one user header to the next and is usable with exactly one reply; the
+    list ends before the first round that is not.
+    """
+    return df.withColumn(column, usable_rounds(rounds(F.col("text"), template), template))
+
+
 def _content_pieces(template: ChatTemplate, tokenizer: Tokenizer) -> Column:
     """Sizes of header, body and end of every message, as ``struct<size, reply>``."""
     sizes = tokenizer.counts(
@@ -62,25 +71,28 @@ def _content_pieces(template: ChatTemplate, tokenizer: Tokenizer) -> Column:
 
 
 def loss_mask(
-    df: DataFrame, template: ChatTemplate, tokenizer: Tokenizer, policy: str = "reference"
+    df: DataFrame,
+    template: ChatTemplate,
+    tokenizer: Tokenizer,
+    policy: str = "reference",
+    tokens: str = "input_ids",
 ) -> DataFrame:
-    """Add ``loss_mask``, aligned with ``input_ids``: 1 where the next token is supervised.
+    """Add ``loss_mask``, aligned with ``tokens``: 1 where the next token is supervised.
 
     ``reference`` counts tokens round by round with fixed offsets and stops at the first
     round without exactly one reply; with the Gemma template that leaves chats of several
     rounds unsupervised. ``content`` marks the body of every reply for both templates.
     """
-    n = F.size("input_ids")
+    n = F.size(tokens)
     if policy == "content":
         return df.withColumn("_pieces", _content_pieces(template, tokenizer)).withColumn(
             "loss_mask", masks.content_mask(n, F.col("_pieces"))
         ).drop("_pieces")
     if policy != "reference":
         raise ValueError(f"unknown policy: {policy}")
-    usable = usable_rounds(rounds(F.col("text"), template), template)
     begin = tokenizer.begin_tokens
     return (
-        df.withColumn("_rounds", usable)
+        split_rounds(df, template, "_rounds")
         .withColumns(
             {
                 "_round_n": tokenizer.counts(F.transform("_rounds", lambda r: r["round"])),
@@ -130,6 +142,24 @@ def featurize(
     return project_features(attention_mask(masked), keep=keep)
 
 
+def supervised_words(
+    conv: DataFrame,
+    template: ChatTemplate,
+    tokenizer: RegexTokenizer,
+    max_len: int | None = MAX_LEN,
+    policy: str = "reference",
+    on_error: str = "fail",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Records to ``words`` and ``loss_mask``, for counting without hashing every word."""
+    words = tokenizer.words(F.col("text"))
+    if max_len is not None:
+        words = F.slice(words, 1, max_len)
+    worded = chat_texts(conv, template, on_error).withColumn("words", words)
+    masked = loss_mask(worded, template, tokenizer, policy, tokens="words")
+    return masked.select(*keep, "words", "loss_mask")
+
+
 def leading_turns(max_len: int) -> int:
     """Turns from this rank on cannot change ids or mask of a chat cut at ``max_len``.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.hashing import hex_prefix_number, seeded_hash
-from dialoom.session import broadcast_if_bounded, freeze
+from dialoom.session import freeze
 
 HASH_DIGITS = 4
 SPREAD = 64
@@ -25,11 +25,7 @@ def _no_cut() -> Column:
 
 
 def _rank_in_buckets(
-    df: DataFrame,
-    cuts: dict[str, Column],
-    inside: list[Column],
-    hot_rows: int,
-    buckets_bound: int | None,
+    df: DataFrame, cuts: dict[str, Column], inside: list[Column], hot_rows: int
 ) -> DataFrame:
     """Add ``rank`` (from 0) and ``n_rows``, ordered by ``_bucket`` and then ``inside``.
 
@@ -40,7 +36,9 @@ def _rank_in_buckets(
     key = ["_bucket", *cuts]
     sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     hot = sizes.filter(F.col("_size") > hot_rows).select("_bucket", F.lit(True).alias("_hot"))
-    hot = broadcast_if_bounded(hot, buckets_bound)
+    # No more than rows / hot_rows buckets can be hot: at the default a million of them would
+    # take eight trillion rows.
+    hot = F.broadcast(hot)
     cold_sizes = sizes.filter(F.col("_size") <= hot_rows).select(
         "_bucket", *[_no_cut().alias(c) for c in cuts], "_size"
     )
@@ -105,7 +103,7 @@ def rank_by_hash(
     hashed = df.withColumn("_h", seeded_hash(seed, F.col(key)))
     hashed = hashed.withColumn("_bucket", hex_prefix_number(F.col("_h"), digits))
     inside = [F.col("_h"), *[F.col(c) for c in ties]]
-    ranked = _rank_in_buckets(hashed, {"_part": _spread(ties)}, inside, hot_rows, 16**digits)
+    ranked = _rank_in_buckets(hashed, {"_part": _spread(ties)}, inside, hot_rows)
     return ranked.select(*columns, "rank", "n_rows")
 
 
@@ -127,7 +125,7 @@ def rank_by_order(
     blocked = df.withColumn("_bucket", F.floor(F.col(order) / block))
     cuts = {"_value": F.col(order).cast("bigint"), "_part": _spread(ties)}
     inside = [F.col(order), *[F.col(c) for c in ties]]
-    ranked = _rank_in_buckets(blocked, cuts, inside, hot_rows, None)
+    ranked = _rank_in_buckets(blocked, cuts, inside, hot_rows)
     return ranked.select(*columns, "rank", "n_rows")
 
 

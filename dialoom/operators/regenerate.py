@@ -124,13 +124,14 @@ def regenerate_replies(
 ) -> DataFrame:
     """Replace every reply of ``conv(id, idx, conversations)`` by a generated one.
 
-    Roles must already be canonical. Parallelism is ``partitions`` times ``threads``; within
-    a conversation calls are sequential because prompts build on earlier replies. A retried
-    task calls the service again, so save in batches and continue with what is missing.
+    Roles must already be canonical. Parallelism is ``partitions`` (all cores by default)
+    times ``threads``: conversations are dealt out evenly, as the calls cost far more than
+    the shuffle. Within a conversation calls are sequential because prompts build on earlier
+    replies. A retried task calls the service again, so save in batches and continue with
+    what is missing.
     """
-    source = conv.select("id", "idx", "conversations")
-    if partitions is not None:
-        source = source.repartition(partitions)
+    tasks = partitions or conv.sparkSession.sparkContext.defaultParallelism
+    source = conv.select("id", "idx", "conversations").repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from threading import Lock

@@ -14,22 +14,26 @@ from dialoom.session import broadcast_if_bounded
 POSITIONS = 2**20
 
 
-def _supervised(features: DataFrame, value: str, seq: str | None) -> DataFrame:
+def _supervised(features: DataFrame, values: str, seq: str | None) -> DataFrame:
     """One row per position whose mask is 1: ``token`` and, with ``seq``, its ``seen`` order."""
-    zipped = F.arrays_zip(F.col(value).alias("token"), F.col("loss_mask").alias("m"))
-    kept = F.filter(zipped, lambda z: z["m"] == 1) if seq is None else zipped
+    zipped = F.arrays_zip(F.col(values).alias("token"), F.col("loss_mask").alias("m"))
     if seq is None:
+        kept = F.filter(zipped, lambda z: z["m"] == 1)
         return features.select(F.explode(kept).alias("t")).select("t.token")
     return (
-        features.select(F.col(seq).alias("_seq"), F.posexplode(kept).alias("_pos", "t"))
+        features.select(F.col(seq).alias("_seq"), F.posexplode(zipped).alias("_pos", "t"))
         .filter(F.col("t.m") == 1)
-        .select(
-            F.col("t.token").alias("token"),
-            (F.col("_seq") * POSITIONS + F.col("_pos")).alias("seen"),
-        )
+        .select("t.token", (F.col("_seq") * POSITIONS + F.col("_pos")).alias("seen"))
     )
 
 
+def _count(tokens: DataFrame, name: str) -> DataFrame:
+    aggregates = [F.count(F.lit(1)).alias("freq")]
+    if "seen" in tokens.columns:
+        aggregates.append(F.min("seen").alias("first_seen"))
+    return tokens.groupBy(F.col("token").alias(name)).agg(*aggregates)
+
+
 def token_frequency(features: DataFrame, seq: str | None = None) -> DataFrame:
     """Supervised occurrences per token id: ``token_id, freq``.
 
@@ -37,25 +41,28 @@ def token_frequency(features: DataFrame, seq: str | None = None) -> DataFrame:
     row and the position of the first occurrence. Counting is a partial aggregate before the
     shuffle: a token that makes up a third of the corpus arrives as one row per task.
     """
-    tokens = _supervised(features, "input_ids", seq).withColumnRenamed("token", "token_id")
-    aggregates = [F.count(F.lit(1)).alias("freq")]
-    if seq is not None:
-        aggregates.append(F.min("seen").alias("first_seen"))
-    return tokens.groupBy("token_id").agg(*aggregates)
+    return _count(_supervised(features, "input_ids", seq), "token_id")
 
 
-def text_token_frequency(texts: DataFrame, tokenizer: RegexTokenizer, text: str = "text") -> DataFrame:
-    """Token counts of whole texts with every position supervised.
+def word_frequency(
+    worded: DataFrame, tokenizer: RegexTokenizer, seq: str | None = None
+) -> DataFrame:
+    """Like ``token_frequency`` for rows with ``words`` in place of ids.
 
     Words are counted first and only distinct words are hashed to ids.
     """
-    words = texts.select(F.explode(tokenizer.words(F.col(text))).alias("word"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    return (
-        counted.select(tokenizer.word_id(F.col("word")).alias("token_id"), "freq")
-        .groupBy("token_id")
-        .agg(F.sum("freq").alias("freq"))
-    )
+    return _hashed(_count(_supervised(worded, "words", seq), "word"), tokenizer)
+
+
+def text_token_frequency(texts: DataFrame, tokenizer: RegexTokenizer, text: str = "text") -> DataFrame:
+    """Token counts of whole texts with every position supervised."""
+    words = texts.select(F.explode(tokenizer.words(F.col(text))).alias("token"))
+    return _hashed(_count(words, "word"), tokenizer)
+
+
+def _hashed(counts: DataFrame, tokenizer: RegexTokenizer) -> DataFrame:
+    word_id = tokenizer.word_id(F.col("word")).alias("token_id")
+    return merge_token_counts(counts.select(word_id, *[c for c in counts.columns if c != "word"]))
 
 
 def merge_token_counts(*counts: DataFrame) -> DataFrame:

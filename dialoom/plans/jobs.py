@@ -9,9 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialoom.functions.text import ChatTemplate
-from dialoom.functions.tokens import Tokenizer
+from dialoom.functions.tokens import RegexTokenizer, Tokenizer
 from dialoom.operators import metrics, records, sampling, vocabulary
-from dialoom.operators.features import featurize
+from dialoom.operators.features import featurize, supervised_words
 from dialoom.operators.ranking import rank_by_hash, rank_by_order
 from dialoom.operators.regenerate import RetryPolicy, regenerate_replies
 from dialoom.schema import (
@@ -169,10 +169,13 @@ def build_draft_vocab(
     if ties == "first_seen" and seq is None:
         raise ValueError("ties='first_seen' needs seq")
     keep = (seq,) if seq is not None else ()
-    features = featurize(conv, template, tokenizer, max_len, policy, on_error, keep=keep)
-    frequency = freeze(
-        vocabulary.token_frequency(features, seq if ties == "first_seen" else None)
-    )
+    order = seq if ties == "first_seen" else None
+    args = (conv, template, tokenizer, max_len, policy, on_error, keep)
+    if isinstance(tokenizer, RegexTokenizer):
+        counted = vocabulary.word_frequency(supervised_words(*args), tokenizer, order)
+    else:
+        counted = vocabulary.token_frequency(featurize(*args), order)
+    frequency = freeze(counted)
     top = vocabulary.top_n_tokens(frequency, draft_size, ties)
     return DraftVocabulary(
         frequency=frequency,

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from dialoom.functions.text import GEMMA, LLAMA
 from dialoom.functions.tokens import RegexTokenizer
+from dialoom.operators import features
 from dialoom.operators import vocabulary as voc
 from dialoom.plans.jobs import build_draft_vocab
 
@@ -84,3 +86,21 @@ def test_build(conv):
         assert coverage["coverage"] == sum(kept.values()) / sum(freq.values())
     with pytest.raises(ValueError):
         build_draft_vocab(conv(data), LLAMA, tokenizer, 2, ties="first_seen")
+
+
+def test_counting_words_equals_counting_ids(conv):
+    """Also where several words share an id, with and without the order of occurrence."""
+    data = {f"c_{i}": [(H, "q"), (G, f"a b w{i} w{i % 5} a"), (H, "r"), (G, "b")] for i in range(30)}
+    df = conv(data).withColumn("n", F.substring_index("id", "_", -1).cast("bigint"))
+    tokenizer = RegexTokenizer(vocab_size=16)
+    for seq in (None, "n"):
+        by_id = voc.token_frequency(
+            features.featurize(df, LLAMA, tokenizer, keep=("n",)), seq
+        )
+        by_word = voc.word_frequency(
+            features.supervised_words(df, LLAMA, tokenizer, keep=("n",)), tokenizer, seq
+        )
+        assert sorted(by_word.select(by_id.columns).collect()) == sorted(by_id.collect())
+    built = build_draft_vocab(df, LLAMA, tokenizer, 3, ties="first_seen", seq="n")
+    top = voc.top_n_tokens(by_id, 3).collect()
+    assert {r["token_id"] for r in built.maps.collect()} == {r["token_id"] for r in top}
