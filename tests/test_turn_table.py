@@ -129,7 +129,6 @@ def test_long_conversations_give_the_same_features(turns, monkeypatch):
 
 def test_cleaned_records_of_long_conversations(turns, monkeypatch):
     data = {f"c_{n}": _alternating(n, True) for n in (2, 4, 60)}
-    data["c_60"] += []
     real = tt.split_long
     monkeypatch.setattr(tt, "split_long", lambda t: real(t, 5))
     got = _by_id(tt.explode_turns(features.cleaned_records(turns(data))), "pos")
