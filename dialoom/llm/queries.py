@@ -24,6 +24,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.quality import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialoom.llm.packing import pack_documents
@@ -31,8 +45,29 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialoom.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
