@@ -29,9 +29,9 @@ SAMPLE_ROWS = 20_000  # labelled rows for learning: a bound, chosen by a hash of
 LEXICON_ROWS = 20_000  # candidates that reach the driver
 MIN_SHARE = 0.02  # of the toxic sample in which a term must occur
 CHANCE = 2e4  # candidates of which less than one may be a term by chance
-FULL = 4.0  # the greatest weight of a match, which is also the first guess for an exact one
-GUESS = {0: FULL, 1: 3.0, 2: 1.5}  # by errors, before any sample speaks
-MIN_RATIO = 20.0  # how much likelier a term is in toxic documents
+FIRST = 4.0  # weight of an exact match before any sample speaks
+FADING = (1.0, 0.75, 0.4)  # what a match with errors is worth before any sample speaks
+MIN_RATIO = 5.0  # how much likelier a term is in toxic documents
 WINDOW = 8  # words on either side of a match
 CACHE = 600_000
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…"
@@ -45,8 +45,8 @@ Match = tuple[str, int]  # term, errors
 
 
 def errors_allowed(term: str) -> int:
-    """0 up to 3 characters, 1 up to 7, else 2."""
-    return (len(term) > 3) + (len(term) > 7)
+    """0 up to 3 characters, 1 up to 8, else 2; a stem, whose end is open, has one less."""
+    return (len(term) > 3) + (len(term) > 8) - (term[-1] == "*" and len(term) > 4)
 
 
 class Lexicon:
@@ -59,7 +59,7 @@ class Lexicon:
         self.slack = [0]
         for term in terms:
             node, spelled = 0, term.removesuffix("*")
-            limit = errors_allowed(spelled) if spelled == term else min(1, errors_allowed(spelled))
+            limit = errors_allowed(term)
             self.slack[0] = max(self.slack[0], limit)
             for c in spelled:
                 if c not in self.children[node]:
@@ -145,10 +145,10 @@ class Model:
 
     terms: list[str] = field(default_factory=list)
     weights: dict[Match, float] = field(default_factory=dict)
-    curve: tuple[float, float, float] = (-4.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-4.0,)
 
     def weight(self, match: Match) -> float:
-        return self.weights.get(match, GUESS[match[1]])
+        return self.weights.get(match, self.weights.get((match[0], 0), FIRST) * FADING[match[1]])
 
 
 class Scorer:
@@ -168,8 +168,9 @@ class Scorer:
             found = list(map(self.known.__getitem__, tokens))
         return tokens, [(i, m) for i, m in enumerate(found) if m] if any(found) else []
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The strongest window, and the logarithm of the sum of all."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The strongest window, the logarithm of the sum of all, and that of the text's length,
+        in which a match comes up by chance."""
         tokens, found = self.matches(text)
         best = total = 0.0
         left = right = 0
@@ -182,12 +183,12 @@ class Scorer:
             quoted = sum(bool(QUOTES.search(t)) for t in around) >= 2 or any(spelled(t) in REPORTING for t in around)
             value = self.model.weight(match) * (1 + 0.25 * min(4, right - left - 1)) * (0.4 if quoted else 1)
             best, total = max(best, value), total + max(0.0, value)
-        return best, math.log1p(total)
+        return best, math.log1p(total), math.log1p(len(tokens)) if total else 0.0
 
     def score(self, text: str) -> float:
-        a, b, c = self.model.curve
-        best, total = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * best + c * total))))
+        intercept, *slopes = self.model.curve
+        at = intercept + sum(w * x for w, x in zip(slopes, self.features(text)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, at))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -246,39 +247,32 @@ def _prefix_counts(distinct: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def choose_terms(pure: dict[str, int]) -> list[str]:
-    """Terms from the toxic counts of words and beginnings that harmless documents lack.
+def choose_terms(found: list[tuple[str, int, float]]) -> list[str]:
+    """Terms from (word or beginning, toxic documents, likelihood ratio).
 
-    The shortest such beginning covers longer ones. Where few words make up its count these become
-    terms; else the beginning itself, lengthened while that loses next to nothing, is a stem.
+    The one with most evidence comes first and rules out its own beginnings and, if it is a stem,
+    everything that begins with it. Of equals a whole word, then the longer one, is taken.
     """
-    terms = []
-    shortest = [p for p in pure if p[-1] != "$" and not any(p[:k] in pure for k in range(3, len(p)))]
-    words: dict[str, list[str]] = {p: [] for p in shortest}
-    longer: dict[str, list[str]] = {p: [] for p in shortest}
-    for p in pure:
-        for k in range(3, len(p) + 1):
-            if p[:k] in words:
-                (words if p[-1] == "$" else longer)[p[:k]].append(p)
-                break
-    for p in shortest:
-        if words[p] and max(pure[w] for w in words[p]) >= 0.6 * pure[p]:
-            terms += [w[:-1] for w in words[p] if pure[w] >= 0.1 * pure[p]]
-        else:
-            kept = [q for q in longer[p] if pure[q] >= 0.95 * pure[p]]
-            stem = max(kept, key=lambda q: (len(q), q))
-            terms += [f"{stem}*"] if len(stem) >= 4 else []
-    return sorted(terms)
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    taken: dict[str, None] = {}
+    beginnings: set[str] = set()
+    for term, toxic, ratio in sorted(found, key=lambda x: (-round(x[1] * math.log(x[2]), 6), x[0][-1] != "$", -len(x[0]), x[0])):
+        plain = term.removesuffix("$")
+        covered = any(f"{plain[:k]}*" in taken for k in range(3, len(plain) + 1)) or plain in taken
+        if covered or plain in beginnings or (term == plain and len(plain) < 4):
+            continue
+        taken[plain if term != plain else f"{plain}*"] = None
+        beginnings |= {plain[:k] for k in range(3, len(plain) + 1)}
+    return sorted(taken)
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression with a ridge, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (y - p) - 0.01 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
         w = w + np.linalg.solve(hess, grad)
     return tuple(map(float, w))
 
@@ -300,12 +294,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     enough = F.col("toxic") >= max(by_chance, MIN_SHARE * sizes[1])
     top = (
         _prefix_counts(distinct)
-        .filter(enough & (ratio >= MIN_RATIO))
+        .withColumn("ratio", ratio)
+        .filter(enough & (F.col("ratio") >= MIN_RATIO))
         .orderBy(F.desc("toxic"), "term")
         .limit(LEXICON_ROWS)
         .collect()
     )
-    model = Model(terms=choose_terms({r["term"]: r["toxic"] for r in top}))
+    model = Model(terms=choose_terms([(r["term"], r["toxic"], r["ratio"]) for r in top]))
 
     def match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -325,13 +320,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     for r in hits.groupBy("term", "errors", "toxic").agg(F.count("*").alias("n")).collect():
         counts.setdefault((r["term"], r["errors"]), [0, 0])[r["toxic"]] += r["n"]
 
-    def evidence(match: Match, clean: int, toxic: int) -> float:
-        """Log likelihood ratio of a match, shrunk to the guess while matches are few."""
+    # Log likelihood ratios, shrunk to the first guess while matches are few; exact ones first.
+    for match, (clean, toxic) in sorted(counts.items(), key=lambda x: (x[0][1], x[0][0])):
         rate = math.log((toxic + 0.5) / (sizes[1] + 1)) - math.log((clean + 0.5) / (sizes[0] + 1))
         trust = (clean + toxic) / (clean + toxic + 2)
-        return max(0.0, min(FULL, trust * rate + (1 - trust) * GUESS[match[1]]))
-
-    model.weights = {m: evidence(m, *c) for m, c in counts.items()}
+        model.weights[match] = max(0.0, trust * rate + (1 - trust) * model.weight(match))
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -339,12 +332,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             for part in slices(batch):
                 made = [scorer.features(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v, pa.float64()) for v in zip(*made)), part.column("_toxic")], ["best", "total", "toxic"]
+                    [*(pa.array(v, pa.float64()) for v in zip(*made)), part.column("_toxic")], ["best", "total", "size", "toxic"]
                 )
 
-    rows_ = sample.mapInArrow(feature_rows, "best double, total double, toxic int").collect()  # <= rows
+    rows_ = sample.mapInArrow(feature_rows, "best double, total double, size double, toxic int").collect()  # <= rows
     data = np.array([tuple(r) for r in rows_], float)
-    model.curve = fit_curve(data[:, :2], data[:, 2])
+    model.curve = fit_curve(data[:, :-1], data[:, -1])
     return model
 
 
