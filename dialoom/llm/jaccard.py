@@ -203,8 +203,12 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
     """Links ``a, b`` inside the candidate groups ``node, component, n``, as forests."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     # A set meets those of its own class of sizes and of the next one.
-    placed = groups.withColumn("class", size_class).withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
-    crowd = placed.groupBy("component", "class").agg(F.count("*").alias("c"), F.sum("n").alias("all")).filter("c > 1")
+    sides = F.array(F.struct(size_class.alias("class"), F.lit(1).alias("own")), F.struct((size_class - 1).alias("class"), F.lit(0).alias("own")))
+    placed = groups.select("node", "n", "component", F.inline(sides))
+    crowd = placed.groupBy("component", "class").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.sum("own").alias("own"))
+    # Sets of the next class alone meet in their own class.
+    crowd = crowd.filter("c > 1 AND own > 0").drop("own")
+    placed = placed.drop("own")
     placed = placed.join(crowd, ["component", "class"])
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
