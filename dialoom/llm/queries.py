@@ -78,3 +78,22 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialoom.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from dialoom.llm.resharding import reshard
+
+    docs = table(spark, sf_dir, "documents")
+    # Twelve shards by text so far, so copies share one; sixteen of equal size from now on.
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(12))
+    return reshard(docs, old, 12, [1.0] * 16).drop("old_shard")
