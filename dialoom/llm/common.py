@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from dialoom.session import freeze
+
 # Words are runs of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -45,3 +47,28 @@ def part_count(df: DataFrame, rows: int, per_part: int) -> int:
     """Partitions for ``rows`` rows: the session's number at least, more beyond ``per_part``."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, -(-rows // per_part))
+
+
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, without the shuffle files that led to it.
+
+    They serve nobody once the rows are stored. Only this one execution is told to remove them.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return freeze(df.select("*"))
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
+def broadcast_ids(ids: DataFrame, most: int) -> DataFrame:
+    """``ids`` marked for a broadcast if it was counted and has at most ``most`` rows.
+
+    Beyond that the join shuffles both sides.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.session import freeze
+from dialoom.llm.common import stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     and the joins on them are ordinary ones that adaptive execution can split.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = freeze(thinned(edges).filter("a != b").select(high.alias("a"), low.alias("b")).distinct())
+    edges = stored(thinned(edges).filter("a != b").select(high.alias("a"), low.alias("b")).distinct())
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -63,7 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = small.unionAll(least.select("a", F.col("m").alias("b")))
-        edges = freeze(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = stored(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         before, now = now, state(edges)
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(

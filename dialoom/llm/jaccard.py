@@ -20,14 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import broadcast_ids, slices, stored
 from dialoom.llm.components import components, forest
-from dialoom.session import freeze
 
 SAMPLE_ROWS = 10_000  # rows whose shared shingles are put last in the order: a documented bound
 COMMON_ROWS = 500_000  # such shingles, most frequent first: a bound; only speed depends on it
 LONG_LIST = 64
 MEETINGS = 4  # shared prefix shingles of a candidate pair
+BROADCAST_ROWS = 500_000  # candidates sent to all tasks in place of shuffling all texts
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 2_000_000
 CACHE = 600_000
 NO_SHINGLES = np.zeros(0, np.uint64)
@@ -215,8 +215,8 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     placed = placed.select("node", "n", "component", "class", F.explode(pairs).alias("pair"))
     block = F.xxhash64("component", "class", "pair")  # a collision only joins two blocks
-    wanted = placed.groupBy("node", "n").agg(F.collect_set(block).alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    wanted = stored(placed.groupBy("node", "n").agg(F.collect_set(block).alias("blocks")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_ids(wanted, BROADCAST_ROWS), "node")
     texts = texts.select("node", "n", "blocks", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +271,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, sample_ro
     has the most shingles. Rows with a null id link with nothing and have a null component.
     Ids must be integers; other columns are ignored.
     """
-    sets = freeze(set_table(docs, k, percent, sample_rows))
+    sets = stored(set_table(docs, k, percent, sample_rows))
     one = sets.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "prefix")).alias("s")).select("doc_id", "s.*")
     best = one.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"))
-    unique = freeze(best.select("digest", "r.*"))
+    unique = stored(best.select("digest", "r.*"))
     near = components(_candidates(unique, percent))
-    groups = freeze(near.join(unique.select(F.col("doc_id").alias("node"), "n"), "node"))
+    groups = stored(near.join(unique.select(F.col("doc_id").alias("node"), "n"), "node"))
     joined = components(_verified(docs, groups, k, percent))
     classes = unique.select("digest", F.col("doc_id").alias("node"), F.col("n").alias("_n")).join(joined, "node", "left")
     classes = classes.select("digest", F.coalesce("component", "node").alias("_c"))
