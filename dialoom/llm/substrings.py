@@ -1,13 +1,13 @@
 """Removal of repeated byte strings by sampled prefix doubling (operator 6).
 
-Ranks are fingerprints: those of 8 bytes are the bytes, those of 16, 20, 32 and 50 bytes come from
+Ranks are fingerprints: those of 8 bytes are the bytes, those of 16, 26, 32 and 50 bytes come from
 pairs of shorter ones at growing offsets. Spark sorts and reranks, dropping what is unique:
 
-1. Of the ranks at 20 bytes only those are sent that some 50-byte string needs: its least one (a
+1. Of the ranks at 26 bytes only those are sent that some 50-byte string needs: its least one (a
    sampled position). A position whose rank occurs in one document alone is dropped for good.
 2. At the positions left, the 50-byte strings that share the sampled position form a run. Runs that
    agree as a whole (first and last string) need only the least document with that run.
-3. Where runs with the same 20-byte rank differ, the 50-byte ranks themselves are sorted: that is
+3. Where runs with the same 26-byte rank differ, the 50-byte ranks themselves are sorted: that is
    past the threshold, and what is equal there is a repeat.
 
 Records travel packed, a task's share of a rank bucket in one row. Buckets grow with the input.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialoom.llm.common import slices
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1  # ranks at GRAM bytes inside one string
 BUCKET_BYTES = 40 << 20  # of text that sends its ranks to one bucket
 MIN_BUCKETS = 12
@@ -49,7 +49,7 @@ def ranks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     h4 = h2[:-2] | h2[2:] << U(16)
     h8 = h4[:-4] | h4[4:] << U(32)
     h16 = _pair(h8[:-8], h8[8:], 1)
-    gram = _pair(h16[:-4], h4[16:], 2)
+    gram = _pair(h16[:-10], h16[10:], 2)
     h32 = _pair(h16[:-16], h16[16:], 3)
     return gram, _pair(h32[:-18], h32[18:], 4)
 
@@ -336,8 +336,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = compared.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("bucket", "covered", "open")).alias("found"))
     texts = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     joined = texts.join(found, ["doc_id", "crc"], "left")
-    opened = joined.filter(F.exists("found", lambda f: F.length(f["open"]) > 0))
-    windows = opened.select("doc_id", "crc", "text", "found").mapInArrow(_send_windows(buckets), PACKED)
+    # No filter on ``found`` here: both uses of the join must stay one exchange of the texts.
+    windows = joined.select("doc_id", "crc", "text", "found").mapInArrow(_send_windows(buckets), PACKED)
     equal = dealt(windows).mapInArrow(_compare_windows, places)
     strings = equal.groupBy("doc_id", "crc").agg(F.collect_list("covered").alias("strings"))
     full = joined.join(strings, ["doc_id", "crc"], "left").select("doc_id", "text", "found", "strings")
