@@ -23,6 +23,7 @@ from dialoom.llm.packing import Encoder, exact_by_bytes
 ALPHA = 0.4
 BUCKET_BYTES = 20 << 20  # of text that sends its bigrams to one partition
 MIN_BUCKETS = 12
+PASSES = 8  # over a partition's contexts
 NO_ID = -(1 << 63)  # stands for a null id in packed rows
 PACKED = "bucket int, ids binary, crcs binary, counts binary, codes binary, times binary"
 
@@ -104,8 +105,12 @@ def _score(unigram: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list) -> pa.RecordBatch:
             ids, crcs, counts, pair, times = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<i8", "<i8", "<u4", "<u4", "<u4")))
-            doc = np.repeat(np.arange(len(ids)), counts)
-            sums = score_bigrams(doc, pair.astype(np.int64), times.astype(np.int64), len(ids), unigram)
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+            sums = np.zeros(len(ids))
+            for k in range(PASSES):  # whole contexts, a part of them at a time: bounds the memory
+                mine = np.flatnonzero((pair >> 16) % PASSES == k)
+                if len(mine):
+                    sums += score_bigrams(doc[mine], pair[mine].astype(np.int64), times[mine].astype(np.int64), len(ids), unigram)
             tokens = np.bincount(doc, times, len(ids)).astype(np.int64)  # each token ends one bigram
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(crcs), pa.array(sums), pa.array(tokens)], ["id", "crc", "part", "tokens"])
 
