@@ -1,0 +1,51 @@
+import os
+
+import pytest
+from tests.llm.conftest import hard_rows
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    import corpus_pipeline
+
+    return corpus_pipeline
+
+
+def test_stages_keep_columns_and_take_effect(spark, pipeline):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        docs = out.checkpoint()
+        sizes.append(docs.count())
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0]
+    packed = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_run(spark, pipeline):
+    assert pipeline.run(spark, SF).count() > 0
+    assert pipeline.ORACLE_SQL is None
+
+
+def test_hard_rows_pass_every_stage(spark, pipeline, table_of):
+    docs = table_of(hard_rows())
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).checkpoint()
+    assert docs.filter("text IS NULL").count() == 2
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+    empty = table_of([])
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_every_operator_is_registered():
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names
+    assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py"))
