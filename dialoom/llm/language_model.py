@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialoom.llm.common import slices
 from dialoom.llm.packing import Encoder, exact_by_bytes
+from dialoom.session import fresh_path
 
 ALPHA = 0.4
 BUCKET_BYTES = 20 << 20  # of text that sends its bigrams to one partition
@@ -39,18 +40,20 @@ def _token_lists(batches: Iterator[pa.RecordBatch], path: str, by_bytes: bool) -
             yield part, [np.frombuffer(ids, "<u4") for ids in made]
 
 
-def unigram_counts(docs: DataFrame, path: str) -> DataFrame:
-    """``token, n`` over all documents: at most one row per token of the vocabulary."""
-    by_bytes = exact_by_bytes(path)
+def unigram_counts(bigrams: DataFrame) -> DataFrame:
+    """``token, n`` over all documents from their packed bigrams, each of which ends in a token: at
+    most one row per token of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for _, lists in _token_lists(batches, path, by_bytes):
-            total += np.bincount(np.concatenate(lists), minlength=len(total))
+        total = np.zeros(1 << 16)
+        for batch in batches:
+            for codes, times in zip(batch.column("codes").to_pylist(), batch.column("times").to_pylist()):
+                right = np.frombuffer(codes, "<u4") & 0xFFFF
+                total += np.bincount(right, np.frombuffer(times, "<u4"), len(total))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["token", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return bigrams.select("codes", "times").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _send_bigrams(path: str, by_bytes: bool, start: int, buckets: int):
@@ -136,15 +139,18 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     like any other. Scores are rounded to six digits; other columns are ignored.
     """
     by_bytes = exact_by_bytes(path)
-    table = unigram_counts(docs, path).toArrow()  # <= vocabulary
-    count = np.zeros(1 << 16)
-    count[table.column("token").to_numpy()] = table.column("n").to_numpy()
-    unigram = np.log(ALPHA * np.maximum(count, 1) / max(1.0, count.sum()))
     start = (1 << 16) - 1  # context of a text's first token; no vocabulary here reaches it
     rows = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
-    sent = rows.mapInArrow(_send_bigrams(path, by_bytes, start, buckets), PACKED)
+    # Written once, compressed: texts are tokenized once, for the unigrams as well.
+    place = fresh_path(docs.sparkSession, "bigrams")
+    rows.mapInArrow(_send_bigrams(path, by_bytes, start, buckets), PACKED).write.parquet(place)
+    sent = docs.sparkSession.read.schema(PACKED).parquet(place)
+    table = unigram_counts(sent).toArrow()  # <= vocabulary
+    count = np.zeros(1 << 16)
+    count[table.column("token").to_numpy()] = table.column("n").to_numpy()
+    unigram = np.log(ALPHA * np.maximum(count, 1) / max(1.0, count.sum()))
     parts = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_score(unigram), "id long, crc long, part double, tokens long")
     sums = parts.groupBy("id", "crc").agg(F.sum("part").alias("all"), F.sum("tokens").alias("tokens"))
 
