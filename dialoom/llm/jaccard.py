@@ -28,8 +28,8 @@ COMMON_ROWS = 500_000  # such shingles, most frequent first: a bound; only speed
 LONG_LIST = 64
 MEETINGS = 4  # shared prefix shingles of a candidate pair
 BROADCAST_ROWS = 500_000  # candidates sent to all tasks in place of shuffling all texts
-BLOCK_ROWS, BLOCK_SHINGLES = 1500, 2_000_000
-CACHE = 600_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
+CACHE = 250_000
 NO_SHINGLES = np.zeros(0, np.uint64)
 
 
