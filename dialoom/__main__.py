@@ -6,9 +6,11 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from dialoom.functions.text import GEMMA, LLAMA
+from dialoom.functions.tokens import RegexTokenizer
 from dialoom.operators.regenerate import RetryPolicy
 from dialoom.plans import jobs
-from dialoom.schema import SAMPLE_RATE, SEED, TRAIN_RATIO
+from dialoom.schema import CONVERSATION, SAMPLE_RATE, SEED, TRAIN_RATIO
 from dialoom.sources.service import REPLY_TOKENS, TEMPERATURE, TIMEOUT_SECONDS, ChatService
 
 
@@ -22,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     clean.add_argument("-f", "--full", action="store_true", help="no train/test split")
     clean.add_argument("--ratio", type=float, default=TRAIN_RATIO)
     clean.add_argument("--seed", type=int, default=SEED)
-    clean.add_argument("--keep-keys", action="store_true", help="carry all other keys along")
+    clean.add_argument("--only-turns", action="store_true", help="drop all other keys, in one pass")
 
     sample = commands.add_parser("sample", help="a reproducible share of a JSONL corpus")
     sample.add_argument("source")
@@ -52,6 +54,18 @@ def parser() -> argparse.ArgumentParser:
     merge.add_argument("target")
     merge.add_argument("--keep-repeats", action="store_true")
 
+    for name, text in (("featurize", "chats to token ids and masks"), ("vocab", "chats to a draft vocabulary")):
+        made = commands.add_parser(name, help=text)
+        made.add_argument("source")
+        made.add_argument("target")
+        made.add_argument("--format", choices=["jsonl", "json", "parquet"])
+        made.add_argument("--template", choices=["llama", "gemma"], default="llama")
+        made.add_argument("--vocab-size", type=int, default=RegexTokenizer().vocab_size)
+        made.add_argument("--max-len", type=int, help="tokens kept of each chat; all by default")
+        made.add_argument("--on-error", choices=["fail", "drop"], default="fail")
+        if name == "vocab":
+            made.add_argument("--draft-size", type=int, required=True)
+
     report = commands.add_parser("report", help="a training log to a table")
     report.add_argument("log")
     return top
@@ -59,7 +73,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "clean":
-        schema = {"schema": None} if args.keep_keys else {}
+        schema = {"schema": CONVERSATION} if args.only_turns else {}
         jobs.clean_and_split(
             spark, args.source, args.target, args.full, args.ratio, args.seed, **schema
         ).show()
@@ -75,8 +89,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             partitions=args.partitions, threads=args.threads,
         )
     elif args.command == "merge":
-        dedupe = None if args.keep_repeats else "id"
+        dedupe = None if args.keep_repeats else "idx"
         jobs.merge_corpus(spark, args.source, args.target, dedupe)
+    elif args.command in ("featurize", "vocab"):
+        template = {"llama": LLAMA, "gemma": GEMMA}[args.template]
+        common = (spark, args.source, args.target, template, RegexTokenizer(vocab_size=args.vocab_size))
+        options = {"max_len": args.max_len, "on_error": args.on_error, "fmt": args.format}
+        if args.command == "featurize":
+            jobs.feature_corpus(*common, **options)
+        else:
+            jobs.vocabulary_corpus(*common, args.draft_size, **options).show()
     elif args.command == "report":
         jobs.training_report(spark, args.log).orderBy("split", "epoch").show(1000)
 

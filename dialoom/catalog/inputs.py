@@ -9,7 +9,7 @@ from dialoom.functions.text import LLAMA
 from dialoom.functions.tokens import RegexTokenizer
 from dialoom.operators import features as feat
 from dialoom.operators import turn_table as tt
-from dialoom.schema import DRAFT_STEPS
+from dialoom.schema import DRAFT_STEPS, MAX_LEN
 from dialoom.session import fresh_path
 
 TOKENIZER = RegexTokenizer(vocab_size=4096)
@@ -38,13 +38,13 @@ def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested records ``id, part, conversations``, all roles kept."""
+    """Nested records ``id, conversations``, all roles kept."""
     return tt.collect_turns(raw_turns(spark, sf_dir))
 
 
 def dialogue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole dialogues in one row each, for prompts that need everything said before."""
-    return tt.collect_turns(dialogue(spark, sf_dir), max_turns=None).drop("part")
+    return tt.collect_turns(dialogue(spark, sf_dir))
 
 
 def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ def trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llama_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.featurize(trainable(spark, sf_dir), LLAMA, TOKENIZER, keep=("id", "conv_id"))
+    keep = ("id", "conv_id")
+    return feat.featurize(trainable(spark, sf_dir), LLAMA, TOKENIZER, MAX_LEN, keep=keep)
 
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,17 +91,24 @@ def truth(features: DataFrame) -> DataFrame:
     )
 
 
-def preds(truth_rows: DataFrame) -> DataFrame:
-    """Made-up guesses of every draft step: right where a digest starts with a digit."""
-    steps = F.explode(F.sequence(F.lit(0), F.lit(DRAFT_STEPS - 1)))
-    aimed = truth_rows.select("seq", "pos", "target_id", steps.alias("k"))
-    digest = F.md5(F.concat_ws(":", "seq", "pos", "k"))
-    right = F.substring(digest, 1, 1).between("0", "9")
-    wrong = (F.col("target_id") + 1) % TOKENIZER.vocab_size
-    return aimed.select(
-        "seq", "pos", "k", F.when(right, F.col("target_id")).otherwise(wrong).alias("draft_id")
+def drafts(features: DataFrame) -> DataFrame:
+    """Feature rows as ``seq, target, mask, drafts``, with made-up guesses of every draft step:
+    right where a digest starts with a digit."""
+    rows = features.select(
+        F.col("conv_id").alias("seq"), shift_left(F.col("input_ids")).alias("target"),
+        F.col("loss_mask").alias("mask"),
     )
 
+    def guess(k):
+        def at(target, pos):
+            digest = F.md5(F.concat_ws(":", F.col("seq"), pos, F.lit(k)))
+            right = F.substring(digest, 1, 1).between("0", "9")
+            return F.when(right, target).otherwise((target + 1) % TOKENIZER.vocab_size)
+
+        return F.transform("target", at)
+
+    return rows.withColumn("drafts", F.array(*[guess(k) for k in range(DRAFT_STEPS)]))
+
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step metrics out of events."""

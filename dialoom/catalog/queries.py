@@ -6,7 +6,6 @@ Nested results are flattened to plain columns so that both sides can be compared
 from __future__ import annotations
 
 import hashlib
-import threading
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -22,7 +21,7 @@ from dialoom.operators import metrics, records, regenerate, sampling, vocabulary
 from dialoom.operators import turn_table as tt
 from dialoom.operators.ranking import rank_by_order
 from dialoom.plans import jobs
-from dialoom.schema import CONVERSATION, LOOSE_CONVERSATION
+from dialoom.schema import CONVERSATION, LOOSE_CONVERSATION, MAX_LEN
 from dialoom.session import fresh_path
 from dialoom.sources import conversations as src
 from dialoom.sources import sinks
@@ -77,28 +76,23 @@ def _jsonl(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-RECORD = T.StructType([*CONVERSATION.fields, T.StructField("part", T.LongType())])
-
-
 def _json_arrays(spark: SparkSession, sf_dir: str, indented: bool) -> str:
-    """Files that are each one JSON array of up to 2000 records (of up to 4096 turns)."""
+    """Files that are each one JSON array of up to 200 records."""
     path = fresh_path(spark, "conversations") + ".json"
     number = F.substring_index("id", "_", -1).cast("bigint")
-    conv = inputs.records(spark, sf_dir).withColumns(
-        {"bucket": F.floor(number / 2000), "piece": F.col("part")}
-    )
-    one = F.to_json(F.struct("id", "part", "conversations"))
+    conv = inputs.records(spark, sf_dir).withColumn("bucket", F.floor(number / 200))
+    one = F.to_json(F.struct("id", "conversations"))
     if indented:
         body = F.to_json("conversations")
         one = F.concat(
-            F.lit('  {\n    "id": "'), F.col("id"), F.lit('",\n    "part": '),
-            F.col("part").cast("string"), F.lit(',\n    "conversations": '), body, F.lit("\n  }"),
+            F.lit('  {\n    "id": "'), F.col("id"), F.lit('",\n    "conversations": '), body,
+            F.lit("\n  }"),
         )
     sep, ends = (",\n", ("[\n", "\n]")) if indented else (", ", ("[", "]"))
-    arrays = conv.groupBy("bucket", "piece").agg(
+    arrays = conv.groupBy("bucket").agg(
         F.concat(F.lit(ends[0]), F.array_join(F.collect_list(one), sep), F.lit(ends[1])).alias("value")
     )
-    arrays.write.partitionBy("bucket", "piece").text(path)
+    arrays.write.partitionBy("bucket").text(path)
     return path
 
 
@@ -107,18 +101,18 @@ RAW_TURNS_SQL = f"WITH {sql.TURNS} SELECT id, pos, speaker, value FROM turns"
 
 @query("scan_conversations_jsonl", RAW_TURNS_SQL)
 def scan_conversations_jsonl(spark, sf_dir):
-    return _flat(src.scan_conversations_jsonl(spark, _jsonl(spark, sf_dir), RECORD))
+    return _flat(src.scan_conversations_jsonl(spark, _jsonl(spark, sf_dir), CONVERSATION))
 
 
 @query("scan_conversations_json", RAW_TURNS_SQL)
 def scan_conversations_json(spark, sf_dir):
-    return _flat(src.scan_conversations_json(spark, _json_arrays(spark, sf_dir, False), RECORD))
+    return _flat(src.scan_conversations_json(spark, _json_arrays(spark, sf_dir, False), CONVERSATION))
 
 
 @query("scan_conversations_json_indented", RAW_TURNS_SQL)
 def scan_conversations_json_indented(spark, sf_dir):
     path = _json_arrays(spark, sf_dir, True)
-    return _flat(src.scan_conversations_json(spark, path, RECORD, layout="indented"))
+    return _flat(src.scan_conversations_json(spark, path, CONVERSATION, layout="indented"))
 
 
 def _parquet(spark: SparkSession, sf_dir: str) -> str:
@@ -173,15 +167,18 @@ def scan_text_log(spark, sf_dir):
 
 @query(
     "write_jsonl",
-    """SELECT '{"id":"sharegpt_' || conv_id || '","note":' ||
-       CASE WHEN conv_id % 2 = 0 THEN '"été"' ELSE 'null' END || '}' AS value
-    FROM (SELECT DISTINCT conv_id FROM conversations)""",
+    f"""WITH {sql.TURNS} SELECT '{{"id":"' || id || '","note":' ||
+       CASE WHEN conv_id % 2 = 0 THEN '"été"' ELSE 'null' END || ',"conversations":[' ||
+       string_agg('{{"from":' || to_json(speaker) || ',"value":' || to_json(value) || '}}', ','
+                  ORDER BY pos) || ']}}' AS value
+    FROM turns GROUP BY id, conv_id""",
 )
 def write_jsonl(spark, sf_dir):
     path = fresh_path(spark, "notes")
     conv = inputs.records(spark, sf_dir)
     even = F.substring_index("id", "_", -1).cast("bigint") % 2 == 0
-    sinks.write_jsonl(conv.select("id", F.when(even, "été").alias("note")), path)
+    note = F.when(even, "été").alias("note")
+    sinks.write_jsonl(conv.select("id", note, "conversations"), path)
     return spark.read.text(path)
 
 
@@ -196,32 +193,35 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 INDEXED_SQL = f"""WITH {sql.DIALOGUE},
 indexed AS (
   SELECT id, row_number() OVER (ORDER BY conv_id) - 1 AS idx
-  FROM (SELECT DISTINCT id, conv_id FROM dialogue))"""
+  FROM (SELECT DISTINCT id, conv_id FROM dialogue)),
+spoken AS (
+  SELECT id, idx, ord AS pos, speaker, value FROM indexed JOIN dialogue USING (id))"""
+
+
+def _spoken(rows: DataFrame, *more: str) -> DataFrame:
+    """Indexed records as whole turns."""
+    flat = tt.explode_turns(rows).filter(F.col("pos").isNotNull())
+    return flat.select("id", "idx", *more, "pos", F.col("from").alias("speaker"), "value")
 
 
 @query(
     "write_batches",
     INDEXED_SQL + """
-    SELECT CAST(floor((idx - 5) / 16.0) * 16 + 5 AS BIGINT) AS batch_start, min(idx) AS first_idx,
-           max(idx) AS last_idx, count(*) AS records
-    FROM indexed GROUP BY 1""",
+    SELECT CAST(floor((idx - 5) / 16.0) * 16 + 5 AS BIGINT) AS batch_start, *
+    FROM spoken""",
 )
 def write_batches(spark, sf_dir):
     path = fresh_path(spark, "batches")
     sinks.write_batches(_indexed(spark, sf_dir), path, 16, start_index=5)
-    return sinks.scan_batches(spark, path).groupBy("batch_start").agg(
-        F.min("idx").alias("first_idx"),
-        F.max("idx").alias("last_idx"),
-        F.count(F.lit(1)).alias("records"),
-    )
+    return _spoken(sinks.scan_batches(spark, path), "batch_start")
 
 
 @query(
     "merge_batches",
     INDEXED_SQL + """
-    SELECT id, idx, CAST(floor(idx / 10.0) * 10 AS BIGINT)
+    SELECT *, CAST(floor(idx / 10.0) * 10 AS BIGINT)
            + CASE WHEN idx % 3 = 0 THEN 1000 ELSE 0 END AS batch_start
-    FROM indexed""",
+    FROM spoken""",
 )
 def merge_batches(spark, sf_dir):
     path = fresh_path(spark, "batches")
@@ -229,7 +229,7 @@ def merge_batches(spark, sf_dir):
     again = first.filter("idx % 3 = 0").withColumn("batch_start", F.col("batch_start") + 1000)
     for save in (first, again, again):  # the second save was written twice
         save.write.mode("append").json(path)
-    return sinks.merge_batches(sinks.scan_batches(spark, path)).select("id", "idx", "batch_start")
+    return _spoken(sinks.merge_batches(sinks.scan_batches(spark, path)), "batch_start")
 
 
 @query("load_or_build_vocab", "WITH " + sql.top(DRAFT_SIZE) + """
@@ -401,30 +401,37 @@ def keep_dialogue_roles(spark, sf_dir):
 
 @query(
     "default_id",
-    """SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN 'regenerated_' || idx
-         WHEN conv_id % 11 = 0 THEN NULL ELSE 'sharegpt_' || conv_id END AS id
-    FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS idx
-          FROM (SELECT DISTINCT conv_id FROM conversations))""",
+    f"""WITH {sql.TURNS}, numbered AS (
+      SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS idx
+      FROM (SELECT DISTINCT conv_id FROM conversations))
+    SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN 'regenerated_' || idx
+         WHEN conv_id % 11 = 0 THEN NULL ELSE 'sharegpt_' || conv_id END AS id,
+         pos, speaker, value
+    FROM turns JOIN numbered USING (conv_id)""",
 )
 def default_id(spark, sf_dir):
-    number = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    ranked = rank_by_order(number, "conv_id").withColumnRenamed("rank", "idx")
+    number = F.substring_index("id", "_", -1).cast("bigint").alias("conv_id")
+    conv = inputs.records(spark, sf_dir).select(number, "conversations")
+    ranked = rank_by_order(conv, "conv_id").withColumnRenamed("rank", "idx")
     c = F.col("conv_id")
-    text = (
-        F.when(c % 7 == 0, F.lit('{"conversations":[]}'))
-        .when(c % 11 == 0, F.lit('{"id":null,"conversations":[]}'))
-        .otherwise(F.concat(F.lit('{"id":"sharegpt_'), c.cast("string"), F.lit('"}')))
+    head = (
+        F.when(c % 7 == 0, F.lit("{"))
+        .when(c % 11 == 0, F.lit('{"id":null,'))
+        .otherwise(F.concat(F.lit('{"id":"sharegpt_'), c.cast("string"), F.lit('",')))
     )
-    parsed = ranked.withColumn("record", F.parse_json(text))
-    return src.default_id(parsed).select("conv_id", "id")
+    text = F.concat(head, F.lit('"conversations":'), F.to_json("conversations"), F.lit("}"))
+    parsed = src.default_id(ranked.withColumn("record", F.parse_json(text)))
+    turns = F.variant_get("record", "$.conversations", "array<struct<from:string,value:string>>")
+    flat = tt.explode_turns(parsed.select("conv_id", "id", turns.alias("conversations")))
+    return flat.select("conv_id", "id", "pos", F.col("from").alias("speaker"), "value")
 
 
 @query(
     "slice_by_index",
-    INDEXED_SQL + " SELECT id, idx FROM indexed WHERE idx >= 10 AND idx < 75",
+    INDEXED_SQL + " SELECT * FROM spoken WHERE idx >= 10 AND idx < 75",
 )
 def slice_by_index(spark, sf_dir):
-    return sampling.slice_by_index(_indexed(spark, sf_dir), 10, 75).select("id", "idx")
+    return _spoken(sampling.slice_by_index(_indexed(spark, sf_dir), 10, 75))
 
 
 @query(
@@ -534,31 +541,30 @@ def split_rounds(spark, sf_dir):
 )
 def tokenize(spark, sf_dir):
     texts = feat.chat_texts(inputs.trainable(spark, sf_dir), LLAMA)
-    return feat.tokenize(texts, TOKENIZER).select(
+    return feat.tokenize(texts, TOKENIZER, MAX_LEN).select(
         "id", F.size("input_ids").cast("bigint").alias("n"), _text("input_ids").alias("ids")
     )
 
 
 @query(
     "tokenize_documents",
-    f"""SELECT doc_id, len(ids) AS n, list_sum(ids)::BIGINT AS id_sum
+    f"""SELECT doc_id, len(ids) AS n, md5(array_to_string(ids, ' ')) AS digest
     FROM (SELECT doc_id, list_transform({sql.words('text')}, lambda w: {sql.token_id('w')}) AS ids
           FROM documents)""",
 )
 def tokenize_documents(spark, sf_dir):
     """Whole documents, without a cap on their length."""
     docs = feat.tokenize(table(spark, sf_dir, "documents"), TOKENIZER, max_len=None)
-    total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, t: a + t)
     return docs.select(
-        "doc_id",
-        F.size("input_ids").cast("bigint").alias("n"),
-        F.when(F.size("input_ids") > 0, total).alias("id_sum"),
+        "doc_id", F.size("input_ids").cast("bigint").alias("n"),
+        F.md5(_text("input_ids")).alias("digest"),
     )
 
 
-def _masked(template, policy):
+def _masked(template, policy, max_len=MAX_LEN):
     def run(spark, sf_dir):
-        rows = feat.featurize(inputs.trainable(spark, sf_dir), template, TOKENIZER, policy=policy)
+        conv = inputs.trainable(spark, sf_dir)
+        rows = feat.featurize(conv, template, TOKENIZER, max_len, policy)
         return rows.select("id", _text("loss_mask", "").alias("mask"))
 
     return run
@@ -570,6 +576,11 @@ for _name, _template in (("loss_mask", LLAMA), ("loss_mask_gemma", GEMMA)):
         "WITH " + sql.masks(_template)
         + " SELECT id, string_agg(bit::VARCHAR, '' ORDER BY t) AS mask FROM masks GROUP BY id",
     )(_masked(_template, "reference"))
+query(
+    "loss_mask_uncapped",
+    "WITH " + sql.masks(LLAMA, cap="")
+    + " SELECT id, string_agg(bit::VARCHAR, '' ORDER BY t) AS mask FROM masks GROUP BY id",
+)(_masked(LLAMA, "reference", None))
 for _name, _template in (("loss_mask_content", LLAMA), ("loss_mask_content_gemma", GEMMA)):
     query(
         _name,
@@ -584,7 +595,7 @@ for _name, _template in (("loss_mask_content", LLAMA), ("loss_mask_content_gemma
 )
 def attention_mask(spark, sf_dir):
     texts = feat.chat_texts(inputs.trainable(spark, sf_dir), LLAMA)
-    masked = feat.attention_mask(feat.tokenize(texts, TOKENIZER))
+    masked = feat.attention_mask(feat.tokenize(texts, TOKENIZER, MAX_LEN))
     return masked.select("id", _text("attention_mask", "").alias("mask"))
 
 
@@ -698,10 +709,15 @@ def merge_token_counts(spark, sf_dir):
 
 @query(
     "top_n_tokens",
-    "WITH " + sql.top(DRAFT_SIZE, "first_seen") + " SELECT token_id, freq, first_seen FROM top",
+    "WITH " + sql.top(DRAFT_SIZE, "first_seen")
+    + " SELECT token_id, freq, first_row, first_pos::BIGINT AS first_pos FROM top",
 )
 def top_n_tokens(spark, sf_dir):
-    return vocabulary.top_n_tokens(_frequency(spark, sf_dir, "conv_id"), DRAFT_SIZE)
+    top = vocabulary.top_n_tokens(_frequency(spark, sf_dir, "conv_id"), DRAFT_SIZE)
+    return top.select(
+        "token_id", "freq", F.col("first_seen.seq").alias("first_row"),
+        F.col("first_seen.pos").cast("bigint").alias("first_pos"),
+    )
 
 
 @query(
@@ -752,7 +768,9 @@ def target_in_draft(spark, sf_dir):
     SELECT draft_id, token_id, token_id - draft_id AS "offset", freq FROM vocab""",
 )
 def build_draft_vocab(spark, sf_dir):
-    built = jobs.build_draft_vocab(inputs.trainable(spark, sf_dir), LLAMA, TOKENIZER, DRAFT_SIZE)
+    built = jobs.build_draft_vocab(
+        inputs.trainable(spark, sf_dir), LLAMA, TOKENIZER, DRAFT_SIZE, MAX_LEN, ties="token_id"
+    )
     return _maps(built.maps, "freq")
 
 
@@ -870,15 +888,18 @@ def weighted_position_loss(spark, sf_dir):
       SELECT g.k, t.mask, CASE WHEN g.draft_id = t.target_id
                                 AND t.target_id IN (SELECT token_id FROM vocab)
                                THEN t.mask ELSE 0 END AS hit
-      FROM guesses g JOIN truth t ON t.seq = g.seq AND t.pos = g.pos + g.k)
-    SELECT k, sum(hit)::BIGINT AS hits, sum(mask)::BIGINT AS positions,
-           round(sum(hit) / (sum(mask) + 1e-6::DOUBLE) + 1e-9::DOUBLE, 6) AS accuracy
+      FROM guesses g LEFT JOIN truth t ON t.seq = g.seq AND t.pos = g.pos + g.k)
+    SELECT k, coalesce(sum(hit), 0)::BIGINT AS hits, coalesce(sum(mask), 0)::BIGINT AS positions,
+           round(coalesce(sum(hit), 0) / (coalesce(sum(mask), 0) + 1e-6::DOUBLE) + 1e-9::DOUBLE, 6) AS accuracy
     FROM met GROUP BY k""",
 )
 def acceptance_accuracy(spark, sf_dir):
     features = inputs.stored_features(spark, sf_dir)
-    truth, vocab = inputs.truth(features), _vocab(spark, sf_dir, features)
-    result = metrics.acceptance_accuracy(truth, inputs.preds(truth), vocab, DRAFT_SIZE)
+    vocab = _vocab(spark, sf_dir, features)
+    rows = vocabulary.kept_positions(
+        inputs.drafts(features), vocab, TOKENIZER.vocab_size, DRAFT_SIZE
+    )
+    result = metrics.acceptance_accuracy(rows)
     return result.select(
         F.col("k").cast("bigint").alias("k"), "hits", "positions",
         _rounded("accuracy").alias("accuracy"),
@@ -896,20 +917,20 @@ def trimmed_mean_latency(spark, sf_dir):
 
 @query(
     "throughput",
-    r"""SELECT conv_id, words, round((words + 256) / seconds + 1e-9::DOUBLE, 6) AS tokens_per_second FROM (
-      SELECT conv_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
+    r"""SELECT conv_id, turn, words, round((words + 256) / seconds + 1e-9::DOUBLE, 6) AS tokens_per_second FROM (
+      SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
              value AS seconds
-      FROM conversations JOIN events ON event_id = conv_id WHERE turn = 0)""",
+      FROM conversations JOIN events ON event_id = conv_id * 8 + turn)""",
 )
 def throughput(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "text")
-    seconds = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("conv_id"), F.col("value").alias("latency")
-    )
-    rates = metrics.throughput(first.join(seconds, "conv_id"), prompt="text")
+    """Every turn as a prompt, timed by the event of its number."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    seconds = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("latency"))
+    timed = turns.join(seconds, F.col("event_id") == F.col("conv_id") * 8 + F.col("turn"))
+    rates = metrics.throughput(timed, prompt="text")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint")
     return rates.select(
-        "conv_id", words.alias("words"), _rounded("tokens_per_second").alias("tokens_per_second")
+        "conv_id", "turn", words.alias("words"), _rounded("tokens_per_second").alias("tokens_per_second")
     )
 
 
@@ -932,20 +953,23 @@ def speedup_report(spark, sf_dir):
 
 @query(
     "seeded_shuffle",
-    """SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS rank FROM documents""",
+    """SELECT doc_id, text, row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS rank
+    FROM documents""",
 )
 def seeded_shuffle(spark, sf_dir):
-    return sampling.seeded_shuffle(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sampling.seeded_shuffle(docs, "doc_id", tie=["doc_id"])
 
 
 @query(
     "exact_split",
-    """SELECT doc_id, lang, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1
+    """SELECT doc_id, lang, text, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1
          < floor(count(*) OVER () * 0.95::DOUBLE) THEN 'train' ELSE 'test' END AS split
     FROM documents""",
 )
 def exact_split(spark, sf_dir):
-    return sampling.exact_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return sampling.exact_split(docs, "doc_id")
 
 
 @query(
@@ -1010,13 +1034,13 @@ def assign_microbatches(spark, sf_dir):
 
 @query(
     "union_all_files",
-    """SELECT doc_id, lang, NULL::INTEGER AS quality FROM documents
-    UNION ALL SELECT doc_id, NULL, quality FROM labels""",
+    """SELECT doc_id, lang, text, NULL::INTEGER AS quality FROM documents
+    UNION ALL SELECT doc_id, NULL, NULL, quality FROM labels""",
 )
 def union_all_files(spark, sf_dir):
     return src.union_all_files(
         [
-            table(spark, sf_dir, "documents").select("doc_id", "lang"),
+            table(spark, sf_dir, "documents").select("doc_id", "lang", "text"),
             table(spark, sf_dir, "labels").select("doc_id", "quality"),
         ]
     )
@@ -1073,47 +1097,6 @@ def regenerate_corpus(spark, sf_dir):
     return _flat(src.scan_conversations_jsonl(spark, merged))
 
 
-class FlakyService:
-    """Refuses some prompts once or twice and breaks on others, decided by their digest."""
-
-    def __init__(self):
-        self.last: dict[int, tuple[str, int]] = {}
-
-    def __call__(self, prompt: str) -> str:
-        reply = md5_reply(prompt)
-        digit = int(reply[0], 16)
-        if digit == 15:
-            raise ValueError("broken pipe")
-        me = threading.get_ident()
-        last_prompt, tries = self.last.get(me, ("", 0))
-        tries = tries + 1 if last_prompt == prompt else 1
-        if tries <= digit % 3:
-            self.last[me] = (prompt, tries)
-            raise regenerate.GenerationError(503)
-        self.last.pop(me, None)
-        return reply
-
-
-@query(
-    "call_with_retry",
-    f"""WITH {sql.DIALOGUE},
-    prompts AS (
-      SELECT r.id, r.ord AS pos, md5(coalesce(string_agg(
-               CASE e.speaker WHEN 'human' THEN 'Human: ' ELSE 'Assistant: ' END || e.value
-               || chr(10) || chr(10), '' ORDER BY e.ord), '') || 'Assistant:') AS digest
-      FROM dialogue r LEFT JOIN dialogue e ON e.id = r.id AND e.ord < r.ord
-      WHERE r.speaker = 'gpt' GROUP BY r.id, r.ord),
-    digits AS (SELECT *, ('0x' || substr(digest, 1, 1))::INTEGER AS d FROM prompts)
-    SELECT id, pos, CASE WHEN d = 15 THEN '' ELSE digest END AS reply,
-           CASE WHEN d = 15 THEN 'broken pipe' END AS error,
-           CASE WHEN d = 15 THEN 1 ELSE d % 3 + 1 END::INTEGER AS attempts
-    FROM digits""",
-)
-def call_with_retry(spark, sf_dir):
-    prompts = records.build_prompts(inputs.dialogue_records(spark, sf_dir))
-    return regenerate.generate_for_prompts(prompts, FlakyService(), NO_WAIT)
-
-
 def _long_turns(batch: pa.RecordBatch) -> pa.RecordBatch:
     length = pc.utf8_length(batch.column("text"))
     keep = pc.greater_equal(length, 100)
@@ -1140,7 +1123,7 @@ def stream_clean(spark, sf_dir):
     arriving = fresh_path(spark, "arriving")
     cleaned = fresh_path(spark, "cleaned")
     progress = fresh_path(spark, "progress")
-    blanked = tt.collect_turns(inputs.blanked(spark, sf_dir)).drop("part")
+    blanked = tt.collect_turns(inputs.blanked(spark, sf_dir))
     for half in (0, 1):  # files that arrive between two runs
         part = blanked.filter(F.substring_index("id", "_", -1).cast("bigint") % 2 == half)
         sinks.write_jsonl(part, arriving, mode="append")

@@ -12,12 +12,8 @@ from dialoom.functions.text import (
     stripped,
     usable_rounds,
 )
-from dialoom.functions.tokens import RegexTokenizer, Tokenizer
+from dialoom.functions.tokens import Tokenizer
 from dialoom.operators import records, turn_table
-from dialoom.schema import MAX_LEN
-
-# Every message renders to at least this many tokens (its header and end marker).
-MIN_MESSAGE_TOKENS = 4
 
 
 def chat_texts(conv: DataFrame, template: ChatTemplate, on_error: str = "fail") -> DataFrame:
@@ -29,9 +25,9 @@ def chat_texts(conv: DataFrame, template: ChatTemplate, on_error: str = "fail")
 
 
 def tokenize(
-    df: DataFrame, tokenizer: Tokenizer, max_len: int | None = MAX_LEN, text: str = "text"
+    df: DataFrame, tokenizer: Tokenizer, max_len: int | None = None, text: str = "text"
 ) -> DataFrame:
-    """Add ``input_ids``, at most ``max_len`` of them."""
+    """Add ``input_ids``; with ``max_len`` at most as many."""
     return df.withColumn("input_ids", tokenizer.capped_ids(F.col(text), max_len))
 
 
@@ -131,7 +127,7 @@ def featurize(
     conv: DataFrame,
     template: ChatTemplate,
     tokenizer: Tokenizer,
-    max_len: int | None = MAX_LEN,
+    max_len: int | None = None,
     policy: str = "reference",
     on_error: str = "fail",
     keep: tuple[str, ...] = ("id",),
@@ -142,75 +138,18 @@ def featurize(
     return project_features(attention_mask(masked), keep=keep)
 
 
-def supervised_words(
-    conv: DataFrame,
-    template: ChatTemplate,
-    tokenizer: RegexTokenizer,
-    max_len: int | None = MAX_LEN,
-    policy: str = "reference",
-    on_error: str = "fail",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Records to ``words`` and ``loss_mask``, for counting without hashing every word."""
-    words = tokenizer.words(F.col("text"))
-    if max_len is not None:
-        words = F.slice(words, 1, max_len)
-    worded = chat_texts(conv, template, on_error).withColumn("words", words)
-    masked = loss_mask(worded, template, tokenizer, policy, tokens="words")
-    return masked.select(*keep, "words", "loss_mask")
-
-
-def leading_turns(max_len: int) -> int:
-    """Turns from this rank on cannot change ids or mask of a chat cut at ``max_len``.
-
-    Every message takes at least ``MIN_MESSAGE_TOKENS`` tokens, and the mask's offsets are
-    off by fewer than that per message, so with one turn per token there is ample room for
-    the round at the cut and the one behind it.
-    """
-    return max_len + MIN_MESSAGE_TOKENS
-
-
-def long_trainable_records(turns: DataFrame, max_len: int) -> DataFrame:
-    """Training records of conversations of any length, for ``featurize`` with ``max_len``.
-
-    Cleaning and the order of speakers are decided on outlines of all turns. Then only the
-    turns that can reach the first ``max_len`` tokens are nested, which bounds every group.
-    """
-    outline = turn_table.outline(turn_table.keep_dialogue_roles(turns))
-    outline = turn_table.drop_leading_non_human(turn_table.clean_conversations(outline))
-    checked = turn_table.check_alternation(outline)
-    bound = leading_turns(max_len)
-    reach = turn_table.pick(turns, checked.filter(F.col("ord") < bound))
-    return turn_table.collect_turns(reach, "ord", max_turns=bound).drop("part")
-
-
-def trainable_records(turns: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+def trainable_records(turns: DataFrame) -> DataFrame:
     """Turn table to cleaned records ``id, conversations``, ready for ``featurize``.
 
-    Ordinary conversations are nested once and cleaned in place. Those too long for that
-    take the outline way.
+    Conversations of all lengths are nested once and cleaned in place.
     """
-    short, long = turn_table.split_long(turns)
-    nested = turn_table.collect_turns(short).drop("part")
-    cleaned = records.clean_conversations(records.keep_dialogue_roles(nested))
-    if long is None:
-        return cleaned
-    return cleaned.unionByName(long_trainable_records(long, max_len))
+    nested = turn_table.collect_turns(turns)
+    return records.clean_conversations(records.keep_dialogue_roles(nested))
 
 
 def cleaned_records(turns: DataFrame) -> DataFrame:
-    """Turn table to cleaned records ``id, part, conversations``, empty ones included.
-
-    Long conversations are cleaned as turns before they are cut into parts.
-    """
-    short, long = turn_table.split_long(turns)
-    nested = records.keep_dialogue_roles(turn_table.collect_turns(short))
-    cleaned = records.clean_conversations(nested)
-    if long is None:
-        return cleaned
-    outline = turn_table.outline(turn_table.keep_dialogue_roles(long))
-    kept = turn_table.pick(long, turn_table.clean_conversations(outline))
-    return cleaned.unionByName(turn_table.collect_turns(kept, "ord"))
+    """Turn table to cleaned records, empty ones included."""
+    return trainable_records(turns)
 
 
 def shift_tokens(df: DataFrame, column: str, left: bool) -> DataFrame:

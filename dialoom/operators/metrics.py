@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.text import word_count
-from dialoom.operators.vocabulary import mask_by_draft_vocab
+from dialoom.operators.turn_table import join_null_safe
 from dialoom.schema import LOSS_DECAY, MAX_TOKENS, TRIM_RATIO
 
 # Fixed value: a metric line of the training log.
@@ -61,22 +61,35 @@ def weighted_position_loss(steps: DataFrame, *step: str, base: float = LOSS_DECA
     return steps.groupBy(*step).agg(F.sum(weighted).alias("ploss"))
 
 
-def acceptance_accuracy(
-    truth: DataFrame, preds: DataFrame, vocab: DataFrame, draft_size: int | None = None
-) -> DataFrame:
+def acceptance_accuracy(rows: DataFrame) -> DataFrame:
     """Share of supervised positions whose draft token is right, per draft step ``k``.
 
-    ``truth(seq, pos, target_id, mask)`` and ``preds(seq, pos, k, draft_id)``; the guess of
-    step k at pos is held against the target at pos + k, where absent truth has mask 0.
+    ``rows``: one per sequence, with the arrays ``target`` (next tokens), ``mask``, ``kept`` (1
+    where the target is in the draft vocabulary) and ``drafts``, one array of ids per step. The
+    guess of step k at pos is held against the target at pos + k; absent truth has mask 0. A step
+    without supervised positions reports 0. Sums are taken inside the rows, so nothing is
+    exploded by position and one small row per sequence and step is aggregated.
     """
-    known = mask_by_draft_vocab(truth, vocab, draft_size).select(
-        "seq", "pos", "target_id", "mask", "position_mask"
-    )
-    aimed = preds.select("seq", "k", "draft_id", (F.col("pos") + F.col("k")).alias("pos"))
-    # Masked positions add to neither sum, so they need not meet their predictions.
-    met = aimed.join(known.filter(F.col("mask") != 0), ["seq", "pos"])
-    hit = F.when(F.col("draft_id") == F.col("target_id"), F.col("position_mask")).otherwise(0)
-    sums = met.groupBy("k").agg(F.sum(hit).alias("hits"), F.sum("mask").alias("positions"))
+
+    def shifted(k: Column, name: str) -> Column:
+        return F.slice(name, k + 1, F.greatest(F.size(name) - k, F.lit(0)))
+
+    def step(draft: Column, k: Column) -> Column:
+        mask = shifted(k, "mask")
+        right = F.zip_with(draft, shifted(k, "target"), lambda d, t: F.coalesce((d == t).cast("int"), F.lit(0)))
+        known = F.zip_with(mask, shifted(k, "kept"), lambda m, i: m * i)
+        met = F.zip_with(known, right, lambda m, r: F.coalesce(m * r, F.lit(0)))
+        # A guess must be there for its position to count.
+        asked = F.zip_with(mask, draft, lambda m, d: F.when(d.isNotNull(), m).otherwise(0))
+        return F.struct(k.alias("k"), total(met).alias("hits"), total(asked).alias("positions"))
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(
+            counts, F.lit(0).cast("bigint"), lambda x, y: x + F.coalesce(y, F.lit(0))
+        )
+
+    sums = rows.select(F.inline(F.transform("drafts", step))).groupBy("k")
+    sums = sums.agg(F.sum("hits").alias("hits"), F.sum("positions").alias("positions"))
     return sums.withColumn("accuracy", F.col("hits") / (F.col("positions") + F.lit(1e-6)))
 
 
@@ -91,9 +104,10 @@ def trimmed_mean_latency(
     """Mean after dropping ``int(n * ratio)`` values at each end; all values when that is 0.
 
     The values of a group are never sorted in one place. Approximate quantiles just beside
-    the two cuts slice each group in five, exact slice sizes say which slices the cuts fall
-    into (usually the two thin ones), and only there are distinct values put in order. The
-    mean is exact whatever the quantiles' error.
+    the two cuts slice each group in five; one aggregate gives the size and the sum of every
+    slice, and only in the slices that a cut goes through (the two thin ones, usually) are
+    distinct values put in order. Three passes over the values; the mean is exact whatever the quantiles' error.
+    Null groups are groups like others.
     """
     keys = list(group)
     rows = latency.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
@@ -105,36 +119,30 @@ def trimmed_mean_latency(
     bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", marks, accuracy).alias("_marks"))
     # Slice = how many of the marks lie below the value.
     below = [F.when(F.get("_marks", F.lit(i)) < F.col("_v"), 1).otherwise(0) for i in range(4)]
-    sliced = rows.join(bounds, keys).select(
+    sliced = join_null_safe(rows, bounds, keys).select(
         *keys, "_v", (below[0] + below[1] + below[2] + below[3]).alias("_slice")
     )
-    per_value_count = F.count(F.lit(1)).alias("_count")
-    sizes = sliced.groupBy(*keys, "_slice").agg(per_value_count)
+    sizes = sliced.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_count"), F.sum("_v").alias("_sum")
+    )
     up_to = Window.partitionBy(*keys).orderBy("_slice")
-    whole = Window.partitionBy(*keys)
     cut_off = F.floor(F.col("_n") * F.lit(float(ratio)))
     k = F.when(cut_off * 2 < F.col("_n"), cut_off).otherwise(0)
     placed = (
-        sizes.withColumn("_n", F.sum("_count").over(whole))
+        sizes.withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
         .withColumn("_before", F.sum("_count").over(up_to) - F.col("_count"))
         .withColumn("_from", k)
         .withColumn("_to", F.col("_n") - k)
-        .withColumn(
-            "_inside",
-            (F.col("_before") >= F.col("_from"))
-            & (F.col("_before") + F.col("_count") <= F.col("_to")),
-        )
-        .drop("_count", "_n")
-    )
-    tagged = sliced.join(placed, [*keys, "_slice"])
-    full = tagged.filter("_inside").groupBy(*keys).agg(
-        F.sum("_v").alias("_sum"), F.count(F.lit(1)).alias("_kept")
     )
-    values = (
-        tagged.filter(~F.col("_inside"))
-        .groupBy(*keys, "_slice", "_before", "_from", "_to", "_v")
-        .agg(per_value_count)
+    inside = (F.col("_before") >= F.col("_from")) & (
+        F.col("_before") + F.col("_count") <= F.col("_to")
     )
+    full = placed.filter(inside).select(*keys, "_sum", F.col("_count").alias("_kept"))
+    outside = (F.col("_before") + F.col("_count") <= F.col("_from")) | (F.col("_before") >= F.col("_to"))
+    crossed = placed.filter(~inside & ~outside).select(*keys, "_slice", "_before", "_from", "_to")
+    by = [*keys, "_slice", "_before", "_from", "_to"]
+    values = join_null_safe(sliced, crossed, [*keys, "_slice"]).groupBy(*by, "_v")
+    values = values.agg(F.count(F.lit(1)).alias("_count"))
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_v")
     first = F.col("_before") + F.sum("_count").over(in_slice) - F.col("_count")
     copies = F.greatest(
@@ -142,15 +150,8 @@ def trimmed_mean_latency(
         F.least(F.col("_first") + F.col("_count"), F.col("_to"))
         - F.greatest(F.col("_first"), F.col("_from")),
     )
-    cut = (
-        values.withColumn("_first", first)
-        .withColumn("_copies", copies)
-        .filter(F.col("_copies") > 0)
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.col("_v") * F.col("_copies")).alias("_sum"),
-            F.sum("_copies").alias("_kept"),
-        )
+    cut = values.withColumn("_first", first).withColumn("_copies", copies).select(
+        *keys, (F.col("_v") * F.col("_copies")).alias("_sum"), F.col("_copies").alias("_kept")
     )
     return (
         full.unionByName(cut)
@@ -174,7 +175,6 @@ def speedup_report(baseline: DataFrame, candidate: DataFrame, *run: str) -> Data
     """Baseline latency over candidate latency for every run key in both tables."""
     base = baseline.select(*run, F.col("latency").alias("baseline"))
     return (
-        candidate.withColumnRenamed("latency", "candidate")
-        .join(base, list(run))
+        join_null_safe(candidate.withColumnRenamed("latency", "candidate"), base, list(run))
         .withColumn("speedup", F.col("baseline") / F.col("candidate"))
     )

@@ -1,81 +1,81 @@
 """Exact global ranks without a global sort and without a single-task window.
 
 Rows are cut into buckets that are ordered among themselves, bucket sizes are turned into
-starting ranks in a small table, and ``row_number`` runs inside each bucket. A bucket with
-too many rows is cut further.
+starting ranks in a small table, and ``row_number`` runs inside each bucket. The number of buckets
+follows the number of rows. Rows that share a sort value are ordered by a hash of their tie columns
+first, so a bucket with too many of them is cut along that hash and no rank changes by it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.hashing import hex_prefix_number, seeded_hash
 from dialoom.session import freeze
 
 HASH_DIGITS = 4
-SPREAD = 64
+BUCKET_ROWS = 100_000
 HOT_BUCKET_ROWS = 8_000_000
-ORDER_BLOCK = 100_000
-
-
-def _no_cut() -> Column:
-    return F.lit(0).cast("bigint")
+MAX_BOUNDS = 10_000
+# Rows that a window without partitions may see.
+COARSE = 4096
+
+
+def _starts(sizes: DataFrame, n_buckets: int) -> DataFrame:
+    """``sizes`` with the first rank of each bucket: sums within groups of buckets, then over them."""
+    grouped = sizes.withColumn("_group", F.floor(F.col("_bucket") / max(1, n_buckets // COARSE)))
+    totals = grouped.groupBy("_group").agg(F.sum("_size").alias("_all"))
+    before = F.sum("_all").over(Window.orderBy("_group")) - F.col("_all")
+    within = F.sum("_size").over(Window.partitionBy("_group").orderBy("_bucket")) - F.col("_size")
+    joined = grouped.withColumn("_within", within).join(
+        totals.select("_group", before.alias("_before")), "_group"
+    )
+    return joined.select("_bucket", "_size", (F.col("_before") + F.col("_within")).alias("_start"))
 
 
 def _rank_in_buckets(
-    df: DataFrame, cuts: dict[str, Column], inside: list[Column], hot_rows: int
+    df: DataFrame, value: Column, ties: list[str], n_rows: int, n_buckets: int, hot_rows: int
 ) -> DataFrame:
-    """Add ``rank`` (from 0) and ``n_rows``, ordered by ``_bucket`` and then ``inside``.
+    """Add ``rank`` (from 0) and ``n_rows``, ordered by ``_bucket``, ``value`` and the ties.
 
-    Buckets above ``hot_rows`` rows are cut by the columns of ``cuts`` and ordered by these
-    before ``inside``. Sizes are counted on the bucket column alone; rows of hot buckets are
-    counted once more, which adaptive execution leaves out when there are none.
+    A bucket above ``hot_rows`` rows is cut by value and, within one value, along the hash of the
+    ties, into as many parts as its size asks for. Adaptive execution leaves that out when there
+    are none.
     """
-    key = ["_bucket", *cuts]
-    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.filter(F.col("_size") > hot_rows).select("_bucket", F.lit(True).alias("_hot"))
-    # No more than rows / hot_rows buckets can be hot: at the default a million of them would
-    # take eight trillion rows.
-    hot = F.broadcast(hot)
-    cold_sizes = sizes.filter(F.col("_size") <= hot_rows).select(
-        "_bucket", *[_no_cut().alias(c) for c in cuts], "_size"
-    )
-    hot_sizes = (
-        df.withColumns(cuts)
-        .join(hot.drop("_hot"), "_bucket", "left_semi")
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_size"))
-    )
-    # One row per bucket or cut: the only place with an unpartitioned window.
-    so_far = F.sum("_size").over(Window.orderBy(*key))
-    starts = cold_sizes.unionByName(hot_sizes).select(
-        *key,
-        (so_far - F.col("_size")).alias("_start"),
-        F.sum("_size").over(Window.partitionBy()).alias("n_rows"),
-    )
-    within = Window.partitionBy(*key).orderBy(*inside)
     own = [c for c in df.columns if c != "_bucket"]
-    placed = df.join(hot, "_bucket", "left").select(
-        *own,
-        "_bucket",
-        *[F.when(F.col("_hot"), cut).otherwise(_no_cut()).alias(c) for c, cut in cuts.items()],
+    hashed = F.shiftrightunsigned(F.xxhash64(*ties), 1)
+    df = df.withColumn("_value", value).withColumn("_tie", hashed)
+    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    starts = _starts(sizes, n_buckets)
+    parts = F.when(F.col("_size") > hot_rows, F.ceil(F.col("_size") / hot_rows)).alias("_parts")
+    placed = df.join(starts.select("_bucket", "_start", parts), "_bucket")
+    share = F.floor(F.col("_tie").cast("double") / F.lit(float(2**63)) * F.col("_parts"))
+    placed = placed.withColumn("_part", F.coalesce(F.least(share, F.col("_parts") - 1), F.lit(-1)))
+    cut_value = F.when(F.col("_parts").isNotNull(), F.col("_value").cast("string"))
+    placed = placed.withColumn("_cut", F.coalesce(cut_value, F.lit("")))
+    # Parts of hot buckets by value, in the order of values.
+    hot = placed.filter(F.col("_parts").isNotNull())
+    pieces = hot.groupBy("_bucket", "_cut", "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_v")
     )
-    # The window has spread the rows by the join key already.
-    return (
-        placed.withColumn("_row", F.row_number().over(within))
-        .join(starts, key)
-        .select(*own, (F.col("_start") + F.col("_row") - 1).alias("rank"), "n_rows")
+    line = Window.partitionBy("_bucket").orderBy("_v", "_part")
+    pieces = pieces.select(
+        "_bucket", "_cut", "_part", (F.sum("_n").over(line) - F.col("_n")).alias("_offset")
     )
-
-
-def _spread(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SPREAD)) if columns else _no_cut()
+    inside = Window.partitionBy("_bucket", "_cut", "_part").orderBy("_value", "_tie", *ties)
+    ranked = placed.withColumn("_row", F.row_number().over(inside))
+    ranked = ranked.join(pieces, ["_bucket", "_cut", "_part"], "left")
+    rank = F.col("_start") + F.coalesce("_offset", F.lit(0)) + F.col("_row") - 1
+    return ranked.select(*own, rank.alias("rank"), F.lit(n_rows).cast("bigint").alias("n_rows"))
 
 
 def _with_copies(df: DataFrame, key: str, tie: list[str] | None, frozen: bool):
-    tie = list(tie) if tie is not None else [c for c in df.columns if c != key]
+    """The tie columns: all but the key unless named. None is no choice: some order must hold."""
+    tie = list(tie) if tie else [c for c in df.columns if c != key] or [key]
     if not frozen:
         return df, tie
     return freeze(df.withColumn("_copy", F.monotonically_increasing_id())), [*tie, "_copy"]
@@ -86,24 +86,24 @@ def rank_by_hash(
     key: str,
     seed: int,
     tie: list[str] | None = None,
-    digits: int = HASH_DIGITS,
     hot_rows: int = HOT_BUCKET_ROWS,
     frozen: bool = False,
 ) -> DataFrame:
     """Add a seeded pseudo-random ``rank`` from 0 and the total ``n_rows``.
 
-    The order is that of ``md5(seed:key)`` and does not depend on partitioning. Rows that
-    share a key are ordered by the ``tie`` columns (all others by default). A bucket of more
-    than ``hot_rows`` rows, such as many rows with one key, is first cut by a hash over the
-    tie columns. When rows can be equal in every column, ``frozen=True`` first stores them
-    with a number of their own so that copies can be told apart and spread too.
+    The order is that of ``md5(seed:key)`` and depends neither on partitioning nor on
+    ``hot_rows``. Rows that share a key (a null one included) are ordered by a hash of the ``tie``
+    columns (all others by default) and then by these. When rows can be equal in every column,
+    ``frozen=True`` first stores them with a number of their own so that copies can be told apart
+    and spread too.
     """
     columns = df.columns
     df, ties = _with_copies(df, key, tie, frozen)
-    hashed = df.withColumn("_h", seeded_hash(seed, F.col(key)))
-    hashed = hashed.withColumn("_bucket", hex_prefix_number(F.col("_h"), digits))
-    inside = [F.col("_h"), *[F.col(c) for c in ties]]
-    ranked = _rank_in_buckets(hashed, {"_part": _spread(ties)}, inside, hot_rows)
+    n_rows = df.count()
+    digits = max(HASH_DIGITS, math.ceil(math.log(max(1, n_rows / BUCKET_ROWS), 16)))
+    digest = seeded_hash(seed, F.col(key))
+    hashed = df.withColumn("_bucket", hex_prefix_number(digest, digits))
+    ranked = _rank_in_buckets(hashed, digest, ties, n_rows, 16**digits, hot_rows)
     return ranked.select(*columns, "rank", "n_rows")
 
 
@@ -111,21 +111,35 @@ def rank_by_order(
     df: DataFrame,
     order: str,
     tie: list[str] | None = None,
-    block: int = ORDER_BLOCK,
+    bucket_rows: int = BUCKET_ROWS,
     hot_rows: int = HOT_BUCKET_ROWS,
 ) -> DataFrame:
-    """Add ``rank`` from 0 and ``n_rows`` following an integer column.
+    """Add ``rank`` from 0 and ``n_rows`` following an integer column, nulls first.
 
-    Blocks of ``block`` consecutive values form the buckets. ``tie`` columns (all others by
-    default) decide between equal values; a block with many of them is cut by value and by a
-    hash over the tie columns.
+    Quantiles of the values bound the buckets, so that sparse, dense and skewed values all give
+    buckets of about ``bucket_rows`` rows. Equal values are ordered by a hash of the ``tie``
+    columns (all others by default) and then by these.
     """
     columns = df.columns
-    ties = list(tie) if tie is not None else [c for c in columns if c != order]
-    blocked = df.withColumn("_bucket", F.floor(F.col(order) / block))
-    cuts = {"_value": F.col(order).cast("bigint"), "_part": _spread(ties)}
-    inside = [F.col(order), *[F.col(c) for c in ties]]
-    ranked = _rank_in_buckets(blocked, cuts, inside, hot_rows)
+    ties = list(tie) if tie else [c for c in columns if c != order] or [order]
+    n_rows = df.count()
+    cuts = min(MAX_BOUNDS, n_rows // bucket_rows)
+    bounds: list[float] = []
+    if cuts:
+        at = F.array(*[F.lit(i / (cuts + 1)) for i in range(1, cuts + 1)])
+        wanted = F.percentile_approx(F.col(order).cast("double"), at, 10 * (cuts + 1))
+        bounds = sorted(set(df.select(wanted).first()[0] or ()))
+    # A double may stand for several values, but never turns their order round.
+    splits = [-math.inf, *bounds, math.inf]
+    number = F.col(order).cast("double")
+    if bounds:
+        finder = Bucketizer(splits=splits, inputCol="_number", outputCol="_found", handleInvalid="keep")
+        found = finder.transform(df.withColumn("_number", number)).drop("_number")
+    else:
+        found = df.withColumn("_found", F.lit(0.0))
+    bucket = F.when(F.col(order).isNull(), -1).otherwise(F.col("_found")).cast("bigint")
+    blocked = found.withColumn("_bucket", bucket).drop("_found")
+    ranked = _rank_in_buckets(blocked, F.col(order), ties, n_rows, len(splits), hot_rows)
     return ranked.select(*columns, "rank", "n_rows")
 
 
@@ -138,33 +152,26 @@ class HashCut:
     at_digest: int
 
 
-def cut_by_hash(
-    df: DataFrame, key: str, seed: int, ratio: float, digits: int = HASH_DIGITS
-) -> HashCut:
+def cut_by_hash(df: DataFrame, key: str, seed: int, ratio: float) -> HashCut:
     """Where ``int(n * ratio)`` rows of the seeded order end.
 
-    Two small jobs over the key column: bucket sizes say which bucket the cut is in, then
-    digests are counted in that bucket. One row comes back from each.
+    Small jobs over the key column narrow the digest down, four hex digits at a time: each counts
+    at most 65,536 prefixes, which come back to the driver. At the end whole digests are counted.
     """
     hashed = df.select(seeded_hash(seed, F.col(key)).alias("_h"))
-    bucket = hex_prefix_number(F.col("_h"), digits)
-    sizes = hashed.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_size"))
-    placed = sizes.select(
-        "_bucket",
-        F.sum("_size").over(Window.orderBy("_bucket")).alias("_end"),
-        F.floor(F.sum("_size").over(Window.partitionBy()) * F.lit(float(ratio))).alias("_first"),
-        "_size",
-    )
-    found = placed.filter(F.col("_end") > F.col("_first")).orderBy("_bucket").limit(1).collect()
-    if not found:  # no rows, or all of them are in front of the cut
-        return HashCut("g", 0)
-    row = found[0]
-    want = row["_first"] - (row["_end"] - row["_size"])
-    counts = (
-        hashed.filter(bucket == row["_bucket"])
-        .groupBy("_h")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_h", "_size", F.sum("_size").over(Window.orderBy("_h")).alias("_end"))
-    )
-    at = counts.filter(F.col("_end") > want).orderBy("_h").limit(1).collect()[0]
-    return HashCut(at["_h"], want - (at["_end"] - at["_size"]))
+    prefix, want = "", None
+    while True:
+        whole = len(prefix) >= 32
+        part = F.col("_h") if whole else F.substring("_h", 1, len(prefix) + HASH_DIGITS)
+        counts = hashed.filter(F.col("_h").startswith(prefix)).groupBy(part.alias("_p")).count().collect()
+        sizes = sorted((r["_p"], r["count"]) for r in counts)
+        if want is None:
+            want = math.floor(sum(n for _, n in sizes) * float(ratio))
+        for prefix, n in sizes:
+            if n > want:
+                break
+            want -= n
+        else:  # no rows, or all of them are in front of the cut
+            return HashCut("g", 0)
+        if whole or len(prefix) == 32:
+            return HashCut(prefix, want)

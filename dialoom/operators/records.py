@@ -73,9 +73,9 @@ def trainable_turns(df: DataFrame, on_error: str = "fail") -> DataFrame:
     kept = skip_empty(led)
     if on_error == "fail":
         broken = F.raise_error(F.concat(F.lit("turns out of order in "), F.col("id")))
-        ordered = F.when(t.alternates(F.col("conversations")), F.col("conversations"))
-        return kept.withColumn(
-            "conversations", F.coalesce(ordered, broken.cast(df.schema["conversations"].dataType))
+        # As a filter, it holds whatever columns are used later.
+        return kept.filter(
+            F.when(t.alternates(F.col("conversations")), True).otherwise(broken.cast("boolean"))
         )
     return check_alternation(kept, on_error)
 

@@ -4,32 +4,35 @@ A conversation may hold any number of turns here, so no step gathers one in a si
 What to keep is decided on an *outline*: positions, speakers and an emptiness flag, without
 the text. Outlines are numbered in chunks, conversation-level facts are map-side aggregates
 of a few numbers, and the text moves once, when ``pick`` joins it to the outline by turn.
+Rows with a null id belong to one conversation without a name; all joins keep them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.turns import canonical_speaker, chat_role
 from dialoom.schema import HUMAN, REPLY
-from dialoom.session import BROADCAST_ROWS
 
+# Positions that are numbered together. Ranks do not depend on it.
 CHUNK = 4096
-MAX_TURNS = 4096
 
 
-def explode_turns(conv: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
-    """Nested conversations to one row per turn, with its position.
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the left side's keys are kept."""
+    right = right.select(*[F.col(c).alias(f"_right_{c}" if c in on else c) for c in right.columns])
+    same = reduce(Column.__and__, [left[c].eqNullSafe(right[f"_right_{c}"]) for c in on])
+    return left.join(right, same, how).drop(*[f"_right_{c}" for c in on])
 
-    Rows with a ``part`` continue a conversation at ``part * max_turns``.
-    """
-    other = [c for c in conv.columns if c not in ("conversations", "part")]
-    pos = F.col("_pos").cast("bigint")
-    if "part" in conv.columns:
-        pos = pos + F.col("part") * max_turns
+
+def explode_turns(conv: DataFrame) -> DataFrame:
+    """Nested conversations to one row per turn, with its place in the record."""
+    other = [c for c in conv.columns if c != "conversations"]
     return conv.select("*", F.posexplode_outer("conversations").alias("_pos", "_turn")).select(
         *other,
-        pos.alias("pos"),
+        F.col("_pos").cast("bigint").alias("pos"),
         F.col("_turn.from").alias("from"),
         F.col("_turn.value").alias("value"),
     )
@@ -58,7 +61,8 @@ def number_turns(turns: DataFrame, alias: str = "ord") -> DataFrame:
     in_chunk = Window.partitionBy("id", "_chunk").orderBy("pos")
     kept = [c for c in turns.columns if c != alias]
     rank = F.coalesce("_offset", F.lit(0)) + F.row_number().over(in_chunk) - 1
-    return chunked.join(offsets, ["id", "_chunk"], "left").select(*kept, rank.alias(alias))
+    joined = join_null_safe(chunked, offsets, ["id", "_chunk"], "left")
+    return joined.select(*kept, rank.alias(alias))
 
 
 def outline(turns: DataFrame) -> DataFrame:
@@ -70,8 +74,8 @@ def outline(turns: DataFrame) -> DataFrame:
 def pick(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """The turns of an outline with their text; spread by (id, pos), so evenly."""
     other = [c for c in turns.columns if c not in ("id", "pos", "from", "ord")]
-    return turns.select("id", "pos", *other).join(
-        kept.select("id", "pos", "ord", "from"), ["id", "pos"]
+    return join_null_safe(
+        turns.select("id", "pos", *other), kept.select("id", "pos", "ord", "from"), ["id", "pos"]
     )
 
 
@@ -131,14 +135,25 @@ def _cut_tail(numbered: DataFrame, cut_at: Column) -> DataFrame:
             F.array_distinct(F.array(_chunk(F.col("_cut")), _chunk(F.col("_end"))))
         ).alias("_chunk"),
     )
+    chunked = numbered.withColumn("_chunk", _chunk(F.col("pos")))
     return (
-        numbered.withColumn("_chunk", _chunk(F.col("pos")))
-        .join(touched, ["id", "_chunk"], "left")
+        join_null_safe(chunked, touched, ["id", "_chunk"], "left")
         .filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut")))
         .drop("_chunk", "_cut")
     )
 
 
+def _with_fact(numbered: DataFrame, facts: DataFrame) -> DataFrame:
+    """Turns with what is known of their conversation: ``facts`` has ``id`` and other columns.
+
+    Facts go to the chunks of their conversation first, so that turns of a long one meet them
+    under many keys.
+    """
+    chunked = numbered.withColumn("_chunk", _chunk(F.col("pos")))
+    chunks = join_null_safe(chunked.select("id", "_chunk").distinct(), facts, ["id"])
+    return join_null_safe(chunked, chunks, ["id", "_chunk"], "left").drop("_chunk")
+
+
 def _human_at(i: int) -> Column:
     return F.coalesce(F.get("tail", F.lit(i))["code"] == 1, F.lit(False))
 
@@ -177,7 +192,7 @@ def drop_leading_non_human(numbered: DataFrame) -> DataFrame:
         .distinct()
     )
     return (
-        numbered.join(led, "id", "left")
+        _with_fact(numbered, led)
         .withColumn("ord", F.col("ord") - F.coalesce("_lead", F.lit(0)))
         .filter(F.col("ord") >= 0)
         .drop("_lead")
@@ -213,16 +228,13 @@ def check_alternation(numbered: DataFrame, on_error: str = "fail") -> DataFrame:
     if on_error == "fail":
         broken = F.raise_error(F.concat(F.lit("turns out of order in "), F.col("id")))
         return numbered.filter(F.when(in_turn, True).otherwise(broken.cast("boolean")))
-    broken_ids = numbered.filter(~in_turn).select("id").distinct()
+    if on_error not in ("drop", "quarantine"):
+        raise ValueError(f"unknown on_error: {on_error}")
+    broken_ids = numbered.filter(~in_turn).select("id", F.lit(True).alias("_broken")).distinct()
+    marked = _with_fact(numbered, broken_ids).withColumn("alternates", F.col("_broken").isNull())
     if on_error == "drop":
-        return numbered.join(broken_ids, "id", "left_anti")
-    if on_error == "quarantine":
-        return (
-            numbered.join(broken_ids.withColumn("_broken", F.lit(True)), "id", "left")
-            .withColumn("alternates", F.col("_broken").isNull())
-            .drop("_broken")
-        )
-    raise ValueError(f"unknown on_error: {on_error}")
+        marked = marked.filter("alternates").drop("alternates")
+    return marked.drop("_broken")
 
 
 def inject_system(numbered: DataFrame, text: str) -> DataFrame:
@@ -247,45 +259,14 @@ def inject_system(numbered: DataFrame, text: str) -> DataFrame:
     )
 
 
-def collect_turns(
-    turns: DataFrame, order: str = "pos", max_turns: int | None = MAX_TURNS
-) -> DataFrame:
-    """One row per conversation with its turns in order: ``id, part, conversations``.
+def collect_turns(turns: DataFrame, order: str = "pos") -> DataFrame:
+    """One record per conversation, of any length, with its turns in order: ``id, conversations``.
 
-    A group never holds more than ``max_turns`` positions: a longer conversation goes on in
-    further rows with ``part`` 1, 2, ... and stays whole across them. ``max_turns=None``
-    makes one row of each, for work that needs all earlier turns in one place.
+    A record is one row by definition. Work that can do without belongs on the turn table.
     """
-    if max_turns is None:
-        part = F.lit(0).cast("bigint")
-    else:
-        part = F.floor(F.col(order) / max_turns)
     turn = F.struct(F.col(order).alias("_o"), F.col("from"), F.col("value"))
-    return (
-        turns.groupBy("id", part.alias("part"))
-        .agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
-        .select(
-            "id",
-            "part",
-            F.transform(
-                "_turns",
-                lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value")),
-            ).alias("conversations"),
-        )
+    plain = F.transform(
+        "_turns", lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))
     )
-
-
-def split_long(
-    turns: DataFrame, max_turns: int = MAX_TURNS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Turns of ordinary conversations, and of those reaching position ``max_turns``.
-
-    The second is None when there are no such conversations, which a look at the positions
-    alone tells (Parquet statistics skip most of it). Their ids are broadcast only if few.
-    """
-    long_ids = turns.filter(F.col("pos") >= max_turns).select("id").distinct()
-    found = long_ids.limit(BROADCAST_ROWS + 1).count()
-    if found == 0:
-        return turns, None
-    side = F.broadcast(long_ids) if found <= BROADCAST_ROWS else long_ids
-    return turns.join(side, "id", "left_anti"), turns.join(side, "id", "left_semi")
+    grouped = turns.groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    return grouped.select("id", plain.alias("conversations"))

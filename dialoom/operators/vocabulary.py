@@ -9,60 +9,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dialoom.functions.tokens import RegexTokenizer
-from dialoom.session import broadcast_if_bounded
+from dialoom.session import broadcast_if_bounded, freeze
 
-POSITIONS = 2**20
 
-
-def _supervised(features: DataFrame, values: str, seq: str | None) -> DataFrame:
-    """One row per position whose mask is 1: ``token`` and, with ``seq``, its ``seen`` order."""
-    zipped = F.arrays_zip(F.col(values).alias("token"), F.col("loss_mask").alias("m"))
+def _supervised(features: DataFrame, seq: str | None) -> DataFrame:
+    """One row per position whose mask is 1: ``token`` and, with ``seq``, where it is ``seen``."""
+    zipped = F.arrays_zip(F.col("input_ids").alias("token"), F.col("loss_mask").alias("m"))
     if seq is None:
         kept = F.filter(zipped, lambda z: z["m"] == 1)
         return features.select(F.explode(kept).alias("t")).select("t.token")
     return (
-        features.select(F.col(seq).alias("_seq"), F.posexplode(zipped).alias("_pos", "t"))
+        features.select(F.col(seq).cast("bigint").alias("_seq"), F.posexplode(zipped).alias("_pos", "t"))
         .filter(F.col("t.m") == 1)
-        .select("t.token", (F.col("_seq") * POSITIONS + F.col("_pos")).alias("seen"))
+        .select("t.token", F.struct(F.col("_seq").alias("seq"), F.col("_pos").alias("pos")).alias("seen"))
     )
 
 
-def _count(tokens: DataFrame, name: str) -> DataFrame:
+def _count(tokens: DataFrame) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("freq")]
     if "seen" in tokens.columns:
         aggregates.append(F.min("seen").alias("first_seen"))
-    return tokens.groupBy(F.col("token").alias(name)).agg(*aggregates)
+    return tokens.groupBy(F.col("token").alias("token_id")).agg(*aggregates)
 
 
 def token_frequency(features: DataFrame, seq: str | None = None) -> DataFrame:
     """Supervised occurrences per token id: ``token_id, freq``.
 
-    With ``seq`` (an integer row order) also ``first_seen``, a number that grows with the
-    row and the position of the first occurrence. Counting is a partial aggregate before the
-    shuffle: a token that makes up a third of the corpus arrives as one row per task.
+    With ``seq`` (an integer row order) also ``first_seen``: the row and the position of the
+    first occurrence, as a pair that compares in that order. Counting is a partial aggregate
+    before the shuffle, so each task sends at most one row per id of the vocabulary.
     """
-    return _count(_supervised(features, "input_ids", seq), "token_id")
-
-
-def word_frequency(
-    worded: DataFrame, tokenizer: RegexTokenizer, seq: str | None = None
-) -> DataFrame:
-    """Like ``token_frequency`` for rows with ``words`` in place of ids.
-
-    Words are counted first and only distinct words are hashed to ids.
-    """
-    return _hashed(_count(_supervised(worded, "words", seq), "word"), tokenizer)
+    return _count(_supervised(features, seq))
 
 
 def text_token_frequency(texts: DataFrame, tokenizer: RegexTokenizer, text: str = "text") -> DataFrame:
     """Token counts of whole texts with every position supervised."""
-    words = texts.select(F.explode(tokenizer.words(F.col(text))).alias("token"))
-    return _hashed(_count(words, "word"), tokenizer)
-
-
-def _hashed(counts: DataFrame, tokenizer: RegexTokenizer) -> DataFrame:
-    word_id = tokenizer.word_id(F.col("word")).alias("token_id")
-    return merge_token_counts(counts.select(word_id, *[c for c in counts.columns if c != "word"]))
+    return _count(texts.select(F.explode(tokenizer.ids(F.col(text))).alias("token")))
 
 
 def merge_token_counts(*counts: DataFrame) -> DataFrame:
@@ -126,6 +108,21 @@ def target_in_draft(
     )
 
 
+def kept_positions(
+    df: DataFrame, vocab: DataFrame, vocab_size: int, draft_size: int | None = None,
+    target: str = "target", alias: str = "kept",
+) -> DataFrame:
+    """Add an array with 1 where the draft vocabulary has the id in ``target`` and else 0.
+
+    The vocabulary goes into the plan as one array by id, of ``vocab_size`` flags.
+    """
+    flags = target_in_draft(df.sparkSession, vocab, vocab_size, draft_size)
+    listed = F.sort_array(F.collect_list(F.struct("token_id", F.col("in_draft").cast("int").alias("f"))))
+    by_id = freeze(flags.agg(listed.alias("a")).select(F.transform("a", lambda x: x["f"])))
+    kept = F.transform(target, lambda t: F.coalesce(F.get("_by_id", t), F.lit(0)))
+    return df.withColumn("_by_id", by_id.scalar()).withColumn(alias, kept).drop("_by_id")
+
+
 def mask_by_draft_vocab(
     tokens: DataFrame, vocab: DataFrame, draft_size: int | None = None, token: str = "target_id"
 ) -> DataFrame:

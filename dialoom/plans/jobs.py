@@ -7,22 +7,22 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dialoom.functions.text import ChatTemplate
-from dialoom.functions.tokens import RegexTokenizer, Tokenizer
+from dialoom.functions.tokens import Tokenizer
 from dialoom.operators import metrics, records, sampling, vocabulary
-from dialoom.operators.features import featurize, supervised_words
+from dialoom.operators.features import featurize
 from dialoom.operators.ranking import rank_by_hash, rank_by_order
 from dialoom.operators.regenerate import RetryPolicy, regenerate_replies
 from dialoom.schema import (
     CONVERSATION,
     LOOSE_CONVERSATION,
-    MAX_LEN,
     SAMPLE_RATE,
     SEED,
     TRAIN_RATIO,
 )
-from dialoom.session import freeze
+from dialoom.session import freeze, fresh_path
 from dialoom.sources import sinks
 from dialoom.sources.conversations import (
     Schema,
@@ -35,12 +35,12 @@ from dialoom.sources.conversations import (
 
 def clean_and_split(
     spark: SparkSession, source: str, target: str, full: bool = False,
-    ratio: float = TRAIN_RATIO, seed: int = SEED, schema: Schema = CONVERSATION,
+    ratio: float = TRAIN_RATIO, seed: int = SEED, schema: Schema = None,
 ) -> DataFrame:
     """Clean a JSONL corpus; write it whole, or as ``split=train`` and ``split=test``.
 
-    ``schema=None`` carries along every other key the records have. Returns the record
-    counts of what was written.
+    Every key of the records is carried along, at the price of a pass to find them; a ``schema``
+    saves that and drops the others. Returns the record counts of what was written.
     """
     cleaned = records.clean_conversations(scan_conversations_jsonl(spark, source, schema))
     if full:
@@ -65,17 +65,39 @@ def indexed_corpus(df: DataFrame, order: str | None = None) -> DataFrame:
 
     ``order`` names an integer column that gives the corpus its order. Without one, and
     without an ``idx`` in the data, records are numbered in the order of their ids' digests,
-    which is the same on every run.
+    which is the same on every run; records without ids, or a data set without such a column,
+    go by the digest of their content. Missing ids are made up from the index.
     """
+    if "id" not in df.columns:
+        df = df.withColumn("id", F.lit(None).cast("string"))
     if order is not None:
         df = rank_by_order(df, order).withColumnRenamed("rank", "idx").drop("n_rows")
     elif "idx" not in df.columns:
-        df = rank_by_hash(df, "id", SEED).withColumnRenamed("rank", "idx").drop("n_rows")
+        content = F.md5(F.to_json(F.struct(*sorted(df.columns))))
+        keyed = df.withColumn("_key", F.coalesce(F.col("id").cast("string"), content))
+        ranked = rank_by_hash(keyed, "_key", SEED, frozen=True)
+        df = ranked.withColumnRenamed("rank", "idx").drop("n_rows", "_key")
     conv = records.keep_dialogue_roles(coalesce_turn_fields(df))
     made_up = F.concat(F.lit("regenerated_"), F.col("idx").cast("string"))
     return conv.withColumn("id", F.coalesce("id", made_up)).select("id", "idx", "conversations")
 
 
+def _missing_path(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def finished_indexes(spark: SparkSession, target: str) -> DataFrame | None:
+    """``idx`` of saved records without a failed reply; None if nothing was saved yet."""
+    try:
+        saved = sinks.scan_batches(spark, target)
+    except AnalysisException as error:
+        if _missing_path(error):
+            return None
+        raise
+    failed = F.exists(F.coalesce("errors", F.array().cast("array<string>")), F.isnotnull)
+    return saved.filter(~failed).select("idx").distinct()
+
+
 def regenerate_corpus(
     spark: SparkSession,
     conv: DataFrame,
@@ -87,32 +109,34 @@ def regenerate_corpus(
     policy: RetryPolicy = RetryPolicy(),
     partitions: int | None = None,
     threads: int = 8,
-    batches_per_commit: int = 100,
+    commits: int = 10,
 ) -> None:
-    """Regenerate ``conv(id, idx, conversations)`` in commits of some batches each.
+    """Regenerate ``conv(id, idx, conversations)`` in at most ``commits`` saves.
 
-    What a commit has written survives a stop. A second run leaves out every index that is
-    already there.
+    What is still to do is worked out once and stored in the shared folder, partitioned by
+    commit, so each commit reads its own rows only and the corpus is read once. What a commit has
+    written survives a stop. A second run leaves out every index that is there without a failed
+    reply; one whose reply failed is asked for again, and merging prefers the better row.
     """
-    step = batch_save * batches_per_commit
-    for low in range(start_index, end_index, step):
-        high = min(low + step, end_index)
-        todo = sampling.slice_by_index(conv, low, high)
-        try:
-            done = sinks.scan_batches(spark, target).filter(
-                (F.col("batch_start") >= low) & (F.col("batch_start") < high)
-            )
-            todo = todo.join(done.select("idx"), "idx", "left_anti")
-        except AnalysisException:  # nothing written yet
-            pass
-        replies = regenerate_replies(todo, generate, policy, partitions, threads)
-        sinks.write_batches(
-            replies.select("id", "idx", "conversations"), target, batch_save, start_index,
-            end_index, mode="append",
-        )
-
-
-def merge_corpus(spark: SparkSession, batches: str, target: str, dedupe: str | None = "id") -> None:
+    todo = sampling.slice_by_index(conv, start_index, end_index)
+    done = finished_indexes(spark, target)
+    if done is not None:
+        todo = todo.join(done, "idx", "left_anti")
+    batches = -(-(end_index - start_index) // batch_save)
+    step = batch_save * max(1, -(-batches // commits))
+    commit = F.floor((F.col("idx") - start_index) / step).cast("int")
+    folder = fresh_path(spark, "to-regenerate")
+    todo.withColumn("commit", commit).write.partitionBy("commit").parquet(folder)
+    stored = spark.read.schema(
+        StructType([*todo.schema.fields, StructField("commit", IntegerType())])
+    ).parquet(folder)
+    for number in range(-(-(end_index - start_index) // step)):
+        mine = stored.filter(F.col("commit") == number)
+        replies = regenerate_replies(mine, generate, policy, partitions, threads)
+        sinks.write_batches(replies, target, batch_save, start_index, mode="append")
+
+
+def merge_corpus(spark: SparkSession, batches: str, target: str, dedupe: str | None = "idx") -> None:
     """Merge saved batches into one JSONL corpus at another path."""
     merged = sinks.merge_batches(sinks.scan_batches(spark, batches), dedupe)
     sinks.write_jsonl(merged.select("id", "conversations"), target)
@@ -154,15 +178,16 @@ def build_draft_vocab(
     template: ChatTemplate,
     tokenizer: Tokenizer,
     draft_size: int,
-    max_len: int | None = MAX_LEN,
+    max_len: int | None = None,
     policy: str = "reference",
-    ties: str = "token_id",
+    ties: str = "first_seen",
     seq: str | None = None,
     on_error: str = "fail",
 ) -> DraftVocabulary:
     """Featurize, count supervised tokens and keep the ``draft_size`` most frequent.
 
-    ``ties="first_seen"`` needs ``seq``, an integer column with the order of the records.
+    Equal counts go by first occurrence, which needs ``seq``, an integer column with the order of
+    the records; ``ties="token_id"`` needs none.
     The frequency table, at most one row per token id, is stored in the session's shared
     folder, so that the corpus is read once for maps, coverage and membership.
     """
@@ -170,12 +195,8 @@ def build_draft_vocab(
         raise ValueError("ties='first_seen' needs seq")
     keep = (seq,) if seq is not None else ()
     order = seq if ties == "first_seen" else None
-    args = (conv, template, tokenizer, max_len, policy, on_error, keep)
-    if isinstance(tokenizer, RegexTokenizer):
-        counted = vocabulary.word_frequency(supervised_words(*args), tokenizer, order)
-    else:
-        counted = vocabulary.token_frequency(featurize(*args), order)
-    frequency = freeze(counted)
+    features = featurize(conv, template, tokenizer, max_len, policy, on_error, keep)
+    frequency = freeze(vocabulary.token_frequency(features, order))
     top = vocabulary.top_n_tokens(frequency, draft_size, ties)
     return DraftVocabulary(
         frequency=frequency,
@@ -186,6 +207,34 @@ def build_draft_vocab(
     )
 
 
+def feature_corpus(
+    spark: SparkSession, source: str, target: str, template: ChatTemplate, tokenizer: Tokenizer,
+    max_len: int | None = None, policy: str = "reference", on_error: str = "fail",
+    fmt: str | None = None,
+) -> DataFrame:
+    """A cleaned chat corpus to feature rows in Parquet, which are returned."""
+    conv = coalesce_turn_fields(load_conversations(spark, source, fmt, None))
+    featurize(conv, template, tokenizer, max_len, policy, on_error).write.parquet(target)
+    return spark.read.parquet(target)
+
+
+def vocabulary_corpus(
+    spark: SparkSession, source: str, target: str, template: ChatTemplate, tokenizer: Tokenizer,
+    draft_size: int, max_len: int | None = None, on_error: str = "fail", fmt: str | None = None,
+) -> DataFrame:
+    """A cleaned chat corpus to its draft vocabulary: maps and coverage in Parquet.
+
+    Equal counts go by token id, as files have no order of records. Returns the coverage.
+    """
+    conv = coalesce_turn_fields(load_conversations(spark, source, fmt, None))
+    built = build_draft_vocab(
+        conv, template, tokenizer, draft_size, max_len, ties="token_id", on_error=on_error
+    )
+    built.maps.write.parquet(f"{target}/maps")
+    built.coverage.write.parquet(f"{target}/coverage")
+    return spark.read.parquet(f"{target}/coverage")
+
+
 def training_report(spark: SparkSession, log: str) -> DataFrame:
     """A training log as one row per split and epoch with its mean metrics."""
     rows = metrics.parse_train_log(scan_text_log(spark, log))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,15 +13,14 @@ BROADCAST_ROWS = 1_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (a local test) gets a folder of its own, which is then
-    also set as the session's checkpoint folder.
+    A session that names none gets a folder of its own under ``spark.sql.warehouse.dir``, which
+    all executors share, and that becomes its checkpoint folder.
     """
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    current = tempfile.mkdtemp(prefix="dialoom-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    current = f"{warehouse}/_dialoom-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(current)
     return current
 

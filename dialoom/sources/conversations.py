@@ -48,8 +48,9 @@ def scan_conversations_json(
     """Files that are each one JSON array of records.
 
     ``any`` parses every file as a whole, one task per file. ``indented`` is for arrays
-    written with two-space indentation: such a file is cut at record boundaries, so one big
-    file is read by many tasks.
+    written with two-space indentation and LF: such a file is cut at record boundaries, so one
+    big file is read by many tasks. A piece that holds anything but one record, as any other
+    spelling gives, fails the job.
     """
     if layout == "any":
         return _json_reader(spark, schema).option("multiLine", True).json(path)
@@ -66,9 +67,14 @@ def scan_conversations_json(
         F.concat(opened, F.lit("\n  }"))
     )
     record = F.from_json(F.col("body"), schema, {"mode": "FAILFAST"})
+    other = F.raise_error(F.lit("not a two-space indented array of records")).cast("boolean")
+    # One record: it opens with two spaces less than its keys, ends with its own closer, and has
+    # no other line that closes a record or the array.
+    one = F.col("body").rlike(r"^\{\n    (?s:.*)\n  \}$") & ~F.col("body").rlike(r"\n {0,2}[\]}],?\n")
     return (
-        pieces.select(body.alias("body"))
-        .filter(F.trim("body") != "")
+        pieces.select(F.btrim(body, F.lit(" \t\n\r")).alias("body"))
+        .filter(F.col("body") != "")
+        .filter(F.when(one, True).otherwise(other))
         .select(record.alias("r"))
         .select("r.*")
     )
@@ -87,17 +93,16 @@ def scan_parquet_dir(spark: SparkSession, directory: str) -> DataFrame:
 def load_conversations(
     spark: SparkSession, path: str, fmt: str | None = None, schema: Schema = CONVERSATION
 ) -> DataFrame:
-    """Pick the reader by ``fmt`` or, without it, by the path.
+    """Pick the reader by ``fmt``, else by the suffix of the path, else by its name.
 
     ``schema`` is for JSON; Parquet files bring their own.
     """
     if fmt is None:
-        if "ultra" in path:
+        suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2]
+        if suffix in ("jsonl", "json", "parquet"):
+            fmt = suffix
+        elif "ultra" in path:  # the one data set that is known by its name
             fmt = "parquet"
-        elif path.endswith(".jsonl"):
-            fmt = "jsonl"
-        elif path.endswith(".json"):
-            fmt = "json"
     if fmt == "parquet":
         return scan_parquet_dir(spark, path)
     if fmt == "jsonl":
@@ -123,23 +128,28 @@ def coalesce_turn_fields(df: DataFrame) -> DataFrame:
     An empty ``conversations`` gives way to ``items`` if the record has one, else to
     ``messages``; an empty ``from``/``value`` gives way to ``role``/``content``.
     """
-    columns = set(df.columns)
-    main = F.col("conversations") if "conversations" in columns else None
-    fallbacks = [F.col(c) for c in ("items", "messages") if c in columns]
-    choices = ([F.when(F.size(main) > 0, main)] if main is not None else []) + fallbacks
-    element = df.schema[next(c for c in ("conversations", "items", "messages") if c in columns)]
-    fields = set(element.dataType.elementType.names)
-
-    def first_of(turn: Column, *names: str) -> Column:
-        return falls_through(*[turn[n] for n in names if n in fields])
-
-    turns = F.transform(
-        F.coalesce(*choices),
-        lambda t: F.struct(
-            first_of(t, "from", "role").alias("from"),
-            first_of(t, "value", "content").alias("value"),
-        ),
-    )
+    there = [c for c in ("conversations", "items", "messages") if c in df.columns]
+
+    def unified(container: str) -> Column:
+        """A container under the canonical names, whatever names its own turns have."""
+        fields = set(df.schema[container].dataType.elementType.names)
+
+        def first_of(turn: Column, *names: str) -> Column:
+            found = [turn[n] for n in names if n in fields]
+            return falls_through(*found) if found else F.lit(None).cast("string")
+
+        return F.transform(
+            container,
+            lambda t: F.struct(
+                first_of(t, "from", "role").alias("from"),
+                first_of(t, "value", "content").alias("value"),
+            ),
+        )
+
+    choices = [
+        F.when(F.size(c) > 0, unified(c)) if c == "conversations" else unified(c) for c in there
+    ]
+    turns = F.coalesce(*choices)
     kept = [c for c in df.columns if c not in ("conversations", "items", "messages")]
     empty = F.expr("CAST(array() AS array<struct<`from`:string,value:string>>)")
     return df.select(*kept, F.coalesce(turns, empty).alias("conversations"))

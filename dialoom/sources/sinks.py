@@ -5,15 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dialoom.schema import CONVERSATION
 
+
 BATCH_FILE_ROWS = 100_000
-MAX_BATCH_FOLDERS = 10_000
-INDEX_SPAN = 10**18
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,64 +33,54 @@ def assign_batches(df: DataFrame, batch_save: int, start_index: int = 0) -> Data
 
 
 def write_batches(
-    df: DataFrame,
-    path: str,
-    batch_save: int,
-    start_index: int = 0,
-    end_index: int | None = None,
-    mode: str = "errorifexists",
+    df: DataFrame, path: str, batch_save: int, start_index: int = 0, mode: str = "errorifexists"
 ) -> None:
-    """Rows with an ``idx`` to disjoint batches, one ``batch_start=N`` folder each.
+    """Rows with an ``idx`` to disjoint batches: JSON lines that carry their ``batch_start``.
 
-    Files hold consecutive indexes. A batch larger than a file is written by several tasks.
-    When the range would need more than ``MAX_BATCH_FOLDERS`` folders (or its end is not
-    given), ``batch_start`` is stored as a field instead, in range-partitioned files.
+    A batch lies in one file, or in several of consecutive indexes if it is large. The layout is
+    the same for any number of batches; several saves to one path add up. ``df`` is computed once:
+    no sampling looks at it first, as its rows may come from a paid service.
     """
     batches = assign_batches(df, batch_save, start_index)
-    few = end_index is not None and (end_index - start_index) / batch_save <= MAX_BATCH_FOLDERS
-    if few:
-        piece = F.floor(F.col("idx") / BATCH_FILE_ROWS)
-        writer = batches.repartition("batch_start", piece).write.partitionBy("batch_start")
-    else:
-        writer = batches.repartitionByRange("batch_start", "idx").write
+    piece = F.floor(F.col("idx") / BATCH_FILE_ROWS)
+    dealt = batches.repartition("batch_start", piece).sortWithinPartitions("batch_start", "idx")
+    writer = dealt.write
     writer.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def scan_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Batches as written, in either layout."""
+    """Batches as written, with attempts and errors where the save had them."""
     schema = T.StructType(
         [
             *CONVERSATION.fields,
             T.StructField("idx", T.LongType()),
             T.StructField("batch_start", T.LongType()),
+            T.StructField("attempts", T.ArrayType(T.IntegerType())),
+            T.StructField("errors", T.ArrayType(T.StringType())),
         ]
     )
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def merge_batches(batches: DataFrame, dedupe: str | None = "id") -> DataFrame:
+def merge_batches(batches: DataFrame, dedupe: str | None = "idx") -> DataFrame:
     """All batches in order of start and index.
 
-    With ``dedupe`` only the latest batch's row of each key stays (the latest index within
-    that batch). Copies of a row and repeats of a key are folded before the shuffle, and
-    whole rows move once, spread by (key, batch, index). Rows without a key are all kept.
+    Saves that overlap repeat an ``idx``: of its rows the one with the fewest failed replies
+    stays, then the latest batch's, then the one with the greatest digest, so the choice does not
+    depend on the order of files. Winners are found on narrow rows that are combined before the
+    shuffle. ``dedupe=None`` keeps all rows, as do rows without a key.
     """
     if dedupe is not None:
-        keyed = batches.filter(F.col(dedupe).isNotNull())
-        # Batch and index packed into one decimal, which a hash aggregate can update in place.
-        packed = F.col("batch_start").cast("decimal(38,0)") * INDEX_SPAN + F.col("idx")
-        winners = (
-            keyed.groupBy(dedupe)
-            .agg(F.max(packed.cast("decimal(38,0)")).alias("_latest"))
-            .select(
-                dedupe,
-                F.expr(f"_latest div {INDEX_SPAN}").cast("bigint").alias("batch_start"),
-                (F.col("_latest") % INDEX_SPAN).cast("bigint").alias("idx"),
-            )
-        )
-        key = [dedupe, "batch_start", "idx"]
-        keyed = keyed.dropDuplicates(key).join(winners, key, "left_semi")
-        batches = keyed.unionByName(batches.filter(F.col(dedupe).isNull()))
+        failed = F.lit(0)
+        if "errors" in batches.columns:
+            failed = F.coalesce(F.size(F.array_compact("errors")), F.lit(0))
+        digest = F.md5(F.to_json(F.struct(*sorted(batches.columns))))
+        standing = F.struct((-failed).alias("f"), F.col("batch_start").alias("b"), digest.alias("d"))
+        keyed = batches.filter(F.col(dedupe).isNotNull()).withColumn("_standing", standing)
+        winners = keyed.groupBy(dedupe).agg(F.max("_standing").alias("_standing"))
+        key = [dedupe, "_standing"]
+        kept = keyed.dropDuplicates(key).join(winners, key, "left_semi").drop("_standing")
+        batches = kept.unionByName(batches.filter(F.col(dedupe).isNull()))
     return batches.orderBy("batch_start", "idx")
 
 
@@ -100,10 +90,7 @@ def record_counts(**stages: DataFrame) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("stage"), "records")
         for name, df in stages.items()
     ]
-    result = counted[0]
-    for more in counted[1:]:
-        result = result.unionByName(more)
-    return result
+    return reduce(DataFrame.unionByName, counted)
 
 
 def fingerprint(**parameters: object) -> str:
@@ -112,12 +99,26 @@ def fingerprint(**parameters: object) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def data_state(df: DataFrame) -> list[list[str]]:
+    """Names, sizes and times of the files behind a frame, for ``load_or_build_vocab``."""
+    file = F.col("_metadata")
+    files = df.select(
+        file["file_path"].alias("path"), file["file_size"].cast("string").alias("size"),
+        file["file_modification_time"].cast("string").alias("time"),
+    ).distinct()
+    # Only a digest comes back, whatever the number of files.
+    row = F.md5(F.concat_ws("|", "path", "size", "time"))
+    digest = files.select(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)").alias("d"))
+    return [[str(v) for v in digest.agg(F.count("*"), F.sum("d")).first()]]
+
+
 def load_or_build_vocab(
     spark: SparkSession, root: str, build: Callable[[], DataFrame], **parameters: object
 ) -> DataFrame:
     """The vocabulary saved for these parameters, built and saved first if there is none.
 
-    Only a folder whose write finished counts as saved.
+    Only a folder whose write finished counts as saved. Parameters must tell apart whatever may
+    change: for data at a path, ``data_state`` of its frame rather than the path.
     """
     path = f"{root.rstrip('/')}/vocab-{fingerprint(**parameters)}"
     try:

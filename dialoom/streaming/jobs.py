@@ -7,18 +7,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dialoom.functions.tokens import RegexTokenizer
 from dialoom.operators.records import clean_conversations
-from dialoom.schema import CONVERSATION
+from dialoom.sources.conversations import Schema, scan_conversations_jsonl
 
 
 def stream_clean(
-    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, max_files: int | None = None
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, max_files: int | None = None,
+    schema: Schema = None,
 ) -> StreamingQuery:
     """Clean conversation files as they arrive and append them to ``out_dir``.
 
-    The file sink commits every micro-batch once, so a restart neither loses nor repeats
-    records. Runs until all files present are done; start it again for later ones.
+    Without ``schema`` the files present at the start tell which keys there are, and all are
+    carried along. The file sink commits every micro-batch once, so a restart neither loses nor
+    repeats records. Runs until all files present are done; start it again for later ones.
     """
-    reader = spark.readStream.schema(CONVERSATION).option("mode", "FAILFAST")
+    if schema is None:
+        schema = scan_conversations_jsonl(spark, in_dir, None).schema
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (
@@ -44,9 +48,9 @@ def stream_token_frequency(
 ) -> StreamingQuery:
     """Running token counts over parquet files of texts.
 
-    State and output have one row per token id. Each micro-batch replaces its own
-    ``batch=N`` folder, so a repeated batch does not count twice; ``latest_frequency``
-    reads the newest complete one.
+    State has one row per token id. Each micro-batch appends the ids whose count it changed, with
+    their new counts, to its own ``batch=N`` folder; a repeated batch replaces that folder.
+    ``latest_frequency`` takes each id's newest count from folders whose write finished.
     """
     reader = spark.readStream.schema(schema)
     if max_files is not None:
@@ -60,7 +64,7 @@ def stream_token_frequency(
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     return (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(save)
@@ -69,7 +73,9 @@ def stream_token_frequency(
 
 
 def latest_frequency(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest counts that ``stream_token_frequency`` has saved."""
-    batches = spark.read.parquet(out_dir)
-    newest = batches.agg(F.max("batch").alias("batch"))
-    return batches.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
+    """The newest count of every token id that ``stream_token_frequency`` has saved.
+
+    Counts only grow, so the newest is the greatest. A folder whose write did not finish holds
+    no visible files: Spark's committer moves them in at the end.
+    """
+    return spark.read.parquet(out_dir).groupBy("token_id").agg(F.max("freq").alias("freq"))

@@ -111,7 +111,7 @@ def test_other_keys_survive_cleaning(spark, tmp_path):
     source.write_text(json.dumps({
         "id": "a", "lang": "en", "conversations": [{"from": H, "value": "q", "weight": 1}] * 2,
     }))
-    jobs.clean_and_split(spark, str(source), str(target), full=True, schema=None)
+    jobs.clean_and_split(spark, str(source), str(target), full=True)
     line = spark.read.text(str(target)).collect()[0][0]
     assert json.loads(line) == {
         "id": "a", "lang": "en", "conversations": [{"from": H, "value": "q", "weight": 1}],

@@ -98,24 +98,30 @@ def test_weighted_loss(spark):
 
 
 def test_acceptance(spark):
-    """Two sequences, brute force over the definition."""
+    """Two sequences, brute force over the definition; the last step finds nothing."""
     rng = random.Random(9)
-    truth = [(s, p, rng.randrange(6), rng.randrange(2)) for s in range(2) for p in range(12)]
-    preds = [(s, p, k, rng.randrange(6)) for s in range(2) for p in range(12) for k in range(4)]
-    vocab = {0, 2, 3, 5}
-    by_place = {(s, p): (t, m) for s, p, t, m in truth}
-    want = {}
-    for k in range(4):
-        hits = positions = 0
-        for s, p, kk, d in preds:
-            if kk == k and (s, p + k) in by_place:
-                t, m = by_place[s, p + k]
-                positions += m
-                hits += m * (d == t and t in vocab)
-        want[k] = (hits, positions, hits / (positions + 1e-6))
+    vocab, steps = {0, 2, 3, 5}, 4
+    rows, want = [], {k: [0, 0] for k in (*range(steps), steps)}
+    for s in range(2):
+        target = [rng.randrange(6) for _ in range(12)]
+        mask = [rng.randrange(2) for _ in range(12)]
+        drafts = [[rng.randrange(6) for _ in range(12)] for _ in range(steps)] + [[]]
+        rows.append((s, target, mask, [int(t in vocab) for t in target], drafts))
+        for k in range(steps):
+            for pos in range(12 - k):
+                want[k][1] += mask[pos + k]
+                right = drafts[k][pos] == target[pos + k] and target[pos + k] in vocab
+                want[k][0] += mask[pos + k] * right
     got = metrics.acceptance_accuracy(
-        spark.createDataFrame(truth, "seq int, pos int, target_id int, mask int"),
-        spark.createDataFrame(preds, "seq int, pos int, k int, draft_id int"),
-        spark.createDataFrame([(v,) for v in vocab], "token_id int"),
+        spark.createDataFrame(rows, "seq int, target array<int>, mask array<int>, kept array<int>, drafts array<array<int>>")
     )
-    assert {r["k"]: (r["hits"], r["positions"], pytest.approx(r["accuracy"])) for r in got.collect()} == want
+    assert {r["k"]: (r["hits"], r["positions"], r["accuracy"]) for r in got.collect()} == {
+        k: (h, n, pytest.approx(h / (n + 1e-6))) for k, (h, n) in want.items()
+    }
+    assert want[steps] == [0, 0]
+
+
+def test_null_groups_have_a_mean(spark):
+    rows = [(None, float(i)) for i in range(10)] + [("a", 3.0)]
+    means = metrics.trimmed_mean_latency(spark.createDataFrame(rows, "engine string, seconds double"), "engine")
+    assert {r["engine"]: r["latency"] for r in means.collect()} == {None: pytest.approx(4.5), "a": 3.0}

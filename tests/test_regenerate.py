@@ -9,6 +9,7 @@ import dialoom
 from dialoom.operators import regenerate as gen
 from dialoom.plans import jobs
 from dialoom.sources import conversations as src
+from dialoom.sources import sinks
 from tests.conftest import as_dict
 
 H, G = "human", "gpt"
@@ -93,7 +94,7 @@ def test_batches_resume_and_merge(spark, tmp_path, conv):
         calls.add(1)
         return reply(prompt)
 
-    options = dict(batch_save=3, start_index=2, policy=QUICK, batches_per_commit=2)
+    options = dict(batch_save=3, start_index=2, policy=QUICK, commits=3)
     jobs.regenerate_corpus(spark, df, saved, counted, end_index=9, **options)
     assert calls.value == 7
     jobs.regenerate_corpus(spark, df, saved, counted, end_index=17, **options)
@@ -104,6 +105,44 @@ def test_batches_resume_and_merge(spark, tmp_path, conv):
     }
 
 
+def test_failed_replies_are_asked_for_again(spark, tmp_path, conv):
+    """The service is down in the first run and well in the second."""
+    data = {f"c_{i}": [(H, f"q{i}"), (G, "old")] for i in range(6)}
+    df = conv(data).withColumn("idx", F.substring_index("id", "_", -1).cast("bigint"))
+    saved, merged = str(tmp_path / "saved"), str(tmp_path / "merged")
+
+    def down(prompt):
+        raise ValueError("no route")
+
+    options = dict(batch_save=2, start_index=0, end_index=6, policy=QUICK)
+    jobs.regenerate_corpus(spark, df, saved, down, **options)
+    jobs.regenerate_corpus(spark, df, saved, reply, **options)
+    jobs.regenerate_corpus(spark, df, saved, down, **options)  # nothing is left to ask
+    jobs.merge_corpus(spark, saved, merged)
+    assert as_dict(src.scan_conversations_jsonl(spark, merged)) == {
+        f"c_{i}": [(H, f"q{i}"), (G, reply(f"Human: q{i}\n\nAssistant:"))] for i in range(6)
+    }
+
+
+def test_a_grown_range_reads_back_whole(spark, tmp_path, conv):
+    data = {f"c_{i}": [(H, f"q{i}"), (G, "old")] for i in range(40)}
+    df = conv(data).withColumn("idx", F.substring_index("id", "_", -1).cast("bigint"))
+    saved = str(tmp_path / "saved")
+    for end in (20, 40):
+        jobs.regenerate_corpus(spark, df, saved, reply, 1, 0, end, policy=QUICK, commits=2)
+    assert sorted(r["idx"] for r in sinks.scan_batches(spark, saved).collect()) == list(range(40))
+
+
+def test_datasets_without_ids(spark, tmp_path):
+    rows = [([(H, f"q{i}"), (G, "old")],) for i in range(5)] + [([(H, "q0"), (G, "old")],)]
+    df = spark.createDataFrame(rows, "messages array<struct<`from`:string,value:string>>")
+    df.write.parquet(str(tmp_path / "chats"))
+    made = jobs.indexed_corpus(src.load_conversations(spark, str(tmp_path / "chats"), "parquet"))
+    got = made.collect()
+    assert sorted(r["idx"] for r in got) == list(range(6))
+    assert all(r["id"] == f"regenerated_{r['idx']}" and len(r["conversations"]) == 2 for r in got)
+
+
 def test_map_batched(spark):
     def keep_even(pdf):
         return pdf[pdf["id"] % 2 == 0].assign(double=lambda d: d["id"] * 2)[["double"]]

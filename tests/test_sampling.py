@@ -71,12 +71,9 @@ def test_hot_key_is_cut_up(spark):
     assert again == {(r["id"], r["body"]): r["rank"] for r in rows}
     ordered = [r["id"] for r in sorted(plain.collect(), key=lambda r: r["rank"])]
     assert ordered == sorted(ordered, key=lambda k: digest(k, 1))
-    one_ids = {r["id"]: r["rank"] for r in plain.collect() if r["id"] != "same"}
-    cut_ids = {r["id"]: r["rank"] for r in rows if r["id"] != "same"}
-    near = {k for k in one_ids if digest(k, 1)[:4] == digest("same", 1)[:4]}
-    assert {k: v for k, v in one_ids.items() if k not in near} == {
-        k: v for k, v in cut_ids.items() if k not in near
-    }
+    for hot_rows in (1, 7, 100, 10**9):
+        other = rank_by_hash(df, "id", 1, hot_rows=hot_rows).collect()
+        assert {(r["id"], r["body"]): r["rank"] for r in other} == again
 
 
 @pytest.mark.parametrize("ratio", [0.1, 0.5, 0.95])
@@ -98,8 +95,24 @@ def test_equal_rows_need_numbers_of_their_own(spark):
 def test_rank_by_order(spark):
     values = [5, 5, -3, 1000, 17, 250_000]
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v bigint, i int")
-    rows = rank_by_order(df, "v", tie=["i"], block=10).collect()
-    assert {r["i"]: r["rank"] for r in rows} == {2: 0, 0: 1, 1: 2, 4: 3, 3: 4, 5: 5}
+    for bucket_rows in (1, 2, 100):
+        rows = rank_by_order(df, "v", tie=["i"], bucket_rows=bucket_rows).collect()
+        ranks = {r["i"]: r["rank"] for r in rows}
+        assert {ranks.pop(0), ranks.pop(1)} == {1, 2} and ranks == {2: 0, 4: 3, 3: 4, 5: 5}
+
+
+def test_sparse_and_null_order_values(spark):
+    """No value is lost, whatever lies between values, and no bucket size changes a rank."""
+    number = F.when(F.col("id") % 10 == 0, None).otherwise(F.xxhash64("id"))
+    df = spark.range(3000).select(number.alias("v"), F.col("id").alias("i"))
+    seen = []
+    for options in ({}, {"bucket_rows": 50}, {"bucket_rows": 50, "hot_rows": 20}, {"hot_rows": 1}):
+        rows = rank_by_order(df, "v", **options).collect()
+        assert _is_permutation(rows, 3000)
+        in_order = [r["v"] for r in sorted(rows, key=lambda r: r["rank"])]
+        assert in_order[:300] == [None] * 300 and in_order[300:] == sorted(in_order[300:])
+        seen.append({r["i"]: r["rank"] for r in rows})
+    assert all(s == seen[0] for s in seen)
 
 
 def test_hot_order_value_is_cut_up(spark):

@@ -124,27 +124,64 @@ def _indexed(spark, ids):
     )
 
 
-def test_batches_round_trip_in_both_layouts(spark, tmp_path):
+def test_batches_round_trip(spark, tmp_path):
     df = _indexed(spark, [f"r_{i}" for i in range(23)])
-    sinks.write_batches(df, str(tmp_path / "folders"), 10, end_index=23)
-    sinks.write_batches(df, str(tmp_path / "fields"), 10)
-    assert {p.name for p in (tmp_path / "folders").iterdir() if p.is_dir()} == {
-        "batch_start=0", "batch_start=10", "batch_start=20",
-    }
-    for layout in ("folders", "fields"):
-        merged = sinks.merge_batches(sinks.scan_batches(spark, str(tmp_path / layout)))
-        assert [r["idx"] for r in merged.collect()] == list(range(23))
+    path = str(tmp_path / "batches")
+    sinks.write_batches(df.filter("idx < 11"), path, 10)
+    sinks.write_batches(df.filter("idx >= 11"), path, 10, mode="append")
+    merged = sinks.merge_batches(sinks.scan_batches(spark, path)).collect()
+    assert [(r["idx"], r["batch_start"]) for r in merged] == [(i, i // 10 * 10) for i in range(23)]
 
 
-def test_merge_keeps_the_latest_row_of_an_id(spark):
+def test_merge_keeps_the_latest_row_of_an_index(spark):
+    """Records that share an id are different records; overlapping saves share an index."""
     first = sinks.assign_batches(_indexed(spark, ["a", "b", "b", None, None]), 10)
     later = _indexed(spark, ["a"]).withColumn("batch_start", F.lit(50).cast("bigint"))
     batches = first.unionByName(later).unionByName(later)
     merged = [(r["id"], r["batch_start"], r["idx"]) for r in sinks.merge_batches(batches).collect()]
-    assert merged == [("b", 0, 2), (None, 0, 3), (None, 0, 4), ("a", 50, 0)]
+    assert merged == [("b", 0, 1), ("b", 0, 2), (None, 0, 3), (None, 0, 4), ("a", 50, 0)]
     assert sinks.merge_batches(batches, dedupe=None).count() == 7
 
 
+def test_merge_prefers_rows_without_failures(spark):
+    rows = [("a", 0, 0, ["no route"]), ("a", 0, 0, [None]), ("b", 1, 0, [None]), ("b", 1, 9, ["busy"])]
+    df = spark.createDataFrame(rows, "id string, idx bigint, batch_start bigint, errors array<string>")
+    got = sorted((r["id"], r["batch_start"], r["errors"]) for r in sinks.merge_batches(df).collect())
+    assert got == [("a", 0, [None]), ("b", 0, [None])]
+
+
+@pytest.mark.parametrize("spelling", ["compact", "four", "crlf"])
+def test_other_layouts_are_refused(spark, tmp_path, spelling):
+    records = [{"id": f"r_{i}", "conversations": [{"from": H, "value": str(i)}]} for i in range(5)]
+    text = {
+        "compact": json.dumps(records),
+        "four": json.dumps(records, indent=4),
+        "crlf": json.dumps(records, indent=2).replace("\n", "\r\n"),
+    }[spelling]
+    path = tmp_path / "x.json"
+    path.write_bytes(text.encode())
+    with pytest.raises(PySparkException, match="two-space"):
+        src.scan_conversations_json(spark, str(path), layout="indented").collect()
+    path.write_text(json.dumps(records, indent=2))
+    assert src.scan_conversations_json(spark, str(path), layout="indented").count() == 5
+
+
+def test_reader_follows_the_suffix(spark, tmp_path):
+    folder = tmp_path / "ultra"
+    folder.mkdir()
+    (folder / "x.jsonl").write_text('{"id": "a", "conversations": []}\n')
+    assert src.load_conversations(spark, str(folder / "x.jsonl")).count() == 1
+
+
+def test_containers_may_spell_turns_differently(spark):
+    rows = [([("q",)], None), ([], [("user", "hi")])]
+    df = spark.createDataFrame(
+        rows, "conversations array<struct<value:string>>, items array<struct<role:string,content:string>>"
+    )
+    got = [[tuple(t) for t in r["conversations"]] for r in src.coalesce_turn_fields(df).collect()]
+    assert got == [[(None, "q")], [("user", "hi")]]
+
+
 def test_vocabulary_is_built_once_per_parameters(spark, tmp_path):
     calls = []
 

@@ -80,11 +80,23 @@ def test_unknown_role_modes(turns):
 
 
 def test_collect_and_explode_keep_long_conversations_whole(turns):
-    data = {"long": [(H, str(i)) for i in range(25)], "short": [(H, "x")]}
-    nested = tt.collect_turns(turns(data), max_turns=10)
-    assert max(r["n"] for r in nested.select(F.size("conversations").alias("n")).collect()) == 10
-    assert _by_id(tt.explode_turns(nested, max_turns=10), "pos") == data
-    assert tt.collect_turns(turns(data), max_turns=None).count() == 2
+    data = {"long": [(H, str(i)) for i in range(5000)], "short": [(H, "x")]}
+    nested = tt.collect_turns(turns(data))
+    assert nested.count() == 2
+    assert _by_id(tt.explode_turns(nested), "pos") == data
+
+
+def test_null_ids_are_kept(spark):
+    rows = [(None, p, H if p % 2 == 0 else G, "x") for p in range(5000)] + [("a", 0, G, "y"), ("a", 1, H, "z")]
+    turns_ = spark.createDataFrame(rows, "id string, pos bigint, `from` string, value string")
+    outline = tt.outline(turns_)
+    assert tt.pick(turns_, outline).count() == 5002
+    assert outline.filter("id IS NULL").agg({"ord": "max"}).first()[0] == 4999
+    assert tt.pick(turns_, tt.clean_conversations(outline)).count() == 5001
+    assert tt.drop_leading_non_human(outline).count() == 5001
+    marked = tt.check_alternation(outline, "quarantine")
+    assert {(r["id"], r["alternates"]) for r in marked.collect()} == {(None, True), ("a", False)}
+    assert tt.check_alternation(outline, "drop").count() == 5000
 
 
 def test_explode_keeps_records_without_turns(conv):
@@ -93,46 +105,26 @@ def test_explode_keeps_records_without_turns(conv):
     assert len(rows) == 3
 
 
-def test_split_long(turns):
-    data = {"long": [(H, "x")] * 12, "short": [(H, "x")] * 3}
-    short, none = tt.split_long(turns(data), 50)
-    assert none is None and short.count() == 15
-    short, long = tt.split_long(turns(data), 10)
-    assert {r["id"] for r in short.collect()} == {"short"}
-    assert {r["id"] for r in long.collect()} == {"long"} and long.count() == 12
-
-
 def _alternating(n, end_human=False):
     turns_ = [(H if i % 2 == 0 else G, f"word{i} and more") for i in range(n)]
     return turns_ + ([(H, "left over")] if end_human else [])
 
 
-def test_long_conversations_give_the_same_features(turns, monkeypatch):
-    """Routing by length changes no feature row, also where ids are cut."""
-    data = {f"c_{n}": _alternating(n, n % 4 == 0) for n in (2, 4, 6, 20, 60)}
-    tokenizer = RegexTokenizer()
-
-    def rows(max_len):
-        made = features.featurize(
-            features.trainable_records(turns(data), max_len), LLAMA, tokenizer, max_len
-        )
-        return {r["id"]: (r["input_ids"], r["loss_mask"]) for r in made.collect()}
-
-    for max_len in (40, 150, 2048):
-        plain = rows(max_len)
-        with monkeypatch.context() as m:
-            real = tt.split_long
-            m.setattr(tt, "split_long", lambda t: real(t, 5))
-            routed = rows(max_len)
-        assert routed == plain
+def test_a_long_conversation_is_rendered_and_masked_whole(turns):
+    data = {f"c_{n}": _alternating(n, n % 4 == 0) for n in (2, 4, 60, 5000)}
+    made = features.trainable_records(turns(data))
+    texts = {r["id"]: r["text"] for r in features.chat_texts(made, LLAMA).collect()}
+    assert texts["c_5000"].count("<|eot_id|>") == 5001
+    assert "word4999 and more" in texts["c_5000"] and "left over" not in texts["c_5000"]
+    rows = {r["id"]: r for r in features.featurize(made, LLAMA, RegexTokenizer()).collect()}
+    assert all(len(r["input_ids"]) == len(r["loss_mask"]) for r in rows.values())
+    assert len(rows["c_5000"]["input_ids"]) > 20_000 and sum(rows["c_5000"]["loss_mask"][-5000:]) > 0
 
 
-def test_cleaned_records_of_long_conversations(turns, monkeypatch):
-    data = {f"c_{n}": _alternating(n, True) for n in (2, 4, 60)}
-    real = tt.split_long
-    monkeypatch.setattr(tt, "split_long", lambda t: real(t, 5))
+def test_cleaned_records_of_long_conversations(turns):
+    data = {f"c_{n}": _alternating(n, True) for n in (2, 4, 60, 5000)}
     got = _by_id(tt.explode_turns(features.cleaned_records(turns(data))), "pos")
-    assert got == {f"c_{n}": _alternating(n) for n in (2, 4, 60)}
+    assert got == {f"c_{n}": _alternating(n) for n in (2, 4, 60, 5000)}
 
 
 def test_inject_system(turns):

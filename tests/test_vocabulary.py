@@ -18,11 +18,20 @@ def _features(spark, rows):
 def test_only_supervised_positions_count(spark):
     df = _features(spark, [(1, [7, 7, 8], [1, 0, 1]), (0, [8, 9], [0, 1])])
     got = {r["token_id"]: (r["freq"], r["first_seen"]) for r in voc.token_frequency(df, "seq").collect()}
-    assert got == {7: (1, 2**20), 8: (1, 2**20 + 2), 9: (1, 1)}
+    assert got == {7: (1, (1, 0)), 8: (1, (1, 2)), 9: (1, (0, 1))}
     plain = {r["token_id"]: r["freq"] for r in voc.token_frequency(df).collect()}
     assert plain == {7: 1, 8: 1, 9: 1}
 
 
+def test_first_seen_holds_for_long_rows_and_large_numbers(spark):
+    """Positions beyond a million and row numbers near the end of 64 bits."""
+    last = 2**62
+    df = _features(spark, [(1, [7] * (2**20 + 1) + [9], [1] * (2**20 + 2)), (2, [8], [1]), (last, [5], [1])])
+    freq = voc.token_frequency(df, "seq")
+    order = [r["token_id"] for r in freq.orderBy("first_seen").collect()]
+    assert order == [7, 9, 8, 5]
+
+
 def test_ties_at_the_cut(spark):
     df = _features(spark, [(0, [9, 3, 9, 5, 3, 9], [1] * 6), (1, [2, 5], [1, 1])])
     freq = voc.token_frequency(df, "seq")
@@ -77,7 +86,9 @@ def test_build(conv):
     data = {f"c_{i}": [(H, "question here"), (G, f"alpha alpha beta w{i}")] for i in range(6)}
     tokenizer = RegexTokenizer()
     for template in (LLAMA, GEMMA):
-        built = build_draft_vocab(conv(data), template, tokenizer, draft_size=2)
+        built = build_draft_vocab(
+            conv(data), template, tokenizer, draft_size=2, ties="token_id"
+        )
         freq = {r["token_id"]: r["freq"] for r in built.frequency.collect()}
         kept = {r["token_id"]: r["freq"] for r in built.maps.collect()}
         assert sorted(kept.values(), reverse=True) == sorted(freq.values(), reverse=True)[:2]
@@ -85,22 +96,22 @@ def test_build(conv):
         coverage = built.coverage.collect()[0]
         assert coverage["coverage"] == sum(kept.values()) / sum(freq.values())
     with pytest.raises(ValueError):
-        build_draft_vocab(conv(data), LLAMA, tokenizer, 2, ties="first_seen")
+        build_draft_vocab(conv(data), LLAMA, tokenizer, 2)
 
 
-def test_counting_words_equals_counting_ids(conv):
-    """Also where several words share an id, with and without the order of occurrence."""
+def test_build_by_first_occurrence(conv):
+    """The default order of equal counts."""
     data = {f"c_{i}": [(H, "q"), (G, f"a b w{i} w{i % 5} a"), (H, "r"), (G, "b")] for i in range(30)}
     df = conv(data).withColumn("n", F.substring_index("id", "_", -1).cast("bigint"))
     tokenizer = RegexTokenizer(vocab_size=16)
-    for seq in (None, "n"):
-        by_id = voc.token_frequency(
-            features.featurize(df, LLAMA, tokenizer, keep=("n",)), seq
-        )
-        by_word = voc.word_frequency(
-            features.supervised_words(df, LLAMA, tokenizer, keep=("n",)), tokenizer, seq
-        )
-        assert sorted(by_word.select(by_id.columns).collect()) == sorted(by_id.collect())
-    built = build_draft_vocab(df, LLAMA, tokenizer, 3, ties="first_seen", seq="n")
-    top = voc.top_n_tokens(by_id, 3).collect()
+    rows = features.featurize(df, LLAMA, tokenizer, keep=("n",))
+    top = voc.top_n_tokens(voc.token_frequency(rows, "n"), 3).collect()
+    built = build_draft_vocab(df, LLAMA, tokenizer, 3, seq="n")
     assert {r["token_id"] for r in built.maps.collect()} == {r["token_id"] for r in top}
+
+
+def test_kept_positions(spark):
+    vocab = spark.createDataFrame([(2,), (5,)], "token_id int")
+    rows = spark.createDataFrame([([5, 1, 2, 99],), ([],)], "target array<int>")
+    kept = voc.kept_positions(rows, vocab, 8, 2).collect()
+    assert [r["kept"] for r in kept] == [[1, 0, 1, 0], []]
