@@ -49,21 +49,28 @@ def part_count(df: DataFrame, rows: int, per_part: int) -> int:
     return max(least, -(-rows // per_part))
 
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# What holds while a step is stored: shuffle files go when they have served, and rows travel to
+# Python in small batches, as a batch of wide rows would count twice in a task's memory.
+STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder, without the shuffle files that led to it.
 
-    They serve nobody once the rows are stored. Only this one execution is told to remove them.
+    The session's own settings hold again afterwards.
     """
     conf = df.sparkSession.conf
-    before = conf.get(FREE_SHUFFLES, "false")
-    conf.set(FREE_SHUFFLES, "true")
+    before = {k: conf.get(k, None) for k in STORING}
+    for k, v in STORING.items():
+        conf.set(k, v)
     try:
         return freeze(df.select("*"))
     finally:
-        conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def broadcast_ids(ids: DataFrame, most: int) -> DataFrame:

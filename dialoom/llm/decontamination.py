@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -180,11 +179,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def is_leak(text: Column, items: Items) -> Column:
     """Whether a text contains an item of the block."""
 
-    @F.pandas_udf("boolean")
-    def leak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def leak(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = items.matcher()
         for texts in batches:
-            yield pd.Series([bool(matcher.matches(t or "", first=True)) for t in texts], dtype="bool")
+            yield pa.array([bool(matcher.matches(t.as_py() or "", first=True)) for t in texts], pa.bool_())
 
     return leak(text)
 

@@ -246,8 +246,8 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
             a, b = links_in_block(sets_, percent) if len(sets_) > 1 else ((), ())
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("block", "node", "set"))
+        for part in (part for batch in batches for part in slices(batch, "set")):
+            columns = (part.column(c).to_pylist() for c in ("block", "node", "set"))
             for key, node, data in zip(*columns):
                 if key != now:
                     yield done()

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -344,11 +343,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def toxicity_score(text: Column, model: Model) -> Column:
     """Score in 0..1 of a whole text; null and empty texts have that of a text without matches."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for texts in batches:
-            yield pd.Series([scorer.score(t or "") for t in texts], dtype="float64")
+            yield pa.array([scorer.score(t.as_py() or "") for t in texts], pa.float64())
 
     return score(text)
 
