@@ -442,6 +442,12 @@ def slice_by_index(spark, sf_dir):
     FROM turns""",
 )
 def normalize_content(spark, sf_dir):
+    mixed = _mixed_turns(spark, sf_dir).select("id", "pos", F.parse_json("body").alias("content"))
+    return src.normalize_content(mixed, "content")
+
+
+def _mixed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with ``body``: JSON of a string, a list of strings, text blocks or a number."""
     kind = F.col("pos") % 4
     v = F.col("value")
     blocks = F.transform(
@@ -455,8 +461,40 @@ def normalize_content(spark, sf_dir):
         .when(kind == 2, F.to_json(blocks))
         .otherwise((F.col("conv_id") + F.col("pos")).cast("string"))
     )
-    mixed = inputs.raw_turns(spark, sf_dir).select("id", "pos", F.parse_json(body).alias("content"))
-    return src.normalize_content(mixed, "content")
+    return inputs.raw_turns(spark, sf_dir).withColumn("body", body)
+
+
+MIXED_SQL = """CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', chr(10))
+    WHEN 2 THEN replace(text, chr(10), '') ELSE CAST(conv_id + turn AS VARCHAR) END AS value"""
+
+
+@query(
+    "featurize_mixed_content",
+    "WITH " + sql.masks(LLAMA, cap="").replace("text AS value", MIXED_SQL) + """
+    SELECT id, string_agg(token_id::VARCHAR, ' ' ORDER BY t) AS ids,
+           string_agg(bit::VARCHAR, '' ORDER BY t) AS mask
+    FROM masks GROUP BY id""",
+)
+def featurize_mixed_content(spark, sf_dir):
+    """Whole records of mixed bodies, read as VARIANT, to ids and masks without a cap."""
+    spoken = F.concat(
+        F.lit('{"role":'), F.regexp_extract(F.to_json(F.array("from")), r"^\[(.*)\]$", 1),
+        F.lit(',"content":'), F.col("body"), F.lit("}"),
+    )
+    turns = _mixed_turns(spark, sf_dir).select("id", F.struct("pos", spoken.alias("t")).alias("s"))
+    listed = turns.groupBy("id").agg(F.sort_array(F.collect_list("s"))["t"].alias("ts"))
+    path = fresh_path(spark, "mixed")
+    listed.select(
+        F.concat(
+            F.lit('{"id":"'), F.col("id"), F.lit('","note":7,"messages":['),
+            F.array_join("ts", ","), F.lit("]}"),
+        ).alias("value")
+    ).write.text(path)
+    read = src.conversations_from_variant(src.scan_records_variant(spark, path))
+    named = src.default_id(read.withColumn("idx", F.lit(None).cast("bigint")))
+    cleaned = records.clean_conversations(records.keep_dialogue_roles(named))
+    rows = feat.featurize(cleaned.select("id", "conversations"), LLAMA, TOKENIZER)
+    return rows.select("id", _text("input_ids").alias("ids"), _text("loss_mask", "").alias("mask"))
 
 
 @query(
@@ -985,21 +1023,21 @@ def bernoulli_sample(spark, sf_dir):
 @query(
     "order_by_id_suffix",
     """SELECT CASE WHEN conv_id % 7 = 0 THEN 'plain' || conv_id ELSE 'sharegpt_' || conv_id END AS id,
-           CASE WHEN conv_id % 7 = 0 THEN 0 ELSE conv_id END AS suffix
-    FROM (SELECT DISTINCT conv_id FROM conversations)""",
+           turn, text, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE conv_id END AS suffix
+    FROM conversations""",
 )
 def order_by_id_suffix(spark, sf_dir):
-    number = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    turns = table(spark, sf_dir, "conversations")
     prefix = F.when(F.col("conv_id") % 7 == 0, "plain").otherwise("sharegpt_")
-    ids = number.select(F.concat(prefix, F.col("conv_id").cast("string")).alias("id"))
-    return sampling.order_by_id_suffix(ids)
+    named = F.concat(prefix, F.col("conv_id").cast("string")).alias("id")
+    return sampling.order_by_id_suffix(turns.select(named, "turn", "text"))
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-DOC_IDS = "WITH ids AS (SELECT doc_id FROM documents)"
+DOC_IDS = "WITH ids AS (SELECT doc_id, text FROM documents)"
 
 
 @query(
@@ -1022,13 +1060,15 @@ def shard_for_ranks_in_order(spark, sf_dir):
 @query(
     "assign_microbatches",
     DOC_IDS + shards_sql(6, 1, "ids", "doc_id") + """
-    SELECT worker, pos_in_worker // 6 AS microbatch, count(*) AS records, min(doc_id) AS first_doc
+    SELECT worker, pos_in_worker // 6 AS microbatch, count(*) AS records, min(doc_id) AS first_doc,
+           sum(length(text))::BIGINT AS chars
     FROM sharded GROUP BY 1, 2""",
 )
 def assign_microbatches(spark, sf_dir):
     dealt = sampling.shard_for_ranks(_ids(spark, sf_dir), world=6, epoch=1, key="doc_id")
     return sampling.assign_microbatches(dealt, 6).groupBy("worker", "microbatch").agg(
-        F.count(F.lit(1)).alias("records"), F.min("doc_id").alias("first_doc")
+        F.count(F.lit(1)).alias("records"), F.min("doc_id").alias("first_doc"),
+        F.sum(F.length("text")).alias("chars"),
     )
 
 

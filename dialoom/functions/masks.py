@@ -21,14 +21,39 @@ LATER_ROUND_LONGER = 1
 BETWEEN_ROUNDS = 3
 
 
-def round_starts(round_lengths: Column) -> Column:
-    """Token offset of every usable round, plus the offset behind the last one."""
+# Running sums grow one array per block of rounds, so their cost is the block times the rounds.
+SUM_BLOCK = 256
+
+
+def _grown(first: Column, values: Column) -> Column:
+    """``first`` and the running sums behind it."""
+    return F.aggregate(
+        values,
+        F.array(first),
+        lambda acc, v: F.concat(acc, F.array((F.element_at(acc, -1) + v).cast("int"))),
+    )
+
+
+def running_sums(first: int, values: Column) -> Column:
+    """``first``, ``first`` plus the first value, and so on: one entry more than ``values``."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / SUM_BLOCK).cast("int")),
+        lambda b: F.slice(values, b * SUM_BLOCK + 1, SUM_BLOCK),
+    )
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: (a + v).cast("int")))
+    begins = _grown(F.lit(first), totals)
+    inner = F.transform(
+        blocks, lambda b, i: F.slice(_grown(F.get(begins, i), b), F.lit(2), F.greatest(F.size(b), F.lit(0)))
+    )
+    return F.concat(F.array(F.lit(first)), F.flatten(inner))
 
-    def step(acc: Column, length: Column) -> Column:
-        gap = F.when(F.size(acc) > 1, BETWEEN_ROUNDS).otherwise(0)
-        return F.concat(acc, F.array((F.element_at(acc, -1) + length + gap).cast("int")))
 
-    return F.aggregate(round_lengths, F.array(F.lit(1)), step)
+def round_starts(round_lengths: Column) -> Column:
+    """Token offset of every usable round, plus the offset behind the last one."""
+    steps = F.transform(
+        round_lengths, lambda n, i: (n + F.when(i > 0, BETWEEN_ROUNDS).otherwise(0)).cast("int")
+    )
+    return running_sums(1, steps)
 
 
 def zero_ends(starts: Column, instruction_lengths: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -115,6 +115,10 @@ def _replay(turns, call) -> tuple[list[dict], list[int], list[str | None]]:
     return new_turns, attempts, errors
 
 
+# Conversations of one task: what a lost executor has to repeat at most.
+TASK_ROWS = 2_000
+
+
 def regenerate_replies(
     conv: DataFrame,
     generate: Callable[[str], str],
@@ -124,13 +128,17 @@ def regenerate_replies(
 ) -> DataFrame:
     """Replace every reply of ``conv(id, idx, conversations)`` by a generated one.
 
-    Roles must already be canonical. Parallelism is ``partitions`` (all cores by default)
-    times ``threads``: conversations are dealt out evenly, as the calls cost far more than
-    the shuffle. Within a conversation calls are sequential because prompts build on earlier
-    replies. A retried task calls the service again, so save in batches and continue with
-    what is missing.
+    Roles must already be canonical. Conversations are dealt out evenly to ``partitions`` tasks,
+    as the calls cost far more than the shuffle: all cores by default, and more tasks where these
+    would get over ``TASK_ROWS`` conversations. Each task keeps ``threads`` conversations going
+    and hands on each one as it ends, in any order. Within a conversation calls are sequential
+    because prompts build on earlier replies. A retried task calls the service again, so save in
+    batches and continue with what is missing.
     """
-    tasks = partitions or conv.sparkSession.sparkContext.defaultParallelism
+    tasks = partitions
+    if tasks is None:
+        cores = conv.sparkSession.sparkContext.defaultParallelism
+        tasks = max(cores, -(-conv.count() // TASK_ROWS))
     source = conv.select("id", "idx", "conversations").repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,21 +146,31 @@ def regenerate_replies(
 
         pace = _Pace(policy.min_interval, lock=Lock())
 
-        def one(turns):
-            return _replay(turns, lambda p: call_with_retry(generate, p, policy, pace))
+        def one(row):
+            made = _replay(row[2], lambda p: call_with_retry(generate, p, policy, pace))
+            return (row[0], row[1], *made)
 
-        with ThreadPoolExecutor(threads) as pool:
+        def rows():
             for batch in batches:
-                done = list(pool.map(one, batch["conversations"]))
-                yield pd.DataFrame(
-                    {
-                        "id": batch["id"],
-                        "idx": batch["idx"],
-                        "conversations": [d[0] for d in done],
-                        "attempts": [d[1] for d in done],
-                        "errors": [d[2] for d in done],
-                    }
-                )
+                yield from zip(batch["id"], batch["idx"], batch["conversations"])
+
+        def frame(done: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(done, columns=["id", "idx", "conversations", "attempts", "errors"])
+
+        waiting, done = set(), []
+        with ThreadPoolExecutor(threads) as pool:
+            for row in rows():
+                waiting.add(pool.submit(one, row))
+                if len(waiting) < 2 * threads:
+                    continue
+                ended, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+                done += [f.result() for f in ended]
+                if len(done) >= 4 * threads:
+                    yield frame(done)
+                    done = []
+            done += [f.result() for f in waiting]
+        if done:
+            yield frame(done)
 
     return source.mapInPandas(run, REGENERATED)
 

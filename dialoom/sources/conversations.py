@@ -173,13 +173,12 @@ def default_id(df: DataFrame, idx: str = "idx", record: str = "record") -> DataF
     )
 
 
-def normalize_content(df: DataFrame, column: str) -> DataFrame:
-    """Replace a VARIANT message body by text.
+def content_text(v: Column) -> Column:
+    """A VARIANT message body as text.
 
     Text stays; text blocks are joined; a list of strings is joined by line breaks;
     anything else becomes its JSON text.
     """
-    v = F.col(column)
     kind = F.schema_of_variant(v)
     items = F.try_variant_get(v, "$", "array<variant>")
 
@@ -193,10 +192,34 @@ def normalize_content(df: DataFrame, column: str) -> DataFrame:
         "",
     )
     strings = F.try_variant_get(v, "$", "array<string>")
-    text = (
+    return (
         F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
         .when(kind == "ARRAY<STRING>", F.array_join(strings, "\n"))
         .when(blocks, block_text)
         .otherwise(F.to_json(v))
     )
-    return df.withColumn(column, text)
+
+
+def normalize_content(df: DataFrame, column: str) -> DataFrame:
+    """Replace a VARIANT message body by text (``content_text``)."""
+    return df.withColumn(column, content_text(F.col(column)))
+
+
+def conversations_from_variant(df: DataFrame, record: str = "record") -> DataFrame:
+    """Add ``conversations`` from whole records of any accepted spelling, bodies as text.
+
+    The record itself stays beside it, so no key is lost; ``default_id`` adds the id. Containers
+    and fields give way to each other as in ``coalesce_turn_fields``.
+    """
+    rec = F.col(record)
+    found = [F.try_variant_get(rec, f"$.{c}", "array<variant>") for c in ("conversations", "items", "messages")]
+    container = F.coalesce(F.when(F.size(found[0]) > 0, found[0]), *found[1:])
+
+    def turn(t: Column) -> Column:
+        speaker = falls_through(*[F.try_variant_get(t, f"$.{n}", "string") for n in ("from", "role")])
+        own, other = (F.variant_get(t, f"$.{n}", "variant") for n in ("value", "content"))
+        value = falls_through(content_text(own), content_text(other))
+        return F.struct(speaker.alias("from"), value.alias("value"))
+
+    empty = F.expr("CAST(array() AS array<struct<`from`:string,value:string>>)")
+    return df.withColumn("conversations", F.coalesce(F.transform(container, turn), empty))

@@ -58,3 +58,40 @@ def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["draft_id", "token_id", "offset", "freq"]
     assert result.count() == 500
+
+
+LONG = [
+    "render_chat", "render_chat_gemma", "split_rounds", "record_counts", "load_conversations",
+    "collect_turns", "write_jsonl", "stream_clean", "coalesce_turn_fields", "clean_conversations",
+    "clean_records", "drop_leading_non_human", "check_alternation", "write_batches", "loss_mask",
+    "loss_mask_uncapped", "build_draft_vocab", "trimmed_mean_latency",
+]
+
+
+@pytest.fixture(scope="module")
+def hard_folder(tmp_path_factory):
+    """The smallest tables with a conversation of 5,000 turns and a group without a name."""
+    folder = tmp_path_factory.mktemp("hard")
+    con = duckdb.connect()
+    for name in TABLES:
+        rows = f"SELECT * FROM '{SF}/{name}.parquet'"
+        if name == "conversations":
+            rows += """ UNION ALL SELECT 100000, range, CASE WHEN range % 2 = 0 THEN 'user' ELSE 'assistant' END,
+                'turn ' || range || ' of many' FROM range(5000)"""
+        if name == "events":
+            rows = rows.replace("*", "* REPLACE (CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS event_type)")
+        con.execute(f"COPY ({rows}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_conversations_and_null_groups(spark, hard_folder, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{hard_folder}/{t}.parquet'")
+    result = entry.queries()[name](spark, hard_folder)
+    columns = sorted(result.columns)
+    expected = con.sql(entry.oracle_sql()[name]).select(*[duckdb.ColumnExpression(c) for c in columns])
+    want = _sorted([tuple(map(_clean, r)) for r in expected.fetchall()])
+    got = _sorted([tuple(r) for r in result.select(*[f"`{c}`" for c in columns]).collect()])
+    assert got == want
