@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import slices, stored
 from dialoom.llm.token_counts import CACHE, CACHED_CHARS, PATTERN, PairRanks, byte_letters, chunks
-from dialoom.session import freeze
 
 CAPACITY = 2048
 ROUNDS = 1500  # of multiplicative weights: a bound for the driver's work
@@ -277,7 +276,7 @@ def rank_in_groups(df: DataFrame, group: str, salt: Column, order: list[Column],
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. An empty table gives an empty result."""
-    pieces = freeze(pieces)
+    pieces = stored(pieces)
     found = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # <= capacity rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in found:

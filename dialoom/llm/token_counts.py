@@ -25,7 +25,7 @@ from dialoom.llm.common import slices, utf8_bytes
 
 NONE = np.int64(1) << 40  # no rank
 LONG = 4096  # symbols beyond which one sequence is merged by a heap instead
-CACHE = 600_000  # chunks kept by a task
+CACHE = 300_000  # chunks kept by a task
 CACHED_CHARS = 48
 
 # Fixed value: the public split pattern of the byte-level pre-tokenizer.
