@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -49,28 +50,31 @@ def part_count(df: DataFrame, rows: int, per_part: int) -> int:
     return max(least, -(-rows // per_part))
 
 
-# What holds while a step is stored: shuffle files go when they have served, and rows travel to
-# Python in small batches, as a batch of wide rows would count twice in a task's memory.
-STORING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-}
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session under other settings for one execution; its own hold again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
     """``df`` checkpointed in the shared folder, without the shuffle files that led to it.
 
-    The session's own settings hold again afterwards.
+    Rows travel to Python ``batch_rows`` at a time, as a batch of wide rows counts several times
+    in a task's memory.
     """
-    conf = df.sparkSession.conf
-    before = {k: conf.get(k, None) for k in STORING}
-    for k, v in STORING.items():
-        conf.set(k, v)
-    try:
+    with settings(df.sparkSession, {FREE_SHUFFLES: "true", BATCH_ROWS: str(batch_rows)}):
         return freeze(df.select("*"))
-    finally:
-        for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def broadcast_ids(ids: DataFrame, most: int) -> DataFrame:

@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import BATCH_ROWS, settings, slices, stored
 from dialoom.llm.packing import Encoder, exact_by_bytes
 from dialoom.session import fresh_path
 
 ALPHA = 0.4
 BUCKET_BYTES = 20 << 20  # of text that sends its bigrams to one partition
 MIN_BUCKETS = 12
+PACKED_ROWS = 40  # packed rows are wide: few make a batch
 PASSES = 8  # over a partition's contexts
 NO_ID = -(1 << 63)  # stands for a null id in packed rows
 PACKED = "bucket int, ids binary, crcs binary, counts binary, codes binary, times binary"
@@ -147,12 +148,14 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     place = fresh_path(docs.sparkSession, "bigrams")
     rows.mapInArrow(_send_bigrams(path, by_bytes, start, buckets), PACKED).write.parquet(place)
     sent = docs.sparkSession.read.schema(PACKED).parquet(place)
-    table = unigram_counts(sent).toArrow()  # <= vocabulary
+    with settings(docs.sparkSession, {BATCH_ROWS: str(PACKED_ROWS)}):
+        table = unigram_counts(sent).toArrow()  # <= vocabulary
     count = np.zeros(1 << 16)
     count[table.column("token").to_numpy()] = table.column("n").to_numpy()
     unigram = np.log(ALPHA * np.maximum(count, 1) / max(1.0, count.sum()))
     parts = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_score(unigram), "id long, crc long, part double, tokens long")
     sums = parts.groupBy("id", "crc").agg(F.sum("part").alias("all"), F.sum("tokens").alias("tokens"))
+    sums = stored(sums, PACKED_ROWS)
 
     # Rows that agree in id and text have equal sums, which add up: divide by their number.
     same = rows.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "crc").agg(F.count("*").alias("k"))
