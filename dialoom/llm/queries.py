@@ -59,6 +59,37 @@ def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+# Every pair of texts that share a shingle; fit for small tables only.
+ORACLES["op9_ngram_jaccard"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+', 0) AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    END AS s
+  FROM worded),
+classes AS (
+  SELECT min(doc_id) AS node, list_sort(s) AS s, len(any_value(s)) AS n FROM sets GROUP BY list_sort(s)),
+listed AS (SELECT node, n, unnest(s) AS h FROM classes),
+met AS (
+  SELECT a.node AS x, b.node AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared
+  FROM listed a JOIN listed b ON a.h = b.h AND a.node < b.node
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node),
+links AS (SELECT x, y FROM met WHERE 100 * shared >= 90 * (nx + ny - shared)),
+edges AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT node, node AS other FROM classes
+  UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least_ids AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles,
+       CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component END AS component_id
+FROM sets d JOIN classes c ON c.s = list_sort(d.s) JOIN least_ids l ON l.node = c.node"""
+
+
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialoom.llm.jaccard import jaccard_components
