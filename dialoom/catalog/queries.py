@@ -547,6 +547,15 @@ def build_prompts(spark, sf_dir):
     return prompts.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+@query("transcripts", ORACLES["build_prompts"])
+def transcripts(spark, sf_dir):
+    """The same prompts, each expanded from its conversation's one transcript."""
+    held = records.transcripts(inputs.dialogue_records(spark, sf_dir))
+    replies = held.select("id", "transcript", F.explode("replies").alias("r"))
+    prompt = records.prompt_at(F.col("transcript"), F.col("r.length"))
+    return replies.select("id", F.col("r.pos").cast("bigint").alias("pos"), prompt.alias("prompt"))
+
+
 def _render(template):
     def run(spark, sf_dir):
         return feat.chat_texts(inputs.trainable(spark, sf_dir), template).select("id", "text")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.functions import turns as t
-from dialoom.functions.text import reply_prompt
+from dialoom.functions.masks import running_sums
+from dialoom.functions.text import reply_prompt, transcript_line
 from dialoom.schema import REPLY
 
 
@@ -87,3 +88,31 @@ def build_prompts(df: DataFrame) -> DataFrame:
     ).filter(F.col("turn.from") == REPLY)
     earlier = F.slice(F.col("conversations"), F.lit(1), F.col("pos"))
     return exploded.select("id", "pos", reply_prompt(earlier).alias("prompt"))
+
+
+def transcripts(df: DataFrame) -> DataFrame:
+    """``id, transcript, replies`` with ``replies: array<struct<pos, length>>``.
+
+    The prompt of the reply at ``pos`` is the first ``length`` characters of the transcript and
+    ``Assistant:`` (``prompt_at``). What ``build_prompts`` repeats for every reply is held once here,
+    so a record grows with its length; whoever calls the generator expands one prompt at a time.
+    """
+    pieces = F.transform("conversations", lambda turn: transcript_line(turn["from"], turn["value"]))
+    ends = F.slice(running_sums(0, F.transform(pieces, F.length)), 1, F.size(pieces))
+    at = F.zip_with(
+        F.transform("conversations", lambda turn, i: F.struct(turn["from"].alias("from"), i.alias("pos"))),
+        ends,
+        lambda turn, length: F.struct(
+            turn["from"].alias("from"), turn["pos"].alias("pos"), length.alias("length")
+        ),
+    )
+    replies = F.transform(
+        F.filter(at, lambda r: r["from"] == REPLY),
+        lambda r: F.struct(r["pos"].alias("pos"), r["length"].alias("length")),
+    )
+    return df.select("id", F.array_join(pieces, "").alias("transcript"), replies.alias("replies"))
+
+
+def prompt_at(text: Column, length: Column) -> Column:
+    """The prompt that ends after ``length`` characters of a transcript."""
+    return F.concat(F.substring(text, F.lit(1), length), F.lit("Assistant:"))
