@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from dialoom.llm.common import broadcast_ids, slices, stored
 from dialoom.llm.components import components, forest
 
-SAMPLE_ROWS = 10_000  # rows whose shared shingles are put last in the order: a documented bound
+SAMPLE_ROWS = 30_000  # rows whose shared shingles are put last in the order: a documented bound
 COMMON_ROWS = 500_000  # such shingles, most frequent first: a bound; only speed depends on it
 LONG_LIST = 64
-MEETINGS = 4  # shared prefix shingles of a candidate pair
+# Shared prefix shingles of a candidate pair: so many at least, and a share of the smaller set.
+MEETINGS, MEETING_PERCENT = 4, 2
 BROADCAST_ROWS = 500_000  # candidates sent to all tasks in place of shuffling all texts
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
 CACHE = 250_000
@@ -69,8 +70,12 @@ class Shingler:
         return made[np.append(True, made[1:] != made[:-1])]
 
 
+def meetings(n):
+    return np.maximum(MEETINGS, MEETING_PERCENT * n // 100)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + MEETINGS)
+    return min(n, n - -(-percent * n // 100) + int(meetings(n)))
 
 
 def _common_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
@@ -87,7 +92,7 @@ def _common_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
 
     counted = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_ROWS).select("h").toArrow()
+    top = stored(counted.filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_ROWS).select("h")).toArrow()
     return np.sort(top.column("h").to_numpy().astype(np.int64)) if top.num_rows else np.zeros(0, np.int64)
 
 
@@ -150,7 +155,7 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
                     if end > i + 1:
                         a.append(np.minimum(ids[i], ids[i + 1 : end]))
                         b.append(np.maximum(ids[i], ids[i + 1 : end]))
-                        need.append(np.minimum(MEETINGS, -(-percent * n[i + 1 : end] // 100)))
+                        need.append(np.minimum(meetings(n[i]), -(-percent * n[i + 1 : end] // 100)))
             made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need)]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in made], ["a", "b", "need"])
 
