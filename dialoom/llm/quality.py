@@ -29,8 +29,10 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(split)
 
 
-def _kept_chars(text: Column, gone: str) -> Column:
-    return F.length(F.translate(text, gone, "")).cast("long")
+def _symbols(text: Column) -> Column:
+    """Symbol characters of a text; most have none, which a search settles sooner."""
+    n = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.when(text.rlike(f"[{SYMBOLS}]"), n).otherwise(0).cast("long")
 
 
 def _repeat_places(ordered: Column) -> Column:
@@ -52,8 +54,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     out = docs.select(
         "doc_id",
         words_of(F.col("text")).alias("_words"),
-        _kept_chars(text, SPACE_CHARS).alias("word_chars"),
-        (F.length(text) - _kept_chars(text, SYMBOLS)).alias("n_symbols"),
+        _symbols(text).alias("n_symbols"),
         lines.alias("_lines"),
     )
     n = F.size("_words")
@@ -64,6 +65,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     out = out.select(
         "*",
         n.cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("_windows"),
     ).drop("_lines")
