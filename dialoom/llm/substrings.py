@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import slices, stored
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1  # ranks at GRAM bytes inside one string
 BUCKET_BYTES = 40 << 20  # of text that sends its ranks to one bucket
 MIN_BUCKETS = 12
+PACKED_ROWS = 40
 CHUNK = 1 << 19  # bytes ranked at once, unless one text is longer
 U = np.uint64
 
@@ -334,6 +335,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     compared = dealt(sent).mapInArrow(_compare_runs, f"{places}, open binary")
     found = compared.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("bucket", "covered", "open")).alias("found"))
+    # The packed runs have served once this is stored. They are wide: few rows make a batch.
+    found = stored(found, PACKED_ROWS)
     texts = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     joined = texts.join(found, ["doc_id", "crc"], "left")
     # No filter on ``found`` here: both uses of the join must stay one exchange of the texts.
