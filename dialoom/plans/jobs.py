@@ -16,7 +16,6 @@ from dialoom.operators.features import featurize
 from dialoom.operators.ranking import rank_by_hash, rank_by_order
 from dialoom.operators.regenerate import RetryPolicy, regenerate_replies
 from dialoom.schema import (
-    CONVERSATION,
     LOOSE_CONVERSATION,
     SAMPLE_RATE,
     SEED,

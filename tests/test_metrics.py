@@ -2,7 +2,6 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from dialoom.operators import metrics
 

@@ -4,7 +4,6 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from dialoom.functions.text import LLAMA
 from dialoom.functions.tokens import RegexTokenizer
