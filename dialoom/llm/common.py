@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` of about ``SLICE_BYTES`` of ``column``; one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of about ``most`` bytes of ``column``; one row at least."""
     lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         n = n or 0
-        if i > start and size + n > SLICE_BYTES:
+        if i > start and size + n > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n
@@ -39,6 +40,14 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8_bytes(text: Column) -> Column:
     """Length in bytes; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

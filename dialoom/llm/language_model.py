@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import BATCH_ROWS, settings, slices, stored
+from dialoom.llm.common import BATCH_ROWS, give_back, settings, slices, stored
 from dialoom.llm.packing import Encoder, exact_by_bytes
 from dialoom.session import fresh_path
 
@@ -36,9 +36,11 @@ def _token_lists(batches: Iterator[pa.RecordBatch], path: str, by_bytes: bool) -
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encoder = Encoder(path, by_bytes)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=2 << 20):
             made = encoder.encode([t or "" for t in part.column("text").to_pylist()])
             yield part, [np.frombuffer(ids, "<u4") for ids in made]
+    del encoder
+    give_back()
 
 
 def unigram_counts(bigrams: DataFrame) -> DataFrame:
@@ -109,10 +111,12 @@ def _score(unigram: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list) -> pa.RecordBatch:
             ids, crcs, counts, pair, times = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<i8", "<i8", "<u4", "<u4", "<u4")))
+            rows.clear()
             doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
             sums = np.zeros(len(ids))
+            turn = ((pair >> 16) % PASSES).astype(np.uint8)
             for k in range(PASSES):  # whole contexts, a part of them at a time: bounds the memory
-                mine = np.flatnonzero((pair >> 16) % PASSES == k)
+                mine = np.flatnonzero(turn == k)
                 if len(mine):
                     sums += score_bigrams(doc[mine], pair[mine].astype(np.int64), times[mine].astype(np.int64), len(ids), unigram)
             tokens = np.bincount(doc, times, len(ids)).astype(np.int64)  # each token ends one bigram
@@ -123,11 +127,13 @@ def _score(unigram: np.ndarray):
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now and rows:
                     yield done(rows)
+                    give_back()
                     rows = []
                 now = bucket
                 rows.append(row)
         if rows:
             yield done(rows)
+        give_back()
 
     return run
 
