@@ -24,6 +24,7 @@ from dialoom.session import fresh_path
 ALPHA = 0.4
 BUCKET_BYTES = 20 << 20  # of text that sends its bigrams to one partition
 MIN_BUCKETS = 12
+CACHE = 300_000  # chunks kept by a task: less than for packing, as bigrams need room too
 PACKED_ROWS = 40  # packed rows are wide: few make a batch
 PASSES = 8  # over a partition's contexts
 NO_ID = -(1 << 63)  # stands for a null id in packed rows
@@ -34,7 +35,7 @@ def _token_lists(batches: Iterator[pa.RecordBatch], path: str, by_bytes: bool) -
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder = Encoder(path, by_bytes)
+    encoder = Encoder(path, by_bytes, CACHE)
     for batch in batches:
         for part in slices(batch, most=2 << 20):
             made = encoder.encode([t or "" for t in part.column("text").to_pylist()])

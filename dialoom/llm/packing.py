@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.llm.common import slices, stored
-from dialoom.llm.token_counts import CACHE, CACHED_CHARS, PATTERN, PairRanks, byte_letters, chunks
+from dialoom.llm.token_counts import CACHED_CHARS, PATTERN, PairRanks, byte_letters, chunks
 
 CAPACITY = 2048
 ROUNDS = 1500  # of multiplicative weights: a bound for the driver's work
 SHARE, SMALL = 0.9, 0.25  # of each length for the program, less of short ones: they fill gaps
+CACHE = 600_000  # chunks kept by a task
 GROUP_ROWS = 20_000  # pieces numbered by one task at once, about
 
 LATIN = "\u0250"  # letters below are classed alike by every version of Unicode
@@ -45,10 +46,10 @@ class Encoder:
 
     JOINED = 4000
 
-    def __init__(self, path: str, by_bytes: bool) -> None:
+    def __init__(self, path: str, by_bytes: bool, cache: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache or CACHE
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
@@ -71,7 +72,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split, odd, new = [], [], set()
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
