@@ -22,10 +22,10 @@ from dialoom.llm.packing import Encoder, exact_by_bytes
 from dialoom.session import fresh_path
 
 ALPHA = 0.4
-BUCKET_BYTES = 20 << 20  # of text that sends its bigrams to one partition
+BUCKET_BYTES = 10 << 20  # of text that sends its bigrams to one partition
 MIN_BUCKETS = 12
 CACHE = 300_000  # chunks kept by a task: less than for packing, as bigrams need room too
-PACKED_ROWS = 40  # packed rows are wide: few make a batch
+PACKED_ROWS = 20  # packed rows are wide: few make a batch
 PASSES = 8  # over a partition's contexts
 NO_ID = -(1 << 63)  # stands for a null id in packed rows
 PACKED = "bucket int, ids binary, crcs binary, counts binary, codes binary, times binary"
