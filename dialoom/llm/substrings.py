@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import give_back, slices
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1  # ranks at GRAM bytes inside one string
@@ -150,10 +150,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
             if bucket != now and rows:
                 yield now, rows
                 rows = []
+                give_back()
             now = bucket
             rows.append(row)
     if rows:
         yield now, rows
+    give_back()
 
 
 def _unpack(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
