@@ -24,7 +24,7 @@ from dialoom.session import fresh_path
 ALPHA = 0.4
 BUCKET_BYTES = 10 << 20  # of text that sends its bigrams to one partition
 MIN_BUCKETS = 12
-CACHE = 300_000  # chunks kept by a task: less than for packing, as bigrams need room too
+CACHE = 80_000  # chunks kept by a task: less than for packing, as bigrams need room too
 PACKED_ROWS = 20  # packed rows are wide: few make a batch
 PASSES = 8  # over a partition's contexts
 NO_ID = -(1 << 63)  # stands for a null id in packed rows
