@@ -122,9 +122,12 @@ def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from dialoom.llm.resharding import reshard
+    from dialoom.llm.resharding import reshard, rewrite_affected
+    from dialoom.session import fresh_path
 
     docs = table(spark, sf_dir, "documents")
     # Twelve shards by text so far, so copies share one; sixteen of equal size from now on.
     old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(12))
-    return reshard(docs, old, 12, [1.0] * 16).drop("old_shard")
+    placed = reshard(docs, old, 12, [1.0] * 16)
+    rewrite_affected(docs, placed, fresh_path(spark, "resharded"))
+    return placed.drop("old_shard", "row")

@@ -84,24 +84,33 @@ def _line_places(items: DataFrame, n_items: int) -> DataFrame:
     return placed.select("old", "key", "part", (F.col("_before") + F.col("_inside") + F.col("bytes") / 2).alias("start"))
 
 
+def _keyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with their id as ``_id`` and ``_null``, which joins without losing null ids."""
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    return rows.withColumn("_id", F.coalesce("doc_id", zero)).withColumn("_null", F.col("doc_id").isNull())
+
+
 def reshard(docs: DataFrame, old: Column, old_shards: int, capacities: list[float]) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and ``old_shard`` per row.
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``, ``old_shard`` and ``row`` per row.
 
     ``old``: the present shard (0 .. ``old_shards`` - 1) of a row; ``capacities``: relative sizes of
     the new shards. Law ``bytes``: sizes follow the capacities, off by no more than the items at
     the cuts. Copies of a text that share an old shard stay together unless they exceed 1/256 of
     a new shard. A null text is empty; its size is 1. Null ids and repeated rows are placed like
     others. ``slot`` numbers a shard's rows without gaps; ``grown_shard`` is null for this law.
+    ``row`` holds all columns of ``docs``; a plan that does not use it does not shuffle it. Rows are
+    read again for it, so ``docs`` and ``old`` must give the same rows each time.
     """
     text = F.col("text")
-    base = docs.select(
+    whole = docs.select(
         "doc_id",
         (utf8_bytes(text) + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
         old.cast("int").alias("old"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    base = freeze(base)
+    base = freeze(whole.drop("row"))
     supply = [0] * old_shards
     for r in base.groupBy("old").agg(F.sum("size").alias("n")).collect():  # one row per old shard
         supply[r["old"]] = r["n"]
@@ -113,17 +122,27 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, capacities: list[floa
         base.groupBy("old", "key").agg(F.sum("size").alias("n")).filter(F.col("n") > limit)
         .select("old", "key", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
     )
-    # At most total / limit rows, a number that the shards fix.
-    base = base.join(F.broadcast(large), ["old", "key"], "left")
+    large = freeze(large)
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
-    base = base.withColumn("part", part).drop("parts")
-    items = freeze(base.groupBy("old", "key", "part").agg(F.sum("size").alias("bytes")))
+
+    def in_parts(rows: DataFrame) -> DataFrame:
+        # At most total / limit rows, a number that the shards fix.
+        rows = rows.join(F.broadcast(large), ["old", "key"], "left")
+        return rows.withColumn("part", part).drop("parts")
+
+    items = freeze(in_parts(base).groupBy("old", "key", "part").agg(F.sum("size").alias("bytes")))
     placed = _line_places(items, items.count()).withColumn("shard", _shard_at(F.col("old"), F.col("start"), flow))
-    rows = base.join(placed.drop("start"), ["old", "key", "part"])
-    n_rows = rows.count()
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 + n_rows // GROUP_ROWS))
-    ranked = rank_in_groups(rows, "shard", salt, [F.col("doc_id"), F.col("text_crc32")], "slot")
-    return ranked.select(
+    placed = freeze(placed.drop("start"))
+    rows = in_parts(base).join(placed, ["old", "key", "part"])
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 + base.count() // GROUP_ROWS))
+    order = [F.col(c) for c in ("doc_id", "text_crc32", "key", "old")]
+    ranked = rank_in_groups(rows, "shard", salt, order, "slot")
+    # Rows that agree in id, text and old shard have one new shard and slots that follow each other.
+    keys = ["_id", "_null", "key", "old"]
+    spots = freeze(_keyed(ranked, docs).groupBy(*keys).agg(F.min("shard").alias("shard"), F.min("slot").alias("_first")))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("text_crc32"))
+    found = _keyed(whole, docs).join(spots, keys).withColumn("slot", F.col("_first") + nth - 1)
+    return found.select(
         "doc_id",
         "size",
         "text_crc32",
@@ -132,20 +151,30 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, capacities: list[floa
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("old").alias("old_shard"),
+        "row",
     )
 
 
+def _free_name(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the shards that lose or gain rows as ``path/shard=<n>``; returns their numbers.
 
-    Shards that keep just the rows they had stay as they are. Ids must be unique here; rows of a
-    shard are spread over several tasks by their slot.
+    Shards that keep just the rows they had stay as they are. Rows come from ``placed`` itself and
+    nothing is looked up by id: null ids, repeated ids and repeated rows are written as often as they
+    were placed. Files hold the columns of ``docs`` and the slot; ``shard`` and ``slot`` get
+    underscores in front where the table has columns of these names. Rows of a shard
+    are spread over all tasks, so that rows are shuffled once.
     """
     moved = placed.filter(F.col("shard") != F.col("old_shard"))
     sides = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect()  # shards
     affected = sorted(r["s"] for r in sides)
-    kept = placed.filter(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.join(kept, docs["doc_id"] == F.col("_id")).drop("_id")
-    spread = rows.repartition("shard", F.floor(F.col("slot") / 1_000_000))
-    spread.write.mode("overwrite").partitionBy("shard").parquet(path)
+    taken = {c.lower() for c in docs.columns}
+    shard, slot = (_free_name(name, taken) for name in ("shard", "slot"))
+    rows = placed.filter(F.col("shard").isin(affected)).select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows.write.mode("overwrite").partitionBy(shard).parquet(path)
     return affected

@@ -289,3 +289,41 @@ def test_rewrite_only_what_changes(spark, tmp_path):
     assert resharding.rewrite_affected(docs, placed, path) == [0, 3]
     back = spark.read.parquet(path)
     assert back.groupBy("shard").count().orderBy("shard").collect() == [(0, 10), (3, 10)]
+
+
+def test_rewrite_keeps_every_row(spark, table_of, tmp_path):
+    """Null ids, repeated ids and rows, and columns named like those of the placement."""
+    from pyspark.sql import functions as F
+
+    rows = [r for r in hard_rows() if r[0] != 10] + [(None, "no id"), (20, "one"), (20, "two"), (20, "two")] + [(300 + i, prose(i, 20)) for i in range(60)]
+    docs = table_of(rows).withColumn("shard", F.concat(F.lit("mine "), F.coalesce("text", F.lit("-"))))
+    old = F.lit(0)
+    placed = resharding.reshard(docs, old, 1, [1.0] * 4)
+    path = str(tmp_path / "shards")
+    affected = resharding.rewrite_affected(docs, placed, path)
+    back = spark.read.parquet(path)
+    assert {*back.columns} == {*docs.columns, "_shard", "_slot"}
+    count = lambda df: collections.Counter(map(tuple, df.select(*docs.columns).collect()))
+    assert count(back) == count(docs)
+    places = lambda df, shard, slot: sorted(map(tuple, df.select(shard, slot).collect()))
+    assert places(back, "_shard", "_slot") == places(placed, "shard", "slot") and affected[0] == 0
+
+
+def test_reshard_query_rewrites_shards(spark, monkeypatch, tmp_path):
+    import dialoom.session
+    from dialoom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(dialoom.session, "fresh_path", lambda spark, name: str(tmp_path / name))
+    placed = queries.op7_reshard(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    old = "pmod(xxhash64(coalesce(text, '')), 12)"
+    moved = placed.join(docs.selectExpr("doc_id", f"{old} AS was"), "doc_id").filter("shard != was").collect()
+    affected = {r.shard for r in moved} | {r.was for r in moved}
+    assert affected
+    placed = placed.filter(placed.shard.isin(affected)).localCheckpoint()
+    docs = docs.join(placed.select("doc_id"), "doc_id", "left_semi")
+    back = spark.read.parquet(str(tmp_path / "resharded"))
+    key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert key(back, "doc_id", "shard", "slot") == key(placed, "doc_id", "shard", "slot")
+    assert key(back, "doc_id", "text") == key(docs, "doc_id", "text")
