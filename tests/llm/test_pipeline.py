@@ -1,9 +1,16 @@
 import os
+import random
+import re
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from tests.llm.conftest import hard_rows
+from tests.llm.conftest import hard_rows, prose
+from tests.llm.test_duplicates import brute_components
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from dialoom.llm import decontamination
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +56,83 @@ def test_every_operator_is_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert "pipeline" in names
     assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py"))
+
+
+def planted():
+    """Documents, labels and benchmark items: toxic, copied, leaked, private and clean texts."""
+    r, rows, labels = random.Random(5), [], []
+    for i in range(400):
+        words = prose(i, 60).split()
+        if i % 4 == 0:
+            for at in (5, 25, 45):
+                words[at] = r.choice(["blockhead", "numbskull"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    items = [(k, prose(5000 + k, 20)) for k in range(6)]
+    for k, item in items:
+        near = item[:30] + "zz" + item[32:]
+        rows += [(600 + 2 * k + j, prose(6000 + 2 * k + j, 30) + " " + t + " " + prose(6500 + 2 * k + j, 30)) for j, t in enumerate((item, near))]
+    for k in range(10):
+        words = rows[1 + 4 * k][1].split()
+        rows.append((700 + k, " ".join(words)))
+        rows.append((720 + k, " ".join(words[: k + 20] + ["other"] + words[k + 21 :])))
+        rows.append((740 + k, " ".join(words[:30] + prose(7000 + k, 30).split())))  # not near enough
+    rows += [(800 + k, f"{prose(8000 + k, 20)} a{k}@b.example.org and 10.0.0.{k} {prose(8100 + k, 20)}") for k in range(8)]
+    rows += [(None, prose(9000, 50)), (900, None), (901, "")]
+    return rows, labels, items
+
+
+def plain_stages(rows, items):
+    """Rows after each stage, by plain Python."""
+    rows = [(i, t) for i, t in rows if not {"blockhead", "numbskull"} & {*(t or "").split()}]
+    yield rows
+    near = brute_components(rows, 5, 80)
+    rows = [(i, t) for i, t in rows if i is None or near[i][1] == i]
+    yield rows
+    patterns = [decontamination.normalize(t) for _, t in items]
+
+    def leaks(text):
+        text = decontamination.normalize(text or "")
+        return any(edit_distance_inside(p, text) <= decontamination.budget(p) for p in patterns)
+
+    rows = [(i, t) for i, t in rows if not leaks(t)]
+    yield rows
+    kinds = [("[EMAIL]", r"[a-z0-9]+@[a-z.]+[a-z]"), ("[IP]", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")]
+    for name, pattern in kinds:
+        rows = [(i, t and re.sub(pattern, name, t)) for i, t in rows]
+    yield rows
+
+
+def edit_distance_inside(pattern, text):
+    row = np.zeros(len(text) + 1, int)
+    codes, steps = np.array([ord(c) for c in text], int), np.arange(len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c))))
+        row = np.minimum.accumulate(new - steps) + steps
+    return row.min()
+
+
+def test_run_matches_plain_python(spark, pipeline, monkeypatch, tmp_path):
+    rows, labels, items = planted()
+    tables = {"documents": (rows, "doc_id long, text string"), "labels": (labels, "doc_id long, quality int, toxic int"), "benchmark": (items, "item_id long, text string")}
+    for name, (values, schema) in tables.items():
+        spark.createDataFrame(values, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(pipeline, "fresh_path", lambda spark, name: str(tmp_path / name))
+    packed = pipeline.run(spark, str(tmp_path)).collect()
+    count = len(rows)
+    for (name, _), want in zip(pipeline.STAGES, plain_stages(rows, items)):
+        got = spark.read.parquet(str(tmp_path / f"pipeline-{name}"))
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want), name
+        assert name == "personal_data" or len(want) < count, name
+        count = len(want)
+    assert any("[EMAIL]" in (t or "") and "[IP]" in t for _, t in want)
+    tokenizer = Tokenizer.from_file(pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    sizes, places = Counter(), defaultdict(list)
+    for r in packed:
+        sizes[r.doc_id] += r.length
+        places[r.sequence_id].append((r.offset, r.offset + r.length))
+    # Each document ends in one token of its own.
+    assert sizes == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in want}
+    for spans in places.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= 2048
