@@ -5,9 +5,9 @@
    several prefix shingles, so candidates are pairs that meet often enough in short index lists, or
    at all in a long one (where every set is tied to the list's first instead of to each other).
 3. Candidates fall into groups. Only there whole sets are compared, in blocks by size: index lists
-   within a block skip sets whose size cannot match, and a set whose answers follow from a set that
-   differs in nothing the block can see is not looked up again. A block reports a forest of its
-   links, which is linear in its sets.
+   are read whole and sizes mask the result, and a set that agrees with an earlier one in all
+   that the block indexes takes over its answer. A block reports a forest of its links, which is
+   linear in its sets.
 4. Components of the links are the answer.
 """
 
