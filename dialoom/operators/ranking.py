@@ -1,9 +1,10 @@
-"""Exact global ranks without a global sort and without a single-task window.
+"""Exact places in an order, without a global sort of whole rows and without a single-task window.
 
-Rows are cut into buckets that are ordered among themselves, bucket sizes are turned into
-starting ranks in a small table, and ``row_number`` runs inside each bucket. The number of buckets
-follows the number of rows. Rows that share a sort value are ordered by a hash of their tie columns
-first, so a bucket with too many of them is cut along that hash and no rank changes by it.
+Only narrow rows are sorted: the sort values, a hash of the tie columns and the number of the row
+(its locator). Sampled splitters cut them into ranges of about ``part_rows`` rows; as the locator
+is part of the sort key, no value and no key is too frequent for that. Each range is sorted by one
+task, the sizes of the ranges give every range its first place, and the places are joined back to
+the rows by locator, once.
 """
 
 from __future__ import annotations
@@ -11,74 +12,79 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dialoom.functions.hashing import hex_prefix_number, seeded_hash
+from dialoom.functions.hashing import seeded_hash
 from dialoom.session import freeze
 
+# Narrow rows that one task sorts, on average.
+PART_ROWS = 250_000
 HASH_DIGITS = 4
-BUCKET_ROWS = 100_000
-HOT_BUCKET_ROWS = 8_000_000
-MAX_BOUNDS = 10_000
-# Rows that a window without partitions may see.
-COARSE = 4096
-
-
-def _starts(sizes: DataFrame, n_buckets: int) -> DataFrame:
-    """``sizes`` with the first rank of each bucket: sums within groups of buckets, then over them."""
-    grouped = sizes.withColumn("_group", F.floor(F.col("_bucket") / max(1, n_buckets // COARSE)))
-    totals = grouped.groupBy("_group").agg(F.sum("_size").alias("_all"))
-    before = F.sum("_all").over(Window.orderBy("_group")) - F.col("_all")
-    within = F.sum("_size").over(Window.partitionBy("_group").orderBy("_bucket")) - F.col("_size")
-    joined = grouped.withColumn("_within", within).join(
-        totals.select("_group", before.alias("_before")), "_group"
-    )
-    return joined.select("_bucket", "_size", (F.col("_before") + F.col("_within")).alias("_start"))
+# Rows at a cut whose digests may come to the driver.
+CUT_ROWS = 100_000
+# Bits below the partition number in Spark's row numbers.
+ROW_BITS = 33
 
 
-def _rank_in_buckets(
-    df: DataFrame, value: Column, ties: list[str], n_rows: int, n_buckets: int, hot_rows: int
+def places(
+    narrow: DataFrame, order: list[str | Column], group: list[str] = (), part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """Add ``rank`` (from 0) and ``n_rows``, ordered by ``_bucket``, ``value`` and the ties.
+    """``narrow`` with ``place``, the 0-based place of each row in its group, and ``n_rows``, the
+    size of that group (the whole table without ``group``).
 
-    A bucket above ``hot_rows`` rows is cut by value and, within one value, along the hash of the
-    ties, into as many parts as its size asks for. Adaptive execution leaves that out when there
-    are none.
+    Rows are ordered by ``order``, nulls first, in which no two should be equal: those would fall
+    into one range, in any order. The rows are stored twice in the shared folder, so they should be
+    narrow. Windows run over one row per range and group. Null groups are groups.
     """
-    own = [c for c in df.columns if c != "_bucket"]
-    hashed = F.shiftrightunsigned(F.xxhash64(*ties), 1)
-    df = df.withColumn("_value", value).withColumn("_tie", hashed)
-    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    starts = _starts(sizes, n_buckets)
-    parts = F.when(F.col("_size") > hot_rows, F.ceil(F.col("_size") / hot_rows)).alias("_parts")
-    placed = df.join(starts.select("_bucket", "_start", parts), "_bucket")
-    share = F.floor(F.col("_tie").cast("double") / F.lit(float(2**63)) * F.col("_parts"))
-    placed = placed.withColumn("_part", F.coalesce(F.least(share, F.col("_parts") - 1), F.lit(-1)))
-    cut_value = F.when(F.col("_parts").isNotNull(), F.col("_value").cast("string"))
-    placed = placed.withColumn("_cut", F.coalesce(cut_value, F.lit("")))
-    # Parts of hot buckets by value, in the order of values.
-    hot = placed.filter(F.col("_parts").isNotNull())
-    pieces = hot.groupBy("_bucket", "_cut", "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_v")
+    narrow = freeze(narrow)
+    parts = max(1, -(-narrow.count() // part_rows))
+    keys = [*group, *order]
+    ranged = narrow.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = freeze(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", ROW_BITS))
+    sizes = ranged.groupBy("_range", *group).agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first")
+    )
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = F.sum("_size").over(whole.orderBy("_range")) - F.col("_size")
+    starts = sizes.select(
+        F.col("_range").alias("_of"),
+        *[F.col(c).alias(f"_of_{c}") for c in group],
+        (before - F.col("_first")).alias("_shift"),
+        F.sum("_size").over(whole).alias("n_rows"),
     )
-    line = Window.partitionBy("_bucket").orderBy("_v", "_part")
-    pieces = pieces.select(
-        "_bucket", "_cut", "_part", (F.sum("_n").over(line) - F.col("_n")).alias("_offset")
+    same = F.col("_range") == F.col("_of")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    placed = ranged.join(starts, same)
+    return placed.select(*narrow.columns, (F.col("_at") + F.col("_shift")).alias("place"), "n_rows")
+
+
+def _rank(
+    df: DataFrame, value: Column, ties: list[str], part_rows: int, repeatable: bool
+) -> DataFrame:
+    """Add ``rank`` (from 0) and ``n_rows`` by ``value``, then two hashes of the tie columns.
+
+    A row is known by its number. Unless a second reading is sure to number rows alike, they are
+    stored with their numbers first.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    if not repeatable:
+        rows = freeze(rows)
+    narrow = rows.select(
+        value.alias("_value"),
+        F.shiftrightunsigned(F.xxhash64(*ties), 1).alias("_tie"),
+        F.xxhash64(F.lit(1), *ties).alias("_tie2"),
+        "_row",
     )
-    inside = Window.partitionBy("_bucket", "_cut", "_part").orderBy("_value", "_tie", *ties)
-    ranked = placed.withColumn("_row", F.row_number().over(inside))
-    ranked = ranked.join(pieces, ["_bucket", "_cut", "_part"], "left")
-    rank = F.col("_start") + F.coalesce("_offset", F.lit(0)) + F.col("_row") - 1
-    return ranked.select(*own, rank.alias("rank"), F.lit(n_rows).cast("bigint").alias("n_rows"))
+    found = places(narrow, ["_value", "_tie", "_tie2", "_row"], part_rows=part_rows)
+    ranks = found.select("_row", F.col("place").alias("rank"), "n_rows")
+    return rows.join(ranks, "_row").select(*df.columns, "rank", "n_rows")
 
 
-def _with_copies(df: DataFrame, key: str, tie: list[str] | None, frozen: bool):
-    """The tie columns: all but the key unless named. None is no choice: some order must hold."""
-    tie = list(tie) if tie else [c for c in df.columns if c != key] or [key]
-    if not frozen:
-        return df, tie
-    return freeze(df.withColumn("_copy", F.monotonically_increasing_id())), [*tie, "_copy"]
+def _ties(df: DataFrame, key: str, tie: list[str] | None) -> list[str]:
+    """All columns but the key unless named. None is no choice: some order must hold."""
+    return list(tie) if tie else [c for c in df.columns if c != key] or [key]
 
 
 def rank_by_hash(
@@ -86,61 +92,36 @@ def rank_by_hash(
     key: str,
     seed: int,
     tie: list[str] | None = None,
-    hot_rows: int = HOT_BUCKET_ROWS,
-    frozen: bool = False,
+    hot_rows: int = PART_ROWS,
+    frozen: bool = True,
 ) -> DataFrame:
     """Add a seeded pseudo-random ``rank`` from 0 and the total ``n_rows``.
 
-    The order is that of ``md5(seed:key)`` and depends neither on partitioning nor on
-    ``hot_rows``. Rows that share a key (a null one included) are ordered by a hash of the ``tie``
-    columns (all others by default) and then by these. When rows can be equal in every column,
-    ``frozen=True`` first stores them with a number of their own so that copies can be told apart
-    and spread too.
+    The order is that of ``md5(seed:key)`` and depends neither on partitioning nor on ``hot_rows``,
+    the rows a task sorts. Rows that share a key (a null one included) are ordered by hashes of the
+    ``tie`` columns (all others by default); rows equal in these too come in any order, each with
+    a rank of its own. ``frozen=False`` saves storing the rows: for a plain scan of files, or
+    what filters and projections make of one, which Spark reads the same way every time.
     """
-    columns = df.columns
-    df, ties = _with_copies(df, key, tie, frozen)
-    n_rows = df.count()
-    digits = max(HASH_DIGITS, math.ceil(math.log(max(1, n_rows / BUCKET_ROWS), 16)))
-    digest = seeded_hash(seed, F.col(key))
-    hashed = df.withColumn("_bucket", hex_prefix_number(digest, digits))
-    ranked = _rank_in_buckets(hashed, digest, ties, n_rows, 16**digits, hot_rows)
-    return ranked.select(*columns, "rank", "n_rows")
+    digest = F.unhex(seeded_hash(seed, F.col(key)))
+    return _rank(df, digest, _ties(df, key, tie), hot_rows, not frozen)
 
 
 def rank_by_order(
     df: DataFrame,
     order: str,
     tie: list[str] | None = None,
-    bucket_rows: int = BUCKET_ROWS,
-    hot_rows: int = HOT_BUCKET_ROWS,
+    bucket_rows: int = PART_ROWS,
+    hot_rows: int | None = None,
+    frozen: bool = True,
 ) -> DataFrame:
-    """Add ``rank`` from 0 and ``n_rows`` following an integer column, nulls first.
+    """Add ``rank`` from 0 and ``n_rows`` following a column, nulls first.
 
-    Quantiles of the values bound the buckets, so that sparse, dense and skewed values all give
-    buckets of about ``bucket_rows`` rows. Equal values are ordered by a hash of the ``tie``
-    columns (all others by default) and then by these.
+    Ties, ``frozen`` and the rows a task sorts (the lesser of ``bucket_rows`` and ``hot_rows``) are
+    as in ``rank_by_hash``.
     """
-    columns = df.columns
-    ties = list(tie) if tie else [c for c in columns if c != order] or [order]
-    n_rows = df.count()
-    cuts = min(MAX_BOUNDS, n_rows // bucket_rows)
-    bounds: list[float] = []
-    if cuts:
-        at = F.array(*[F.lit(i / (cuts + 1)) for i in range(1, cuts + 1)])
-        wanted = F.percentile_approx(F.col(order).cast("double"), at, 10 * (cuts + 1))
-        bounds = sorted(set(df.select(wanted).first()[0] or ()))
-    # A double may stand for several values, but never turns their order round.
-    splits = [-math.inf, *bounds, math.inf]
-    number = F.col(order).cast("double")
-    if bounds:
-        finder = Bucketizer(splits=splits, inputCol="_number", outputCol="_found", handleInvalid="keep")
-        found = finder.transform(df.withColumn("_number", number)).drop("_number")
-    else:
-        found = df.withColumn("_found", F.lit(0.0))
-    bucket = F.when(F.col(order).isNull(), -1).otherwise(F.col("_found")).cast("bigint")
-    blocked = found.withColumn("_bucket", bucket).drop("_found")
-    ranked = _rank_in_buckets(blocked, F.col(order), ties, n_rows, len(splits), hot_rows)
-    return ranked.select(*columns, "rank", "n_rows")
+    part_rows = min(bucket_rows, hot_rows or bucket_rows)
+    return _rank(df, F.col(order), _ties(df, order, tie), part_rows, not frozen)
 
 
 @dataclass(frozen=True)
@@ -152,26 +133,32 @@ class HashCut:
     at_digest: int
 
 
-def cut_by_hash(df: DataFrame, key: str, seed: int, ratio: float) -> HashCut:
+def cut_by_hash(
+    df: DataFrame, key: str | Column, seed: int, ratio: float, few_rows: int = CUT_ROWS
+) -> HashCut:
     """Where ``int(n * ratio)`` rows of the seeded order end.
 
-    Small jobs over the key column narrow the digest down, four hex digits at a time: each counts
-    at most 65,536 prefixes, which come back to the driver. At the end whole digests are counted.
+    The first scan counts rows by the first four hex digits of their digests: at most 65,536 rows
+    come to the driver, and the prefix at the cut is known. The second fetches the digests with
+    that prefix. Only if these are more than ``few_rows`` rows and not all the same are prefixes
+    made longer first, by four digits a scan.
     """
-    hashed = df.select(seeded_hash(seed, F.col(key)).alias("_h"))
-    prefix, want = "", None
+    hashed = df.select(seeded_hash(seed, F.col(key) if isinstance(key, str) else key).alias("_h"))
+    prefix, want, few = "", None, False
     while True:
-        whole = len(prefix) >= 32
-        part = F.col("_h") if whole else F.substring("_h", 1, len(prefix) + HASH_DIGITS)
-        counts = hashed.filter(F.col("_h").startswith(prefix)).groupBy(part.alias("_p")).count().collect()
-        sizes = sorted((r["_p"], r["count"]) for r in counts)
+        part = F.col("_h") if few else F.substring("_h", 1, len(prefix) + HASH_DIGITS)
+        counts = hashed.filter(F.col("_h").startswith(prefix)).groupBy(part.alias("_p")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_h").alias("low"), F.max("_h").alias("high")
+        )
+        sizes = sorted((r["_p"], r["n"], r["low"], r["high"]) for r in counts.collect())
         if want is None:
-            want = math.floor(sum(n for _, n in sizes) * float(ratio))
-        for prefix, n in sizes:
+            want = math.floor(sum(n for _, n, _, _ in sizes) * float(ratio))
+        for prefix, n, low, high in sizes:
             if n > want:
                 break
             want -= n
         else:  # no rows, or all of them are in front of the cut
             return HashCut("g", 0)
-        if whole or len(prefix) == 32:
-            return HashCut(prefix, want)
+        if low == high:
+            return HashCut(low, want)
+        few = n <= few_rows

@@ -31,7 +31,7 @@ def seeded_shuffle(df: DataFrame, key: str = "id", seed: int = SEED, **ranking)
 
 def exact_split(
     df: DataFrame,
-    key: str = "id",
+    key: str | None = "id",
     ratio: float = TRAIN_RATIO,
     seed: int = SEED,
     mode: str = "exact",
@@ -39,11 +39,16 @@ def exact_split(
 ) -> DataFrame:
     """Add ``split``: the first ``int(n * ratio)`` rows of the permutation are ``train``.
 
-    Small jobs over the key column find the digest at which the cut lies; labelling the rows
-    then needs no shuffle. Only rows that share the very key at the cut are ranked.
+    Two small jobs over the key column find the digest at which the cut lies; labelling the rows
+    then needs no shuffle. Only rows that share the very key at the cut are ranked. ``key=None``
+    takes the whole record as its key, for data without ids.
     ``mode="approx"`` compares digests with the ratio itself: no job at all, and sizes that
     are right on average.
     """
+    if key is None:
+        whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+        keyed = exact_split(df.withColumn("_key", whole), "_key", ratio, seed, mode, **ranking)
+        return keyed.drop("_key")
     digest = seeded_hash(seed, F.col(key))
     if mode == "approx":
         low = F.substring(digest, 1, 8) < hex_threshold(ratio)

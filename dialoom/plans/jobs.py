@@ -39,15 +39,16 @@ def clean_and_split(
     """Clean a JSONL corpus; write it whole, or as ``split=train`` and ``split=test``.
 
     Every key of the records is carried along, at the price of a pass to find them; a ``schema``
-    saves that and drops the others. Returns the record counts of what was written.
+    saves that and drops the others. Records are split by the digests of their ids, or of their
+    whole content where no record has an id. Returns the record counts of what was written.
     """
     cleaned = records.clean_conversations(scan_conversations_jsonl(spark, source, schema))
     if full:
         sinks.write_jsonl(cleaned, target)
         return sinks.record_counts(cleaned=scan_conversations_jsonl(spark, target))
-    split = sampling.exact_split(cleaned, ratio=ratio, seed=seed)
+    split = sampling.exact_split(cleaned, "id" if "id" in cleaned.columns else None, ratio, seed)
     split.write.partitionBy("split").option("ignoreNullFields", False).json(target)
-    written = scan_conversations_jsonl(spark, target, "id string, split string")
+    written = scan_conversations_jsonl(spark, target, "split string")
     return written.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
 
 

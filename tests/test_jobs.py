@@ -39,6 +39,17 @@ def test_clean_and_split(spark, tmp_path):
     assert as_dict(src.scan_conversations_jsonl(spark, str(whole))) == cleaned
 
 
+def test_clean_and_split_without_ids(spark, tmp_path):
+    source, target = tmp_path / "x.jsonl", tmp_path / "out"
+    turns = lambda i: [{"from": H, "value": f"q{i}"}, {"from": G, "value": "a"}, {"from": H, "value": "z"}]
+    source.write_text("\n".join(json.dumps({"conversations": turns(i)}) for i in range(40)))
+    counts = jobs.clean_and_split(spark, str(source), str(target))
+    assert {r["split"]: r["records"] for r in counts.collect()} == {"train": 38, "test": 2}
+    written = src.scan_conversations_jsonl(spark, str(target), None)
+    assert sorted(r["conversations"][0]["value"] for r in written.collect()) == sorted(f"q{i}" for i in range(40))
+    assert {len(r["conversations"]) for r in written.collect()} == {2}
+
+
 def test_sample_corpus(spark, tmp_path):
     source, target = tmp_path / "x.jsonl", tmp_path / "sample"
     _corpus(source, 400)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.hashing import hex_threshold
 from dialoom.operators import sampling
-from dialoom.operators.ranking import rank_by_hash, rank_by_order
+from dialoom.operators.ranking import cut_by_hash, places, rank_by_hash, rank_by_order
 
 
 def digest(key, seed=42):
@@ -171,3 +171,76 @@ def test_test_rows_keep_their_order_and_epochs_differ(spark):
     for bad in (lambda: sampling.shard_for_ranks(df, 0), lambda: sampling.assign_microbatches(batches, 0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def _spied(monkeypatch, name):
+    """How often a method of DataFrames is called from now on."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    calls, own = [], getattr(DataFrame, name)
+    monkeypatch.setattr(DataFrame, name, lambda self, *a, **k: (calls.append(a), own(self, *a, **k))[1])
+    return calls
+
+
+def test_split_finds_its_cut_in_two_scans_at_most(spark, monkeypatch):
+    df = _ids(spark, 5000)
+    scans = _spied(monkeypatch, "collect")
+    split = sampling.exact_split(df, ratio=0.37)
+    assert 1 <= len(scans) <= 2
+    assert {r["id"] for r in split.filter("split = 'train'").collect()} == set(
+        sorted((f"r_{i}" for i in range(5000)), key=digest)[:1850]
+    )
+
+
+def test_cut_by_longer_prefixes(spark):
+    """Many digests with one beginning: four more digits a scan, to the same end."""
+    df = _ids(spark, 2000).unionByName(_ids(spark, 50))
+    plain = cut_by_hash(df, "id", 3, 0.61)
+    assert cut_by_hash(df, "id", 3, 0.61, few_rows=0) == plain
+    ordered = sorted(digest(f"r_{i}", 3) for i in [*range(2000), *range(50)])
+    place = int(2050 * 0.61)
+    assert plain.digest == ordered[place] and plain.at_digest == place - ordered.index(ordered[place])
+
+
+def test_split_without_a_key(spark):
+    """Records without ids are known by their content; equal ones are split as well."""
+    df = spark.range(400).select((F.col("id") % 300).alias("n"), F.array(F.lit("x")).alias("turns"))
+    one, two = (
+        sorted((r["n"], r["split"]) for r in sampling.exact_split(df.repartition(p), None, 0.5).collect())
+        for p in (1, 6)
+    )
+    assert one == two and sum(s == "train" for _, s in one) == 200
+
+
+def test_rank_sorts_narrow_rows_in_bounded_ranges(spark, monkeypatch):
+    """A third of all rows share a key: ranges stay small, and only sort values, hashes and locators
+    are dealt out for the ranks."""
+    import dialoom.operators.ranking as ranking
+
+    stored, own = [], ranking.freeze
+    monkeypatch.setattr(ranking, "freeze", lambda df: stored.append(own(df)) or stored[-1])
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("id"),
+        F.repeat(F.lit("x"), 50).alias("body"),
+        F.col("id").alias("n"),
+    )
+    rows = rank_by_hash(df, "id", 1, hot_rows=1000).collect()
+    assert _is_permutation(rows, 30_000)
+    _, narrow, ranged = stored
+    assert narrow.columns == ["_value", "_tie", "_tie2", "_row"] and ranged.columns == [*narrow.columns, "_at"]
+    sizes = [r["count"] for r in ranged.groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) > 20 and max(sizes) < 4000
+
+
+def test_places_in_groups(spark):
+    """Places count within each group, a null one included, one group with most rows."""
+    group = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, "b").otherwise("a")
+    df = spark.range(5000).select(group.alias("g"), F.xxhash64("id").alias("h"))
+    rows = places(df, ["h"], ["g"], part_rows=300).collect()
+    by_group = {}
+    for r in sorted(rows, key=lambda r: r["h"]):
+        by_group.setdefault(r["g"], []).append((r["place"], r["n_rows"]))
+    assert by_group.keys() == {None, "a", "b"}
+    for found in by_group.values():
+        assert found == [(i, len(found)) for i in range(len(found))]
+    assert places(df.limit(0), ["h"], ["g"]).collect() == []
