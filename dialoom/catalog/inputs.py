@@ -62,7 +62,7 @@ def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``blanked`` without trailing human turns."""
     turns = blanked(spark, sf_dir)
-    return tt.pick(turns, tt.drop_trailing_human(tt.outline(turns)))
+    return tt.drop_trailing_human(tt.numbered(turns)).drop("empty", "ord")
 
 
 def trainable(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,7 +274,7 @@ def record_counts(spark, sf_dir):
 @query("drop_trailing_human", f"WITH {sql.NO_TAIL} SELECT id, pos, speaker, value FROM no_tail")
 def drop_trailing_human(spark, sf_dir):
     turns = inputs.dialogue(spark, sf_dir)
-    return _turns(tt.pick(turns, tt.drop_trailing_human(tt.outline(turns))))
+    return _turns(tt.drop_trailing_human(tt.numbered(turns)))
 
 
 @query(
@@ -284,7 +284,7 @@ def drop_trailing_human(spark, sf_dir):
 )
 def drop_trailing_empty_reply(spark, sf_dir):
     turns = inputs.emptied(spark, sf_dir)
-    return _turns(tt.pick(turns, tt.drop_trailing_empty_reply(tt.outline(turns))))
+    return _turns(tt.drop_trailing_empty_reply(tt.numbered(turns)))
 
 
 CLEAN_SQL = "WITH " + sql.BLANKED + """,
@@ -298,7 +298,7 @@ headed AS (
 @query("clean_conversations", CLEAN_SQL + " SELECT id, pos, speaker, value FROM kept")
 def clean_conversations(spark, sf_dir):
     turns = inputs.blanked(spark, sf_dir)
-    return _turns(tt.pick(turns, tt.clean_conversations(tt.outline(turns))))
+    return _turns(tt.clean_conversations(tt.numbered(turns)))
 
 
 @query(
@@ -331,7 +331,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS o
 )
 def drop_leading_non_human(spark, sf_dir):
     turns = inputs.raw_turns(spark, sf_dir)
-    return tt.pick(turns, tt.drop_leading_non_human(tt.outline(turns))).select(
+    return tt.drop_leading_non_human(tt.numbered(turns)).select(
         "id", "ord", F.col("from").alias("speaker"), "value"
     )
 

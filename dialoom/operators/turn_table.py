@@ -1,10 +1,12 @@
 """Turn tables: one row per turn, columns ``id, pos, from, value``.
 
 A conversation may hold any number of turns here, so no step gathers one in a single task.
-What to keep is decided on an *outline*: positions, speakers and an emptiness flag, without
-the text. Outlines are numbered in chunks, conversation-level facts are map-side aggregates
-of a few numbers, and the text moves once, when ``pick`` joins it to the outline by turn.
-Rows with a null id belong to one conversation without a name; all joins keep them.
+Turns are numbered in chunks, which moves each row once. What to keep follows from positions,
+speakers and an emptiness flag: conversation-level facts are map-side aggregates of a few numbers
+that reach the turns by chunk. ``numbered`` carries the text along; an *outline* goes without.
+Rows with a null id belong to one conversation without a name; all joins keep them. Turns that
+share a place (``pos``) in a conversation are numbered one by one, so no row multiplies and a
+step that removes the last turn removes one row.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def _chunk(pos: Column) -> Column:
 
 
 def number_turns(turns: DataFrame, alias: str = "ord") -> DataFrame:
-    """Add the 0-based rank of each turn in its conversation.
+    """Add the 0-based rank of each turn in its conversation; speakers order turns of one place.
 
     Ranks are counted inside chunks of positions; later chunks of long conversations get
     the number of turns before them. Rows move once, by ``(id, chunk)``.
@@ -58,13 +60,19 @@ def number_turns(turns: DataFrame, alias: str = "ord") -> DataFrame:
         .filter(F.col("_offset") > 0)
         .drop("_size")
     )
-    in_chunk = Window.partitionBy("id", "_chunk").orderBy("pos")
+    ties = [c for c in ("from", "empty") if c in turns.columns]
+    in_chunk = Window.partitionBy("id", "_chunk").orderBy("pos", *ties)
     kept = [c for c in turns.columns if c != alias]
     rank = F.coalesce("_offset", F.lit(0)) + F.row_number().over(in_chunk) - 1
     joined = join_null_safe(chunked, offsets, ["id", "_chunk"], "left")
     return joined.select(*kept, rank.alias(alias))
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """All columns of a turn table with ``empty`` and ``ord``: what the steps below take."""
+    return number_turns(turns.withColumn("empty", F.coalesce("value", F.lit("")) == ""))
+
+
 def outline(turns: DataFrame) -> DataFrame:
     """``id, pos, from, empty, ord`` of every turn, without the text."""
     empty = (F.coalesce("value", F.lit("")) == "").alias("empty")
@@ -72,7 +80,10 @@ def outline(turns: DataFrame) -> DataFrame:
 
 
 def pick(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """The turns of an outline with their text; spread by (id, pos), so evenly."""
+    """The turns of an outline with their text, joined by ``(id, pos)``, which must be unique.
+
+    Where ids or places may repeat, take ``numbered`` through the steps instead.
+    """
     other = [c for c in turns.columns if c not in ("id", "pos", "from", "ord")]
     return join_null_safe(
         turns.select("id", "pos", *other), kept.select("id", "pos", "ord", "from"), ["id", "pos"]
@@ -121,24 +132,19 @@ def conversation_tails(numbered: DataFrame) -> DataFrame:
 
 
 def _cut_tail(numbered: DataFrame, cut_at: Column) -> DataFrame:
-    """Drop every turn at or behind the position ``cut_at`` (an expression over ``tail``).
+    """Drop every turn from the one at ``cut_at`` on (an expression over ``tail``).
 
     Only chunks that lose a turn are joined, on the key the turns are already spread by.
     """
-    cuts = conversation_tails(numbered).select(
-        "id", cut_at.alias("_cut"), F.get("tail", F.lit(0))["pos"].alias("_end")
-    ).filter(F.col("_cut").isNotNull())
-    touched = cuts.select(
-        "id",
-        "_cut",
-        F.explode(
-            F.array_distinct(F.array(_chunk(F.col("_cut")), _chunk(F.col("_end"))))
-        ).alias("_chunk"),
+    cuts = conversation_tails(numbered).select("id", "tail", cut_at["ord"].alias("_cut"))
+    lost = F.filter("tail", lambda t: t["ord"] >= F.col("_cut"))
+    touched = cuts.filter(F.col("_cut").isNotNull()).select(
+        "id", "_cut", F.explode(F.array_distinct(F.transform(lost, lambda t: _chunk(t["pos"])))).alias("_chunk")
     )
     chunked = numbered.withColumn("_chunk", _chunk(F.col("pos")))
     return (
         join_null_safe(chunked, touched, ["id", "_chunk"], "left")
-        .filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut")))
+        .filter(F.col("_cut").isNull() | (F.col("ord") < F.col("_cut")))
         .drop("_chunk", "_cut")
     )
 
@@ -163,24 +169,24 @@ def _empty_reply_at(i: int) -> Column:
     return F.coalesce((t["code"] == 2) & (t["empty"] == 1), F.lit(False))
 
 
-def _pos_at(i: int) -> Column:
-    return F.get("tail", F.lit(i))["pos"]
+def _turn_at(i: int) -> Column:
+    return F.get("tail", F.lit(i))
 
 
 def drop_trailing_human(numbered: DataFrame) -> DataFrame:
     """Remove the last turn of a conversation when a human spoke it."""
-    return _cut_tail(numbered, F.when(_human_at(0), _pos_at(0)))
+    return _cut_tail(numbered, F.when(_human_at(0), _turn_at(0)))
 
 
 def drop_trailing_empty_reply(numbered: DataFrame) -> DataFrame:
     """Remove a last reply without text together with the question before it; once."""
-    return _cut_tail(numbered, F.when(_empty_reply_at(0) & _human_at(1), _pos_at(1)))
+    return _cut_tail(numbered, F.when(_empty_reply_at(0) & _human_at(1), _turn_at(1)))
 
 
 def clean_conversations(numbered: DataFrame) -> DataFrame:
     """Trailing human turn first, then the trailing empty exchange, in a single pass."""
-    after_human = F.when(_empty_reply_at(1) & _human_at(2), _pos_at(2)).otherwise(_pos_at(0))
-    plain = F.when(_empty_reply_at(0) & _human_at(1), _pos_at(1))
+    after_human = F.when(_empty_reply_at(1) & _human_at(2), _turn_at(2)).otherwise(_turn_at(0))
+    plain = F.when(_empty_reply_at(0) & _human_at(1), _turn_at(1))
     return _cut_tail(numbered, F.when(_human_at(0), after_human).otherwise(plain))
 
 

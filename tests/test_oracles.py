@@ -95,3 +95,33 @@ def test_long_conversations_and_null_groups(spark, hard_folder, name):
     want = _sorted([tuple(map(_clean, r)) for r in expected.fetchall()])
     got = _sorted([tuple(r) for r in result.select(*[f"`{c}`" for c in columns]).collect()])
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def repeated_folder(tmp_path_factory):
+    """Two conversations without an id, one written twice, one that ends in a human turn."""
+    folder = tmp_path_factory.mktemp("repeated")
+    con = duckdb.connect()
+    for name in TABLES:
+        rows = f"SELECT * FROM '{SF}/{name}.parquet'"
+        if name == "conversations":
+            said = "CASE WHEN range % 2 = 0 THEN 'user' ELSE 'assistant' END, 'turn ' || range"
+            for conv_id, turns, times in (("NULL", 7, 2), ("200001", 5, 2), ("200011", 4, 3), ("NULL", 9000, 1)):
+                rows += f" UNION ALL SELECT {conv_id}, range, {said} FROM range({turns}), range({times}) AS t(k)"
+        con.execute(f"COPY ({rows}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name", ["drop_trailing_human", "clean_conversations", "drop_leading_non_human", "check_alternation"]
+)
+def test_null_and_repeated_ids(spark, repeated_folder, name):
+    """Rows that share an id and a place are not multiplied, and one turn at the end is one row."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{repeated_folder}/{t}.parquet'")
+    result = entry.queries()[name](spark, repeated_folder)
+    columns = sorted(result.columns)
+    expected = con.sql(entry.oracle_sql()[name]).select(*[duckdb.ColumnExpression(c) for c in columns])
+    got = _sorted([tuple(r) for r in result.select(*[f"`{c}`" for c in columns]).collect()])
+    assert got == _sorted([tuple(map(_clean, r)) for r in expected.fetchall()])

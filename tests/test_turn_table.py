@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from dialoom.functions.text import LLAMA
 from dialoom.functions.tokens import RegexTokenizer
@@ -47,10 +48,18 @@ def test_same_as_on_records(turns, conv, chunk, step):
     data = _random_records(120, 9, 5)
     spoken = tt.keep_dialogue_roles(turns(data))
     flat = tt.pick(spoken, getattr(tt, step)(tt.outline(spoken)))
+    assert _by_id(getattr(tt, step)(tt.numbered(spoken))) == _by_id(flat)
     nested = getattr(records, step)(records.keep_dialogue_roles(conv(data)))
     assert _by_id(flat) == {k: v for k, v in as_dict(nested).items() if v}
 
 
+def test_sparse_places_at_the_end(turns):
+    """The last three turns lie in three chunks of places."""
+    data = turns({"a": [(H, "q"), (G, "a"), (H, "q"), (G, ""), (H, "z")]})
+    sparse = data.withColumn("pos", F.col("pos") * 1_000_000_000)
+    assert _by_id(tt.clean_conversations(tt.numbered(sparse))) == {"a": [(H, "q"), (G, "a")]}
+
+
 def test_numbers_are_dense(turns, chunk):
     data = _random_records(50, 20, 6)
     numbered = tt.number_turns(tt.keep_dialogue_roles(turns(data)))
