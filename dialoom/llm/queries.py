@@ -131,3 +131,70 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = reshard(docs, old, 12, [1.0] * 16)
     rewrite_affected(docs, placed, fresh_path(spark, "resharded"))
     return placed.drop("old_shard", "row")
+
+
+# The tree level by level. The fixed number is the polynomial of CRC-32 in reversed bit order.
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE marked AS (
+  SELECT *, n_chars + CASE WHEN xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1),
+                                              lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS changed
+  FROM documents),
+fields AS (
+  SELECT doc_id, lang, n_chars, changed,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM marked),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+    sha256(head || coalesce(strlen(changed::VARCHAR) || ':' || changed, '-') || body) AS tampered
+  FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+lower_tree AS (
+  SELECT lang, 0 AS level, pos, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM lower_tree WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, pos, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM upper_tree WHERE n > 1 GROUP BY level, pos // 2, n),
+lower_path AS (
+  SELECT doc_id, lang, leaf, pos AS place, 0 AS level, pos, n, '' AS proof, tampered AS folded FROM leaves
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.leaf, p.place, p.level + 1, p.pos // 2, (p.n + 1) // 2, p.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN p.pos % 2 = 0 THEN p.folded || coalesce(s.digest, '') ELSE s.digest || p.folded END)
+  FROM lower_path p LEFT JOIN lower_tree s
+    ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = p.level AND s.pos = xor(p.pos, 1)
+  WHERE p.n > 1),
+upper_path AS (
+  SELECT p.doc_id, p.leaf, p.place, s.subroot, 0 AS level, s.pos, s.n, p.proof, p.folded
+  FROM lower_path p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.place, p.subroot, p.level + 1, p.pos // 2, (p.n + 1) // 2, p.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN p.pos % 2 = 0 THEN p.folded || coalesce(s.digest, '') ELSE s.digest || p.folded END)
+  FROM upper_path p LEFT JOIN upper_tree s ON s.level = p.level AND s.pos = xor(p.pos, 1)
+  WHERE p.n > 1)
+SELECT p.doc_id, p.leaf, p.subroot, r.digest AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root,
+  p.folded = r.digest AS verified
+FROM upper_path p, (SELECT digest FROM upper_tree WHERE n = 1) r WHERE p.n = 1"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from dialoom.llm.merkle import merkle_manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered)
