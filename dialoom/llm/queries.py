@@ -198,3 +198,41 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle_manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH worded AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+lengths AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id),
+totals AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM lengths),
+entries AS (
+  SELECT doc_id, term, count(*) AS tf FROM worded
+  WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM entries, totals GROUP BY term),
+scored AS (
+  SELECT q.item_id, e.doc_id,
+    sum(q.times * w.w * ((1000000000 * e.tf) // (1000 * e.tf + 12 * (100 - 25 + ((25 * l.n * t.nn) // t.ll)))))::BIGINT AS score
+  FROM wanted q JOIN entries e USING (term) JOIN weights w USING (term) JOIN lengths l USING (doc_id), totals t
+  GROUP BY q.item_id, e.doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialoom.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

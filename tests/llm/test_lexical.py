@@ -1,0 +1,135 @@
+"""Ranked search against scores of every document."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from dialoom.llm import lexical
+from dialoom.llm.lexical import Segment, search, terms_of
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def plain_terms(text):
+    return [t.translate(LOWER) for t in TERM.findall(text or "")]
+
+
+def plain(docs, items, k):
+    """Every document's score for every item."""
+    worded = [(i, Counter(plain_terms(t))) for i, t in docs]
+    filled = [(i, c, c.total()) for i, c in worded if c]
+    n_docs, n_terms = len(filled), sum(n for _, _, n in filled)
+    df = Counter(t for _, c, _ in filled for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for i, c, n in filled:
+            m = 100 - 25 + (25 * n * n_docs) // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1_000_000_000 * c[t]) // (1000 * c[t] + 12 * m))
+                for t in plain_terms(text) if t in c
+            )
+            if score > 0:
+                found.append((-score, i is not None, i or 0, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, _, i) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def prose(rng, words, vocabulary):
+    return " ".join(rng.choice(vocabulary) for _ in range(words))
+
+
+@pytest.mark.parametrize("first, entries, k", [(1, 1 << 21, 20), (2, 300, 5), (64, 50, 1), (3, 1, 400)])
+def test_search(spark, monkeypatch, first, entries, k):
+    rng = random.Random(first)
+    vocabulary = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(2000)]
+    texts = [prose(rng, rng.randint(0, 60), vocabulary) for _ in range(250)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i % 9]) for i in range(60)]
+    items = [(i, prose(rng, rng.randint(1, 25), vocabulary)) for i in range(12)]
+    # Tasks get the functions by value, so constants are set where they run.
+    run = lambda: search(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+        spark.createDataFrame(items, "item_id long, text string"), k,
+    )
+    monkeypatch.setattr(lexical, "FIRST_READ", first)
+    monkeypatch.setattr(lexical, "SEGMENT_ENTRIES", entries)
+    assert rows_of(run()) == plain(docs, items, k)
+
+
+def test_hard_rows(spark, table_of):
+    from tests.llm.conftest import hard_rows, prose as words
+
+    docs = hard_rows() + [(20, "A-Z É日本 é日本 x_y x"), (21, "x\x00y \x7fx"), (20, "twin"), (20, "twin")]
+    items = [
+        (1, words(1, 120)), (2, None), (3, ""), (4, "é日本 É日本"), (None, "twin X y"), (5, "same same twin"), (5, "words"),
+        (6, " \n!?"), (7, "nowhere"), (8, words(2, 3000)),
+    ]
+    got = search(table_of(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    assert rows_of(got) == plain(docs, items, 20)
+
+
+def test_empty_tables(spark, table_of):
+    items = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    assert search(table_of([]), items).collect() == []
+    assert search(table_of([(1, None), (2, "")]), items).collect() == []
+    made = search(table_of([(1, "x")]), items.limit(0))
+    assert made.collect() == [] and made.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_blocks_of_queries(spark, table_of, monkeypatch):
+    docs = [(i, f"a{i % 7} b{i % 3} c") for i in range(40)]
+    items = [(i, f"a{i} b{i % 3} " * 4) for i in range(9)]
+    monkeypatch.setattr(lexical, "BLOCK_BYTES", 100)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(lexical.query_blocks(asked.selectExpr("item_id", "cast(text AS binary)")))) > 3
+    assert rows_of(search(table_of(docs), asked, 6)) == plain(docs, items, 6)
+
+
+def packed(docs):
+    """A packed row of documents ``{term: times}``."""
+    lengths = [sum(d.values()) for d in docs]
+    columns = (
+        (range(len(docs)), "<i8"), ([False] * len(docs), bool), (lengths, "<i8"), (map(len, docs), "<i8"),
+        ((t for d in docs for t in d), "<u4"), ((n for d in docs for n in d.values()), "<u4"),
+    )
+    return tuple(np.array(list(values), kind).tobytes() for values, kind in columns)
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.dictionaries(st.integers(0, 9), st.integers(1, 4), min_size=1, max_size=6), min_size=1, max_size=40),
+    st.dictionaries(st.integers(0, 12), st.integers(1, 3), max_size=8),
+    st.integers(1, 8), st.integers(1, 3_000_000),
+)
+def test_intervals_end_in_the_best(docs, query, k, floor):
+    weights = np.array([0, 1, 5, 5, 90, 300, 300, 1000, 2000, 7, 0, 0, 3])
+    total = sum(sum(d.values()) for d in docs)
+    before, lexical.FIRST_READ = lexical.FIRST_READ, 1
+    try:
+        got = Segment([packed(docs)], weights, len(docs), total).best(query, k, floor)
+    finally:
+        lexical.FIRST_READ = before
+    m = [75 + 25 * sum(d.values()) * len(docs) // total for d in docs]
+    scores = [
+        (sum(q * int(weights[t]) * (10**9 * d[t] // (1000 * d[t] + 12 * m[i])) for t, q in query.items() if t in d), i)
+        for i, d in enumerate(docs)
+    ]
+    ranked = sorted((s for s in scores if s[0] >= floor), reverse=True)
+    cut = ranked[k - 1][0] if len(ranked) >= k else floor
+    assert got == [s for s in ranked if s[0] >= cut]
+
+
+def test_terms():
+    text = "Über-Straße x1 _y_ [Z] \x85nel ÀB"
+    assert [t.decode() for t in terms_of(text.encode())] == plain_terms(text)
