@@ -236,3 +236,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialoom.llm.lexical import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from dialoom.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.drop("places").withColumn("expressions", F.array_join("expressions", ";"))

@@ -1,0 +1,119 @@
+"""The licence scan against plain search, and the expression parser against a recursive one."""
+
+import re
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from dialoom.llm import licenses
+from dialoom.llm.licenses import OBLIGATIONS, Scanner, evaluate, identified, postfix, scan_licenses
+from tests.llm.conftest import hard_rows
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def plain_base(text):
+    """Words, places, first, last and labels of the base phrases, phrase by phrase."""
+    words = WORD.findall((text or "").translate(LOWER))
+    found = []
+    for phrase, label in BASE.items():
+        p = phrase.split(" ")
+        found += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    starts = [i for i, _ in found]
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+TEXTS = [
+    "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "cc by cc by CC_BY ccby cc\nby",
+    "This work is licensed under the GNU General Public License, version 3.",
+    "The Apache   License, Version 2.0; the apache-license; apache licenses; Àpache License",
+    "mit licensemit license mit license", "GNU Lesser General Public License and GNU General Public License" * 3,
+    "x SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0\nrest",
+    "words " * 5000 + "MIT License " + "more " * 5000 + "Apache License",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy", "license: see below", "sublicense: MIT",
+]
+
+
+def test_base_places(spark, table_of):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 if i is None else i + 200, t) for i, t in hard_rows()]
+    rows += [(None, TEXTS[0]), (None, None)]
+    got = scan_licenses(table_of(rows))
+    fields = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], *[r[f] for f in fields]) for r in got.collect()), key=key) == sorted(
+        ((i, *plain_base(t)) for i, t in rows), key=key
+    )
+    for r in got.collect():
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "")
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    assert scan_licenses(table_of([])).collect() == []
+
+
+def scanned(text):
+    names = licenses.NAMES_OUT[1:]
+    return dict(zip(names, Scanner().scan(text.encode())))
+
+
+def test_names_sentences_and_tags():
+    assert scanned(TEXTS[1])["labels"] == "cc-by,cc-by-nc" and scanned(TEXTS[1])["obligation"] == 0.9
+    assert scanned(TEXTS[9])["labels"] == "mit" and scanned(TEXTS[9])["n_base"] == 0
+    tagged = scanned(TEXTS[7])
+    assert tagged["labels"] == "apache,gpl,mit"
+    assert tagged["expressions"] == ["mit gpl-2.0-only classpath-exception-2.0 with or apache-2.0 and"]
+    assert tagged["obligation"] == 0.25
+    assert scanned("license: see below")["labels"] == scanned("sublicense: MIT")["labels"] == ""
+    assert scanned("License: MIT.")["labels"] == "mit"
+    granted, named = scanned("released under the MIT License"), scanned("we like the MIT License")
+    assert granted["score"] > named["score"] > 0
+    assert scanned("nothing of the kind")["score"] == 0 and scanned("")["obligation"] is None
+    assert scanned("a MIT License b")["places"] == [("mit", 1, 2)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("mit", ["mit"]), ("mit or apache-2.0 and isc", ["mit", "apache-2.0", "isc", "and", "or"]),
+        ("(mit or apache-2.0) and isc", ["mit", "apache-2.0", "or", "isc", "and"]), ("mit or", ["mit"]), ("mit or nonsense", ["mit"]),
+        ("mit isc", ["mit"]), ("(mit", None), ("mit)", ["mit"]), ("", None), ("or mit", None), ("mit with foo", ["mit"]),
+        ("(mit or isc) with gcc-exception-3.1", ["mit", "isc", "or"]), ("gpl-2.0+. or mit", ["gpl-2.0+"]), ("()", None),
+        ("mit or (", None), ("licenseref-own and mit", ["licenseref-own", "mit", "and"]), ("mit\nor isc", ["mit"]),
+    ],
+)
+def test_postfix(text, want):
+    assert postfix(text) == want
+
+
+def test_identifiers():
+    assert [identified(x) for x in ("bsd-3-clause", "gpl-3.0-or-later", "cc0-1.0", "cc-by-nc-sa-4.0", "0bsd", "mitx", "mit-license", "licenseref-a")] == [
+        "bsd", "gpl", "public-domain", "cc-by-nc-sa", "bsd", None, None, "other",
+    ]
+
+
+leaf = st.sampled_from(["mit", "gpl-3.0-only", "apache-2.0", "lgpl-2.1", "cc-by-nc-4.0", "isc"])
+expression = st.recursive(
+    leaf | st.tuples(st.just("with"), leaf), lambda e: st.tuples(st.sampled_from(["and", "or"]), e, e), max_leaves=12
+)
+
+
+def spelled(e):
+    if isinstance(e, str):
+        return e
+    return f"{e[1]} with font-exception-2.0" if e[0] == "with" else f"({spelled(e[1])}) {e[0]} ({spelled(e[2])})"
+
+
+def valued(e):
+    if isinstance(e, str):
+        return OBLIGATIONS[identified(e)]
+    if e[0] == "with":
+        return min(valued(e[1]), 0.5) if valued(e[1]) >= 0.7 else valued(e[1])
+    return (max if e[0] == "and" else min)(valued(e[1]), valued(e[2]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(expression)
+def test_value_of_nested_expressions(e):
+    made = postfix(spelled(e))
+    assert evaluate(made).obligation == valued(e)
+    assert evaluate(made).labels == {identified(x) for x in re.findall(r"[a-z0-9.+-]+", spelled(e)) if identified(x)}

@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
     columns = sorted(result.columns)
     want = con.sql(entry.oracle_sql()[name]).select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()
     assert sorted(map(tuple, result.select(*columns).collect())) == sorted(want)
-    assert len(want) == 200
+    assert len(want) == 200 or name == "op12_ranked_search" and len(want) > 200
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -24,5 +24,5 @@ def test_query_runs(spark, name):
     """Every query over its whole table, with one row per document where that is its contract."""
     result = queries.QUERIES[name](spark, SF)
     rows = result.count()
-    per_document = name.partition("_")[0] not in ("op4", "op10")
+    per_document = name.partition("_")[0] not in ("op4", "op10", "op12")
     assert rows == 200 if per_document else rows > 0
