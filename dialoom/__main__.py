@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     replay = commands.add_parser("regenerate", help="replace replies by generated ones")
     replay.add_argument("--dataset", required=True)
     replay.add_argument("--format", choices=["jsonl", "json", "parquet"])
-    replay.add_argument("--order", help="integer column with the order of the records")
+    replay.add_argument("--order", help="integer column with the order of the records; else their place in the files")
     replay.add_argument("--url", required=True)
     replay.add_argument("--model", required=True)
     replay.add_argument("--api-key")
@@ -65,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
         made.add_argument("--on-error", choices=["fail", "drop"], default="fail")
         if name == "vocab":
             made.add_argument("--draft-size", type=int, required=True)
+            made.add_argument("--ties", choices=["first_seen", "token_id"], default="first_seen")
 
     report = commands.add_parser("report", help="a training log to a table")
     report.add_argument("log")
@@ -98,7 +99,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         if args.command == "featurize":
             jobs.feature_corpus(*common, **options)
         else:
-            jobs.vocabulary_corpus(*common, args.draft_size, **options).show()
+            jobs.vocabulary_corpus(*common, args.draft_size, **options, ties=args.ties).show()
     elif args.command == "report":
         jobs.training_report(spark, args.log).orderBy("split", "epoch").show(1000)
 

@@ -24,6 +24,7 @@ from dialoom.plans import jobs
 from dialoom.schema import CONVERSATION, LOOSE_CONVERSATION, MAX_LEN
 from dialoom.session import fresh_path
 from dialoom.sources import conversations as src
+from dialoom.sources import in_order as ordered
 from dialoom.sources import sinks
 from dialoom.streaming import jobs as streams
 
@@ -109,6 +110,41 @@ def scan_conversations_json(spark, sf_dir):
     return _flat(src.scan_conversations_json(spark, _json_arrays(spark, sf_dir, False), CONVERSATION))
 
 
+@query("scan_conversations_json_array", RAW_TURNS_SQL)
+def scan_conversations_json_array(spark, sf_dir):
+    path = _json_arrays(spark, sf_dir, False)
+    return _flat(src.scan_conversations_json(spark, path, CONVERSATION, layout="array"))
+
+
+@query(
+    "load_in_order",
+    """WITH numbered AS (
+      SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS idx
+      FROM (SELECT DISTINCT conv_id FROM conversations))
+    SELECT fmt, 'sharegpt_' || conv_id AS id, idx
+    FROM numbered, (VALUES ('jsonl'), ('json'), ('parquet')) f(fmt)""",
+)
+def load_in_order(spark, sf_dir):
+    """The conversations in order, 100 to a file; every format read back with the places."""
+    number = F.substring_index("id", "_", -1).cast("bigint").alias("number")
+    conv = inputs.records(spark, sf_dir).select(number, "id", "conversations")
+    conv = conv.withColumn("file", F.format_string("%09d", F.floor(F.col("number") / 100)))
+    dealt = conv.repartition("file").sortWithinPartitions("file", "number")
+    listed = F.sort_array(F.collect_list(F.struct("number", F.to_json(F.struct("id", "conversations")).alias("one"))))
+    arrays = conv.groupBy("file").agg(
+        F.concat(F.lit("["), F.array_join(listed["one"], ",\n"), F.lit("]")).alias("value")
+    )
+    root, read = fresh_path(spark, "ordered"), []
+    # Several files to one folder; the arrays keep a folder for each, which makes part of its path.
+    dealt.select("id", "conversations", "file").write.partitionBy("file").json(f"{root}/jsonl")
+    arrays.write.partitionBy("file").text(f"{root}/json")
+    dealt.repartitionByRange(4, "number").sortWithinPartitions("number").write.parquet(f"{root}/parquet")
+    for fmt in ("jsonl", "json", "parquet"):
+        rows = ordered.load_in_order(spark, f"{root}/{fmt}", fmt, CONVERSATION)
+        read.append(rows.select(F.lit(fmt).alias("fmt"), "id", "idx"))
+    return src.union_all_files(read)
+
+
 @query("scan_conversations_json_indented", RAW_TURNS_SQL)
 def scan_conversations_json_indented(spark, sf_dir):
     path = _json_arrays(spark, sf_dir, True)

@@ -60,6 +60,21 @@ def places(
     return placed.select(*narrow.columns, (F.col("_at") + F.col("_shift")).alias("place"), "n_rows")
 
 
+def prefix_sums(df: DataFrame, order: list[str], value: str, alias: str) -> DataFrame:
+    """``df`` with ``alias``, the sum of ``value`` over all rows in front of each in ``order``, which no
+    two rows share. For summaries: narrow rows, such as one per file split."""
+    df = freeze(df)
+    parts = max(1, -(-df.count() // PART_ROWS))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    ranged = freeze(ranged)
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_all"))
+    line = Window.partitionBy(F.lit(0)).orderBy("_range")
+    starts = totals.select("_range", (F.sum("_all").over(line) - F.col("_all")).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order)) - F.col(value)
+    summed = ranged.withColumn("_inside", inside).join(starts, "_range")
+    return summed.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(alias))
+
+
 def _rank(
     df: DataFrame, value: Column, ties: list[str], part_rows: int, repeatable: bool
 ) -> DataFrame:

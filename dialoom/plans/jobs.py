@@ -30,6 +30,7 @@ from dialoom.sources.conversations import (
     scan_conversations_jsonl,
     scan_text_log,
 )
+from dialoom.sources.in_order import load_in_order
 
 
 def clean_and_split(
@@ -147,8 +148,14 @@ def regenerate_dataset(
     order: str | None = None, batch_save: int = 10, fmt: str | None = None,
     schema: Schema = LOOSE_CONVERSATION, **options,
 ) -> None:
-    """From a dataset on disk, in any accepted spelling, to saved regenerated batches."""
-    conv = indexed_corpus(load_conversations(spark, source, fmt, schema), order)
+    """From a dataset on disk, in any accepted spelling, to saved regenerated batches.
+
+    Records are numbered by ``order``, or else by their place in the files, which are read by path.
+    """
+    if order is not None:
+        conv = indexed_corpus(load_conversations(spark, source, fmt, schema), order)
+    else:
+        conv = indexed_corpus(load_in_order(spark, source, fmt, schema))
     end = options.pop("end_index", None)
     if end is None:
         end = conv.count()
@@ -221,14 +228,19 @@ def feature_corpus(
 def vocabulary_corpus(
     spark: SparkSession, source: str, target: str, template: ChatTemplate, tokenizer: Tokenizer,
     draft_size: int, max_len: int | None = None, on_error: str = "fail", fmt: str | None = None,
+    ties: str = "first_seen",
 ) -> DataFrame:
     """A cleaned chat corpus to its draft vocabulary: maps and coverage in Parquet.
 
-    Equal counts go by token id, as files have no order of records. Returns the coverage.
+    Equal counts go by first occurrence in the files, read by path, or by ``ties="token_id"``, which
+    saves finding the places of records. Returns the coverage.
     """
-    conv = coalesce_turn_fields(load_conversations(spark, source, fmt, None))
+    if ties == "first_seen":
+        conv, seq = coalesce_turn_fields(load_in_order(spark, source, fmt, None)), "idx"
+    else:
+        conv, seq = coalesce_turn_fields(load_conversations(spark, source, fmt, None)), None
     built = build_draft_vocab(
-        conv, template, tokenizer, draft_size, max_len, ties="token_id", on_error=on_error
+        conv, template, tokenizer, draft_size, max_len, ties=ties, seq=seq, on_error=on_error
     )
     built.maps.write.parquet(f"{target}/maps")
     built.coverage.write.parquet(f"{target}/coverage")

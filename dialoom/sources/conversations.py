@@ -47,17 +47,23 @@ def scan_conversations_json(
 ) -> DataFrame:
     """Files that are each one JSON array of records.
 
-    ``any`` parses every file as a whole, one task per file. ``indented`` is for arrays
+    ``any`` parses every file as a whole, one task per file. ``array`` reads any spelling with many
+    tasks, in three passes (``json_arrays``). ``indented`` is for arrays
     written with two-space indentation and LF: such a file is cut at record boundaries, so one
     big file is read by many tasks. A piece that holds anything but one record, as any other
     spelling gives, fails the job.
     """
     if layout == "any":
         return _json_reader(spark, schema).option("multiLine", True).json(path)
-    if schema is None:
-        raise ValueError("layout='indented' needs a schema")
-    if layout != "indented":
+    if layout not in ("array", "indented"):
         raise ValueError(f"unknown layout: {layout}")
+    if schema is None:
+        raise ValueError(f"layout='{layout}' needs a schema")
+    if layout == "array":
+        from dialoom.sources.json_arrays import scan_array_records
+
+        parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+        return scan_array_records(spark, path).select(parsed.alias("r")).select("r.*")
     pieces = spark.read.option("lineSep", INDENTED_BOUNDARY).text(path)
     # The first piece of a file opens the array and the last one closes it; the others
     # lost their closing brace to the separator.
@@ -90,26 +96,32 @@ def scan_parquet_dir(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def load_conversations(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: Schema = CONVERSATION
-) -> DataFrame:
-    """Pick the reader by ``fmt``, else by the suffix of the path, else by its name.
-
-    ``schema`` is for JSON; Parquet files bring their own.
-    """
+def format_of(path: str, fmt: str | None = None) -> str:
+    """``fmt``, else the suffix of the path, else what its name stands for."""
     if fmt is None:
         suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2]
         if suffix in ("jsonl", "json", "parquet"):
             fmt = suffix
         elif "ultra" in path:  # the one data set that is known by its name
             fmt = "parquet"
+    if fmt not in ("jsonl", "json", "parquet"):
+        raise ValueError(f"unsupported conversation format: {fmt or path}")
+    return fmt
+
+
+def load_conversations(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: Schema = CONVERSATION
+) -> DataFrame:
+    """Pick the reader by ``fmt``, else by the suffix of the path, else by its name.
+
+    ``schema`` is for JSON; Parquet files bring their own. With one, arrays are read by many tasks.
+    """
+    fmt = format_of(path, fmt)
     if fmt == "parquet":
         return scan_parquet_dir(spark, path)
     if fmt == "jsonl":
         return scan_conversations_jsonl(spark, path, schema)
-    if fmt == "json":
-        return scan_conversations_json(spark, path, schema)
-    raise ValueError(f"unsupported conversation format: {fmt or path}")
+    return scan_conversations_json(spark, path, schema, "any" if schema is None else "array")
 
 
 def scan_text_log(spark: SparkSession, path: str) -> DataFrame:

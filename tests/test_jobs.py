@@ -129,6 +129,52 @@ def test_other_keys_survive_cleaning(spark, tmp_path):
     }
 
 
+def test_vocabulary_follows_the_order_of_lines(spark, tmp_path):
+    """Equal counts go by first occurrence in the files: as reading them in order gives."""
+    from dialoom.functions.text import LLAMA
+    from dialoom.operators.features import featurize
+
+    rows = [
+        {"id": f"c_{i}", "conversations": [
+            {"from": H, "value": "q"}, {"from": G, "value": f"w{(i * 37) % 101} x{(i * 53) % 103} y{i % 3}"},
+        ]} for i in range(90)
+    ]
+    source = tmp_path / "in"
+    source.mkdir()
+    for name, part in (("b.jsonl", rows[30:]), ("a.jsonl", rows[:30])):
+        (source / name).write_text("\n".join(map(json.dumps, part)))
+    tokenizer = RegexTokenizer()
+    jobs.vocabulary_corpus(spark, str(source), str(tmp_path / "out"), LLAMA, tokenizer, 40, fmt="jsonl")
+    numbered = spark.createDataFrame([(i, r["id"], r["conversations"]) for i, r in enumerate(rows)],
+                                     "idx long, id string, conversations array<struct<`from`:string,value:string>>")
+    counts, first = {}, {}
+    for r in featurize(numbered, LLAMA, tokenizer, keep=("idx",)).orderBy("idx").collect():
+        for pos, (token, mask) in enumerate(zip(r["input_ids"], r["loss_mask"])):
+            if mask:
+                counts[token] = counts.get(token, 0) + 1
+                first.setdefault(token, (r["idx"], pos))
+    want = sorted(counts, key=lambda t: (-counts[t], first[t]))[:40]
+    maps = spark.read.parquet(str(tmp_path / "out/maps"))
+    assert {r["token_id"] for r in maps.collect()} == set(want)
+    assert len(set(counts.values())) < 10
+
+
+def test_regenerated_records_keep_their_places(spark, tmp_path):
+    from dialoom.operators.regenerate import RetryPolicy
+
+    rows = [{"conversations": [{"from": H, "value": f"q{i}"}, {"from": G, "value": "a"}]} for i in range(12)]
+    source = tmp_path / "x.json"
+    source.write_text(json.dumps(rows, indent=1))
+    jobs.regenerate_dataset(
+        spark, str(source), str(tmp_path / "saved"), lambda prompt: prompt[7:9], batch_save=3,
+        start_index=4, end_index=9, policy=RetryPolicy(min_interval=0.0),
+    )
+    saved = spark.read.json(str(tmp_path / "saved"))
+    assert {(r["id"], r["conversations"][1]["value"]) for r in saved.collect()} == {
+        (f"regenerated_{i}", f"q{i}") for i in range(4, 9)
+    }
+
+
 def test_command_line(spark, tmp_path, capsys):
     from dialoom.__main__ import parser, run
 
