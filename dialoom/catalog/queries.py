@@ -26,6 +26,7 @@ from dialoom.session import fresh_path
 from dialoom.sources import conversations as src
 from dialoom.sources import in_order as ordered
 from dialoom.sources import sinks
+from dialoom.streaming import conversations as closing
 from dialoom.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1223,3 +1224,45 @@ def stream_token_frequency(spark, sf_dir):
         spark, f"{sf_dir}/documents*.parquet", out, progress, TOKENIZER
     ).awaitTermination()
     return streams.latest_frequency(spark, out)
+
+
+@query(
+    "stream_supervised_frequency",
+    "WITH " + sql.FREQUENCY + " SELECT token_id, freq FROM frequency",
+)
+def stream_supervised_frequency(spark, sf_dir):
+    """Conversations in files that arrive in two runs, the later ones first."""
+    arriving, out, progress = (fresh_path(spark, n) for n in ("arriving", "counts", "progress"))
+    conv = inputs.trainable(spark, sf_dir)
+    middle = conv.agg(F.percentile_approx("conv_id", 0.5)).first()[0] or 0
+    for part in (F.col("conv_id") > middle, F.col("conv_id") <= middle):
+        sinks.write_jsonl(conv.filter(part), arriving, mode="append")
+        streams.stream_supervised_frequency(
+            spark, arriving, out, progress, LLAMA, TOKENIZER, max_len=MAX_LEN
+        ).awaitTermination()
+    return streams.latest_frequency(spark, out)
+
+
+@query("stream_conversations", CLEAN_SQL + " SELECT id, ord AS pos, speaker, value FROM kept")
+def stream_conversations(spark, sf_dir):
+    """Turns of all conversations, a place a second, in four files that arrive in two runs.
+
+    Conversations stay open from file to file; a last turn far in the future closes them all.
+    """
+    arriving, out, progress = (fresh_path(spark, n) for n in ("arriving", "closed", "progress"))
+    at = F.timestamp_seconds(F.col("pos") + 10**9)
+    turns = inputs.blanked(spark, sf_dir).select("id", "pos", "from", "value", at.alias("ts"))
+    end = turns.agg(F.max("pos")).first()[0] or 0
+    later = spark.range(1).select(
+        F.lit("end").alias("id"), F.lit(0).cast("bigint").alias("pos"), F.lit("system").alias("from"),
+        F.lit("").alias("value"), F.timestamp_seconds(F.lit(end + 10**9 + 10**6)).alias("ts"),
+    )
+    for step in range(2):
+        half = turns.filter(F.floor(F.col("pos") * 2 / (end + 1)) == step)
+        sinks.write_jsonl(half.repartitionByRange(2, "pos"), arriving, mode="append")
+        if step:
+            sinks.write_jsonl(later, arriving, mode="append")
+        closing.stream_conversations(
+            spark, arriving, out, progress, end + 10, f"{end + 10} seconds"
+        ).awaitTermination()
+    return _flat(spark.read.schema(CONVERSATION).json(out))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dialoom.functions.tokens import RegexTokenizer
+from dialoom.functions.text import ChatTemplate
+from dialoom.functions.tokens import RegexTokenizer, Tokenizer
+from dialoom.operators.features import featurize
 from dialoom.operators.records import clean_conversations
-from dialoom.sources.conversations import Schema, scan_conversations_jsonl
+from dialoom.operators.vocabulary import token_frequency
+from dialoom.schema import CONVERSATION
+from dialoom.sources.conversations import Schema, coalesce_turn_fields, scan_conversations_jsonl
 
 
 def stream_clean(
@@ -58,8 +62,10 @@ def stream_token_frequency(
     tokens = reader.parquet(in_dir).select(
         F.explode(tokenizer.ids(F.col("text"))).alias("token_id")
     )
-    counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("freq"))
+    return _save_counts(tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("freq")), out_dir, checkpoint)
 
+
+def _save_counts(counts: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
@@ -72,10 +78,45 @@ def stream_token_frequency(
     )
 
 
+def stream_supervised_frequency(
+    spark: SparkSession,
+    in_dir: str,
+    out_dir: str,
+    checkpoint: str,
+    template: ChatTemplate,
+    tokenizer: Tokenizer,
+    schema: Schema = CONVERSATION,
+    max_len: int | None = None,
+    policy: str = "reference",
+    seq: str | None = None,
+    on_error: str = "fail",
+    max_files: int | None = None,
+) -> StreamingQuery:
+    """Running counts of supervised tokens over conversation files (JSONL) as they arrive.
+
+    Records go through the same rendering, tokens and mask as ``token_frequency`` over a batch.
+    State has one row per token id: its count and, with ``seq`` (an integer column with the order of
+    the records), its first occurrence, whichever file brings it. Saved as in
+    ``stream_token_frequency``.
+    """
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    conv = coalesce_turn_fields(reader.json(in_dir))
+    keep = ("id",) if seq is None else ("id", seq)
+    features = featurize(conv, template, tokenizer, max_len, policy, on_error, keep)
+    return _save_counts(token_frequency(features, seq), out_dir, checkpoint)
+
+
 def latest_frequency(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest count of every token id that ``stream_token_frequency`` has saved.
+    """The newest count of every token id that one of the streams above has saved.
 
-    Counts only grow, so the newest is the greatest. A folder whose write did not finish holds
-    no visible files: Spark's committer moves them in at the end.
+    Counts only grow, so the newest is the greatest; first occurrences only move to the front. A
+    folder whose write did not finish holds no visible files: Spark's committer moves them in at
+    the end.
     """
-    return spark.read.parquet(out_dir).groupBy("token_id").agg(F.max("freq").alias("freq"))
+    saved = spark.read.parquet(out_dir)
+    newest = [F.max("freq").alias("freq")]
+    if "first_seen" in saved.columns:
+        newest.append(F.min("first_seen").alias("first_seen"))
+    return saved.groupBy("token_id").agg(*newest)
