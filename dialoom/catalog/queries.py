@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dialoom.catalog import inputs, sql
 from dialoom.catalog.inputs import TOKENIZER, table
@@ -346,6 +346,22 @@ def clean_records(spark, sf_dir):
     return _flat(feat.cleaned_records(inputs.blanked(spark, sf_dir)))
 
 
+@query(
+    "clean_variant",
+    CLEAN_SQL + " SELECT id, ord AS pos, speaker, value, 'note ' || id AS note FROM kept",
+)
+def clean_variant(spark, sf_dir):
+    """Whole records of changing types, cleaned as VARIANT and written and read as lines."""
+    conv = tt.collect_turns(inputs.blanked(spark, sf_dir))
+    text = F.to_json(F.struct("id", F.concat(F.lit("note "), "id").alias("note"), "conversations"))
+    path = fresh_path(spark, "variant")
+    made = records.clean_variant(conv.select(F.parse_json(text).alias("record")))
+    made.select(F.to_json("record").alias("value")).write.text(path)
+    read = src.scan_conversations_jsonl(spark, path, T.StructType([*CONVERSATION.fields, T.StructField("note", T.StringType())]))
+    flat = tt.explode_turns(read).filter(F.col("pos").isNotNull())
+    return flat.select("id", "pos", F.col("from").alias("speaker"), "value", "note")
+
+
 @query(
     "skip_empty",
     f"WITH {sql.CLEANED} SELECT id, count(*) AS turns FROM cleaned GROUP BY id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.text import word_count
+from dialoom.operators.ranking import prefix_sums
 from dialoom.operators.turn_table import join_null_safe
 from dialoom.schema import LOSS_DECAY, MAX_TOKENS, TRIM_RATIO
 
@@ -106,8 +107,8 @@ def trimmed_mean_latency(
     The values of a group are never sorted in one place. Approximate quantiles just beside
     the two cuts slice each group in five; one aggregate gives the size and the sum of every
     slice, and only in the slices that a cut goes through (the two thin ones, usually) are
-    distinct values put in order. Three passes over the values; the mean is exact whatever the quantiles' error.
-    Null groups are groups like others.
+    distinct values put in order, in ranges of bounded size. Three passes over the values; the mean
+    is exact whatever the quantiles' error. Null groups are groups like others.
     """
     keys = list(group)
     rows = latency.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
@@ -143,8 +144,8 @@ def trimmed_mean_latency(
     by = [*keys, "_slice", "_before", "_from", "_to"]
     values = join_null_safe(sliced, crossed, [*keys, "_slice"]).groupBy(*by, "_v")
     values = values.agg(F.count(F.lit(1)).alias("_count"))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    first = F.col("_before") + F.sum("_count").over(in_slice) - F.col("_count")
+    values = prefix_sums(values, ["_v"], "_count", "_lesser", [*keys, "_slice"])
+    first = F.col("_before") + F.col("_lesser")
     copies = F.greatest(
         F.lit(0),
         F.least(F.col("_first") + F.col("_count"), F.col("_to"))

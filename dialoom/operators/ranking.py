@@ -60,19 +60,30 @@ def places(
     return placed.select(*narrow.columns, (F.col("_at") + F.col("_shift")).alias("place"), "n_rows")
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, alias: str) -> DataFrame:
-    """``df`` with ``alias``, the sum of ``value`` over all rows in front of each in ``order``, which no
-    two rows share. For summaries: narrow rows, such as one per file split."""
+def prefix_sums(
+    df: DataFrame, order: list[str], value: str, alias: str, group: list[str] = (), part_rows: int = PART_ROWS
+) -> DataFrame:
+    """``df`` with ``alias``, the sum of ``value`` over all rows of the group in front of each in ``order``.
+
+    No two rows of a group share an order. For summaries, such as one row per file split or per distinct
+    value: rows are stored twice, sorted by sampled ranges, and a window sees one row per range and group.
+    """
     df = freeze(df)
-    parts = max(1, -(-df.count() // PART_ROWS))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
-    ranged = freeze(ranged)
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_all"))
-    line = Window.partitionBy(F.lit(0)).orderBy("_range")
-    starts = totals.select("_range", (F.sum("_all").over(line) - F.col("_all")).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order)) - F.col(value)
-    summed = ranged.withColumn("_inside", inside).join(starts, "_range")
-    return summed.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(alias))
+    parts = max(1, -(-df.count() // part_rows))
+    ranged = freeze(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range", *group).agg(F.sum(value).alias("_all"))
+    line = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")
+    starts = totals.select(
+        F.col("_range").alias("_of"),
+        *[F.col(c).alias(f"_of_{c}") for c in group],
+        (F.sum("_all").over(line) - F.col("_all")).alias("_sum_before"),
+    )
+    same = F.col("_range") == F.col("_of")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    inside = F.sum(value).over(Window.partitionBy("_range", *group).orderBy(*order)) - F.col(value)
+    summed = ranged.withColumn("_sum_inside", inside).join(starts, same)
+    return summed.select(*df.columns, (F.col("_sum_before") + F.col("_sum_inside")).alias(alias))
 
 
 def _rank(

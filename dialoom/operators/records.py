@@ -27,6 +27,34 @@ def clean_conversations(df: DataFrame) -> DataFrame:
     return drop_trailing_empty_reply(drop_trailing_human(df))
 
 
+def clean_variant(df: DataFrame, record: str = "record") -> DataFrame:
+    """``clean_conversations`` inside whole records in a VARIANT column, in one pass, without a schema.
+
+    All other keys, and all keys of the turns that stay, keep their values, whatever their types and
+    however they differ from record to record (as a VARIANT holds them: numbers lose trailing
+    zeros, keys come in order of their names). A body that is no text is empty if it is ``null``, ``0``,
+    ``false`` or an empty list or object. Records without a list of conversations stay as they are.
+    """
+    whole = F.try_variant_get(record, "$", "map<string,variant>")
+    turns = F.try_variant_get(whole["conversations"], "$", "array<variant>")
+
+    def plain(turn: Column) -> Column:
+        body = F.try_variant_get(turn, "$.value", "variant")
+        text = F.try_variant_get(body, "$", "string")
+        other = F.to_json(body)
+        empty = other.isin("null", "0", "0.0", "false", "[]", "{}")
+        said = F.when(F.schema_of_variant(body) == "STRING", text).when(~empty, other)
+        speaker = F.try_variant_get(turn, "$.from", "string")
+        return F.struct(speaker.alias("from"), said.alias("value"))
+
+    outline = F.transform(turns, plain)
+    kept = F.size(t.drop_trailing_empty_reply(t.drop_trailing_human(outline)))
+    cut = F.to_variant_object(F.slice(turns, F.lit(1), kept))
+    shorter = turns.isNotNull() & (kept < F.size(turns))
+    rebuilt = F.transform_values(whole, lambda k, v: F.when(k == "conversations", cut).otherwise(v))
+    return df.withColumn(record, F.when(shorter, F.to_variant_object(rebuilt)).otherwise(F.col(record)))
+
+
 def skip_empty(df: DataFrame) -> DataFrame:
     return df.filter(F.size("conversations") > 0)
 

@@ -34,8 +34,9 @@ class GenerationError(Exception):
 class RetryPolicy:
     """Retry of HTTP 4xx/5xx with waits of 1, 2, ... seconds up to ``max_wait``.
 
-    ``max_attempts`` bounds what would otherwise repeat for ever. ``min_interval`` is the
-    least time between two calls of one task. Any other failure ends at once.
+    ``max_attempts`` bounds what would otherwise repeat for ever. ``min_interval`` is the least time
+    between two calls of a job, on average: each task that can run beside others waits as many times
+    as long. Any other failure ends at once.
     """
 
     min_interval: float = 0.1
@@ -135,16 +136,17 @@ def regenerate_replies(
     because prompts build on earlier replies. A retried task calls the service again, so save in
     batches and continue with what is missing.
     """
+    cores = conv.sparkSession.sparkContext.defaultParallelism
     tasks = partitions
     if tasks is None:
-        cores = conv.sparkSession.sparkContext.defaultParallelism
         tasks = max(cores, -(-conv.count() // TASK_ROWS))
     source = conv.select("id", "idx", "conversations").repartition(tasks)
+    interval = policy.min_interval * min(tasks, cores)  # of each of the tasks that share the rate
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from threading import Lock
 
-        pace = _Pace(policy.min_interval, lock=Lock())
+        pace = _Pace(interval, lock=Lock())
 
         def one(row):
             made = _replay(row[2], lambda p: call_with_retry(generate, p, policy, pace))
@@ -182,11 +184,12 @@ def generate_for_prompts(
     threads: int = 8,
 ) -> DataFrame:
     """One call per row: adds ``reply, error, attempts`` to ``prompts(id, pos, prompt)``."""
+    interval = policy.min_interval * prompts.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from threading import Lock
 
-        pace = _Pace(policy.min_interval, lock=Lock())
+        pace = _Pace(interval, lock=Lock())
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
                 done = list(

@@ -28,6 +28,7 @@ from dialoom.sources.conversations import (
     coalesce_turn_fields,
     load_conversations,
     scan_conversations_jsonl,
+    scan_records_variant,
     scan_text_log,
 )
 from dialoom.sources.in_order import load_in_order
@@ -39,18 +40,37 @@ def clean_and_split(
 ) -> DataFrame:
     """Clean a JSONL corpus; write it whole, or as ``split=train`` and ``split=test``.
 
-    Every key of the records is carried along, at the price of a pass to find them; a ``schema``
-    saves that and drops the others. Records are split by the digests of their ids, or of their
-    whole content where no record has an id. Returns the record counts of what was written.
+    Without a ``schema`` records are cleaned as VARIANT: every key keeps its value. A schema drops
+    the others. Records are split by the digests of their ids, or of their whole content if they
+    have none (with a schema: if it has none). Returns the record counts of what was written, taken
+    while writing.
     """
-    cleaned = records.clean_conversations(scan_conversations_jsonl(spark, source, schema))
+    counts = sinks.StageCounts(spark)
+    if schema is None:
+        cleaned = records.clean_variant(scan_records_variant(spark, source))
+        text = F.to_json("record")
+        key = F.coalesce(F.try_variant_get("record", "$.id", "string"), text)
+        cleaned = cleaned.select(text.alias("value"), key.alias("_key"))
+    else:
+        cleaned = records.clean_conversations(scan_conversations_jsonl(spark, source, schema))
     if full:
-        sinks.write_jsonl(cleaned, target)
-        return sinks.record_counts(cleaned=scan_conversations_jsonl(spark, target))
-    split = sampling.exact_split(cleaned, "id" if "id" in cleaned.columns else None, ratio, seed)
-    split.write.partitionBy("split").option("ignoreNullFields", False).json(target)
-    written = scan_conversations_jsonl(spark, target, "split string")
-    return written.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
+        cleaned = counts.watch(cleaned, cleaned=F.lit(True))
+        if schema is None:
+            cleaned.select("value").write.text(target)
+        else:
+            sinks.write_jsonl(cleaned, target)
+        return counts.table()
+    if schema is None:
+        split = sampling.exact_split(cleaned, "_key", ratio, seed).select("value", "split")
+    else:
+        split = sampling.exact_split(cleaned, "id" if "id" in cleaned.columns else None, ratio, seed)
+    written = counts.watch(split, **{part: F.col("split") == part for part in ("train", "test")})
+    writer = written.write.partitionBy("split")
+    if schema is None:
+        writer.text(target)
+    else:
+        writer.option("ignoreNullFields", False).json(target)
+    return counts.table().withColumnRenamed("stage", "split").filter("records > 0")
 
 
 def sample_corpus(

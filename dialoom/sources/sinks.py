@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from dialoom.schema import CONVERSATION
 
@@ -84,8 +84,30 @@ def merge_batches(batches: DataFrame, dedupe: str | None = "idx") -> DataFrame:
     return batches.orderBy("batch_start", "idx")
 
 
+class StageCounts:
+    """Row counts taken while frames are written: no scan of their own.
+
+    ``watch`` a frame at a stage, write what comes of it, then ask for the ``table``. A stage that
+    no finished action has run through makes ``table`` wait.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.stages = spark, []
+
+    def watch(self, df: DataFrame, **stages: Column) -> DataFrame:
+        """``df``, with the rows counted for which each stage's condition holds."""
+        seen = Observation(f"stage-{len(self.stages)}-{'-'.join(stages)}")
+        self.stages.append(seen)
+        return df.observe(seen, *[F.count_if(rows).alias(name) for name, rows in stages.items()])
+
+    def table(self) -> DataFrame:
+        """``stage, records``, in the order in which the stages were named."""
+        rows = [(name, n) for seen in self.stages for name, n in seen.get.items()]
+        return self.spark.createDataFrame(rows, "stage string, records bigint")
+
+
 def record_counts(**stages: DataFrame) -> DataFrame:
-    """Row count of each named stage as ``stage, records``."""
+    """Row count of each named stage as ``stage, records``; a scan each (``StageCounts`` has none)."""
     counted = [
         df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("stage"), "records")
         for name, df in stages.items()

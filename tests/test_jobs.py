@@ -39,6 +39,30 @@ def test_clean_and_split(spark, tmp_path):
     assert as_dict(src.scan_conversations_jsonl(spark, str(whole))) == cleaned
 
 
+def test_counts_are_taken_while_writing(spark, tmp_path):
+    from dialoom.sources import sinks
+
+    counts = sinks.StageCounts(spark)
+    df = counts.watch(spark.range(100), loaded=F.lit(True))
+    kept = counts.watch(df.filter("id % 10 < 7"), kept=F.lit(True), even=F.col("id") % 2 == 0)
+    kept.write.parquet(str(tmp_path / "kept"))
+    assert [tuple(r) for r in counts.table().collect()] == [("loaded", 100), ("kept", 70), ("even", 40)]
+
+
+def test_clean_and_split_keeps_every_value(spark, tmp_path):
+    """Keys whose types differ from record to record, with a schema that nobody has to find."""
+    source, target = tmp_path / "x.jsonl", tmp_path / "out"
+    rows = [
+        {"id": f"c_{i}", "meta": [i, str(i), {"n": i}, None][i % 4], "conversations": [
+            {"from": H, "value": "q", "score": i / 4}, {"from": G, "value": "a"}]} for i in range(40)
+    ]
+    source.write_text("\n".join(json.dumps(dict(r, conversations=r["conversations"] + [{"from": H, "value": "z"}])) for r in rows))
+    counts = jobs.clean_and_split(spark, str(source), str(target))
+    assert {r["split"]: r["records"] for r in counts.collect()} == {"train": 38, "test": 2}
+    written = [json.loads(r["value"]) for r in spark.read.text(str(target)).collect()]
+    assert sorted(written, key=lambda r: int(r["id"][2:])) == rows
+
+
 def test_clean_and_split_without_ids(spark, tmp_path):
     source, target = tmp_path / "x.jsonl", tmp_path / "out"
     turns = lambda i: [{"from": H, "value": f"q{i}"}, {"from": G, "value": "a"}, {"from": H, "value": "z"}]

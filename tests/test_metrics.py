@@ -124,3 +124,20 @@ def test_null_groups_have_a_mean(spark):
     rows = [(None, float(i)) for i in range(10)] + [("a", 3.0)]
     means = metrics.trimmed_mean_latency(spark.createDataFrame(rows, "engine string, seconds double"), "engine")
     assert {r["engine"]: r["latency"] for r in means.collect()} == {None: pytest.approx(4.5), "a": 3.0}
+
+
+def test_trimmed_mean_in_small_ranges(spark, monkeypatch):
+    """Slices at the cuts are put in order range by range: the same mean, whatever the sizes."""
+    import random
+
+    import dialoom.operators.metrics as m
+    from dialoom.operators.ranking import prefix_sums
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([rng.random(), 0.25, 3.0])) for g in ("a", None) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "engine string, seconds double")
+    monkeypatch.setattr(m, "prefix_sums", lambda *a: prefix_sums(*a, part_rows=40))
+    got = {r["engine"]: r["latency"] for r in m.trimmed_mean_latency(df, "engine", margin=0.3).collect()}
+    for g in ("a", None):
+        values = sorted(v for e, v in rows if e == g)[300:1200]
+        assert abs(got[g] - sum(values) / 900) < 1e-9

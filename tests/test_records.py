@@ -1,5 +1,6 @@
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from dialoom.operators import records
 from tests.conftest import as_dict
@@ -40,8 +41,6 @@ def test_cleaning_uncovers_an_empty_reply_and_keeps_the_record(conv):
 
 
 def test_other_columns_survive_cleaning(conv):
-    from pyspark.sql import functions as F
-
     df = conv({"a": [(H, "q")]}).withColumn("extra", F.lit(7))
     assert records.clean_conversations(df).select("extra").collect()[0][0] == 7
 
@@ -93,3 +92,41 @@ def test_prompts(conv):
         (1, "Human: q\n\nAssistant:"),
         (3, "Human: q\n\nAssistant: r\n\nHuman: \n\nAssistant:"),
     ]
+
+
+def test_cleaning_inside_whole_records(spark):
+    """Every key and every other field of a turn keeps its value; mixed types do not matter."""
+    import json
+
+    turn = lambda f, v, **more: {"from": f, "value": v, **more}
+    kept = [
+        {"id": "a", "meta": {"x": [1, None, "é"], "y": 1.25}, "conversations": [turn(H, "q", w=1), turn(G, "a", tool={"n": 2})]},
+        {"id": 7, "meta": "text", "conversations": [turn(H, "q"), turn(G, [{"type": "text", "text": "body"}])]},
+        {"id": None, "meta": 10**25, "conversations": []}, {"k": True}, {"conversations": None, "k": "c"}, {"conversations": "odd"},
+        {"conversations": [turn("system", "s")]}, {"conversations": [turn(G, "")]}, {"conversations": ["odd", 5]},
+    ]
+    more = [[turn(H, "z")], [], [], None, None, None, [turn(H, "tail", x=1)], [turn(H, "tail")], []]
+    told = [dict(r, conversations=r["conversations"] + m) if m else r for r, m in zip(kept, more)]
+    empty = [{"n": i, "conversations": [turn(H, "q"), turn(G, v), turn(H, "q2"), {"from": G} if v == 5 else turn(G, v)]}
+             for i, v in enumerate([None, "", 0, False, [], {}, 5])]
+    shorter = [dict(r, conversations=r["conversations"][:2]) for r in empty]
+    lines = spark.createDataFrame([(json.dumps(r),) for r in told + empty], "value string")
+    made = records.clean_variant(lines.select(F.parse_json("value").alias("record")))
+    got = [json.loads(r[0]) for r in made.select(F.to_json("record")).collect()]
+    assert got == kept + shorter
+
+
+def test_cleaning_inside_records_equals_the_typed_one(spark, conv):
+    import random
+
+    rng = random.Random(8)
+    data = {
+        f"c_{i}": [(rng.choice([H, G, "system"]), rng.choice(["", "x", None])) for _ in range(rng.randint(0, 6))]
+        for i in range(150)
+    }
+    typed = conv(data)
+    text = F.to_json(F.struct("id", "conversations"), {"ignoreNullFields": "false"})
+    made = records.clean_variant(typed.select(F.parse_json(text).alias("record")))
+    fields = "struct<id:string,conversations:array<struct<`from`:string,value:string>>>"
+    flat = made.select(F.variant_get("record", "$", fields).alias("r")).select("r.*")
+    assert as_dict(flat) == as_dict(records.clean_conversations(typed))

@@ -193,3 +193,27 @@ def test_chat_service(monkeypatch):
     assert body["messages"] == [{"role": "user", "content": "p"}]
     assert (body["temperature"], body["max_tokens"]) == (0.7, 2048)
     assert headers["Authorization"] == "Bearer k"
+
+
+def test_one_rate_for_all_tasks(spark, conv, tmp_path):
+    """Calls of tasks that run side by side keep the interval of the job, as a log of them shows."""
+    import time
+
+    folder = str(tmp_path)
+
+    def noted(prompt):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(repr(time.time()))
+        return "a"
+
+    data = conv({f"c_{i}": [(H, "q"), (G, "x"), (H, "q"), (G, "x")] for i in range(24)})
+    numbered = data.withColumn("idx", F.substring_index("id", "_", -1).cast("bigint"))
+    policy = gen.RetryPolicy(min_interval=0.05)
+    assert gen.regenerate_replies(numbered, noted, policy, partitions=8, threads=4).count() == 24
+    at = sorted(float((tmp_path / n).read_text()) for n in __import__("os").listdir(folder))
+    assert len(at) == 48
+    # Any second has at most as many calls as the interval allows, and one more for each task.
+    for i, start in enumerate(at):
+        assert sum(start <= t < start + 1 for t in at[i:]) <= 20 + 8
