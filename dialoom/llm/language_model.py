@@ -1,9 +1,16 @@
 """Stupid-backoff scores, summed per document (operator 2).
 
-Words are the ids of a public tokenizer, so the unigram table has a proven bound (the vocabulary)
-and can be sent everywhere. Bigrams are exploded from every document, packed, and partitioned by a
-hash of their context; each partition holds the count table of its contexts, joins the exploded
-bigrams to it, and returns one partial sum per document. What is shuffled grows with the corpus.
+Words are the ids of a public tokenizer. Texts are tokenized once; a slice of documents (a few MB of
+text) is stored as one row of ids.
+
+1. Bigrams of every slice, each with its number, are rows of a table; grouped by bigram, with
+   partial sums in each task, they give the count table, partitioned by hash.
+2. Joined back to it by bigram, every slice learns the counts of its own bigrams. Totals by context
+   and by token have at most a row per token of the vocabulary and are sent everywhere.
+3. These rows and the stored ids meet by slice, where documents are scored one slice at a time and
+   each document's log scores are summed.
+
+A frequent bigram or context is one row per slice at most, whatever its documents.
 
 A bigram counts as seen only if another document has it, so no document vouches for itself:
 S(w | u) = c'(u, w) / c'(u) if c'(u, w) > 0, else ALPHA * c(w) / N, with c' without the document.
@@ -17,123 +24,120 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import BATCH_ROWS, give_back, settings, slices, stored
+from dialoom.llm.common import BATCH_ROWS, give_back, part_count, settings, slices, stored
 from dialoom.llm.packing import Encoder, exact_by_bytes
 from dialoom.session import fresh_path
 
 ALPHA = 0.4
-BUCKET_BYTES = 10 << 20  # of text that sends its bigrams to one partition
-MIN_BUCKETS = 12
-CACHE = 80_000  # chunks kept by a task: less than for packing, as bigrams need room too
-PACKED_ROWS = 20  # packed rows are wide: few make a batch
-PASSES = 8  # over a partition's contexts
-NO_ID = -(1 << 63)  # stands for a null id in packed rows
-PACKED = "bucket int, ids binary, crcs binary, counts binary, codes binary, times binary"
-
-
-def _token_lists(batches: Iterator[pa.RecordBatch], path: str, by_bytes: bool) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    import os
+CACHE = 80_000  # chunks kept by a task
+START = (1 << 31) - 1  # context of a text's first token; no id of a vocabulary reaches it
+ROWS = 20_000  # bigrams in one Arrow batch
+PART_GRAMS = 2_000_000  # bigram rows in one task, about
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder = Encoder(path, by_bytes, CACHE)
-    for batch in batches:
-        for part in slices(batch, most=2 << 20):
-            made = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-            yield part, [np.frombuffer(ids, "<u4") for ids in made]
-    del encoder
-    give_back()
+SLICES = "ids binary, nulls binary, sizes binary, tokens binary"
 
 
-def unigram_counts(bigrams: DataFrame) -> DataFrame:
-    """``token, n`` over all documents from their packed bigrams, each of which ends in a token: at
-    most one row per token of the vocabulary."""
+def _tokenize(path: str, by_bytes: bool):
+    """One row per slice: ids of its documents, their numbers of tokens, all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16)
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = Encoder(path, by_bytes, CACHE)
         for batch in batches:
-            for codes, times in zip(batch.column("codes").to_pylist(), batch.column("times").to_pylist()):
-                right = np.frombuffer(codes, "<u4") & 0xFFFF
-                total += np.bincount(right, np.frombuffer(times, "<u4"), len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["token", "n"])
+            for part in slices(batch):
+                made = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                ids = part.column("doc_id").to_pylist()
+                columns = [
+                    np.array([i or 0 for i in ids], "<i8").tobytes(),
+                    np.array([i is None for i in ids], bool).tobytes(),
+                    np.array([len(m) // 4 for m in made], "<i8").tobytes(),
+                    b"".join(made),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["ids", "nulls", "sizes", "tokens"])
+        del encoder
+        give_back()
 
-    return bigrams.select("codes", "times").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return run
 
 
-def _send_bigrams(path: str, by_bytes: bool, start: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, lists in _token_lists(batches, path, by_bytes):
-            ids = np.array([NO_ID if i is None else i for i in part.column("doc_id").to_pylist()], np.int64)
-            crcs = np.array(part.column("crc").to_pylist(), np.int64)
-            sizes = np.array([len(x) for x in lists])
-            right = np.concatenate(lists).astype(np.int64)
-            left = np.append(start, right[:-1])
-            left[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
-            owner = np.repeat(np.arange(len(lists)), sizes)
-            bucket = left % buckets
-            code = (bucket << 48) | (owner << 32) | (left // buckets << 16) | right
-            code, times = np.unique(code, return_counts=True)  # by bucket, then document
-            cuts = np.searchsorted(code, np.arange(buckets + 1) << 48)
-            out = []
-            for b in range(buckets):
-                mine = slice(cuts[b], cuts[b + 1])
-                if cuts[b] < cuts[b + 1]:
-                    here, counts = np.unique((code[mine] >> 32) & 0xFFFF, return_counts=True)
-                    pair = (code[mine] & 0xFFFFFFFF).astype("<u4")
-                    out.append((b, ids[here].tobytes(), crcs[here].tobytes(), counts.astype("<u4").tobytes(), pair.tobytes(), times[mine].astype("<u4").tobytes()))
-            if out:
-                values = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(values[0], pa.int32())] + [pa.array(v, pa.binary()) for v in values[1:]], ["bucket", "ids", "crcs", "counts", "codes", "times"])
+def bigrams(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Each token below its context in one number; a text's first token follows ``START``."""
+    right = tokens.astype(np.int64)
+    left = np.append(START, right[:-1])
+    left[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return left << 32 | right
 
-    return run
+
+def _send_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, sizes, tokens in zip(*(batch.column(c).to_pylist() for c in ("slice", "sizes", "tokens"))):
+            gram, n = np.unique(bigrams(np.frombuffer(sizes, "<i8"), np.frombuffer(tokens, "<u4")), return_counts=True)
+            for at in range(0, len(gram), ROWS):
+                part = slice(at, at + ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(gram[part]), number)), pa.array(gram[part]), pa.array(n[part])], ["slice", "gram", "n"]
+                )
+    give_back()
 
 
-def score_bigrams(doc: np.ndarray, pair: np.ndarray, times: np.ndarray, n_docs: int, unigram: np.ndarray) -> np.ndarray:
-    """Sum of log scores by document. ``pair``: context above, token in the lower 16 bits; rows are
-    distinct (document, pair). ``unigram``: log of backed-off scores by token."""
-    order = np.argsort(pair, kind="stable")
-    p, t = pair[order], times[order]
-    at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-    size = np.diff(np.append(at, len(p)))
-    seen = np.empty(len(p))
-    seen[order] = np.repeat(np.add.reduceat(t, at), size)  # c(u, w)
-    context = pair >> 16
-    context_total = np.bincount(context, times)[context]  # c(u)
-    own_at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (context[1:] != context[:-1])))
-    own = np.repeat(np.add.reduceat(times, own_at), np.diff(np.append(own_at, len(doc))))  # c_d(u)
-    others, others_context = seen - times, context_total - own
+class Totals:
+    """Occurrences by context and by token, of at most one vocabulary."""
+
+    def __init__(self, contexts: pa.Table, tokens: pa.Table) -> None:
+        self.context, self.context_n = self._sorted(contexts)
+        self.token, token_n = self._sorted(tokens)
+        self.backed_off = np.log(ALPHA * token_n / max(1, token_n.sum()))
+
+    @staticmethod
+    def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, n = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.argsort(key)
+        return key[order], n[order].astype(float)
+
+
+def score_slice(sizes: np.ndarray, tokens: np.ndarray, seen: np.ndarray, count: np.ndarray, totals: Totals) -> np.ndarray:
+    """Sum of log scores of each document; ``seen`` are the slice's bigrams in order, with counts."""
+    if not len(tokens):
+        return np.zeros(len(sizes))
+    gram = bigrams(sizes, tokens)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.searchsorted(seen, gram)
+    # Distinct bigrams of each document, by document and, as ``seen`` is in order, by context.
+    code, times = np.unique(owner * len(seen) + place, return_counts=True)
+    doc, place = np.divmod(code, len(seen))
+    context = seen[place] >> 32
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (context[1:] != context[:-1])))
+    own = np.repeat(np.add.reduceat(times, first), np.diff(np.append(first, len(doc))))  # c_d(u)
+    others = count[place] - times
+    log = totals.backed_off[np.searchsorted(totals.token, seen[place] & 0xFFFFFFFF)]
     hit = others > 0
-    log = unigram[pair & 0xFFFF].copy()
-    log[hit] = np.log(others[hit] / others_context[hit])
-    return np.bincount(doc, times * log, n_docs)
+    others_context = totals.context_n[np.searchsorted(totals.context, context[hit])] - own[hit]
+    log[hit] = np.log(others[hit] / others_context)
+    return np.bincount(doc, times * log, len(sizes))
+
 
+def _score(totals: Totals):
+    """Rows come by slice, its bigrams first, its documents last."""
 
-def _score(unigram: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list) -> pa.RecordBatch:
-            ids, crcs, counts, pair, times = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<i8", "<i8", "<u4", "<u4", "<u4")))
-            rows.clear()
-            doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-            sums = np.zeros(len(ids))
-            turn = ((pair >> 16) % PASSES).astype(np.uint8)
-            for k in range(PASSES):  # whole contexts, a part of them at a time: bounds the memory
-                mine = np.flatnonzero(turn == k)
-                if len(mine):
-                    sums += score_bigrams(doc[mine], pair[mine].astype(np.int64), times[mine].astype(np.int64), len(ids), unigram)
-            tokens = np.bincount(doc, times, len(ids)).astype(np.int64)  # each token ends one bigram
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(crcs), pa.array(sums), pa.array(tokens)], ["id", "crc", "part", "tokens"])
-
-        now, rows = None, []
+        grams, counts = [], []
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != now and rows:
-                    yield done(rows)
-                    give_back()
-                    rows = []
-                now = bucket
-                rows.append(row)
-        if rows:
-            yield done(rows)
+            tokens = batch.column("tokens")
+            gram, count = (batch.column(c).fill_null(0).to_numpy() for c in ("gram", "count"))
+            start = 0
+            for at in np.flatnonzero(tokens.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                grams.append(gram[start:at])
+                counts.append(count[start:at])
+                start = at + 1
+                seen, order = np.unique(np.concatenate(grams), return_index=True)
+                ids, nulls, sizes, data = (np.frombuffer(batch.column(c)[at].as_buffer(), k) for c, k in (("ids", "<i8"), ("nulls", bool), ("sizes", "<i8"), ("tokens", "<u4")))
+                sums = score_slice(sizes, data, seen, np.concatenate(counts)[order], totals)
+                grams, counts = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes), pa.array(sums)], ["doc_id", "n_tokens", "log"])
+            grams.append(gram[start:])
+            counts.append(count[start:])
         give_back()
 
     return run
@@ -144,36 +148,33 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Counts are those of all rows; repeated rows count, and vouch for each other, as often as they
     come. Null and empty texts have 0 tokens, ``log_score`` 0 and a null mean. Null ids are scored
-    like any other. Scores are rounded to six digits; other columns are ignored.
+    like any other. Ids are integers. Scores are rounded to six digits; other columns are ignored.
     """
-    by_bytes = exact_by_bytes(path)
-    start = (1 << 16) - 1  # context of a text's first token; no vocabulary here reaches it
-    rows = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
-    # Written once, compressed: texts are tokenized once, for the unigrams as well.
-    place = fresh_path(docs.sparkSession, "bigrams")
-    rows.mapInArrow(_send_bigrams(path, by_bytes, start, buckets), PACKED).write.parquet(place)
-    sent = docs.sparkSession.read.schema(PACKED).parquet(place)
-    with settings(docs.sparkSession, {BATCH_ROWS: str(PACKED_ROWS)}):
-        table = unigram_counts(sent).toArrow()  # <= vocabulary
-    count = np.zeros(1 << 16)
-    count[table.column("token").to_numpy()] = table.column("n").to_numpy()
-    unigram = np.log(ALPHA * np.maximum(count, 1) / max(1.0, count.sum()))
-    parts = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_score(unigram), "id long, crc long, part double, tokens long")
-    sums = parts.groupBy("id", "crc").agg(F.sum("part").alias("all"), F.sum("tokens").alias("tokens"))
-    sums = stored(sums, PACKED_ROWS)
-
-    # Rows that agree in id and text have equal sums, which add up: divide by their number.
-    same = rows.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "crc").agg(F.count("*").alias("k"))
-    found = same.join(sums, ["id", "crc"], "left").select(
-        "id", "crc", (F.col("all") / F.col("k")).alias("log"), F.coalesce(F.col("tokens") / F.col("k"), F.lit(0)).cast("long").alias("n_tokens")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = fresh_path(spark, "token-slices")
+    made = rows.mapInArrow(_tokenize(path, exact_by_bytes(path)), SLICES)
+    made.withColumn("slice", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(place)
+    held = spark.read.schema(f"{SLICES}, slice long").parquet(place)
+    place = fresh_path(spark, "bigrams")
+    with settings(spark, {BATCH_ROWS: "4"}):  # wide rows
+        held.select("slice", "sizes", "tokens").mapInArrow(_send_bigrams, "slice long, gram long, n long").write.parquet(place)
+    grams = spark.read.schema("slice long, gram long, n long").parquet(place)
+
+    counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("count")))
+    by = {"context": F.shiftright("gram", 32), "token": F.col("gram").bitwiseAND(0xFFFFFFFF)}
+    sums = [counts.groupBy(key.alias(name)).agg(F.sum("count").alias("n")) for name, key in by.items()]
+    totals = Totals(*(s.toArrow() for s in sums))  # at most a row per token of the vocabulary each
+
+    known = grams.join(counts, "gram").select("slice", F.lit(0).alias("last"), "gram", "count")
+    messages = known.unionByName(held.withColumn("last", F.lit(1)), allowMissingColumns=True)
+    dealt = messages.repartition(part_count(docs, grams.count(), PART_GRAMS), "slice").sortWithinPartitions("slice", "last")
+    scored = dealt.select("gram", "count", "ids", "nulls", "sizes", "tokens").mapInArrow(
+        _score(totals), "doc_id long, n_tokens long, log double"
     )
-    keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "crc")
-    out = keyed.join(found, ["id", "crc"])
-    return out.select(
+    return scored.select(
         "doc_id",
         "n_tokens",
-        F.round(F.coalesce("log", F.lit(0.0)), 6).alias("log_score"),
+        F.round("log", 6).alias("log_score"),
         F.round(F.when(F.col("n_tokens") > 0, F.col("log") / F.col("n_tokens")), 6).alias("mean_log_score"),
     )
