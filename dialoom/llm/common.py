@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -48,6 +48,17 @@ def give_back() -> None:
         trim(0)
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; when it ends, its tables and caches go back to the machine, as
+    the worker waits for tasks of other stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def utf8_bytes(text: Column) -> Column:
     """Length in bytes; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import stored
+from dialoom.llm.common import returning, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
@@ -38,7 +38,7 @@ def thinned(edges: DataFrame) -> DataFrame:
                 [pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"]
             )
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(returning(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

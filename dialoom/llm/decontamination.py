@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import give_back, returning, slices
 
 ERROR_RATE = 0.08  # edits per character of an item
 MIN_CHARS = 20  # normalized; shorter items are sought without edits
@@ -171,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ["doc_id", "item_id", "distance"],
                     )
 
-        made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, item_id {item_kind}, distance long")
+        made = docs.select("doc_id", "text").mapInArrow(returning(run), f"doc_id {id_kind}, item_id {item_kind}, distance long")
         out = made if out is None else out.unionAll(made)
     return out
 
@@ -184,6 +184,8 @@ def is_leak(text: Column, items: Items) -> Column:
         matcher = items.matcher()
         for texts in batches:
             yield pa.array([bool(matcher.matches(t.as_py() or "", first=True)) for t in texts], pa.bool_())
+        del matcher
+        give_back()
 
     return leak(text)
 

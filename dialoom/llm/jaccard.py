@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import broadcast_ids, slices, stored
+from dialoom.llm.common import broadcast_ids, returning, slices, stored
 from dialoom.llm.components import components, forest
 
 SAMPLE_ROWS = 30_000  # rows whose shared shingles are put last in the order: a documented bound
@@ -91,7 +91,7 @@ def _common_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
                 hashes, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
 
-    counted = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = sample.select("text").mapInArrow(returning(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = stored(counted.filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_ROWS).select("h")).toArrow()
     return np.sort(top.column("h").to_numpy().astype(np.int64)) if top.num_rows else np.zeros(0, np.int64)
 
@@ -126,7 +126,7 @@ def set_table(docs: DataFrame, k: int, percent: int, rows: int = SAMPLE_ROWS) ->
                 )
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return rows_.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return rows_.mapInArrow(returning(run), "doc_id long, n long, digest binary, prefix array<long>")
 
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
             made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need)]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in made], ["a", "b", "need"])
 
-    met = members.select("m").mapInArrow(pairs, "a long, b long, need long")
+    met = members.select("m").mapInArrow(returning(pairs), "a long, b long, need long")
     often = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need")
     return often.select("a", "b").unionAll(hot.distinct())
 
@@ -240,7 +240,7 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
                     ["node", "blocks", "n", "size", "set"],
                 )
 
-    sets = texts.mapInArrow(to_sets, "node long, blocks array<long>, n long, size long, set binary")
+    sets = texts.mapInArrow(returning(to_sets), "node long, blocks array<long>, n long, size long, set binary")
     dealt = sets.filter("n = size").select(F.explode("blocks").alias("block"), "node", "n", "set")
     dealt = dealt.repartition("block").sortWithinPartitions("block", "n", "node")
 
@@ -263,7 +263,7 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
                 sets_.append(np.frombuffer(data, np.uint64))
         yield done()
 
-    return dealt.select("block", "node", "set").mapInArrow(verify, "a long, b long")
+    return dealt.select("block", "node", "set").mapInArrow(returning(verify), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dialoom.llm.common import slices, stored
+from dialoom.llm.common import returning, slices, stored
 from dialoom.llm.token_counts import CACHED_CHARS, PATTERN, PairRanks, byte_letters, chunks
 
 CAPACITY = 2048
@@ -159,7 +159,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECE}")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), f"doc_id {kind}, {PIECE}")
 
 
 def best_filling(price: np.ndarray, capacity: int) -> dict[int, int]:
@@ -298,7 +298,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, F.col("_rank").cast("long").alias("_rank")).mapInArrow(deal, schema)
+    return ranked.select(*pieces.columns, F.col("_rank").cast("long").alias("_rank")).mapInArrow(returning(deal), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.llm.common import slices
+from dialoom.llm.common import give_back, returning, slices
 
 SAMPLE_ROWS = 20_000  # labelled rows for learning: a bound, chosen by a hash of the id
 LEXICON_ROWS = 20_000  # candidates that reach the driver
@@ -223,7 +223,7 @@ def _distinct_words(sample: DataFrame) -> DataFrame:
                     ["key", "toxic", "words"],
                 )
 
-    made = sample.withColumn("_toxic", F.col("_toxic").cast("int")).mapInArrow(run, "key long, toxic int, words array<string>")
+    made = sample.withColumn("_toxic", F.col("_toxic").cast("int")).mapInArrow(returning(run), "key long, toxic int, words array<string>")
     return made.groupBy("key").agg(F.min(F.struct("toxic", "words")).alias("d")).select("d.*")
 
 
@@ -242,7 +242,7 @@ def _prefix_counts(distinct: DataFrame) -> DataFrame:
                     [pa.array(terms), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "clean", "toxic"]
                 )
 
-    counted = distinct.mapInArrow(run, "term string, clean long, toxic long")
+    counted = distinct.mapInArrow(returning(run), "term string, clean long, toxic long")
     return counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
@@ -313,7 +313,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "errors", "toxic"])
 
     sample = sample.withColumn("_toxic", F.col("_toxic").cast("int"))
-    hits = sample.mapInArrow(match_rows, "term string, errors int, toxic int")
+    hits = sample.mapInArrow(returning(match_rows), "term string, errors int, toxic int")
     counts: dict[Match, list[int]] = {}
     # At most terms x 3 x 2 rows.
     for r in hits.groupBy("term", "errors", "toxic").agg(F.count("*").alias("n")).collect():
@@ -334,7 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                     [*(pa.array(v, pa.float64()) for v in zip(*made)), part.column("_toxic")], ["best", "total", "size", "toxic"]
                 )
 
-    rows_ = sample.mapInArrow(feature_rows, "best double, total double, size double, toxic int").collect()  # <= rows
+    rows_ = sample.mapInArrow(returning(feature_rows), "best double, total double, size double, toxic int").collect()  # <= rows
     data = np.array([tuple(r) for r in rows_], float)
     model.curve = fit_curve(data[:, :-1], data[:, -1])
     return model
@@ -348,6 +348,8 @@ def toxicity_score(text: Column, model: Model) -> Column:
         scorer = Scorer(model)
         for texts in batches:
             yield pa.array([scorer.score(t.as_py() or "") for t in texts], pa.float64())
+        del scorer
+        give_back()
 
     return score(text)
 
