@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dialoom.functions.masks import running_sums
+from dialoom.functions.turns import let
+
 # kind -> pattern. Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+,
 # [0-9]+(\.[0-9]+){3}, [0-9]([ -]?[0-9])+, \+[0-9][ ().0-9-]+[0-9]
 EMAIL = (
@@ -44,16 +47,18 @@ def matches(text: Column, pattern: str) -> Column:
         F.slice(between, 1, F.size(found)),
         lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.length(m).alias("n")),
     )
-    empty = F.array().cast("array<struct<m:string,s:int,e:int>>")
-
-    def add(spans: Column, x: Column) -> Column:
-        start = F.coalesce(F.element_at(spans, -1)["e"], F.lit(0)) + x["gap"]
-        return F.concat(spans, F.array(F.struct(x["m"].alias("m"), start.alias("s"), (start + x["n"]).alias("e"))))
 
-    def first(spans: Column, x: Column) -> Column:
-        return F.when(F.size(spans) == 0, F.array(F.struct(x["m"].alias("m"), x["gap"].alias("s"), (x["gap"] + x["n"]).alias("e")))).otherwise(add(spans, x))
+    def placed(pairs: Column, lengths: Column) -> Column:
+        # A match ends where all gaps and matches up to it do: sums that cost about their number.
+        return F.zip_with(
+            pairs,
+            F.slice(running_sums(0, lengths), F.lit(2), F.size(pairs)),
+            lambda p, e: F.struct(p["m"].alias("m"), (e - p["n"]).cast("int").alias("s"), e.cast("int").alias("e")),
+        )
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, first)).otherwise(empty)
+    spans = let(pairs, lambda p: let(F.transform(p, lambda x: x["gap"] + x["n"]), lambda n: placed(p, n)))
+    empty = F.array().cast("array<struct<m:string,s:int,e:int>>")
+    return F.when(F.size(found) > 0, spans).otherwise(empty)
 
 
 def digits_of(match: Column) -> Column:
