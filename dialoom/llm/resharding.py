@@ -15,7 +15,7 @@ from dialoom.llm.common import utf8_bytes
 from dialoom.llm.packing import GROUP_ROWS, rank_in_groups
 from dialoom.session import freeze
 
-PARTS = 256  # an item larger than 1/PARTS of a shard is split
+PARTS = 256  # an item that no shard can hold is split into parts of 1/PARTS of a shard
 
 
 def least_transfers(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -95,8 +95,8 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, capacities: list[floa
 
     ``old``: the present shard (0 .. ``old_shards`` - 1) of a row; ``capacities``: relative sizes of
     the new shards. Law ``bytes``: sizes follow the capacities, off by no more than the items at
-    the cuts. Copies of a text that share an old shard stay together unless they exceed 1/256 of
-    a new shard. A null text is empty; its size is 1. Null ids and repeated rows are placed like
+    the cuts. Copies of a text that share an old shard stay together unless they exceed the smallest
+    new shard. A null text is empty; its size is 1. Null ids and repeated rows are placed like
     others. ``slot`` numbers a shard's rows without gaps; ``grown_shard`` is null for this law.
     ``row`` holds all columns of ``docs``; a plan that does not use it does not shuffle it. Rows are
     read again for it, so ``docs`` and ``old`` must give the same rows each time.
@@ -117,16 +117,17 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, capacities: list[floa
     total, weight = sum(supply), sum(capacities)
     edges = [round(total * sum(capacities[:j]) / weight) for j in range(len(capacities) + 1)]
     flow = least_transfers(supply, [b - a for a, b in zip(edges, edges[1:])])
-    limit = max(1, total // (len(capacities) * PARTS))
+    holds = min((b - a for a, b in zip(edges, edges[1:]) if b > a), default=1)
+    piece = max(1, holds // PARTS)
     large = (
-        base.groupBy("old", "key").agg(F.sum("size").alias("n")).filter(F.col("n") > limit)
-        .select("old", "key", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+        base.groupBy("old", "key").agg(F.sum("size").alias("n")).filter(F.col("n") > holds)
+        .select("old", "key", F.ceil(F.col("n") / piece).cast("int").alias("parts"))
     )
     large = freeze(large)
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
 
     def in_parts(rows: DataFrame) -> DataFrame:
-        # At most total / limit rows, a number that the shards fix.
+        # At most total / holds rows, a number that the shards fix.
         rows = rows.join(F.broadcast(large), ["old", "key"], "left")
         return rows.withColumn("part", part).drop("parts")
 

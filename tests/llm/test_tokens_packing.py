@@ -118,3 +118,21 @@ def test_backoff_scores(table_of):
     assert collections.Counter((r.doc_id, r.n_tokens, round(r.log_score, 3)) for r in got) == want
     assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in got)
     assert score_documents(table_of([]), PATH).count() == 0
+
+
+def test_groups_of_copies_stay_whole(spark, table_of):
+    """A group of 4 % of all bytes lies in one shard; one that no shard can hold is spread evenly."""
+    from pyspark.sql import functions as F
+
+    from dialoom.llm.resharding import reshard
+
+    rows = [(i, f"text {i} " * (i % 30 + 1)) for i in range(3000)]
+    rows += [(10_000 + i, "copied words " * 15) for i in range(150)] + [(20_000 + i, "small group") for i in range(40)]
+    rows += [(30_000 + i, "hot " * 50) for i in range(800)]
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(12))
+    placed = reshard(table_of(rows, extra=False), old, 12, [1.0] * 16).select("shard", "size", "row.text").toPandas()
+    sizes = placed.groupby("shard")["size"].sum()
+    assert len(sizes) == 16 and len(placed) == len(rows)
+    spread = placed.groupby("text")["shard"].nunique()
+    assert spread["hot " * 50] > 1 and spread.drop("hot " * 50).max() == 1
+    assert sizes.max() <= 1.1 * sizes.mean() and sizes.min() >= 0.9 * sizes.mean()
