@@ -27,8 +27,8 @@ from dialoom.llm.common import give_back, slices
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1  # ranks at GRAM bytes inside one string
-BUCKET_BYTES = 32 << 20  # of text that sends its ranks to one bucket
-MIN_BUCKETS = 32
+BUCKET_BYTES = 18 << 20  # of text that sends its ranks to one bucket
+MIN_BUCKETS = 48
 CHUNK = 1 << 19  # bytes ranked at once, unless one text is longer
 U = np.uint64
 
