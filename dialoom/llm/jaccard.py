@@ -30,7 +30,7 @@ LONG_LIST = 64
 MEETINGS, MEETING_PERCENT = 4, 2
 BROADCAST_ROWS = 500_000  # candidates sent to all tasks in place of shuffling all texts
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
-CACHE = 250_000
+CACHE = 120_000
 NO_SHINGLES = np.zeros(0, np.uint64)
 
 

@@ -123,12 +123,12 @@ def exact_by_bytes(path: str) -> bool:
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each row's ids and an end id 0, cut.
 
     A null text is empty: one piece with the end id alone. Only documents longer than ``capacity``
     are cut; all their pieces are full but the first. Repeated rows are packed as often as they
-    come; other columns are ignored.
+    come; other columns are ignored. ``cache``: chunks whose ids a task keeps.
     """
 
     by_bytes = exact_by_bytes(path)
@@ -137,7 +137,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path, by_bytes)
+        encoder = Encoder(path, by_bytes, cache)
         for batch in batches:
             for part in slices(batch):
                 rows, made = [], []
@@ -301,6 +301,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*pieces.columns, F.col("_rank").cast("long").alias("_rank")).mapInArrow(returning(deal), schema)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents with their sequence and their place in it."""
-    return pack(cut_pieces(docs, path, capacity), capacity)
+    return pack(cut_pieces(docs, path, capacity, cache), capacity)

@@ -32,7 +32,7 @@ FIRST = 4.0  # weight of an exact match before any sample speaks
 FADING = (1.0, 0.75, 0.4)  # what a match with errors is worth before any sample speaks
 MIN_RATIO = 5.0  # how much likelier a term is in toxic documents
 WINDOW = 8  # words on either side of a match
-CACHE = 250_000
+CACHE = 120_000
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…"
 QUOTES = re.compile("[\"«»“”„]")
 # Words that report what somebody else said.
