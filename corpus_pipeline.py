@@ -25,6 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOXIC = 0.5  # score from which a document goes
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+CACHED_CHUNKS = 200_000  # by a task that packs: workers hold what other stages left as well
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=CACHED_CHUNKS)
 
 
 STAGES: list[tuple[str, Stage]] = [
