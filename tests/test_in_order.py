@@ -113,14 +113,13 @@ def test_parquet_in_the_order_of_files(spark, tmp_path):
     assert sorted((r["idx"], r["n"]) for r in rows) == [(i, i) for i in range(300)]
 
 
-def test_prefix_sums(spark, monkeypatch):
-    import dialoom.operators.ranking as ranking
-
-    monkeypatch.setattr(ranking, "PART_ROWS", 7)
-    df = spark.range(100).selectExpr("id % 10 AS a", "id AS b", "id * 3 AS v")
-    rows = sorted(prefix_sums(df, ["a", "b"], "v", "before").collect())
-    total = 0
-    for r in rows:
-        assert r["before"] == total
+def test_prefix_sums(spark):
+    df = spark.range(100).selectExpr("id % 10 AS a", "id AS b", "id * 3 AS v", "IF(id % 3 = 0, NULL, id % 3) AS g")
+    rows = sorted(prefix_sums(df, ["a", "b"], "v", "before", part_rows=7).collect(), key=lambda r: r[:2])
+    by_group = sorted(prefix_sums(df, ["a", "b"], "v", "before", ["g"], 7).collect(), key=lambda r: r[:2])
+    total, totals = 0, {}
+    for r, g in zip(rows, by_group):
+        assert r["before"] == total and g["before"] == totals.get(g["g"], 0)
         total += r["v"]
-    assert len(rows) == 100
+        totals[g["g"]] = totals.get(g["g"], 0) + g["v"]
+    assert len(rows) == len(by_group) == 100
