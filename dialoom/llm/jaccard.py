@@ -1,6 +1,6 @@
 """Exact Jaccard join of shingle sets by set relations (operator 9).
 
-1. Equal sets are one class; its least id stands for all.
+1. Rows with equal sets are one class, whatever their ids; one row stands for all.
 2. Each set lists a prefix of its shingles, rare ones first. Two sets with enough in common share
    several prefix shingles, so candidates are pairs that meet often enough in short index lists, or
    at all in a long one (where every set is tied to the list's first instead of to each other).
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.llm.common import broadcast_ids, returning, slices, stored
 from dialoom.llm.components import components, forest
@@ -96,8 +96,13 @@ def _common_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
     return np.sort(top.column("h").to_numpy().astype(np.int64)) if top.num_rows else np.zeros(0, np.int64)
 
 
+def _row_key() -> Column:
+    """A hash of a row's id and text: what finds its text again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def set_table(docs: DataFrame, k: int, percent: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, n, digest, prefix`` per row of ``docs`` with an id."""
+    """``doc_id, row, n, digest, prefix`` of each row of ``docs``; ``row`` is its ``_row_key``."""
     common = _common_shingles(docs, k, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,35 +123,36 @@ def set_table(docs: DataFrame, k: int, percent: int, rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("row"),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "digest", "prefix"],
+                    ["doc_id", "row", "n", "digest", "prefix"],
                 )
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return rows_.mapInArrow(returning(run), "doc_id long, n long, digest binary, prefix array<long>")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), "text")
+    return rows_.mapInArrow(returning(run), "doc_id long, row long, n long, digest binary, prefix array<long>")
 
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that leave every linked pair of different sets in one component."""
-    postings = sets.filter("n > 0").select("doc_id", "n", F.explode("prefix").alias("h"))
-    lists = postings.groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).filter("c > 1")
+    postings = sets.filter("n > 0").select("node", "n", F.explode("prefix").alias("h"))
+    lists = postings.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("first")).filter("c > 1")
     live = postings.join(lists, "h")
-    hot = live.filter((F.col("c") > LONG_LIST) & (F.col("doc_id") != F.col("first"))).select(
-        F.col("doc_id").alias("a"), F.col("first").alias("b")
+    hot = live.filter((F.col("c") > LONG_LIST) & (F.col("node") != F.col("first"))).select(
+        F.col("node").alias("a"), F.col("first").alias("b")
     )
-    short = live.filter(F.col("c") <= LONG_LIST).select("h", "doc_id", "n")
+    short = live.filter(F.col("c") <= LONG_LIST).select("h", "node", "n")
     # At most LONG_LIST rows a key: lists that are bounded by the filter above.
-    members = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id"))).alias("m"))
+    members = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("m"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("m")
             starts = np.asarray(column.offsets)[: len(column) + 1]
             values = column.values
-            n, ids = (np.asarray(values.field(f)) for f in ("n", "doc_id"))
+            n, ids = (np.asarray(values.field(f)) for f in ("n", "node"))
             a, b, need = [], [], []
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 for i in range(lo, hi - 1):
@@ -205,7 +211,11 @@ def links_in_block(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np
 
 
 def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``a, b`` inside the candidate groups ``node, component, n``, as forests."""
+    """Links ``a, b`` inside the candidate groups ``node, component, n``, as forests.
+
+    ``row`` and ``digest`` of ``groups`` find a text that has the node's set. Of repeated rows a task
+    passes on one.
+    """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     # A set meets those of its own class of sizes and of the next one.
     sides = F.array(F.struct(size_class.alias("class"), F.lit(1).alias("own")), F.struct((size_class - 1).alias("class"), F.lit(0).alias("own")))
@@ -220,28 +230,38 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     placed = placed.select("node", "n", "component", "class", F.explode(pairs).alias("pair"))
     block = F.xxhash64("component", "class", "pair")  # a collision only joins two blocks
-    wanted = stored(placed.groupBy("node", "n").agg(F.collect_set(block).alias("blocks")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_ids(wanted, BROADCAST_ROWS), "node")
-    texts = texts.select("node", "n", "blocks", "text")
+    dealt_to = placed.groupBy("node", "n").agg(F.collect_set(block).alias("blocks")).drop("n")
+    wanted = stored(groups.select("node", "row", "digest").join(dealt_to, "node"))
+    texts = docs.select(_row_key().alias("row"), "text").join(broadcast_ids(wanted, BROADCAST_ROWS), "row")
+    texts = texts.select("node", "digest", "blocks", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
         for batch in batches:
             for part in slices(batch):
-                made = [shingler.shingles(t) for t in part.column("text").to_pylist()]
+                rows, made = [], []
+                columns = (part.column(c).to_pylist() for c in ("node", "digest", "text"))
+                for row, (node, digest, text) in enumerate(zip(*columns)):
+                    if node in seen:
+                        continue
+                    data = shingler.shingles(text).tobytes()
+                    if xxhash.xxh3_128_digest(data) == digest:  # else another row with this key
+                        seen.add(node)
+                        rows.append(row)
+                        made.append(data)
+                took = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("node"),
-                        part.column("blocks"),
-                        part.column("n"),
-                        pa.array([len(s) for s in made], pa.int64()),
-                        pa.array([s.tobytes() for s in made], pa.binary()),
+                        part.column("node").take(took),
+                        part.column("blocks").take(took),
+                        pa.array([len(x) // 8 for x in made], pa.int64()),
+                        pa.array(made, pa.binary()),
                     ],
-                    ["node", "blocks", "n", "size", "set"],
+                    ["node", "blocks", "n", "set"],
                 )
 
-    sets = texts.mapInArrow(returning(to_sets), "node long, blocks array<long>, n long, size long, set binary")
-    dealt = sets.filter("n = size").select(F.explode("blocks").alias("block"), "node", "n", "set")
+    sets = texts.mapInArrow(returning(to_sets), "node long, blocks array<long>, n long, set binary")
+    dealt = sets.select(F.explode("blocks").alias("block"), "node", "n", "set")
     dealt = dealt.repartition("block").sortWithinPartitions("block", "n", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,38 +286,61 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
     return dealt.select("block", "node", "set").mapInArrow(returning(verify), "a long, b long")
 
 
+def _labelled(docs: DataFrame, k: int, percent: int, sample_rows: int) -> DataFrame:
+    """``doc_id, row, n, first_id, first_row`` of each row of ``docs``.
+
+    ``first`` is the row with the least id (null ids last) and key that links reach.
+    """
+    sets = stored(set_table(docs, k, percent, sample_rows))
+    # Rows are nodes by what they hold: rows with equal sets are one, whatever their ids.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n", "prefix"))
+    best = sets.groupBy("digest").agg(first.alias("r"))
+    unique = stored(best.select(F.monotonically_increasing_id().alias("node"), "digest", "r.*"))
+    near = components(_candidates(unique, percent))
+    groups = stored(near.join(unique.select("node", "n", "row", "digest"), "node"))
+    joined = components(_verified(docs, groups, k, percent))
+    classes = unique.select("digest", "node", "unnamed", "doc_id", "row", "n").join(joined, "node", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "node"))
+    firsts = classes.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "row")).alias("f"))
+    firsts = firsts.select("component", F.col("f.doc_id").alias("first_id"), F.col("f.row").alias("first_row"))
+    # Sets without shingles are linked with nothing: each such row is its own first.
+    found = classes.filter("n > 0").join(firsts, "component").select("digest", "first_id", "first_row")
+    worded = sets.filter("n > 0").select("doc_id", "row", "n", "digest").join(found, "digest").drop("digest")
+    alone = sets.filter("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"))
+    return worded.unionAll(alone)
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
     Words are runs of anything but ASCII white space, A-Z folded; a set holds the distinct ``k``-word
-    shingles, or the whole sequence where there are fewer words. Two documents link when
+    shingles, or the whole sequence where there are fewer words. Two rows link when
     100 * intersection >= ``percent`` * union. A component carries its least id. Texts without words,
-    null ones included, link with nothing. Rows that repeat an id are one document, of the text that
-    has the most shingles. Rows with a null id link with nothing and have a null component.
-    Ids must be integers; other columns are ignored.
+    null ones included, link with nothing. Each row counts with its own text: rows that repeat an id
+    are linked by their texts alone, and so are rows with a null id, whose component is null if none
+    of its rows has an id. Ids must be integers; other columns are ignored.
     """
-    sets = stored(set_table(docs, k, percent, sample_rows))
-    one = sets.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "prefix")).alias("s")).select("doc_id", "s.*")
-    best = one.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"))
-    unique = stored(best.select("digest", "r.*"))
-    near = components(_candidates(unique, percent))
-    groups = stored(near.join(unique.select(F.col("doc_id").alias("node"), "n"), "node"))
-    joined = components(_verified(docs, groups, k, percent))
-    classes = unique.select("digest", F.col("doc_id").alias("node"), F.col("n").alias("_n")).join(joined, "node", "left")
-    classes = classes.select("digest", F.coalesce("component", "node").alias("_c"))
-    found = one.join(classes, "digest").select(
-        F.col("doc_id").alias("_d"), F.col("n").alias("_n"), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("_c")
-    )
-    rows = docs.select("doc_id")
-    out = rows.join(found, F.col("doc_id") == F.col("_d"), "left")
-    return out.select("doc_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), F.col("_c").cast("long").alias("component_id"))
+    kind = dict(docs.dtypes)["doc_id"]
+    found = _labelled(docs, k, percent, sample_rows)
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, all their columns, without those whose component has a lesser id.
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the least id, null ids last.
 
-    Rows with a null id, and texts without words, all stay.
+    Of rows that repeat this id and text one stays, chosen by a hash of its plain columns. Texts
+    without words, null ones included, all stay.
     """
-    found = jaccard_components(docs, k, percent).filter("component_id < doc_id")
-    gone = found.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    rows = _labelled(docs, k, percent, sample_rows).filter("n > 0")
+    stays = (F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    counted = rows.groupBy(F.col("doc_id").alias("_of_id"), F.col("row").alias("_of_row"), stays.alias("_stays")).agg(F.count("*").alias("_times"))
+    # Rows that go, and those that stay but repeat.
+    marked = stored(counted.filter("NOT _stays OR _times > 1").drop("_times"))
+    same = lambda side: (F.col("_row_key") == side["_of_row"]) & F.col("_id_key").eqNullSafe(side["_of_id"])
+    keyed = docs.withColumns({"_row_key": _row_key(), "_id_key": F.col("doc_id").cast("long")})
+    kept = keyed.join(marked, same(marked), "left_anti").select(*docs.columns)
+    repeats = marked.filter("_stays")
+    plain = [c for c, t in docs.dtypes if not any(x in t for x in ("map<", "variant"))]
+    chosen = F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_chosen")
+    once = keyed.join(repeats, same(repeats)).groupBy("_row_key", "_id_key").agg(chosen)
+    return kept.unionAll(once.select("_chosen.*"))

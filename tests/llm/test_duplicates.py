@@ -30,40 +30,47 @@ def near_copies():
 
 
 def brute_components(rows, k, percent):
-    best = {}
-    for i, text in rows:
+    """For each row: size of its set, least id and place of the first row (ids, null ones last)."""
+    sets = []
+    for _, text in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        s = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
-        if i is not None and len(s) >= len(best.get(i, ())):
-            best[i] = s
-    root = {i: i for i in best}
+        sets.append(frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(best)
-    for a in ids:
-        for b in ids:
-            if a < b and best[a] and best[b]:
-                both = len(best[a] & best[b])
-                if 100 * both >= percent * (len(best[a]) + len(best[b]) - both):
+    rank = lambda x: (rows[x][0] is None, rows[x][0] or 0, x)
+    for a, s in enumerate(sets):
+        for b in range(a):
+            if s and sets[b]:
+                both = len(s & sets[b])
+                if 100 * both >= percent * (len(s) + len(sets[b]) - both):
                     x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-    return {i: (len(best[i]), find(i)) for i in ids}
+                    root[max(x, y, key=rank)] = min(x, y, key=rank)
+    return [(len(s), rows[find(i)][0], find(i)) for i, s in enumerate(sets)]
+
+
+def shared_ids():
+    """Rows that share an id, or have none, with texts that link and texts that do not."""
+    a, b, c = prose(41, 60), prose(42, 50), prose(43, 40)
+    return [
+        (3001, a), (3002, a), (3002, b), (3003, b), (3003, c), (3003, c), (None, c + " " + c), (None, c + " " + c), (3004, c + " " + c),
+        (None, prose(44, 30)), (None, prose(44, 30) + " more"), (None, ""), (None, "two words"), (3005, a + " end"),
+    ]
 
 
 @pytest.mark.parametrize("k,percent,settings", [(3, 90, {}), (5, 80, {}), (3, 90, {"LONG_LIST": 4, "BLOCK_ROWS": 6}), (2, 60, {"LONG_LIST": 2, "MEETINGS": 2})])
 def test_jaccard(table_of, monkeypatch, k, percent, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
-    rows = [r for r in hard_rows() if r[0] != 10] + near_copies()
-    want = brute_components(rows, k, percent)
-    got = jaccard.jaccard_components(table_of(rows), k, percent).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.n_shingles, r.component_id) == (want[r.doc_id] if r.doc_id is not None else (0, None))
+    rows = [r for r in hard_rows() if r[0] != 10] + near_copies() + shared_ids()
+    want = collections.Counter((i, n, first) for (i, _), (n, first, _) in zip(rows, brute_components(rows, k, percent)))
+    found = jaccard.jaccard_components(table_of(rows), k, percent)
+    assert found.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    assert collections.Counter(map(tuple, found.collect())) == want
 
 
 def test_jaccard_of_nothing(table_of):
@@ -78,7 +85,23 @@ def test_keep_one(table_of):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and not {2, 3} & {*ids}
-    assert ids.count(None) == 2 and {4, 5, 6, 7, 8, 9, 10, 11, 12, 13, -5} <= {*ids}
+    assert ids.count(None) == 1 and {4, 5, 6, 7, 8, 9, 10, 11, 12, 13, -5} <= {*ids}
+
+
+def test_keep_one_leaves_a_row_of_each_group(table_of):
+    text = prose(61, 80)
+    rows = [(1, text), (1, text), (2, text), (None, prose(62, 70)), (None, prose(62, 70)), (4, prose(63, 40)), (4, ""), (4, ""), (4, None)]
+    rows += shared_ids() + [r for r in near_copies() if r[0] < 1000]
+    want = [r for at, (r, (n, _, first)) in enumerate(zip(rows, brute_components(rows, 5, 80))) if n == 0 or first == at]
+    got = jaccard.keep_one(table_of(rows)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
+
+
+def test_keep_one_chooses_among_repeated_rows_by_their_columns(spark):
+    rows = [(1, prose(64, 30), i % 3) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n int")
+    first, second = (jaccard.keep_one(d).collect() for d in (docs, docs.repartition(4)))
+    assert first == second and len(first) == 1 and jaccard.keep_one(docs).dtypes == docs.dtypes
 
 
 def test_components(spark):

@@ -87,7 +87,7 @@ def plain_stages(rows, items):
     rows = [(i, t) for i, t in rows if not {"blockhead", "numbskull"} & {*(t or "").split()}]
     yield rows
     near = brute_components(rows, 5, 80)
-    rows = [(i, t) for i, t in rows if i is None or near[i][1] == i]
+    rows = [r for at, (r, (n, _, first)) in enumerate(zip(rows, near)) if n == 0 or first == at]
     yield rows
     patterns = [decontamination.normalize(t) for _, t in items]
 
