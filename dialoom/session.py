@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,18 +14,24 @@ BROADCAST_ROWS = 1_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A session that names none gets a folder of its own under ``spark.sql.warehouse.dir``, which
-    all executors share, and that becomes its checkpoint folder.
+    A session that names none gets a folder of its own under ``spark.sql.warehouse.dir``, and that
+    becomes its checkpoint folder; on a cluster only if other machines can reach it.
     """
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current.rstrip("/")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    current = f"{warehouse}/_dialoom-{uuid.uuid4().hex}"
+    current = own_folder(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def own_folder(master: str, warehouse: str) -> str:
+    """A new folder under ``warehouse``. One of a single machine is refused unless all runs there."""
+    if not master.startswith("local") and urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError(f"name a shared folder in spark.checkpoint.dir: executors of {master} cannot read {warehouse}")
+    return f"{warehouse.rstrip('/')}/_dialoom-{uuid.uuid4().hex}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from dialoom import session
@@ -123,6 +124,14 @@ def test_frequency_stream_equals_batch(spark, tmp_path):
     assert stream.count() == batch.count()
 
 
+def test_own_folder_is_refused_where_executors_cannot_read_it():
+    assert session.own_folder("local[8]", "file:/here/warehouse/").startswith("file:/here/warehouse/_dialoom-")
+    assert session.own_folder("yarn", "hdfs://name/warehouse").startswith("hdfs://name/warehouse/_dialoom-")
+    for warehouse in ("file:/here/warehouse", "/here/warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.own_folder("spark://host:7077", warehouse)
+
+
 def test_shared_folder_is_that_of_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_folder(spark).startswith(("file:", configured))
