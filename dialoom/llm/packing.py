@@ -3,9 +3,10 @@
 Documents become pieces of at most ``capacity`` tokens. What is packed is the histogram of piece
 lengths (at most ``capacity`` rows, whatever the corpus): a configuration linear program whose
 columns are fillings of one sequence. Multiplicative weights set a price per length, a knapsack
-dynamic program finds the filling of the highest price, and its share grows until the lengths are
-covered evenly. Rounding down the shares leaves a few pieces of every length; best fit, largest
-first, packs those. Spark then numbers the pieces of each length and deals them to the fillings.
+dynamic program finds the filling of the highest price (a full one where there is one), and its share
+grows until the lengths are covered evenly. Rounding down the shares leaves a few pieces of every
+length; best fit, largest first, packs those, also into the room that fillings leave. Spark then
+numbers the pieces of each length and deals them to the fillings.
 """
 
 from __future__ import annotations
@@ -163,8 +164,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int
 
 
 def best_filling(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: lengths (repeats allowed) that fill ``capacity`` exactly at
-    the highest total price; lengths without a price are left out. Empty if nothing fills it."""
+    """Knapsack by dynamic programming: lengths (repeats allowed) of the highest total price that
+    fill ``capacity`` exactly, or, if none do, that fit into it. Lengths without a price are left out."""
     best, choice = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, int)
     best[0] = 0
     price = np.where(price > 0, price, -np.inf)
@@ -172,7 +173,7 @@ def best_filling(price: np.ndarray, capacity: int) -> dict[int, int]:
         value = best[room - 1 :: -1] + price[1 : room + 1]
         at = int(value.argmax())
         best[room], choice[room] = value[at], at + 1
-    filling, room = {}, capacity if best[capacity] > 0 else 0
+    filling, room = {}, capacity if best[capacity] > 0 else int(best.argmax())
     while room:
         length = int(choice[room])
         filling[length] = filling.get(length, 0) + 1
@@ -207,8 +208,9 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[
     return sorted(shares.items(), key=lambda x: -x[1])
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
-    """Best fit, largest first, over a histogram: equal sequences are handled together."""
+def best_fit(counts: np.ndarray, capacity: int, begun: list[tuple[Filling, int]] = ()) -> list[tuple[Filling, int]]:
+    """Best fit, largest first, over a histogram: equal sequences are handled together. ``begun``
+    are sequences that hold something already."""
     open_: list[list[tuple[Filling, int]]] = [[] for _ in range(capacity + 1)]
     there = np.zeros(capacity + 1, bool)
 
@@ -216,6 +218,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
         open_[room].append((filling, n))
         there[room] = True
 
+    for filling, n in begun:
+        put(capacity - sum(length * copies for length, copies in filling), filling, n)
     for length in np.flatnonzero(counts)[::-1].tolist():
         n = int(counts[length])
         while n:
@@ -235,15 +239,25 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is used; together they hold exactly ``counts``."""
+    """Fillings and how often each is used; together they hold exactly ``counts``.
+
+    Rounded with and without the fillings that leave room: the fewer sequences win.
+    """
+    shares = fractional(counts, capacity)
+    full = [(filling, share) for filling, share in shares if sum(k * a for k, a in filling) == capacity]
+    plans = (_rounded(counts, capacity, x) for x in (shares, full))
+    return min(plans, key=lambda fillings: sum(n for _, n in fillings))
+
+
+def _rounded(counts: np.ndarray, capacity: int, shares: list[tuple[Filling, float]]) -> list[tuple[Filling, int]]:
     left, whole = counts.copy(), []
-    for filling, share in fractional(counts, capacity):
+    for filling, share in shares:
         n = min(int(share + 1e-9), *(int(left[k]) // a for k, a in filling))
         if n:
             whole.append((filling, n))
             for length, a in filling:
                 left[length] -= a * n
-    return whole + best_fit(left, capacity)
+    return best_fit(left, capacity, whole)
 
 
 def slots(fillings: list[tuple[Filling, int]]) -> np.ndarray:

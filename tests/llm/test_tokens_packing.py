@@ -97,6 +97,36 @@ def test_plan_is_exact_and_near_the_bound():
     assert sum(x for _, x in packing.fractional(counts, 2048)) > 0.4 * bound  # the program places most
 
 
+@pytest.mark.parametrize(
+    ("lengths", "fewest"), [([700], 500), ([700, 1300, 1999], 2000), ([1025], 1000), ([30, 2000], 1000), ([1100, 900, 45], 1000)]
+)
+def test_lengths_that_fill_nothing_exactly(lengths, fewest):
+    """The program places most of what no filling holds without room left."""
+    counts = np.zeros(2049, int)
+    counts[lengths] = 1000
+    assert sum(x for _, x in packing.fractional(counts, 2048)) > 0.8 * fewest
+    plan = packing.plan(counts, 2048)
+    held = sum(n * np.bincount([k for k, a in f for _ in range(a)], minlength=2049) for f, n in plan)
+    assert (held == counts).all() and sum(n for _, n in plan) == fewest
+
+
+def test_knapsack_equals_brute_force():
+    """The dearest full filling, or the dearest of all where none is full."""
+    r = random.Random(7)
+    for _ in range(300):
+        capacity = r.randint(5, 14)
+        price = np.zeros(capacity + 1)
+        for length in r.sample(range(1, capacity + 1), r.randint(1, 4)):
+            price[length] = r.random()
+        sold, made = [k for k in range(1, capacity + 1) if price[k]], [(0, 0.0)]
+        for used, value in made:  # grows while it is read
+            made += [(used + k, value + price[k]) for k in sold if used + k <= capacity]
+        full = [v for used, v in made if used == capacity]
+        got = packing.best_filling(price, capacity)
+        assert sum(k * a for k, a in got.items()) <= capacity
+        assert sum(price[k] * a for k, a in got.items()) == pytest.approx(max(full or [v for _, v in made]))
+
+
 def test_backoff_scores(table_of):
     import math
 
