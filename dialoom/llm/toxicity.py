@@ -22,10 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.llm.common import give_back, returning, slices
+from dialoom.llm.common import give_back, returning, slices, stored
 
 SAMPLE_ROWS = 20_000  # labelled rows for learning: a bound, chosen by a hash of the id
-LEXICON_ROWS = 20_000  # candidates that reach the driver
 MIN_SHARE = 0.02  # of the toxic sample in which a term must occur
 CHANCE = 2e4  # candidates of which less than one may be a term by chance
 FIRST = 4.0  # weight of an exact match before any sample speaks
@@ -191,15 +190,18 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic`` of at most ``rows`` labelled documents, the same ones on every run."""
-    chosen = (
-        labels.select("doc_id", F.col("toxic").alias("_toxic"))
-        .filter(F.col("doc_id").isNotNull() & F.col("_toxic").isin(0, 1))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
-    # At most ``rows`` pairs of numbers by construction.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_toxic")
+    """``text, toxic`` of at most ``rows`` labelled documents, the same ones on every run.
+
+    Rows that repeat an id and its text count once per label; of an id with several texts all take
+    part, within the bound.
+    """
+    by_id = [F.xxhash64("doc_id"), "doc_id", "_toxic"]
+    named = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
+    named = named.filter(F.col("doc_id").isNotNull() & F.col("_toxic").isin(0, 1)).distinct().orderBy(*by_id).limit(rows)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_key"))
+    # At most ``rows`` rows of numbers by construction, both times.
+    found = texts.drop("text").join(F.broadcast(named), "doc_id").distinct().orderBy(*by_id, "_key").limit(rows)
+    return texts.join(F.broadcast(found), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_toxic", "_key"]).select("text", "_toxic")
 
 
 def _distinct_words(sample: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def _distinct_words(sample: DataFrame) -> DataFrame:
                     ["key", "toxic", "words"],
                 )
 
-    made = sample.withColumn("_toxic", F.col("_toxic").cast("int")).mapInArrow(returning(run), "key long, toxic int, words array<string>")
+    made = sample.mapInArrow(returning(run), "key long, toxic int, words array<string>")
     return made.groupBy("key").agg(F.min(F.struct("toxic", "words")).alias("d")).select("d.*")
 
 
@@ -279,10 +281,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled rows (the caller leaves out those held back).
 
-    At most ``rows`` rows take part (documented bound). Without labels of both kinds the lexicon
-    is empty and every score low.
+    At most ``rows`` rows take part (documented bound); they are stored once and read by all steps.
+    Without labels of both kinds the lexicon is empty and every score low.
     """
-    sample = labelled_sample(docs, labels, rows)
+    sample = stored(labelled_sample(docs, labels, rows), 200)
     distinct = _distinct_words(sample)
     sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -291,15 +293,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # A word that occurs in s documents has all of them toxic by chance with (toxic / all) ^ s.
     by_chance = math.log(CHANCE) / math.log((sizes[0] + sizes[1]) / sizes[1])
     enough = F.col("toxic") >= max(by_chance, MIN_SHARE * sizes[1])
-    top = (
-        _prefix_counts(distinct)
-        .withColumn("ratio", ratio)
-        .filter(enough & (F.col("ratio") >= MIN_RATIO))
-        .orderBy(F.desc("toxic"), "term")
-        .limit(LEXICON_ROWS)
-        .collect()
-    )
-    model = Model(terms=choose_terms([(r["term"], r["toxic"], r["ratio"]) for r in top]))
+    counted = _prefix_counts(distinct).withColumn("ratio", ratio).filter(enough & (F.col("ratio") >= MIN_RATIO))
+    # All of them: each occurs in a share of the sample's toxic documents, so there are at most
+    # 1 / MIN_SHARE times the words and beginnings that one of these has on average.
+    model = Model(terms=choose_terms([(r["term"], r["toxic"], r["ratio"]) for r in counted.collect()]))
 
     def match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -312,7 +309,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 kinds = (pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "errors", "toxic"])
 
-    sample = sample.withColumn("_toxic", F.col("_toxic").cast("int"))
     hits = sample.mapInArrow(returning(match_rows), "term string, errors int, toxic int")
     counts: dict[Match, list[int]] = {}
     # At most terms x 3 x 2 rows.

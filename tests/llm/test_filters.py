@@ -148,6 +148,17 @@ def test_toxicity(table_of, labels_of):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_sample_of_repeated_rows(table_of, labels_of):
+    """Repeated rows and labels teach once; of many texts of one id no more than the bound are read."""
+    rows, labels = toxic_corpus()
+    learnt = toxicity.learn(table_of(rows), labels_of(labels))
+    again = toxicity.learn(table_of(rows + rows[:40] * 3), labels_of(labels + labels[::2]))
+    assert (again.terms, again.weights) == (learnt.terms, learnt.weights) and learnt.terms
+    many = [(1, f"text {i}") for i in range(500)] + [(2, "x"), (None, "y"), (3, None)]
+    got = toxicity.labelled_sample(table_of(many), labels_of([(1, 1, 1), (2, 1, 0), (3, 1, 0)]), 100).collect()
+    assert len(got) == 100 and len(toxicity.labelled_sample(table_of(many), labels_of([(2, 1, 0), (3, 1, 0)]), 100).collect()) == 2
+
+
 def test_toxicity_of_hard_rows(table_of, labels_of):
     rows = hard_rows()
     for labels in ([], [(1, 1, 1)], [(None, 1, 1), (1, 1, 0), (2, 1, 1), (4, None, 1), (5, 0, 0)]):
