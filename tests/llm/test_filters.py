@@ -332,7 +332,7 @@ def test_reshard_query_rewrites_shards(spark, monkeypatch, tmp_path):
     moved = placed.join(docs.selectExpr("doc_id", f"{old} AS was"), "doc_id").filter("shard != was").collect()
     affected = {r.shard for r in moved} | {r.was for r in moved}
     assert affected
-    placed = placed.filter(placed.shard.isin(affected)).localCheckpoint()
+    placed = placed.filter(placed.shard.isin(affected)).checkpoint()
     docs = docs.join(placed.select("doc_id"), "doc_id", "left_semi")
     back = spark.read.parquet(str(tmp_path / "resharded"))
     key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
