@@ -161,21 +161,33 @@ def trimmed_mean_latency(
     )
 
 
+def quotient(dividend: Column, divisor: Column) -> Column:
+    """``dividend / divisor`` of doubles in every mode of Spark; by zero infinite, or NaN for 0 / 0.
+
+    The reciprocal of a zero is infinite and keeps its sign. A null on either side gives null.
+    """
+    dividend, divisor = dividend.cast("double"), divisor.cast("double")
+    return F.when(divisor == 0, dividend * F.pow(divisor, F.lit(-1.0))).otherwise(dividend / divisor)
+
+
 def throughput(
     latency: DataFrame, prompt: str = "prompt", max_tokens: int = MAX_TOKENS, batch: int = 1
 ) -> DataFrame:
     """Add nominal ``tokens_per_second``: prompt words plus ``max_tokens``, by latency.
 
-    Assumes every request generated ``max_tokens`` tokens.
+    Assumes every request generated ``max_tokens`` tokens. A latency of 0 gives an infinite rate.
     """
     tokens = (word_count(F.col(prompt)) + max_tokens) * batch
-    return latency.withColumn("tokens_per_second", tokens / F.col("latency"))
+    return latency.withColumn("tokens_per_second", quotient(tokens, F.col("latency")))
 
 
 def speedup_report(baseline: DataFrame, candidate: DataFrame, *run: str) -> DataFrame:
-    """Baseline latency over candidate latency for every run key in both tables."""
+    """Baseline latency over candidate latency for every run key in both tables.
+
+    A candidate latency of 0 gives an infinite speedup.
+    """
     base = baseline.select(*run, F.col("latency").alias("baseline"))
     return (
         join_null_safe(candidate.withColumnRenamed("latency", "candidate"), base, list(run))
-        .withColumn("speedup", F.col("baseline") / F.col("candidate"))
+        .withColumn("speedup", quotient(F.col("baseline"), F.col("candidate")))
     )

@@ -1,8 +1,11 @@
+import math
 import random
 import statistics
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from dialoom.operators import metrics
 
 
@@ -54,6 +57,34 @@ def test_throughput_and_speedup(spark):
     assert [(r["run"], r["speedup"]) for r in report] == [("r", 1.5)]
 
 
+def test_rates_by_a_latency_of_zero(spark):
+    """As in the SQL: infinite with the sign of the zero, NaN for nothing by nothing, null stays null."""
+    values = [2.0, 0.0, -0.0, None, float("nan")]
+    lat = spark.createDataFrame(
+        [(i, "How to learn", v) for i, v in enumerate(values)], "run int, prompt string, latency double"
+    )
+    got = {r["run"]: r["tokens_per_second"] for r in metrics.throughput(lat, max_tokens=7).collect()}
+    assert (got[0], got[1], got[2], got[3]) == (5.0, math.inf, -math.inf, None) and math.isnan(got[4])
+    base = spark.createDataFrame([(0, 3.0), (1, 3.0), (2, 0.0), (3, 1.0)], "run int, latency double")
+    report = metrics.speedup_report(base, lat.select("run", "latency"), "run").collect()
+    got = {r["run"]: r["speedup"] for r in report}
+    assert (got[0], got[1], got[3]) == (1.5, math.inf, None) and math.isnan(got[2])
+
+
+def test_throughput_query_by_events_of_zero(spark, tmp_path):
+    """The query against its SQL where an event took no time."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations AS SELECT * FROM (VALUES (0, 0, 'a b c'), (0, 1, NULL), (1, 0, '')) t(conv_id, turn, text)")
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 2.0), (8, 0.0), (9, 1.0)) t(event_id, value)")
+    for name in ("conversations", "events"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    names = ["conv_id", "turn", "words", "tokens_per_second"]
+    got = entry.queries()["throughput"](spark, str(tmp_path)).select(names).collect()
+    want = con.sql(entry.oracle_sql()["throughput"]).select(*map(duckdb.ColumnExpression, names)).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert (0, 0, 3, math.inf) in want and (0, 1, None, None) in want
+
+
 LOG = """Train Epoch [1/40], position 0,  Acc: 0.50
 Train Epoch [1/40], position 1,  Acc: 0.70
  10%|#| Train Epoch [1/40], position 2,  Acc: 0.90
