@@ -1,14 +1,16 @@
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import hard_rows
 from tokenizers import Tokenizer
 
-from dialoom.llm import packing
+from dialoom.llm import language_model, packing
 from dialoom.llm.language_model import score_documents
 from dialoom.llm.token_counts import Counter, count_tokens
 
@@ -166,3 +168,37 @@ def test_groups_of_copies_stay_whole(spark, table_of):
     spread = placed.groupby("text")["shard"].nunique()
     assert spread["hot " * 50] > 1 and spread.drop("hot " * 50).max() == 1
     assert sizes.max() <= 1.1 * sizes.mean() and sizes.min() >= 0.9 * sizes.mean()
+
+
+def test_slices_do_not_follow_batches():
+    """Batches are small, as they count several times in a task's memory; a slice takes up many."""
+    texts = ["some words " * 3, None, "", "x" * 50] * 20
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    made = list(language_model._tokenize(PATH, packing.exact_by_bytes(PATH))(iter(batches)))
+    assert [m.num_rows for m in made] == [1]
+    ids = np.frombuffer(made[0].column("ids")[0].as_py(), "<i8")
+    sizes = np.frombuffer(made[0].column("sizes")[0].as_py(), "<i8")
+    assert ids.tolist() == [*range(80)] and sizes.tolist() == [len(x) for x in ids_of([t or "" for t in texts])]
+    gathered = list(language_model._gathered(iter(batches), 100))
+    assert [i for ids, _ in gathered for i in ids] == [*range(80)]
+    assert all(sum(len(t) for t in texts) <= 100 for _, texts in gathered) and len(gathered) > 10
+
+
+def test_scoring_a_slice_takes_memory_for_some_documents_at_a_time(monkeypatch):
+    r = np.random.default_rng(3)
+    sizes = r.integers(0, 900, 1200)
+    sizes[[0, 5, 6, 1199]] = 0
+    tokens = r.zipf(1.3, sizes.sum()).clip(0, 5000).astype("<u4")
+    seen, count = np.unique(language_model.bigrams(sizes, tokens), return_counts=True)
+    total = lambda key: pa.table([pa.array(x) for x in (lambda k, i: (k, np.bincount(i, count)))(*np.unique(key, return_inverse=True))], ["k", "n"])
+    totals = language_model.Totals(total(seen >> 32), total(seen & 0xFFFFFFFF))
+    want = language_model.score_slice(sizes, tokens, seen, count, totals)
+    tracemalloc.start()
+    got = language_model.score_slice(sizes, tokens, seen, count, totals)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(tokens)
+    monkeypatch.setattr(language_model, "SCORED_TOKENS", 1)
+    assert np.allclose(got, want) and np.allclose(language_model.score_slice(sizes, tokens, seen, count, totals), want)
+    assert len(language_model.score_slice(sizes[:0], tokens[:0], seen, count, totals)) == 0
+    assert language_model.score_slice(sizes[:1], tokens[:0], seen, count, totals).tolist() == [0]
