@@ -41,15 +41,16 @@ def thinned(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(returning(run), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, batch_rows: int = 1000) -> DataFrame:
     """``node, component`` for nodes ``a, b`` (long) of at least one edge; component: least node.
 
     Large stars tie each node's greater neighbours to its least one, small stars the lesser ones;
     both only ever shrink labels. It ends when a round changes nothing. Hot nodes are pre-aggregated,
-    and the joins on them are ordinary ones that adaptive execution can split.
+    and the joins on them are ordinary ones that adaptive execution can split. What makes ``edges``
+    gets ``batch_rows`` rows at a time.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = stored(thinned(edges).filter("a != b").select(high.alias("a"), low.alias("b")).distinct())
+    edges = stored(thinned(edges).filter("a != b").select(high.alias("a"), low.alias("b")).distinct(), batch_rows)
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

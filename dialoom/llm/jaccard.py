@@ -4,10 +4,11 @@
 2. Each set lists a prefix of its shingles, rare ones first. Two sets with enough in common share
    several prefix shingles, so candidates are pairs that meet often enough in short index lists, or
    at all in a long one (where every set is tied to the list's first instead of to each other).
+   Index lists are read where their one shuffle has sorted them.
 3. Candidates fall into groups. Only there whole sets are compared, in blocks by size: index lists
    are read whole and sizes mask the result, and a set that agrees with an earlier one in all
    that the block indexes takes over its answer. A block reports a forest of its links, which is
-   linear in its sets.
+   linear in its sets. Texts travel, not sets, which are longer, and only those of candidates.
 4. Components of the links are the answer.
 """
 
@@ -20,15 +21,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.llm.common import broadcast_ids, returning, slices, stored
+from dialoom.llm.common import returning, slices, stored, with_may_match
 from dialoom.llm.components import components, forest
 
-SAMPLE_ROWS = 30_000  # rows whose shared shingles are put last in the order: a documented bound
-COMMON_ROWS = 500_000  # such shingles, most frequent first: a bound; only speed depends on it
+# Rows whose shared shingles are put last in the order: so many at least, and a share of all. Only
+# speed depends on this, and on the number of such shingles, most frequent first.
+SAMPLE_ROWS, SAMPLE_SHARE = 30_000, 8
+COMMON_ROWS = 1_500_000
 LONG_LIST = 64
+LISTED_SETS, READ_ROWS = 4000, 60_000  # sets whose prefixes, and rows of index lists that, are handled at once
 # Shared prefix shingles of a candidate pair: so many at least, and a share of the smaller set.
 MEETINGS, MEETING_PERCENT = 4, 2
-BROADCAST_ROWS = 500_000  # candidates sent to all tasks in place of shuffling all texts
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
 CACHE = 120_000
 NO_SHINGLES = np.zeros(0, np.uint64)
@@ -78,10 +81,20 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + int(meetings(n)))
 
 
-def _common_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
-    """Shingles that two texts of a sample of ``rows`` documents share, sorted."""
-    chosen = docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(rows).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+def _row_key() -> Column:
+    """A hash of a row's id and text: what finds its text again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def _levels(docs: DataFrame, k: int, rows: int) -> np.ndarray:
+    """How common shingles are, on a scale of powers of two, by the first bits of their hash.
+
+    Counted are those of ``rows`` rows at least, chosen by a hash of id and text, and of a share of
+    all. What no two of these have is at 0.
+    """
+    total = docs.count()
+    share = min(1.0, max(rows, total // SAMPLE_SHARE) / max(1, total))
+    sample = docs.select("text") if share == 1 else docs.filter(_row_key().bitwiseAND(0xFFFFF) < int(share * 2**20) + 1).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -91,19 +104,33 @@ def _common_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
                 hashes, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
 
-    counted = sample.select("text").mapInArrow(returning(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = stored(counted.filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_ROWS).select("h")).toArrow()
-    return np.sort(top.column("h").to_numpy().astype(np.int64)) if top.num_rows else np.zeros(0, np.int64)
-
-
-def _row_key() -> Column:
-    """A hash of a row's id and text: what finds its text again."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+    counted = sample.mapInArrow(returning(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    shared = stored(counted.filter("n > 1"))
+    by_count = shared.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()
+    chosen, least = 0, 1001
+    for n, count in by_count:  # at most a row for each count up to 1000
+        if chosen + count > COMMON_ROWS and chosen:
+            break
+        chosen, least = chosen + count, n
+    bits = max(10, min(23, (4 * min(chosen, COMMON_ROWS)).bit_length()))
+    levels = np.zeros(1 << bits, np.uint8)
+    cell = F.shiftrightunsigned("h", 64 - bits).cast("int")
+    top = shared.filter(F.col("n") >= least).groupBy(cell.alias("cell")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level"))
+    found = top.toArrow()  # at most a row for each of 2 ** 23 cells
+    if found.num_rows:
+        levels[found.column("cell").to_numpy()] = found.column("level").to_numpy()
+    return levels
+
+
+def rare_first(s: np.ndarray, levels: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of a set in the order of all shingles: by level, then by hash."""
+    level = levels[s >> np.uint64(65 - len(levels).bit_length())]
+    return s[np.argsort(level, kind="stable")[:most]] if level.any() else s[:most]
 
 
 def set_table(docs: DataFrame, k: int, percent: int, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, row, n, digest, prefix`` of each row of ``docs``; ``row`` is its ``_row_key``."""
-    common = _common_shingles(docs, k, rows)
+    levels = _levels(docs, k, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -112,14 +139,9 @@ def set_table(docs: DataFrame, k: int, percent: int, rows: int = SAMPLE_ROWS) ->
                 sizes, digests, prefixes = [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingler.shingles(text)
-                    signed = s.view(np.int64)
-                    if len(common) and len(s):
-                        at = np.minimum(np.searchsorted(common, signed), len(common) - 1)
-                        late = common[at] == signed
-                        signed = np.concatenate([signed[~late], signed[late]])
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    prefixes.append(signed[: prefix_length(len(s), percent)])
+                    prefixes.append(rare_first(s, levels, prefix_length(len(s), percent)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -135,39 +157,95 @@ def set_table(docs: DataFrame, k: int, percent: int, rows: int = SAMPLE_ROWS) ->
     return rows_.mapInArrow(returning(run), "doc_id long, row long, n long, digest binary, prefix array<long>")
 
 
+def _send_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``h, n, node``. Of a list that is long here already only so many go as make it long, the
+    rest are ties, which are dealt out by their node: ``h`` is a node, ``n`` is -1."""
+    for batch in batches:
+        counts = pa.compute.list_value_length(batch.column("prefix")).to_numpy()
+        node, n = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("node", "n"))
+        h = batch.column("prefix").flatten().to_numpy()
+        order = np.argsort(h, kind="stable")
+        begins = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, int)
+        long = np.diff(np.append(begins, len(h)))
+        if (long > LONG_LIST + 1).any():
+            h, n, node = h[order], n[order], node[order]
+            first = np.repeat(begins, long)
+            tied = np.arange(len(h)) - first > LONG_LIST
+            h[tied], n[tied], node[tied] = node[tied], -1, node[first[tied]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, node)], ["h", "n", "node"])
+
+
+def _read_lists(percent: int):
+    """Pairs ``a, b`` of each short list with the meetings they need; ties, which need none."""
+
+    def read(h: np.ndarray, n: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        """``h, n, node`` in order, lists whole."""
+        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        long = np.diff(np.append(begins, len(h)))
+        ends, length = np.repeat(begins + long, long), np.repeat(long, long)
+        hot = np.flatnonzero(length > LONG_LIST)
+        made = [(node[hot], node[np.repeat(begins, long)[hot]], np.zeros(len(hot), np.int64))]
+        at = np.flatnonzero(length <= LONG_LIST)
+        for d in range(1, LONG_LIST):
+            at = at[at + d < ends[at]]
+            # Sorted by size: what is too large here is too large for all that follow.
+            at = at[n[at + d] <= 100 * n[at] // percent]
+            if not len(at):
+                break
+            made.append((node[at], node[at + d], np.minimum(meetings(n[at]), -(-percent * n[at + d] // 100))))
+        a, b, need = (np.concatenate(x) for x in zip(*made))
+        apart = a != b
+        return [np.minimum(a, b)[apart], np.maximum(a, b)[apart], need[apart]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows, tied_to = 0, None  # the list that goes on and its first, if it was long already
+
+        def given(a, b, need) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, need)], ["a", "b", "need"])
+
+        for last, batch in _and_last(batches):
+            if batch is not None:
+                h, n, node = (batch.column(c).to_numpy() for c in ("h", "n", "node"))
+                ties = n < 0
+                if ties.any():
+                    yield given(np.minimum(h, node)[ties], np.maximum(h, node)[ties], np.zeros(int(ties.sum()), np.int64))
+                    h, n, node = h[~ties], n[~ties], node[~ties]
+                held.append([h, n, node])
+                rows += len(h)
+            if rows < READ_ROWS and not last or not rows:
+                continue
+            h, n, node = (np.concatenate(x) for x in zip(*held))
+            if tied_to and h[0] == tied_to[0]:
+                same = int(np.searchsorted(h != tied_to[0], True))
+                yield given(np.minimum(node[:same], tied_to[1]), np.maximum(node[:same], tied_to[1]), np.zeros(same, np.int64))
+                h, n, node = h[same:], n[same:], node[same:]
+            cut = len(h) if last else int(np.flatnonzero(h != h[-1])[-1]) + 1 if len(h) and h[0] != h[-1] else 0
+            if cut:
+                yield given(*read(h[:cut], n[:cut], node[:cut]))
+            h, n, node = h[cut:], n[cut:], node[cut:]
+            if len(h) > LONG_LIST:
+                tied_to = (h[0], node[0])
+                yield given(np.minimum(node[1:], node[0]), np.maximum(node[1:], node[0]), np.zeros(len(h) - 1, np.int64))
+                h, n, node = h[:0], n[:0], node[:0]
+            held, rows = [[h, n, node]], len(h)
+
+    return run
+
+
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    for batch in batches:
+        yield False, batch
+    yield True, None
+
+
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that leave every linked pair of different sets in one component."""
-    postings = sets.filter("n > 0").select("node", "n", F.explode("prefix").alias("h"))
-    lists = postings.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("first")).filter("c > 1")
-    live = postings.join(lists, "h")
-    hot = live.filter((F.col("c") > LONG_LIST) & (F.col("node") != F.col("first"))).select(
-        F.col("node").alias("a"), F.col("first").alias("b")
-    )
-    short = live.filter(F.col("c") <= LONG_LIST).select("h", "node", "n")
-    # At most LONG_LIST rows a key: lists that are bounded by the filter above.
-    members = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("m"))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("m")
-            starts = np.asarray(column.offsets)[: len(column) + 1]
-            values = column.values
-            n, ids = (np.asarray(values.field(f)) for f in ("n", "node"))
-            a, b, need = [], [], []
-            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                for i in range(lo, hi - 1):
-                    # Sorted by size: skip to the end of those that can match.
-                    end = i + 1 + int(np.searchsorted(n[i + 1 : hi], 100 * n[i] // percent, "right"))
-                    if end > i + 1:
-                        a.append(np.minimum(ids[i], ids[i + 1 : end]))
-                        b.append(np.maximum(ids[i], ids[i + 1 : end]))
-                        need.append(np.minimum(meetings(n[i]), -(-percent * n[i + 1 : end] // 100)))
-            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in made], ["a", "b", "need"])
-
-    met = members.select("m").mapInArrow(returning(pairs), "a long, b long, need long")
+    postings = sets.filter("n > 0").select("node", "n", "prefix").mapInArrow(returning(_send_postings), "h long, n long, node long")
+    lists = postings.repartition("h").sortWithinPartitions("h", "n", "node")
+    met = lists.mapInArrow(returning(_read_lists(percent)), "a long, b long, need long")
     often = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need")
-    return often.select("a", "b").unionAll(hot.distinct())
+    return often.select("a", "b")
 
 
 def links_in_block(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +292,15 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
     """Links ``a, b`` inside the candidate groups ``node, component, n``, as forests.
 
     ``row`` and ``digest`` of ``groups`` find a text that has the node's set. Of repeated rows a task
-    passes on one.
+    passes on one. A group that fits a block is one; sets of larger groups are dealt out by size.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     # A set meets those of its own class of sizes and of the next one.
-    sides = F.array(F.struct(size_class.alias("class"), F.lit(1).alias("own")), F.struct((size_class - 1).alias("class"), F.lit(0).alias("own")))
-    placed = groups.select("node", "n", "component", F.inline(sides))
+    side = lambda of, own: F.struct(of.cast("long").alias("class"), F.lit(own).alias("own"))
+    fits = (F.col("sets") <= BLOCK_ROWS) & (F.col("shingles") <= BLOCK_SHINGLES)
+    sides = F.when(fits, F.array(side(F.lit(0), 1))).otherwise(F.array(side(size_class, 1), side(size_class - 1, 0)))
+    whole = groups.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    placed = groups.join(whole, "component").select("node", "n", "component", F.inline(sides))
     crowd = placed.groupBy("component", "class").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.sum("own").alias("own"))
     # Sets of the next class alone meet in their own class.
     crowd = crowd.filter("c > 1 AND own > 0").drop("own")
@@ -231,59 +312,45 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataF
     placed = placed.select("node", "n", "component", "class", F.explode(pairs).alias("pair"))
     block = F.xxhash64("component", "class", "pair")  # a collision only joins two blocks
     dealt_to = placed.groupBy("node", "n").agg(F.collect_set(block).alias("blocks")).drop("n")
-    wanted = stored(groups.select("node", "row", "digest").join(dealt_to, "node"))
-    texts = docs.select(_row_key().alias("row"), "text").join(broadcast_ids(wanted, BROADCAST_ROWS), "row")
-    texts = texts.select("node", "digest", "blocks", "text")
+    wanted = stored(groups.select("node", "n", "row", "digest").join(dealt_to, "node"))
+    rows = with_may_match(docs.select(_row_key().alias("row"), "text"), F.col("row"), F.col("row"), wanted, "may").filter("may").select("row", "text")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(k), set()
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for part in slices(batch):
-                rows, made = [], []
-                columns = (part.column(c).to_pylist() for c in ("node", "digest", "text"))
-                for row, (node, digest, text) in enumerate(zip(*columns)):
-                    if node in seen:
-                        continue
-                    data = shingler.shingles(text).tobytes()
-                    if xxhash.xxh3_128_digest(data) == digest:  # else another row with this key
-                        seen.add(node)
-                        rows.append(row)
-                        made.append(data)
-                took = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("node").take(took),
-                        part.column("blocks").take(took),
-                        pa.array([len(x) // 8 for x in made], pa.int64()),
-                        pa.array(made, pa.binary()),
-                    ],
-                    ["node", "blocks", "n", "set"],
-                )
-
-    sets = texts.mapInArrow(returning(to_sets), "node long, blocks array<long>, n long, set binary")
-    dealt = sets.select(F.explode("blocks").alias("block"), "node", "n", "set")
+            keep = []
+            for key, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                this = (key, xxhash.xxh3_128_digest(text or ""))
+                keep.append(this not in seen)
+                seen.add(this)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    texts = rows.mapInArrow(returning(once), "row long, text string").join(wanted, "row")
+    dealt = texts.select(F.explode("blocks").alias("block"), "node", "n", "digest", "text")
     dealt = dealt.repartition("block").sortWithinPartitions("block", "n", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets_ = None, [], []
+        shingler, now, nodes, sets_ = Shingler(k), None, [], []
 
         def done() -> pa.RecordBatch:
             a, b = links_in_block(sets_, percent) if len(sets_) > 1 else ((), ())
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
 
-        for part in (part for batch in batches for part in slices(batch, "set")):
-            columns = (part.column(c).to_pylist() for c in ("block", "node", "set"))
-            for key, node, data in zip(*columns):
+        for part in (part for batch in batches for part in slices(batch)):
+            columns = (part.column(c).to_pylist() for c in ("block", "node", "digest", "text"))
+            for key, node, digest, text in zip(*columns):
                 if key != now:
                     yield done()
                     now, nodes, sets_ = key, [], []
-                elif node == nodes[-1]:  # a repeated row
+                elif nodes and node == nodes[-1]:  # a repeated row
                     continue
-                nodes.append(node)
-                sets_.append(np.frombuffer(data, np.uint64))
+                found = shingler.shingles(text)
+                if xxhash.xxh3_128_digest(found.tobytes()) == digest:  # else another row with this key
+                    nodes.append(node)
+                    sets_.append(found)
         yield done()
 
-    return dealt.select("block", "node", "set").mapInArrow(returning(verify), "a long, b long")
+    return dealt.select("block", "node", "digest", "text").mapInArrow(returning(verify), "a long, b long")
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, sample_rows: int) -> DataFrame:
@@ -296,7 +363,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, sample_rows: int) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n", "prefix"))
     best = sets.groupBy("digest").agg(first.alias("r"))
     unique = stored(best.select(F.monotonically_increasing_id().alias("node"), "digest", "r.*"))
-    near = components(_candidates(unique, percent))
+    near = components(_candidates(unique, percent), LISTED_SETS)
     groups = stored(near.join(unique.select("node", "n", "row", "digest"), "node"))
     joined = components(_verified(docs, groups, k, percent))
     classes = unique.select("digest", "node", "unnamed", "doc_id", "row", "n").join(joined, "node", "left")
@@ -338,9 +405,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, sample_rows: int =
     marked = stored(counted.filter("NOT _stays OR _times > 1").drop("_times"))
     same = lambda side: (F.col("_row_key") == side["_of_row"]) & F.col("_id_key").eqNullSafe(side["_of_id"])
     keyed = docs.withColumns({"_row_key": _row_key(), "_id_key": F.col("doc_id").cast("long")})
-    kept = keyed.join(marked, same(marked), "left_anti").select(*docs.columns)
+    may_match = lambda side: with_may_match(keyed, F.col("_row_key"), F.col("_of_row"), side, "_may_match")
+    may_go = may_match(marked)
+    kept = may_go.filter("NOT _may_match").select(*docs.columns)
+    kept = kept.unionAll(may_go.filter("_may_match").join(marked, same(marked), "left_anti").select(*docs.columns))
     repeats = marked.filter("_stays")
     plain = [c for c, t in docs.dtypes if not any(x in t for x in ("map<", "variant"))]
     chosen = F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_chosen")
-    once = keyed.join(repeats, same(repeats)).groupBy("_row_key", "_id_key").agg(chosen)
+    once = may_match(repeats).filter("_may_match").join(repeats, same(repeats)).groupBy("_row_key", "_id_key").agg(chosen)
     return kept.unionAll(once.select("_chosen.*"))

@@ -4,10 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import hard_rows, prose
 
 from dialoom.llm import jaccard, substrings
+from dialoom.llm.common import stored, with_may_match
 from dialoom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,6 +107,83 @@ def test_keep_one_chooses_among_repeated_rows_by_their_columns(spark):
     assert first == second and len(first) == 1 and jaccard.keep_one(docs).dtypes == docs.dtypes
 
 
+def lists_of(rows, batch):
+    """Pairs that meet, from rows ``h, n, node`` in batches of ``batch`` rows."""
+    rows = sorted(rows)
+    cut = [rows[i : i + batch] for i in range(0, len(rows), batch)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*b)], ["h", "n", "node"]) for b in cut]
+    made = [r for b in jaccard._read_lists(90)(iter(batches)) for r in zip(*(b.column(c).to_pylist() for c in ("a", "b", "need")))]
+    return sorted(made)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+def test_lists_are_read_whole_in_any_batches(monkeypatch, batch):
+    monkeypatch.setattr(jaccard, "LONG_LIST", 4)
+    monkeypatch.setattr(jaccard, "READ_ROWS", 5)
+    r, rows = random.Random(5), set()
+    for h in range(30):
+        rows |= {(h, 100 + node % 13, node) for node in r.sample(range(200), r.choice([1, 2, 4, 5, 9, 40]))}
+    rows |= {(node, -1, 500) for node in range(3)}
+    want = [(node, 500, 0) for node in range(3)]
+    for h in range(30):
+        own = sorted(x[1:] for x in rows if x[0] == h and x[1] > 0)
+        if len(own) > 4:
+            want += [(min(own[0][1], b), max(own[0][1], b), 0) for _, b in own[1:]]
+        else:
+            fits = [(x, y) for i, x in enumerate(own) for y in own[i + 1 :] if 90 * y[0] <= 100 * x[0]]
+            want += [(min(a, b), max(a, b), min(4, -(-90 * m // 100))) for (n, a), (m, b) in fits]
+    assert lists_of(rows, batch) == sorted(want)
+
+
+def test_long_lists_leave_their_task_as_ties(monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_LIST", 4)
+    sets = pa.RecordBatch.from_arrays(
+        [pa.array(range(50)), pa.array([9] * 50), pa.array([[7, 1000 + i] for i in range(50)], pa.list_(pa.int64()))], ["node", "n", "prefix"]
+    )
+    rows = [r for b in jaccard._send_postings([sets]) for r in zip(*(b.column(c).to_pylist() for c in ("h", "n", "node")))]
+    assert sorted(x for x in rows if x[0] >= 1000) == [(1000 + i, 9, i) for i in range(50)]
+    assert [x for x in rows if x[0] == 7 and x[1] > 0] == [(7, 9, i) for i in range(5)]
+    assert sorted(x for x in rows if x[1] < 0) == [(i, -1, 0) for i in range(5, 50)]
+
+
+def test_texts_travel_only_if_a_join_may_need_them(table_of):
+    """Only candidates' texts are joined: an exchange of all texts does not fit the disk limit."""
+    docs = table_of([(i, prose(7000 + i, 40)) for i in range(60)] + [(100, prose(7000, 40) + " end")], extra=False)
+    sent = docs.select(jaccard._row_key().alias("row"), "doc_id", "text")
+    few = sent.filter("doc_id IN (0, 100)").select("row")
+    marked = with_may_match(sent, F.col("row"), F.col("row"), few, "may")
+    assert marked.columns == ["row", "doc_id", "text", "may"]
+    got = {r.doc_id: r.may for r in marked.collect()}
+    assert len(got) == 61 and got[0] and got[100] and sum(got.values()) < 15
+    assert not any(r.may for r in with_may_match(sent, F.col("row"), F.col("row"), few.filter("false"), "may").collect())
+    plan = jaccard.keep_one(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_key_bits") >= 2
+
+
+def test_rare_shingles_come_first_whatever_the_size(table_of, monkeypatch):
+    """A shingle that is common in all rows counts as common, though few of the least sample have it."""
+    rows = [(i, prose(9000 + i, 12) + " " + prose(1 + i % 20, 9)) for i in range(400)]
+    monkeypatch.setattr(jaccard, "SAMPLE_SHARE", 1)
+    levels = jaccard._levels(table_of(rows), 3, 2)
+    one = jaccard.Shingler(3)
+    common = np.concatenate([one.shingles(prose(1 + i, 9)) for i in range(20)])
+    at = lambda s: levels[s >> np.uint64(65 - len(levels).bit_length())]
+    assert (at(common) >= 4).all()
+    s = one.shingles(rows[0][1])
+    first = jaccard.rare_first(s, levels, len(s))
+    assert sorted(first) == sorted(s) and (np.diff(at(first).astype(int)) >= 0).all()
+
+
+def test_a_group_that_fits_a_block_is_sent_once(spark, table_of, monkeypatch):
+    seen = []
+    base = prose(8000, 300).split()
+    rows = [(i, " ".join(base[: 300 - 4 * i])) for i in range(12)]
+    monkeypatch.setattr(jaccard, "stored", lambda df, *a: seen.append(stored(df, *a)) or seen[-1])
+    assert {r.component_id for r in jaccard.jaccard_components(table_of(rows)).collect()} == {0}
+    sent = [df for df in seen if "blocks" in df.columns]
+    assert len(sent) == 1 and [len(r.blocks) for r in sent[0].collect()] == [1] * 12
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(i, i + 1) for i in range(2000, 2100)]
